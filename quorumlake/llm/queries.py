@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import line_dedup
+
 _QUERIES = {
+    "op1_line_dedup": "line_dedup",
+    "op2_quality_rules": "quality_rules",
+    "op3_secret_scan": "secret_scan",
     "op10_hilbert_sharding": "sharding",
 }
 
@@ -14,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL}
