@@ -7,6 +7,8 @@ from importlib import import_module
 from . import line_dedup
 
 _QUERIES = {
+    "op6_language_id": "language_id",
+    "op7_quality_classifier": "quality_classifier",
     "op1_line_dedup": "line_dedup",
     "op2_quality_rules": "quality_rules",
     "op3_secret_scan": "secret_scan",
