@@ -7,6 +7,8 @@ from importlib import import_module
 from . import line_dedup
 
 _QUERIES = {
+    "op4_pfair_mixing": "mixing",
+    "op8_length_packing": "packing",
     "op5_setsketch_dedup": "near_dedup",
     "op9_embedding_dedup": "embedding_dedup",
     "op6_language_id": "language_id",
