@@ -44,11 +44,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, lg_k: int = 12, text: str =
     hits = spread_lines(docs, min_sites, lg_k, text, doc_id, site)
     stays = F.struct("doc", "body", "i").eqNullSafe(F.col("first"))
     gone = hits.where(~stays).groupBy("doc", "body").agg(F.collect_set("i").alias("_gone"))
-    gone = materialise(gone)
     keyed = docs.drop("n_lines", "n_removed").withColumns({"_doc": F.col(doc_id), "_body": F.xxhash64(text)})
-    small = gone.limit(100_001).count() <= 100_000
-    other = gone.select(F.col("doc").alias("_gdoc"), F.col("body").alias("_gbody"), "_gone")
-    other = F.broadcast(other) if small else other.hint("merge")
+    other = gone.select(F.col("doc").alias("_gdoc"), F.col("body").alias("_gbody"), "_gone").hint("merge")
     out = keyed.join(other, F.col("_doc").eqNullSafe(F.col("_gdoc")) & (F.col("_body") == F.col("_gbody")), "left").drop("_doc", "_body", "_gdoc", "_gbody")
     lines = F.split(text, "\n")
     rest = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
