@@ -127,7 +127,7 @@ def whole_phrase(text: Column, phrase: str) -> Column:
 def pattern_matches(clips: DataFrame, patterns: DataFrame, key: str, text: str, full: bool) -> DataFrame:
     """Matches of each clip in a small table (name, pattern): how many, and the name if there is just one."""
     p = F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")) if full else F.col("pattern")
-    hits = clips.select(key, text).join(F.broadcast(patterns), F.col(text).rlike(p))
+    hits = clips.select(key, text).join(F.broadcast(patterns), F.rlike(F.col(text), p))
     one = hits.groupBy(key).agg(F.count("*").alias("matches"), F.min("name").alias("_name"))
     out = clips.select(key).join(one, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
     return out.withColumn("only", F.when(F.col("matches") == 1, F.col("_name"))).drop("_name")

@@ -117,7 +117,7 @@ def blind_admission(obs: DataFrame, patterns: DataFrame, aliases: DataFrame, com
     patterns: class, pattern, onset_missing; aliases: class, alias. obs carries one row per observer, phones per clip.
     """
     clips = obs.groupBy(key).agg(F.max(phones).alias("_p"), F.count_if(F.col(usable) & F.col(text).rlike(competing)).alias("rivals"))
-    match = clips.join(F.broadcast(patterns), F.col("_p").rlike(F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
+    match = clips.join(F.broadcast(patterns), F.rlike(F.col("_p"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
     unique = match.groupBy(key).agg(F.count("*").alias("matches"), F.min("class").alias("class"), F.bool_or("onset_missing").alias("onset_missing"))
     votes = obs.where(F.col(usable)).join(F.broadcast(aliases.withColumnRenamed("class", "_c")), F.col(text) == F.col("alias")).groupBy(key, F.col("_c").alias("class")).agg(F.count("*").alias("votes"))
     out = clips.join(unique, key, "left").join(votes, [key, "class"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))

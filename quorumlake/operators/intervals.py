@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+
 
 def merge_intervals(df: DataFrame, key: list[str], start: str, end: str, touching: bool = True, collect: dict[str, Column] | None = None) -> DataFrame:
     """W1 (touching intervals merge) and W2 (only strict overlap merges): transitive union for each key.
@@ -86,7 +88,7 @@ def round_robin(df: DataFrame, stratum: str, order: Column, limit: int, tie: lis
 def numbered(df: DataFrame, order: list[Column], name: str = "number", start: int = 1) -> DataFrame:
     """A gapless number in the given order: range partitions, a count of each, and an offset; no task sees all rows."""
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    rows = rows.withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    rows = cut_lineage(rows.withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
     at = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return rows.join(F.broadcast(at), "_p").withColumn(name, F.col("_at") + F.col("_i") + start).drop("_p", "_i", "_at")

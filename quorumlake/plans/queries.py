@@ -2,10 +2,630 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorumlake.functions import text as T
+from quorumlake.operators import consensus as C
+from quorumlake.operators import intervals as I
+from quorumlake.operators import joins as J
+from quorumlake.operators import lineage as L
+from quorumlake.operators import metrics as M
+from quorumlake.operators import sampling as X
+from quorumlake.operators import sets as U
+from quorumlake.operators import validate as V
+from quorumlake.streaming import gate as R
+
+from .base import CLIPS, HOPS, KEYWORDS, OBS, SPANS, clips, hops, observations, spans, table, with_vectors
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn: Callable) -> Callable:
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+
+    return dict(_SQL)
+
+
+VOTES = f"""WITH {OBS}, per AS (SELECT clip_id, lang, norm_text, count(*) AS n FROM obs WHERE usable AND norm_text <> '' GROUP BY ALL),
+best AS (SELECT clip_id, max(n) AS top_votes, sum(n) AS clean, arg_min(norm_text, (-n, norm_text)) AS top_text FROM per GROUP BY clip_id),
+votes AS (SELECT c.clip_id, c.lang, c.family, coalesce(b.top_votes, 0) AS top_votes, coalesce(b.clean, 0) AS clean, b.top_text FROM clips c LEFT JOIN best b USING (clip_id)),
+marks AS (SELECT clip_id, sum(contains(norm_text, 'the')::INT) AS k0, sum(contains(norm_text, 'que')::INT) AS k1 FROM obs GROUP BY clip_id),
+decided AS (SELECT v.*, CASE WHEN clean < 3 THEN 'unusable' WHEN top_votes = 3 THEN 'all_equal' WHEN top_votes < 2 THEN 'no_majority'
+  WHEN (k0 > 0 AND k0 < 3) OR (k1 > 0 AND k1 < 3) THEN 'keyword_split' ELSE 'majority' END AS reason FROM votes v JOIN marks USING (clip_id)),
+labels3 AS (SELECT *, reason IN ('all_equal', 'majority') AS mask, CASE reason WHEN 'all_equal' THEN 'three' WHEN 'majority' THEN 'two' ELSE 'uncertain' END AS tier FROM decided)"""
+
+
+@query(f"{VOTES} SELECT lang, tier, reason, count(*) AS clips FROM labels3 GROUP BY ALL")
+def a1_consensus_by_lang(spark, d):
+    got = C.strict_quorum(observations(spark, d), KEYWORDS)
+    return got.join(clips(spark, d).select("clip_id", "lang"), "clip_id").groupBy("lang", "tier", "reason").agg(F.count("*").alias("clips"))
+
+
+@query(f"{VOTES} SELECT clip_id, mask, CASE WHEN mask THEN top_text END AS full_text, CASE reason WHEN 'all_equal' THEN 1.0 WHEN 'majority' THEN 0.5 ELSE 0.0 END::DOUBLE AS weight, reason FROM labels3")
+def a1_strict_quorum(spark, d):
+    return C.strict_quorum(observations(spark, d), KEYWORDS).select("clip_id", "mask", "full_text", "weight", "reason")
+
+
+@query(f"""{VOTES}, i AS (SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS intent, CASE WHEN clip_id % 4 = 0 THEN substr(spoken, 1, 20) ELSE spoken END AS want, clip_id % 19 <> 0 AS gen, frames < 100 AS flag FROM clips)
+SELECT clip_id, CASE WHEN NOT gen THEN 'generation_failed' WHEN flag THEN 'audio_flag' WHEN top_votes < 2 THEN 'no_quorum' WHEN intent = 'positive' AND top_text IS DISTINCT FROM want THEN 'positive_unconfirmed'
+ WHEN intent = 'negative' AND regexp_matches(top_text, 't.*h.*e') THEN 'negative_has_path' ELSE 'accepted' END AS reason FROM votes JOIN i USING (clip_id)""")
+def a2_intent_quorum(spark, d):
+    c = clips(spark, d)
+    intents = c.select("clip_id", F.when(F.col("clip_id") % 3 == 0, "positive").otherwise("negative").alias("intent"), F.when(F.col("clip_id") % 4 == 0, F.substring("spoken", 1, 20)).otherwise(F.col("spoken")).alias("intended_text"), (F.col("clip_id") % 19 != 0).alias("generated"), (F.col("frames") < 100).alias("flagged"))
+    return C.intent_quorum(observations(spark, d), intents, T.contains_in_order(F.col("top_text"), "the")).select("clip_id", "reason")
+
+
+@query(f"""WITH {OBS} SELECT clip_id, count(norm_text) AS seen, sum((usable AND norm_text = spoken)::INT)::BIGINT AS hits,
+CASE WHEN count(norm_text) < 3 THEN 'hold' WHEN sum((usable AND norm_text = spoken)::INT) = 3 THEN 'match' WHEN sum((usable AND norm_text = spoken)::INT) = 2 THEN 'review' ELSE 'mismatch' END AS state
+FROM obs WHERE NOT (clip_id % 11 = 0 AND model = 2) GROUP BY clip_id""")
+def a3_exact_screen(spark, d):
+    obs = observations(spark, d).where(~((F.col("clip_id") % 11 == 0) & (F.col("model") == 2)))
+    return C.exact_screen(obs, clips(spark, d).select("clip_id", F.col("spoken").alias("target"))).select("clip_id", "seen", "hits", "state")
+
+
+@query(f"""WITH {OBS}, p AS (SELECT clip_id, any_value(spoken) AS s, count(DISTINCT norm_text) AS k, min(norm_text) AS lo FROM obs GROUP BY clip_id)
+SELECT CASE WHEN k = 1 AND lo = s THEN 'match_request' WHEN k = 1 THEN 'agree_other' WHEN k < 3 THEN 'two_agree' ELSE 'all_differ' END AS agreement, count(*) AS n FROM p GROUP BY 1""")
+def a4_agreement_class(spark, d):
+    return C.agreement_class(observations(spark, d), clips(spark, d).select("clip_id", F.col("spoken").alias("target"))).groupBy("agreement").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {OBS}, w AS (SELECT clip_id, any_value(spoken) AS s, max(norm_text) FILTER (WHERE model = 0) AS a, max(norm_text) FILTER (WHERE model = 1) AS b, bool_and(usable) FILTER (WHERE model < 2) AS ok FROM obs GROUP BY clip_id)
+SELECT clip_id, CASE WHEN NOT ok THEN 'unresolved' WHEN a = b AND a = s THEN 'match' WHEN a = b THEN 'agree_mismatch' ELSE 'dispute' END AS state FROM w""")
+def a5_two_model_state(spark, d):
+    return C.two_model_state(observations(spark, d), clips(spark, d).select("clip_id", F.col("spoken").alias("target")), (0, 1)).select("clip_id", "state")
+
+
+@query(f"""{VOTES}, h AS (SELECT clip_id, keyword, sum((usable AND contains(norm_text, keyword))::INT)::BIGINT AS hits FROM obs, (VALUES ('the'), ('que')) k(keyword) GROUP BY ALL)
+SELECT keyword, CASE WHEN mask THEN CASE WHEN contains(top_text, keyword) THEN 'present' ELSE 'absent' END WHEN hits = 3 THEN 'present' ELSE 'unknown' END AS status, count(*) AS n, sum(hits)::BIGINT AS hits FROM h JOIN labels3 USING (clip_id) GROUP BY ALL""")
+def a6_keyword_presence(spark, d):
+    obs = observations(spark, d)
+    words = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+    got = C.keyword_presence(obs, C.strict_quorum(obs, KEYWORDS), words)
+    return got.groupBy("keyword", "status").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"))
+
+
+@query(f"""WITH {OBS}, pat(class, pattern, om) AS (VALUES (1, 'the.*', false), (1, 'th.* o.*', true), (2, '.*que.*', false), (2, 'a.*', true)),
+v AS (SELECT clip_id, any_value(spoken) AS ph, sum((usable AND norm_text LIKE '%zz%')::INT) AS rivals FROM obs GROUP BY clip_id),
+m AS (SELECT clip_id, count(*) AS matches, min(class) AS class, bool_or(om) AS om FROM v JOIN pat ON regexp_full_match(ph, pattern) GROUP BY clip_id),
+al AS (SELECT clip_id, count(*) AS votes FROM obs WHERE usable AND norm_text = spoken GROUP BY clip_id)
+SELECT CASE WHEN rivals > 0 THEN 'competing_word' WHEN matches IS NULL THEN 'no_pattern' WHEN matches > 1 THEN 'ambiguous_pattern' WHEN om AND coalesce(votes, 0) < 3 THEN 'onset_needs_three' WHEN coalesce(votes, 0) < 2 THEN 'too_few_votes' ELSE 'admitted' END AS reason, count(*) AS n
+FROM v LEFT JOIN m USING (clip_id) LEFT JOIN al USING (clip_id) GROUP BY 1""")
+def a7_blind_admission(spark, d):
+    obs = observations(spark, d)
+    patterns = spark.createDataFrame([(1, "the.*", False), (1, "th.* o.*", True), (2, ".*que.*", False), (2, "a.*", True)], "class int, pattern string, onset_missing boolean")
+    # here every spoken text is its own alias, under either class
+    votes = obs.withColumn("norm_text", F.when(F.col("norm_text") == F.col("spoken"), "alias").otherwise(F.concat(F.lit("x"), "norm_text"))).withColumn("phones", F.col("spoken"))
+    aliases = spark.createDataFrame([(1, "alias"), (2, "alias")], "class int, alias string")
+    return C.blind_admission(votes, patterns, aliases, "zz").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS has FROM lineitem GROUP BY 1), r AS (SELECT l.l_orderkey, l_shipdate < TIMESTAMP '1996-01-01' AS early, has FROM lineitem l JOIN g USING (l_orderkey))
+SELECT CASE WHEN early THEN 'train' ELSE 'dev' END AS role, CASE WHEN has = ['A', 'N', 'R'] THEN 'kept' ELSE 'group_incomplete' END AS reason, count(*) AS n FROM r GROUP BY ALL""")
+def a8_balanced_groups(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_returnflag").alias("label"), F.when(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp"), "train").otherwise("dev").alias("role"))
+    return C.balanced_groups(rows, ["A", "N", "R"]).groupBy("role", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT lang, quality, count(*) AS rows, count(DISTINCT source) AS families, count(*) >= 20 AND count(DISTINCT source) >= 10 AS enough FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality
+UNION ALL SELECT 'xx', 1, 0, 0, false""")
+def a9_minimum_counts(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    cells = [(lang, q, 20, 10) for lang in ("en", "de", "fr", "es") for q in (0, 1)] + [("xx", 1, 20, 10)]
+    want = spark.createDataFrame(cells, "lang string, quality int, min_rows int, min_families int")
+    got = C.minimum_counts(rows, want, ["lang", "quality"], "source")
+    return got.select("lang", "quality", "rows", "families", "enough")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, count_if(o_totalprice > 200000) AS large FROM orders GROUP BY ALL")
+def a10_status_counts(spark, d):
+    return C.status_counts(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], {"large": F.col("o_totalprice") > 200000})
+
+
+@query("""SELECT event_type, CASE WHEN grouping(user_id) = 0 THEN 'user_id' WHEN grouping(k) = 0 THEN 'k' ELSE 'all' END AS "by", user_id, k, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT *, event_id % 4 AS k FROM events) GROUP BY GROUPING SETS ((event_type), (event_type, user_id), (event_type, k))""")
+def a11_event_rollup(spark, d):
+    rows = table(spark, d, "events").withColumn("k", F.col("event_id") % 4)
+    return M.event_rollup(rows, ["event_type"], ["user_id", "k"], {"n": F.count("*"), "total": F.round(F.sum("value"), 4)})
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT case_id, best, count(*) AS events, max(p) AS p FROM hops GROUP BY ALL)
+SELECT best, count(*) AS cases, count_if(p >= 0.9) AS hits, count_if(p < 0.9) AS misses, count_if(events > 20) AS wrong, sum(greatest(events - 1, 0))::BIGINT AS extra FROM c GROUP BY best""")
+def a12_outcome_counts(spark, d):
+    per = hops(spark, d).groupBy("case_id", "best").agg(F.count("*").alias("events"), F.max("p").alias("p"))
+    return M.outcome_counts(per, ["best"], F.col("p") >= 0.9, F.col("events") > 20, "events")
+
+
+@query(f"""{VOTES}, h AS (SELECT v.*, CASE WHEN NOT mask THEN 'unknown' WHEN contains(top_text, 'the') THEN 'positive' ELSE 'negative' END AS state, CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'unknown' END AS human FROM labels3 v LEFT JOIN labels l ON v.clip_id = l.doc_id),
+c AS (SELECT lang, count_if(human = 'positive' AND state = 'positive') AS tp, count_if(human = 'positive' AND state = 'negative') AS fn, count_if(human = 'negative' AND state = 'negative') AS tn, count_if(human = 'negative' AND state = 'positive') AS fp, count_if(human = 'positive' AND state = 'unknown') AS unknown_pos, count_if(human = 'negative' AND state = 'unknown') AS unknown_neg FROM h GROUP BY lang)
+SELECT lang, tp, fn, tn, fp, unknown_pos, unknown_neg, round(tp / nullif(tp + fn, 0), 6) AS recall, round((tp + fn + tn + fp) / nullif(tp + fn + tn + fp + unknown_pos + unknown_neg, 0), 6) AS coverage FROM c""")
+def a13_known_confusion(spark, d):
+    got = M.known_confusion(_human(spark, d), ["lang"], "state", "human", "clip_id")
+    return got.select("lang", "tp", "fn", "tn", "fp", "unknown_pos", "unknown_neg", F.round("recall", 6).alias("recall"), F.round("coverage", 6).alias("coverage"))
+
+
+def _human(spark, d) -> DataFrame:
+    votes = C.strict_quorum(observations(spark, d), KEYWORDS).join(clips(spark, d).select("clip_id", "lang"), "clip_id")
+    gold = table(spark, d, "labels").select(F.col("doc_id").alias("clip_id"), "quality")
+    state = F.when(~F.col("mask"), "unknown").when(F.contains("full_text", F.lit("the")), "positive").otherwise("negative")
+    human = F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").otherwise("unknown")
+    return votes.join(gold, "clip_id", "left").withColumns({"state": state, "human": human})
+
+
+@query(f"""WITH {OBS}, s AS (SELECT clip_id, lang, max(CASE WHEN NOT usable THEN 'unknown' WHEN contains(norm_text, 'the') THEN 'positive' ELSE 'negative' END) FILTER (WHERE model = 0) AS a, max(CASE WHEN NOT usable THEN 'unknown' WHEN contains(norm_text, 'an') THEN 'positive' ELSE 'negative' END) FILTER (WHERE model = 1) AS b FROM obs GROUP BY ALL),
+h AS (SELECT s.*, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS human FROM s JOIN labels ON clip_id = doc_id WHERE quality IN (0, 1))
+SELECT lang, count_if(a <> 'unknown' AND b <> 'unknown') AS both_known, count_if(a <> 'unknown' AND b <> 'unknown' AND a <> human AND b <> human) AS both_wrong, count_if(a <> 'unknown' AND b <> 'unknown' AND a <> b) AS disagree, count_if((a <> 'unknown') <> (b <> 'unknown')) AS one_unknown, count_if(a = 'unknown' AND b = 'unknown') AS both_unknown FROM h GROUP BY lang""")
+def a14_paired_known(spark, d):
+    obs = observations(spark, d)
+    state = lambda m, w: F.max(F.when(F.col("model") == m, F.when(~F.col("usable"), "unknown").when(F.contains("norm_text", F.lit(w)), "positive").otherwise("negative")))
+    both = obs.groupBy("clip_id", "lang").agg(state(0, "the").alias("a"), state(1, "an").alias("b"))
+    gold = table(spark, d, "labels").select(F.col("doc_id").alias("clip_id"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("human"))
+    return M.paired_known(both.join(gold, "clip_id"), ["lang"], "a", "b", "human")
+
+
+@query("""WITH p AS (SELECT l_shipmode AS m, l_returnflag AS c, 1 - avg((l_quantity >= 10)::INT::DOUBLE) AS miss, sum((l_discount > 0.05)::INT) AS f FROM (SELECT *, l_suppkey % 5 AS l_shipmode FROM lineitem) GROUP BY ALL),
+q AS (SELECT m, sum(f)::BIGINT AS false_events, max(miss) AS a, avg(miss) AS b FROM p GROUP BY m) SELECT m AS model, false_events, round(a, 6) AS max_miss, round(b, 6) AS mean_miss, row_number() OVER (ORDER BY false_events, a, b, m) AS place FROM q""")
+def a15_miss_key(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("model", F.col("l_suppkey") % 5).withColumn("f", (F.col("l_discount") > 0.05).cast("int"))
+    got = M.miss_key(rows, "model", "l_returnflag", F.col("l_quantity") >= 10, "f")
+    return got.select("model", "false_events", F.round("max_miss", 6).alias("max_miss"), F.round("mean_miss", 6).alias("mean_miss"), "place")
+
+
+@query("""SELECT l_suppkey % 5 AS model, l_returnflag AS word, round(sum((l_discount > 0.05)::INT) / sum(l_quantity), 6) AS far_per_hour, round(sum((l_tax > 0.04)::INT) / count(*), 6) AS frr FROM lineitem GROUP BY ALL""")
+def a16_far_frr(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("model"), F.col("l_returnflag").alias("word"), (F.col("l_discount") > 0.05).cast("int").alias("fa"), "l_quantity", (F.col("l_tax") > 0.04).cast("int").alias("miss"), F.lit(1).alias("one"))
+    got = M.far_frr(rows, "model", "word", "fa", "l_quantity", "miss", "one")
+    return got.select("model", "word", F.round("far_per_hour", 6).alias("far_per_hour"), F.round("frr", 6).alias("frr"))
+
+
+@query("""SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS "max", round(sum(value) / sum(user_id + 1), 6) AS rtf FROM events GROUP BY event_type""")
+def a17_latency_summary(spark, d):
+    got = M.latency_summary(table(spark, d, "events").withColumn("audio", F.col("user_id") + 1), ["event_type"], "value", "audio")
+    return got.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "max", F.round("rtf", 6).alias("rtf"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS a FROM embeddings), e AS (SELECT abs(a - round(a, 3)) AS e, a FROM x)
+SELECT count(*) AS elements, count_if(e > 0.0004 + 0.0001 * abs(a)) AS violations, round(max(e), 9) AS max_error FROM e""")
+def a18_numeric_parity(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = rows.select("vec_id", F.transform("v", lambda x: F.round(x, 3)).alias("v"))
+    return M.numeric_parity(rows, other, ["vec_id"], "v", 0.0004, 0.0001).select("elements", "violations", F.round("max_error", 9).alias("max_error"))
+
+
+@query(f"""WITH {SPANS}, o AS (SELECT *, max("end") OVER (PARTITION BY parent ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
+i AS (SELECT *, sum((reach IS NULL OR start > reach)::INT) OVER (PARTITION BY parent ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM o), u AS (SELECT parent, g, max("end") - min(start) AS n FROM i GROUP BY ALL),
+t AS (SELECT parent, sum(n)::BIGINT AS d FROM u GROUP BY parent), r AS (SELECT parent, sum("end" - start)::BIGINT AS p FROM spans GROUP BY parent)
+SELECT parent, p AS processed, d AS "distinct", p - d AS overlap FROM t JOIN r USING (parent)""")
+def a19_coverage_totals(spark, d):
+    return I.coverage_totals(spans(spark, d), ["parent"], "start", "end")
+
+
+@query("SELECT sha256(text) AS pcm_sha256, count(*) AS members, min(doc_id) AS first, max(doc_id) AS last, count(DISTINCT source) AS owners FROM documents GROUP BY 1 HAVING count(*) > 1")
+def a20_identity_groups(spark, d):
+    return M.identity_groups(clips(spark, d), "pcm_sha256", "clip_id", "family")
+
+
+@query("SELECT sha256(text) AS pcm_sha256, count(DISTINCT source) AS owners FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def a21_cross_owner_audio(spark, d):
+    return M.identity_groups(clips(spark, d), "pcm_sha256", "clip_id", "family").where("owners > 1").select("pcm_sha256", "owners")
+
+
+@query("SELECT p_brand, round(quantile_cont(p_retailprice, 0.5), 6) AS median, min(p_retailprice) AS least, max(p_retailprice) AS greatest, count_if(p_retailprice > 1000) AS flagged FROM part GROUP BY p_brand")
+def a22_ratio_summary(spark, d):
+    return M.ratio_summary(table(spark, d, "part"), ["p_brand"], "p_retailprice", 1000.0).withColumn("median", F.round("median", 6))
+
+
+@query(f"WITH {OBS} SELECT lang, count(DISTINCT clip_id) AS cases, count_if(model = 0 AND norm_text = spoken) AS hits_0, count_if(model = 2 AND norm_text = spoken) AS hits_2, count_if(model = 0 AND norm_text = spoken) - count_if(model = 2 AND norm_text = spoken) AS net_new_misses FROM obs GROUP BY lang")
+def a23_hits_by_condition(spark, d):
+    return M.hits_by_condition(observations(spark, d), "lang", "model", [0, 2], F.col("norm_text") == F.col("spoken"), "clip_id")
+
+
+@query(f"""WITH {HOPS}, e AS (SELECT case_id, min(sample) FILTER (WHERE p >= 0.9 AND best = 1) AS old, min(sample) FILTER (WHERE p >= 0.8 AND best = 2) AS new FROM hops GROUP BY case_id)
+SELECT CASE WHEN old IS NULL AND new IS NULL THEN 'neither' WHEN old IS NULL THEN 'rescued' WHEN new IS NULL THEN 'regressed' ELSE 'matched' END AS kind, new - old AS shift, count(*) AS n FROM e GROUP BY ALL""")
+def a24_shift_histogram(spark, d):
+    first = lambda k, p: F.min(F.when((F.col("p") >= p) & (F.col("best") == k), F.col("sample")))
+    return M.shift_histogram(hops(spark, d).groupBy("case_id").agg(first(1, 0.9).alias("old"), first(2, 0.8).alias("new")), "old", "new")
+
+
+@query("""SELECT o_orderpriority, count(*) AS attempts, count_if(o_orderstatus = 'F') AS "F", count_if(o_orderstatus = 'O') AS "O", count_if(o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+def a25_ledger_counts(spark, d):
+    return M.ledger_counts(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"])
+
+
+@query("""WITH s AS (SELECT lang, n_chars AS x, quality = 1 AS pos FROM documents JOIN labels USING (doc_id)), r AS (SELECT a.lang, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS w FROM s a JOIN s b ON a.lang = b.lang AND a.pos AND NOT b.pos GROUP BY 1),
+c AS (SELECT lang, count_if(pos) AS positives, count_if(NOT pos) AS negatives, min(x) FILTER (WHERE pos) > max(x) FILTER (WHERE NOT pos) AS separated FROM s GROUP BY lang)
+SELECT lang, positives, negatives, separated, round((w / (positives * negatives))::DOUBLE, 6) AS fraction FROM c JOIN r USING (lang)""")
+def a26_rank_fraction(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return M.rank_fraction(rows, ["lang"], "n_chars", F.col("quality") == 1).withColumn("fraction", F.round("fraction", 6))
+
+
+@query("""WITH c AS (SELECT doc_id, sha256(text) AS h, source <> 'src3' AS ok FROM documents), n AS (SELECT h, count(*) AS n FROM c GROUP BY h) SELECT doc_id AS clip_id, ok AS was_eligible, ok AND n = 1 AS eligible, CASE WHEN n > 1 THEN n ELSE 0 END AS duplicates FROM c JOIN n USING (h)""")
+def a27_demote_duplicates(spark, d):
+    rows = clips(spark, d).withColumn("eligible", F.col("family") != "src3")
+    return C.demote_duplicates(rows, "pcm_sha256").select("clip_id", "was_eligible", "eligible", "duplicates")
+
+
+@query(f"""WITH {HOPS} SELECT case_id, count(*) AS frames, count_if(best = 0) AS token_0, count_if(best = 1) AS token_1, count_if(best = 2) AS token_2 FROM hops GROUP BY case_id""")
+def a28_token_histogram(spark, d):
+    v = with_vectors(hops(spark, d))
+    return M.token_histogram(v, ["case_id"], F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1, [0, 1, 2])
+
+
+@query("""WITH p AS (SELECT p_type AS mode, ascii(p_type) * 1000 + length(p_type) AS ord, count(DISTINCT CASE WHEN p_size > 48 THEN p_brand END) AS balanced FROM part GROUP BY ALL), b AS (SELECT arg_min(mode, ord) AS m FROM p WHERE balanced >= 3)
+SELECT mode, balanced, coalesce(mode = m, false) AS chosen FROM p, b""")
+def a29_first_passing(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_type").alias("mode"), (F.ascii("p_type") * 1000 + F.length("p_type")).alias("ord"), (F.col("p_size") > 48).alias("ok"), F.col("p_brand").alias("voice"))
+    return C.first_passing(rows, "mode", "ord", "ok", "voice").select("mode", "balanced", "chosen")
+
+
+@query(f"""WITH {HOPS}, k AS (SELECT case_id, best, p, (1 - p) / 2 AS r FROM hops) SELECT case_id, round(avg(p * (ln(p) - ln(1.0/3)) + 2 * (r * (ln(r) - ln(1.0/3)))), 6) AS kl FROM k GROUP BY case_id""")
+def a30_kl_divergence(spark, d):
+    third = F.array(*[F.lit(1.0 / 3)] * 3)
+    rows = with_vectors(hops(spark, d))
+    return rows.groupBy("case_id").agg(F.round(F.avg(M.kl_divergence(F.col("probabilities"), third)), 6).alias("kl"))
+
+
+@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS spent, o_totalprice <= 400000 AND round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) <= 1000000 AS within FROM orders""")
+def a31_running_budget(spark, d):
+    got = M.running_budget(table(spark, d, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 400000, 1000000)
+    return got.select("o_orderkey", F.round("spent", 2).alias("spent"), "within")
+
+
+# --- validation -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END, CASE WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'source' END) AS reasons FROM documents""")
+def v1_rule_reasons(spark, d):
+    rules = [(F.col("n_chars") >= 200, "short"), (F.col("lang").isin("en", "de"), "language"), (F.col("source").rlike("^src[0-9]$"), "source")]
+    return V.rule_reasons(table(spark, d, "documents"), rules).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def v2_duplicate_keys(spark, d):
+    return V.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT coalesce(doc_id, k) AS doc_id, CASE WHEN k IS NULL THEN 'left' ELSE 'right' END AS side FROM documents FULL JOIN (SELECT doc_id + 5 AS k FROM labels) ON doc_id = k WHERE doc_id IS NULL OR k IS NULL")
+def v3_roster_difference(spark, d):
+    return V.roster_difference(table(spark, d, "documents"), table(spark, d, "labels").select((F.col("doc_id") + 5).alias("doc_id")), ["doc_id"])
+
+
+@query("""SELECT o.o_orderkey, CASE WHEN o_orderstatus <> s AND o_custkey <> c THEN 'o_orderstatus,o_custkey' WHEN o_orderstatus <> s THEN 'o_orderstatus' ELSE 'o_custkey' END AS fields
+FROM orders o JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey END AS c FROM orders) n USING (o_orderkey) WHERE o_orderstatus <> s OR o_custkey <> c""")
+def v4_disagreements(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    n = o.withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")), "o_custkey": F.when(F.col("o_orderkey") % 11 == 0, F.lit(-1)).otherwise(F.col("o_custkey"))})
+    return V.disagreements(o, n, ["o_orderkey"], ["o_orderstatus", "o_custkey"]).withColumn("fields", F.array_join("fields", ","))
+
+
+@query("SELECT p_name, count(DISTINCT (p_brand, p_type)) AS tuples FROM part GROUP BY p_name HAVING count(DISTINCT (p_brand, p_type)) > 1")
+def v5_broken_dependency(spark, d):
+    return V.broken_dependency(table(spark, d, "part"), ["p_name"], ["p_brand", "p_type"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3)")
+def v6_orphans(spark, d):
+    known = table(spark, d, "customer").where(F.col("c_custkey") % 10 != 3).select(F.col("c_custkey").alias("o_custkey"))
+    return V.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), known, ["o_custkey"])
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS rows, count(DISTINCT l_linenumber) AS cells, count_if(l_linenumber > 3) AS extra, 3 - count(DISTINCT CASE WHEN l_linenumber <= 3 THEN l_linenumber END) AS missing FROM lineitem GROUP BY 1)
+SELECT * FROM g WHERE missing > 0 OR extra > 0 OR rows <> cells""")
+def v7_incomplete_groups(spark, d):
+    return V.incomplete_groups(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", [1, 2, 3]).withColumn("missing", F.size("missing").cast("long"))
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT case_id, CASE WHEN event_id % 97 = 0 THEN sample + 1280 WHEN event_id % 101 = 0 THEN sample + 640 ELSE sample END AS sample FROM hops),
+l AS (SELECT *, sample - lag(sample) OVER (PARTITION BY case_id ORDER BY sample) AS step FROM c)
+SELECT fault, count(*) AS n FROM (SELECT CASE WHEN step IS NULL AND sample <> 1280 THEN 'start' WHEN step = 0 THEN 'repeat' WHEN step <> 1280 THEN 'gap' END AS fault FROM l) WHERE fault IS NOT NULL GROUP BY fault""")
+def v8_clock_faults(spark, d):
+    bent = F.when(F.col("event_id") % 97 == 0, F.col("sample") + 1280).when(F.col("event_id") % 101 == 0, F.col("sample") + 640).otherwise(F.col("sample"))
+    return V.clock_faults(hops(spark, d).withColumn("sample", bent), "case_id", "sample", 1280, 1280).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 13 = 0")
+def v9_not_probabilities(spark, d):
+    h = with_vectors(hops(spark, d))
+    bent = h.withColumn("probabilities", F.when(F.col("event_id") % 13 == 0, F.transform("probabilities", lambda x: x * 1.1)).otherwise(F.col("probabilities")))
+    return V.not_probabilities(bent, "probabilities").select("event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2') AND lang <> 'es'")
+def v10_allowed(spark, d):
+    denied = spark.createDataFrame([("source", "src1"), ("source", "src2"), ("lang", "es")], "kind string, value string")
+    return V.allowed(table(spark, d, "documents"), denied, ["source", "lang"]).select("doc_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'removed' ELSE 'changed' END AS state FROM part WHERE p_partkey % 17 = 0 OR p_partkey % 19 = 0")
+def v11_changed_rows(spark, d):
+    old = table(spark, d, "part")
+    new = old.where(F.col("p_partkey") % 17 != 0).withColumn("p_size", F.when(F.col("p_partkey") % 19 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return V.changed_rows(old, new, ["p_partkey"])
+
+
+@query("SELECT CASE WHEN s % 9 = 0 THEN 'removed' WHEN s % 7 = 0 THEN 'changed' ELSE 'kept' END AS state, count(*) AS n FROM (SELECT s_suppkey AS s FROM supplier) GROUP BY 1 UNION ALL SELECT 'added', count(*) FROM supplier WHERE s_suppkey % 9 = 0")
+def v12_inventory_diff(spark, d):
+    old = table(spark, d, "supplier").select("s_suppkey", F.sha2("s_name", 256).alias("h"))
+    new = old.where(F.col("s_suppkey") % 9 != 0).withColumn("h", F.when(F.col("s_suppkey") % 7 == 0, F.lit("x")).otherwise(F.col("h")))
+    new = new.unionByName(old.where(F.col("s_suppkey") % 9 == 0).withColumn("s_suppkey", F.col("s_suppkey") + 10_000_000))
+    return V.inventory_diff(old, new, ["s_suppkey"], "h").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(doc_id) FILTER (WHERE lang = 'de') AS de, min(doc_id) FILTER (WHERE source = 'src17') AS src17, min(doc_id) FILTER (WHERE n_chars > 9000) AS big, greatest(min(doc_id) FILTER (WHERE lang = 'de'), min(doc_id) FILTER (WHERE source = 'src17'), min(doc_id) FILTER (WHERE n_chars > 9000)) AS prefix FROM documents")
+def v13_covering_prefix(spark, d):
+    return V.covering_prefix(table(spark, d, "documents"), "doc_id", {"de": F.col("lang") == "de", "src17": F.col("source") == "src17", "big": F.col("n_chars") > 9000})
+
+
+@query("SELECT doc_id, CASE WHEN toxic <> 0 THEN 'claims_toxic' ELSE '' END AS reasons FROM labels")
+def v14_promotion_guard(spark, d):
+    rows = table(spark, d, "labels").withColumn("toxic", F.col("toxic") != 0)
+    return V.rule_reasons(rows, V.stay_false(["toxic"])).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+# --- joins ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+def j1_review_join(spark, d):
+    return J.checked_join(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"])
+
+
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 'missing_right' ELSE 'paired' END AS fault, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def j2_split_coverage(spark, d):
+    got = J.covered_one_to_one(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
+    return got.groupBy(F.coalesce("fault", F.lit("paired")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, r_name, count(*) AS n, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def j3_three_way(spark, d):
+    s = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    got = J.checked_join(J.checked_join(s, table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), ["n_nationkey"]), table(spark, d, "region"), ["r_regionkey"])
+    return got.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+
+
+@query(f"WITH {OBS} SELECT clip_id, max(norm_text) FILTER (WHERE model = 0) AS text_0, max(norm_text) FILTER (WHERE model = 1) AS text_1, max(norm_text) FILTER (WHERE model = 2) AS text_2 FROM obs GROUP BY clip_id")
+def j4_by_model(spark, d):
+    return J.by_model(clips(spark, d).select("clip_id"), observations(spark, d), [0, 1, 2])
+
+
+@query("SELECT d.doc_id, b.text AS reference_text, CASE WHEN b.item_id IS NULL THEN 'unknown' ELSE 'known' END AS text_status FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id * 3")
+def j5_attach_text(spark, d):
+    texts = table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id"), F.col("text").alias("reference_text"))
+    return J.attach_text(table(spark, d, "documents").select("doc_id"), texts, ["doc_id"])
+
+
+@query("SELECT c_custkey, p AS o_orderpriority, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' ELSE 'seen' END AS status FROM customer CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) LEFT JOIN (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) o ON c_custkey = o_custkey AND p = o_orderpriority")
+def j6_keep_missing(spark, d):
+    o = table(spark, d, "orders")
+    per = o.groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").agg(F.count("*").alias("n"), F.lit("seen").alias("status"))
+    got = J.keep_missing(table(spark, d, "customer"), o.select("o_orderpriority").distinct(), per, "c_custkey", "o_orderpriority")
+    return got.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j7_unused(spark, d):
+    return J.unused(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_discount >= 0.02))")
+def j8_qualified_groups(spark, d):
+    return J.in_qualified_groups(table(spark, d, "lineitem"), "l_orderkey", F.bool_and(F.col("l_discount") >= 0.02)).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT a.p_brand, a.p_size AS left_size, b.p_size AS right_size, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size = a.p_size + 7 WHERE a.p_size <= 5 GROUP BY ALL")
+def j9_variant_pairs(spark, d):
+    contrasts = spark.createDataFrame([(i, i + 7) for i in range(1, 6)], "left_variant int, right_variant int")
+    got = J.variant_pairs(table(spark, d, "part"), "p_brand", "p_size", contrasts, ["p_partkey"])
+    return got.groupBy("p_brand", F.col("left_variant").alias("left_size"), F.col("right_variant").alias("right_size")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HOPS}, w AS (SELECT l_suppkey AS case_id, l_linenumber * 1280 AS a, l_linenumber * 1280 + l_quantity::BIGINT * 128 AS b, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey < 60)
+SELECT l_orderkey, l_linenumber, case_id, count(*) AS hops, max(p) AS peak FROM w JOIN hops USING (case_id) WHERE a < sample AND sample <= b GROUP BY ALL""")
+def j11_range_join(spark, d):
+    w = table(spark, d, "lineitem").where("l_suppkey < 60").select(F.col("l_suppkey").alias("case_id"), (F.col("l_linenumber") * 1280).cast("long").alias("a"), (F.col("l_linenumber") * 1280 + F.col("l_quantity").cast("long") * 128).alias("b"), "l_orderkey", "l_linenumber")
+    got = J.range_join(hops(spark, d), w, "case_id", "sample", "a", "b", width=12_800)
+    return got.groupBy("l_orderkey", "l_linenumber", "case_id").agg(F.count("*").alias("hops"), F.max("p").alias("peak"))
+
+
+@query(f"""WITH {SPANS} SELECT i.l_orderkey, i.l_linenumber, count(*) AS outers FROM spans i JOIN (SELECT * FROM spans WHERE "end" - start >= 49) o ON i.parent = o.parent AND o.start <= i.start AND i."end" <= o."end" AND i."end" - i.start < 20 GROUP BY ALL""")
+def j12_contained(spark, d):
+    s = spans(spark, d)
+    outer = s.where(F.col("end") - F.col("start") >= 49).select("parent", F.col("start").alias("os"), F.col("end").alias("oe"))
+    got = J.contained(s.where(F.col("end") - F.col("start") < 20), outer, "parent", "start", "end", "os", "oe")
+    return got.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("outers"))
+
+
+@query("SELECT a.conv_id, a.turn, a.role, length(b.text) AS first_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 0 WHERE a.turn > 0")
+def j13_parent_child(spark, d):
+    c = table(spark, d, "conversations")
+    first = c.where("turn = 0").groupBy("conv_id").agg(F.first(F.length("text").cast("long")).alias("first_chars"))
+    return J.checked_join(c.where("turn > 0").select("conv_id", "turn", "role"), first, ["conv_id"])
+
+
+@query("""WITH pool AS (SELECT n_regionkey AS role, n_nationkey AS item, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r, count(*) OVER (PARTITION BY n_regionkey) AS size FROM nation),
+h AS (SELECT doc_id, (doc_id % 5)::INT AS role, ('0x' || substr(sha256('noise|' || doc_id), 1, 16))::UBIGINT AS h FROM documents) SELECT doc_id, item FROM h JOIN pool USING (role) WHERE r = h % size""")
+def j14_assign_by_hash(spark, d):
+    pool = table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("role"), F.col("n_nationkey").alias("item"))
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("role"))
+    return J.assign_by_hash(rows, pool, "doc_id", "role", "item", "noise").select("doc_id", "item")
+
+
+@query("SELECT c_custkey, n_name, r AS repetition FROM customer CROSS JOIN (SELECT n_name FROM nation WHERE n_regionkey = 1) CROSS JOIN (VALUES (0), (1)) v(r)")
+def j15_request_grid(spark, d):
+    return J.request_grid([table(spark, d, "customer").select("c_custkey"), table(spark, d, "nation").where("n_regionkey = 1").select("n_name")], 2)
+
+
+@query(f"""WITH {CLIPS}, t AS (SELECT clip_id, unnest(string_split(spoken, ' ')) AS token FROM clips) SELECT token IN ('the', 'of', 'and', 'que', 'der') AS known, count(*) AS n, count(DISTINCT clip_id) AS clips FROM t GROUP BY 1""")
+def j16_lexicon_lookup(spark, d):
+    lex = spark.createDataFrame([(t, [t]) for t in ("the", "of", "and", "que", "der")], "token string, readings array<string>")
+    got = J.lexicon_lookup(clips(spark, d), lex, "clip_id", F.split("spoken", " "))
+    return got.groupBy((~F.col("oov")).alias("known")).agg(F.count("*").alias("n"), F.count_distinct("clip_id").alias("clips"))
+
+
+@query(f"""WITH {HOPS}, s AS (SELECT user_id AS case_id, k, k * 12800 AS a, k * 12800 + 6400 AS b FROM (SELECT DISTINCT user_id FROM events), range(6) r(k))
+SELECT event_id, k AS segment FROM hops h LEFT JOIN s ON h.case_id = s.case_id AND a <= sample AND sample < b + 2560""")
+def j17_attribute_points(spark, d):
+    h = hops(spark, d)
+    seg = h.select("case_id").distinct().withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).withColumn("a", F.col("segment") * 12_800).withColumn("b", F.col("a") + 6_400)
+    return J.attribute_points(h.select("event_id", "case_id", "sample"), seg, "case_id", "sample", "segment", "a", "b", 2_560).select("event_id", "segment")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'undecided' WHEN o_orderkey % 5 = 0 THEN 'refused' ELSE 'imported' END AS state, count(*) AS n FROM orders GROUP BY 1""")
+def j18_import_decisions(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    dec = o.where(F.col("o_orderkey") % 4 != 0).select("o_orderkey", F.lit("yes").alias("decision"), F.when(F.col("o_orderkey") % 5 == 0, F.lit(-1)).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    return J.import_decisions(o, dec, "o_orderkey", ["o_custkey"]).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HOPS}, r AS (SELECT case_id, count(*) * 1280 AS n FROM hops GROUP BY 1), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r)
+SELECT case_id, (off + sample - 1280)::BIGINT AS global_sample, sample - 1280 AS local_sample, sample = 1280 AS gap FROM hops JOIN o USING (case_id)""")
+def j19_align_stream(spark, d):
+    h = hops(spark, d)
+    roster = h.groupBy("case_id").agg((F.count("*") * 1280).alias("samples"))
+    roster = I.stream_layout(roster.withColumn("all", F.lit(1)), "all", [F.col("case_id")], "samples", 0, 0).select("case_id", F.col("start").alias("offset"), "samples")
+    stream = h.join(roster, "case_id").select((F.col("offset") + F.col("sample") - 1280).alias("global_sample"))
+    return J.align_stream(stream, roster, "case_id", "offset", "samples", "global_sample")
+
+
+# --- intervals, ranks and orders ------------------------------------------------------------------------------------
+
+_MERGED = """o AS (SELECT *, max("end") OVER (PARTITION BY parent ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
+i AS (SELECT *, sum((reach IS NULL OR start {op} reach)::INT) OVER (PARTITION BY parent ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT parent, min(start) AS start, max("end") AS "end", count(*) AS members FROM i GROUP BY parent, g"""
+
+
+@query(f"WITH {SPANS}, " + _MERGED.replace("{op}", ">"))
+def w1_interval_union(spark, d):
+    return I.merge_intervals(spans(spark, d), ["parent"], "start", "end")
+
+
+@query(f"WITH {SPANS}, " + _MERGED.replace("{op}", ">="))
+def w1_strict_union(spark, d):
+    return I.merge_intervals(spans(spark, d), ["parent"], "start", "end", touching=False)
+
+
+@query(f"""WITH {HOPS}, n AS (SELECT case_id, max(sample) AS frames FROM hops GROUP BY 1), spans AS (SELECT h.case_id AS parent, greatest(0, sample - 1600) AS start, least(frames, sample + 1600) AS "end" FROM hops h JOIN n USING (case_id) WHERE p >= 0.9), {_MERGED.replace("{op}", ">=")}""")
+def w2_candidate_windows(spark, d):
+    h = hops(spark, d)
+    seeds = h.where("p >= 0.9").join(h.groupBy("case_id").agg(F.max("sample").alias("frames")), "case_id")
+    got = I.candidate_windows(seeds, "case_id", "sample", F.col("frames"), 1600, 1600)
+    return got.select(F.col("case_id").alias("parent"), "start", "end", "members")
+
+
+@query(f"""WITH {HOPS}, f AS (SELECT *, p >= 0.7 AS ok FROM hops), g AS (SELECT *, sample / 1280 - row_number() OVER (PARTITION BY case_id ORDER BY sample) AS z, row_number() OVER (PARTITION BY case_id, ok ORDER BY sample) - row_number() OVER (PARTITION BY case_id ORDER BY sample) AS isl FROM f),
+r AS (SELECT case_id, ok, isl, count(*) AS n FROM g GROUP BY ALL) SELECT case_id, coalesce(max(n) FILTER (WHERE ok), 0) AS longest, count_if(ok) AS runs FROM r GROUP BY case_id""")
+def w3_longest_run(spark, d):
+    return I.longest_run(hops(spark, d), ["case_id"], "sample", F.col("p") >= 0.7, 1280)
+
+
+@query(f"""WITH {HOPS}, t AS (SELECT case_id, sample, least(p, lag(p, 1) OVER w, lag(p, 2) OVER w) AS low, lag(p, 2) OVER w IS NOT NULL AS whole FROM hops WINDOW w AS (PARTITION BY case_id ORDER BY sample))
+SELECT case_id, max(low) AS best, arg_max(sample, (low, -sample)) AS "at" FROM t WHERE whole GROUP BY case_id""")
+def w4_best_triplet(spark, d):
+    return I.best_triplet(hops(spark, d), ["case_id"], "sample", "p", 1280)
+
+
+@query(f"WITH {HOPS} SELECT case_id, best, max(p) AS peak, arg_max(sample, (p, -sample)) AS \"at\" FROM hops GROUP BY ALL")
+def w5_peak(spark, d):
+    return I.peak(hops(spark, d), ["case_id", "best"], "sample", "p")
+
+
+@query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY abs(n_chars - 1500), sha256(doc_id::VARCHAR)) = 1")
+def w6_top_per_group(spark, d):
+    order = [F.abs(F.col("n_chars") - 1500), F.sha2(F.col("doc_id").cast("string"), 256)]
+    return I.top_per_group(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), ["source", "lang"], order).select("doc_id", "source", "lang")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity) AS k FROM lineitem),
+t AS (SELECT *, row_number() OVER (ORDER BY x DESC, l_orderkey, l_linenumber) AS g FROM r WHERE k <= 2)
+SELECT CASE WHEN r.k > 2 THEN 'EXCLUDED_PER_SOURCE_CAP' WHEN g > 32 THEN 'EXCLUDED_GLOBAL_CAP' ELSE 'SELECTED' END AS state, count(*) AS n, round(sum(r.x), 2) AS total FROM r LEFT JOIN t USING (l_orderkey, l_linenumber, l_suppkey, k) GROUP BY 1""")
+def w7_two_level_cap(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", F.col("l_extendedprice").alias("x"))
+    order = [F.desc("x"), *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")]]
+    got = I.capped(rows, "l_suppkey", order, ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "x"], 2, 32)
+    return got.groupBy("state").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"))
+
+
+@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('audit' || doc_id)) AS turn FROM documents) SELECT doc_id, lang, turn FROM r ORDER BY turn, lang LIMIT 40""")
+def w8_round_robin(spark, d):
+    return I.round_robin(table(spark, d, "documents").select("doc_id", "lang"), "lang", I.hash_order("audit", F.col("doc_id")), 40)
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('d' || doc_id)) AS turn, sha256('s' || source) AS sh FROM documents) SELECT doc_id, source, turn FROM r ORDER BY turn, sh LIMIT 50""")
+def w9_depth_first(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source")
+    got = I.round_robin(rows, "source", I.hash_order("d", F.col("doc_id")), 50, [I.hash_order("s", F.col("source"))])
+    return got
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS number FROM orders")
+def w10_review_order(spark, d):
+    return I.numbered(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), [F.col("o_orderstatus"), F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "number")
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) || '-' || upper(n_name) || '-' || lpad(row_number() OVER (PARTITION BY c_mktsegment, n_name ORDER BY c_custkey)::VARCHAR, greatest(2, length(row_number() OVER (PARTITION BY c_mktsegment, n_name ORDER BY c_custkey)::VARCHAR))::INT, '0') AS alias FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def w11_aliases(spark, d):
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return I.aliases(rows, "c_mktsegment", "n_name", F.col("c_custkey")).select("c_custkey", "alias")
+
+
+@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, spoken, string_split(spoken, 'an') AS q FROM clips) SELECT CASE WHEN len(q) = 1 THEN 'absent' WHEN len(q) > 2 THEN 'repeated' WHEN spoken = 'an' THEN 'isolated' WHEN q[1] = '' THEN 'prefix' WHEN q[2] = '' THEN 'suffix' ELSE 'middle' END AS context, count(*) AS n FROM c GROUP BY 1""")
+def w12_keyword_context(spark, d):
+    return clips(spark, d).groupBy(I.keyword_context(F.col("spoken"), "an").alias("context")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation), p AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS j, count(*) OVER () AS n FROM region) SELECT n_name, r_name, ((j - i) % n + n) % n AS turn FROM s, p""")
+def w13_latin_order(spark, d):
+    return I.latin_order(table(spark, d, "nation"), table(spark, d, "region"), "n_name", "r_name")
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('shuffle' || doc_id) LIMIT 100")
+def w14_hash_shuffle(spark, d):
+    return table(spark, d, "documents").orderBy(I.hash_order("shuffle", F.col("doc_id"))).limit(100).select("doc_id")
+
+
+@query(f"""WITH {CLIPS} SELECT clip_id, coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + frames + 80)::BIGINT AS grace_end FROM clips""")
+def w16_stream_layout(spark, d):
+    return I.stream_layout(clips(spark, d), "family", [F.col("clip_id")], "frames", 160, 80).select("clip_id", "start", "grace_end")
+
+
+@query("SELECT s_suppkey FROM (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) WHERE k <= 3")
+def w17_first_of_groups(spark, d):
+    return I.top_per_group(table(spark, d, "supplier"), ["s_nationkey"], [F.col("s_suppkey")], 3).select("s_suppkey")
+
+
+@query(f"""WITH {HOPS}, f AS (SELECT case_id, sample / 1280 AS frame, best FROM hops), c AS (SELECT *, (best IS DISTINCT FROM lag(best) OVER (PARTITION BY case_id ORDER BY frame))::INT AS ch FROM f), g AS (SELECT *, sum(ch) OVER (PARTITION BY case_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT case_id, run::BIGINT AS run, best AS token, min(frame)::BIGINT * 1280 AS from_sample, max(frame)::BIGINT * 1280 + 35200 AS to_sample FROM g GROUP BY case_id, run, best""")
+def w18_argmax_runs(spark, d):
+    frames = with_vectors(hops(spark, d)).withColumn("frame", F.expr("sample div 1280"))
+    got = I.argmax_runs(frames, ["case_id"], "frame", "probabilities", 1280, 35_200)
+    return got.select("case_id", "run", F.col("token").cast("int").alias("token"), "from_sample", "to_sample")
+
+
+@query(f"""WITH {HOPS}, s AS (SELECT case_id, sample, avg(p) OVER w AS m, count(*) OVER w AS n FROM hops WINDOW w AS (PARTITION BY case_id ORDER BY sample ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) SELECT case_id, sample, round(m, 6) AS mean_p FROM s WHERE n = 16""")
+def w19_trailing_stack(spark, d):
+    got = I.trailing_stack(hops(spark, d), "case_id", "sample", "p", 16, 1280)
+    return got.select("case_id", "sample", F.round(F.aggregate("stack", F.lit(0.0), lambda a, x: a + x) / 16, 6).alias("mean_p"))
+
+
+@query("WITH n AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS shard FROM orders) SELECT shard, count(*) AS n FROM n GROUP BY shard")
+def w20_shards(spark, d):
+    rows = I.numbered(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")])
+    return I.shards(rows, "number", 1000).groupBy("shard").agg(F.count("*").alias("n"))
