@@ -629,3 +629,321 @@ def w19_trailing_stack(spark, d):
 def w20_shards(spark, d):
     rows = I.numbered(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")])
     return I.shards(rows, "number", 1000).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+# --- sampling, plans and weights ------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT DISTINCT n_name AS k FROM nation WHERE n_nationkey < 12), s AS (SELECT k, 7 + row_number() OVER (ORDER BY k) AS ordinal FROM e WHERE k NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 7)),
+o AS (SELECT n_name AS k, n_nationkey::BIGINT AS ordinal FROM nation WHERE n_nationkey < 7)
+SELECT k AS speaker, ordinal, CASE WHEN ordinal % 4 = 3 THEN 'dev' ELSE 'train' END AS role FROM (SELECT k, ordinal - 1 AS ordinal FROM s UNION ALL SELECT k, ordinal FROM o)""")
+def w15_extend_registry(spark, d):
+    n = table(spark, d, "nation").withColumnRenamed("n_name", "speaker")
+    old = n.where("n_nationkey < 7").select("speaker", F.col("n_nationkey").cast("long").alias("ordinal"), F.when(F.col("n_nationkey") % 4 == 3, "dev").otherwise("train").alias("role"), F.sha2("speaker", 256).alias("speaker_id"))
+    return L.extend_registry(old, n.where("n_nationkey < 12"), "speaker").select("speaker", "ordinal", "role")
+
+
+@query()
+def x1_exposure_plan(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "source", F.when(F.col("quality") == 0, "near").when(F.col("lang") == "en", "ordinary").otherwise("positive").alias("kind"))
+    return X.exposure_plan(rows, {"positive": 1000, "ordinary": 900, "near": 100}, "kind", "source", "doc_id")
+
+
+@query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT step, lang, doc_id FROM range(500) s(step), r WHERE i = step % n""")
+def x2_step_draws(spark, d):
+    return X.step_draws(table(spark, d, "documents").select("lang", "doc_id"), ["lang"], "doc_id", 500)
+
+
+@query("""WITH r AS (SELECT l_returnflag AS c, l_suppkey AS g, count(*) AS n FROM lineitem GROUP BY ALL), k AS (SELECT c, count(*) AS m FROM r GROUP BY c), w AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey, l_quantity / (3 * m * n) AS w FROM lineitem JOIN r ON c = l_returnflag AND g = l_suppkey JOIN k USING (c))
+SELECT l_returnflag, l_suppkey, round(sum(w / (SELECT sum(w) FROM w)), 9) AS weight FROM w GROUP BY ALL""")
+def x3_bag_weights(spark, d):
+    got = X.bag_weights(table(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity"), "l_returnflag", "l_suppkey", "l_quantity")
+    return got.groupBy("l_returnflag", "l_suppkey").agg(F.round(F.sum("weight"), 9).alias("weight"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' WHEN lang <> 'en' THEN 'language' WHEN sha256('route' || doc_id) <= repeat('3', 64) THEN 'sample' END AS route FROM documents""")
+def x4_selective_route(spark, d):
+    doubts = [(F.col("n_chars") < 200, "short"), (F.col("lang") != "en", "language")]
+    return X.selective_route(table(spark, d, "documents"), doubts, I.hash_order("route", F.col("doc_id"))).select("doc_id", "route")
+
+
+@query("""SELECT c_custkey, 'bulk-' || substr(sha256(c_name || '|' || c_mktsegment), 1, 24) AS id, ('0x' || substr(sha256(c_name || '|' || c_mktsegment), 1, 8))::BIGINT AS seed FROM customer""")
+def x5_stable_ids(spark, d):
+    parts = [F.col("c_name"), F.col("c_mktsegment")]
+    return table(spark, d, "customer").select("c_custkey", X.stable_id("bulk-", *parts).alias("id"), X.stable_seed(*parts).alias("seed"))
+
+
+@query("SELECT substr(sha256('blind' || doc_id), 1, 16) AS pseudonym, lang FROM documents")
+def x6_blind_table(spark, d):
+    return X.blind_tables(table(spark, d, "documents"), "blind", "doc_id", ["lang"])[0]
+
+
+@query("SELECT source, r_name FROM (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0), region")
+def x7_refinement(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return X.refinement(rows, F.col("quality") == 0, "source", table(spark, d, "region").select("r_name"))
+
+
+@query("SELECT lang, source, count(*) AS rows, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY ALL")
+def x8_groups_by_class(spark, d):
+    return X.groups_by_class(table(spark, d, "documents"), "lang", "source", "doc_id")
+
+
+# --- splits, leakage and lineage ------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS role, sha256(text) AS pcm, source || ':' || (doc_id // 40) AS speaker FROM documents), l AS (SELECT 'pcm' AS kind, pcm AS value, role FROM r UNION ALL SELECT 'speaker', speaker, role FROM r)
+SELECT kind, value, count(DISTINCT role) AS roles FROM l GROUP BY ALL HAVING count(DISTINCT role) > 1""")
+def l1_role_leaks(spark, d):
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train").alias("role"), F.sha2("text", 256).alias("pcm"), F.concat_ws(":", "source", F.expr("doc_id div 40")).alias("speaker"))
+    return L.role_leaks(rows, "role", {"pcm": "pcm", "speaker": "speaker"}).select("kind", "value", "roles")
+
+
+@query("SELECT lang || ':' || source AS value, count(DISTINCT doc_id % 3) AS roles FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1")
+def l2_speaker_generator_leaks(spark, d):
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 3).alias("role"), F.concat_ws(":", "lang", "source").alias("speaker"))
+    return L.role_leaks(rows, "role", {"speaker": "speaker"}).select("value", "roles")
+
+
+def _parts(spark, d) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice").cast("string")).alias("price"), F.when(F.col("p_partkey") % 7 == 1, F.concat_ws(":", "p_brand", "p_size")).alias("brand"), F.when(F.col("p_partkey") % 10 == 0, "dev").otherwise("train").alias("split"))
+
+
+@query()
+def l3_split_components(spark, d):
+    return L.split_leaks(L.identity_components(_parts(spark, d), "p_partkey", {"price": "price", "brand": "brand"}), "split")
+
+
+@query()
+def l4_lineage_groups(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.col("source").alias("group"), F.when(F.col("doc_id") % 10 == 0, "heldout").otherwise("train").alias("role"), F.sha2("text", 256).alias("h"))
+    first = docs.groupBy("h").agg(F.min("key").alias("left"), F.count("*").alias("n")).where("n > 1")
+    edges = docs.join(first, "h").where("key <> left").select("left", F.col("key").alias("right"))
+    bench = table(spark, d, "benchmark").select(F.concat(F.lit("d"), "item_id").alias("key"))
+    got = L.lineage_groups(docs, edges, bench.where("key < 'd2'"), bench.where("key >= 'd38'"), "key", "role", "group")
+    return got.select("key", "component", "exposed", "violation")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'speaker:' || c_custkey ELSE 'file:00' || c_custkey END AS key FROM customer""")
+def l5_typed_key(spark, d):
+    ns = F.when(F.col("c_custkey") % 2 == 0, " Speaker").otherwise("file")
+    return table(spark, d, "customer").select("c_custkey", L.typed_key(ns, F.concat(F.lit("00"), F.col("c_custkey").cast("string"))).alias("key"))
+
+
+@query("SELECT CASE WHEN p IN ('test', 'heldout') THEN 'refused' WHEN p = 'dev' THEN 'dev' WHEN p = 'train' THEN 'train' ELSE 'unknown' END AS role, count(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'heldout' WHEN 2 THEN 'dev' WHEN 3 THEN 'train' ELSE 'other' END AS p FROM documents) GROUP BY 1")
+def l7_partition_role(spark, d):
+    names = F.element_at(F.array(*[F.lit(x) for x in ("TEST", "heldout ", "Dev", "train", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").groupBy(L.partition_role(names).alias("role")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE source = 'src4') AND source <> 'src4'")
+def l8_history_overlap(spark, d):
+    c = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("fp"))
+    return L.history_overlap(c.where("source <> 'src4'"), c.where("source = 'src4'"), "fp").select("doc_id")
+
+
+@query("""SELECT o_custkey AS speaker FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1 AND o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def l9_shared_train(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("speaker"), F.when(F.col("o_orderstatus") == "F", "train").otherwise("dev").alias("role"), "o_orderkey", "o_orderstatus")
+    return L.shared_train(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), o.where("o_orderstatus = 'P'"), "speaker", "role")
+
+
+# --- sets -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT batch, count(*) AS n FROM (SELECT 'a' AS batch FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'b' FROM documents WHERE doc_id % 2 = 0) GROUP BY batch")
+def u1_concat_batches(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    rows, _ = U.concat_batches({"a": docs.where("doc_id % 3 = 0"), "b": docs.where("doc_id % 2 = 0")}, "doc_id")
+    return rows.groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def u2_add_references(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return U.add_references(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_partkey")
+
+
+@query("""SELECT place, count(*) AS n FROM (SELECT CASE WHEN l.k IS NULL THEN 'left' WHEN d.k IS NULL THEN 'right' ELSE 'both' END AS place FROM (SELECT doc_id AS k FROM documents WHERE lang = 'en') d FULL JOIN (SELECT doc_id AS k FROM labels) l ON d.k = l.k) GROUP BY 1""")
+def u3_key_sets(spark, d):
+    got = U.key_sets(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "labels"), "doc_id")
+    return got.groupBy("place").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS k FROM part), b AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS k FROM part WHERE p_partkey NOT IN (1990, 1995)) SELECT coalesce(a.i, b.i) AS number, a.k AS left_key, b.k AS right_key FROM a FULL JOIN b USING (i) WHERE a.k IS DISTINCT FROM b.k""")
+def u4_order_difference(spark, d):
+    p = table(spark, d, "part").select("p_partkey")
+    number = lambda df: I.numbered(df, [F.col("p_partkey")])
+    return U.order_difference(number(p), number(p.where("p_partkey not in (1990, 1995)")), "number", "p_partkey")
+
+
+# --- text and sequences ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(text, '[^ -~]', 'x', 'g')), '[^a-z0-9'']+', ' ', 'g'))) AS norm FROM documents")
+def t1_normal_forms(spark, d):
+    plain = F.regexp_replace("text", "[^ -~]", "x")
+    ascii_only = F.regexp_replace(plain, "[^A-Za-z0-9']", ".")
+    return table(spark, d, "documents").select("doc_id", F.md5(T.norm_reference(ascii_only)).alias("norm"))
+
+
+@query("SELECT clip_id, trim(regexp_replace(translate(spoken, 'aeˈː', 'ae'), ' +', ' ', 'g')) AS phones FROM (SELECT * FROM (WITH " + CLIPS + " SELECT * FROM clips))")
+def t2_phones(spark, d):
+    return clips(spark, d).select("clip_id", T.norm_phones(F.transform(F.split("spoken", " "), lambda w: F.concat(w, F.lit("ˈː")))).alias("phones"))
+
+
+@query("SELECT count_if(contains(text, 'idiot')) AS hits, count(*) AS n FROM documents")
+def t3_presence(spark, d):
+    return table(spark, d, "documents").agg(F.count_if(T.present(F.col("text"), F.lit("idiot"))).alias("hits"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, string_split(spoken, '') AS t FROM clips), p AS (SELECT clip_id, i FROM c, range(24) r(i) WHERE i + 2 <= len(t) AND t[i + 1] = 'e' AND t[i + 2] = 'r') SELECT clip_id, count(*) AS hits, min(i)::INT AS first FROM p GROUP BY clip_id""")
+def t4_positions(spark, d):
+    got = clips(spark, d).select("clip_id", T.positions(T.characters(F.col("spoken")), ["e", "r"]).alias("at")).where(F.size("at") > 0)
+    return got.select("clip_id", F.size("at").cast("long").alias("hits"), F.get("at", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {CLIPS} SELECT count_if(regexp_matches(spoken, 'a.*n.*d')) AS ordered, count_if(regexp_matches(spoken, '\\bthe\\b')) AS whole FROM clips")
+def t5_t6_phrases(spark, d):
+    return clips(spark, d).agg(F.count_if(T.contains_in_order(F.col("spoken"), "and")).alias("ordered"), F.count_if(T.whole_phrase(F.col("spoken"), "the")).alias("whole"))
+
+
+@query(f"""WITH {CLIPS}, p(name, pattern) AS (VALUES ('the', '.*\\bthe\\b.*'), ('que', '.*que.*'), ('ing', '.*ing')), m AS (SELECT clip_id, count(*) AS matches, min(name) AS name FROM clips JOIN p ON regexp_full_match(spoken, pattern) GROUP BY 1)
+SELECT clip_id, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN name END AS only FROM clips LEFT JOIN m USING (clip_id)""")
+def t7_pattern_matches(spark, d):
+    p = spark.createDataFrame([("the", r".*\bthe\b.*"), ("que", ".*que.*"), ("ing", ".*ing")], "name string, pattern string")
+    return T.pattern_matches(clips(spark, d), p, "clip_id", "spoken", full=True)
+
+
+@query(f"""WITH {CLIPS} SELECT clip_id, levenshtein(translate(spoken, ' ', ''), translate(substr(spoken, 3), ' ', ''))::BIGINT AS distance FROM clips""")
+def t8_token_distance(spark, d):
+    letters = F.array(*[F.lit(chr(97 + i)) for i in range(26)])
+    tokens = lambda c: T.characters(F.translate(c, " ", ""))
+    return clips(spark, d).select("clip_id", T.token_distance(tokens(F.col("spoken")), tokens(F.substring("spoken", 3, 24)), letters).cast("long").alias("distance"))
+
+
+@query(f"""WITH {CLIPS}, s AS (SELECT clip_id, a, n, substr(spoken, a::BIGINT, n::BIGINT) AS span FROM clips, range(1, 25) t(a), (VALUES (3), (4), (5)) v(n) WHERE a + n - 1 <= length(spoken)) SELECT clip_id, (a - 1)::INT AS "at", span, levenshtein(span, 'tion')::INT AS distance FROM s WHERE NOT contains(span, ' ') AND levenshtein(span, 'tion') <= 1""")
+def t9_near_spans(spark, d):
+    return T.near_spans(clips(spark, d), "clip_id", "spoken", "tion")
+
+
+@query(f"""WITH {CLIPS} SELECT CASE WHEN frames < 100 THEN 'unknown' WHEN contains(spoken, 'the') THEN 'positive' WHEN regexp_matches(spoken, 't.?e') THEN 'unknown' ELSE 'negative' END AS state, count(*) AS n FROM clips GROUP BY 1""")
+def t12_presence_state(spark, d):
+    s = F.col("spoken")
+    state = T.presence_state(F.col("frames") < 100, s.contains("the"), s.rlike("t.?e"), F.lit(False))
+    return clips(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT case_id, sample, best, lag(best) OVER (PARTITION BY case_id ORDER BY sample) AS prev FROM hops) SELECT case_id, string_agg(best::VARCHAR, '' ORDER BY sample) AS path FROM c WHERE best <> 0 AND best IS DISTINCT FROM prev GROUP BY case_id""")
+def t13_ctc_collapse(spark, d):
+    paths = hops(spark, d).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "best"))), lambda x: x["best"]).alias("ids"))
+    return paths.select("case_id", F.array_join(T.ctc_collapse(F.col("ids"), [0]), "").alias("path"))
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT case_id, sample, best, lag(best) OVER (PARTITION BY case_id ORDER BY sample) AS prev FROM hops), k AS (SELECT * FROM c WHERE best <> 0 AND best IS DISTINCT FROM prev), n AS (SELECT case_id, best AS a, lead(best, 1) OVER w AS b, lead(best, 2) OVER w AS e FROM k WINDOW w AS (PARTITION BY case_id ORDER BY sample)) SELECT case_id, count_if(a = 1 AND b = 2 AND e = 1) AS hits FROM n GROUP BY case_id""")
+def t14_ctc_events(spark, d):
+    paths = hops(spark, d).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "best"))), lambda x: x["best"]).alias("ids"))
+    path = paths.select("case_id", T.ctc_collapse(F.col("ids"), [0]).alias("ids"))
+    return path.select("case_id", F.size(T.positions(F.col("ids"), [1, 2, 1])).cast("long").alias("hits"))
+
+
+@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM clips), v AS (SELECT clip_id, i, t, ascii(t) - 96 AS id, lag(t) OVER (PARTITION BY clip_id ORDER BY i) AS prev FROM c)
+SELECT clip_id, count(*) + count_if(t = prev AND t <> ' ' AND t <> 'x') AS min_frames, count_if(t = ' ' OR t = 'x') > 0 AS unsupported FROM v GROUP BY clip_id""")
+def t15_vocabulary_ids(spark, d):
+    vocab = spark.createDataFrame([(chr(97 + i), i + 1) for i in range(26) if chr(97 + i) != "x"], "token string, id int")
+    got = T.vocabulary_ids(clips(spark, d), vocab, "clip_id", T.characters(F.col("spoken")))
+    return got.select("clip_id", F.col("min_frames").cast("long").alias("min_frames"), (F.size("unsupported") > 0).alias("unsupported"))
+
+
+@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM clips), v AS (SELECT *, lead(t) OVER (PARTITION BY clip_id ORDER BY i) AS nxt FROM c) SELECT clip_id, count_if(t = nxt) AS repeats FROM v GROUP BY clip_id""")
+def t16_repetition(spark, d):
+    return clips(spark, d).where("spoken <> ''").select("clip_id", F.regexp_count("spoken", F.lit(r"(.)(?=\1)")).cast("long").alias("repeats"))
+
+
+@query("SELECT (props::JSON ->> 'k')::INT AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def m2_json_fields(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH x AS (SELECT vec_id, [CAST(round(v::DOUBLE * 20000) AS INT) FOR v IN embedding] AS s FROM embeddings) SELECT vec_id, round(sqrt(list_sum([(v * v)::DOUBLE FOR v IN s]) / len(s)) / 32768, 9) AS rms, round(list_max([abs(v) FOR v IN s]) / 32768, 9) AS peak FROM x""")
+def m1_signal_measures(spark, d):
+    from quorumlake.operators.signal import signal_measures
+
+    s = F.transform("embedding", lambda v: F.round(v.cast("double") * 20000).cast("int"))
+    m = table(spark, d, "embeddings").select("vec_id", s.alias("s")).select("vec_id", signal_measures(F.col("s")).alias("m"))
+    return m.select("vec_id", F.round("m.rms", 9).alias("rms"), F.round("m.peak", 9).alias("peak"))
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+POLICY = R.GatePolicy(threshold=0.6, confirmations=2, block_samples=5_120, warm_hops=3)
+
+
+def _gated(spark, d) -> DataFrame:
+    return R.gate_events(with_vectors(hops(spark, d)), policy=POLICY)
+
+
+@query()
+def r1_event_gate(spark, d):
+    return _gated(spark, d)
+
+
+def _cases(spark, d) -> DataFrame:
+    h = hops(spark, d)
+    return h.groupBy("case_id").agg(F.max("sample").alias("last")).select("case_id", (F.col("case_id") % 3).alias("weak_class"), F.expr("last div 4").alias("clip_start"), F.expr("last div 2").alias("clip_eof"))
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT case_id, case_id % 3 AS weak_class, max(sample) // 4 AS clip_start, max(sample) // 2 AS clip_eof FROM hops GROUP BY case_id), e AS (SELECT * FROM hops WHERE p >= 0.9)
+SELECT c.case_id, count_if(sample < clip_start) AS prefix_events, count_if(sample >= clip_start AND best = weak_class) AS right_events, count_if(sample >= clip_start AND best <> weak_class) AS wrong_events, min(sample) FILTER (WHERE sample >= clip_start AND best = weak_class) - any_value(clip_eof) AS lag_samples, any_value(weak_class) > 0 AND count_if(sample >= clip_start AND best = weak_class) = 0 AS missing FROM c LEFT JOIN e USING (case_id) GROUP BY c.case_id""")
+def r2_evaluate_events(spark, d):
+    e = hops(spark, d).where("p >= 0.9").select("case_id", "sample", "best")
+    got = R.evaluate_events(e, _cases(spark, d), "case_id", "sample", "best")
+    return got.select("case_id", "prefix_events", "right_events", "wrong_events", "lag_samples", "missing")
+
+
+@query(f"""WITH {HOPS}, c AS (SELECT case_id, max(sample) // 2 AS eof FROM hops GROUP BY case_id) SELECT CASE WHEN sample - eof < 128 THEN 'early' WHEN sample - eof > 16000 THEN 'late' ELSE 'accepted' END AS timing, count(*) AS n FROM hops JOIN c USING (case_id) WHERE p >= 0.9 GROUP BY 1""")
+def r3_windowed_match(spark, d):
+    got = R.windowed_match(hops(spark, d).where("p >= 0.9"), _cases(spark, d), "case_id", "sample")
+    return got.groupBy("timing").agg(F.count("*").alias("n"))
+
+
+@query()
+def r4_event_consistency(spark, d):
+    e = _gated(spark, d)
+    stored = e.where(F.col("sample") % 5 != 0)
+    return R.event_consistency(e, stored, ["case_id", "sample", "event_class"])
+
+
+@query(f"WITH {HOPS} SELECT case_id, count(*) AS windows, count_if(sample > 19200) AS ready, count_if(p >= 0.9) AS events, max(sample) AS last_sample FROM hops GROUP BY case_id")
+def r5_trace_summary(spark, d):
+    return R.trace_summary(hops(spark, d).withColumn("ready", F.col("sample") > 19_200), "case_id", "sample", "ready", F.col("p") >= 0.9)
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events WHERE event_id % 9 = 0)
+SELECT user_id, CASE WHEN arg_max(s, event_id) = 'started' THEN 'unknown' ELSE arg_max(s, event_id) END AS state, count_if(s = 'started') AS attempts, bool_or(s IN ('started', 'completed', 'failed')) AS consumed FROM l GROUP BY user_id""")
+def r7_claim_state(spark, d):
+    s = F.when(F.col("event_type") == "view", "planned").when(F.col("event_type") == "click", "started").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    return R.claim_state(table(spark, d, "events").where("event_id % 9 = 0").select("user_id", "event_id", s.alias("s")), "user_id", "event_id", "s")
+
+
+@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN turn >= conv_id % 4 THEN md5(text) || 'x' ELSE md5(text) END AS y, md5(text) AS x FROM conversations), f AS (SELECT conv_id, count(*) AS hops, min(turn) FILTER (WHERE x <> y) AS f, min(turn) AS lo FROM a GROUP BY conv_id) SELECT conv_id, hops, coalesce(f - lo, hops) AS prefix FROM f""")
+def r8_shared_prefix(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min(F.md5("text")).alias("h"))
+    bent = c.withColumn("h", F.when(F.col("turn") >= F.col("conv_id") % 4, F.concat("h", F.lit("x"))).otherwise(F.col("h")))
+    return R.shared_prefix(c, bent, "conv_id", "turn", "h")
+
+
+@query()
+def r9_token_sequences(spark, d):
+    frames = hops(spark, d).withColumn("token", (F.col("event_id") % 4).cast("int"))
+    return R.token_sequences(frames, "case_id", "sample", "token", [1_280, 2_560, 5_120, 12_800])
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 49 THEN 'open' WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 = 0 THEN 'clash' WHEN o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'prior' ELSE 'returned' END AS outcome FROM orders), f AS (SELECT min(k) AS f FROM p WHERE outcome = 'open')
+SELECT outcome, k < f AS in_prefix, count(*) AS n FROM p, f GROUP BY ALL""")
+def r10_reconcile(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    used = o.where("o_orderkey % 50 <> 49")
+    outcomes = {"failed": used.where("o_orderkey % 3 = 0"), "prior": used.where("o_orderkey % 7 = 0"), "returned": used.where("o_orderkey % 3 <> 0 and o_orderkey % 7 <> 0")}
+    return R.reconcile(o, outcomes, "o_orderkey", "o_orderkey").groupBy("outcome", "in_prefix").agg(F.count("*").alias("n"))
