@@ -35,11 +35,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import jobs  # noqa: F401  registers the jobs
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import jobs  # noqa: F401
 
     return dict(_SQL)
 
