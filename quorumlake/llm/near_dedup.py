@@ -22,9 +22,9 @@ REGISTERS = BANDS * ROWS
 BASE = 1.02
 SHIFT, TOP = 160, 1400
 #: Log-likelihood by which a similarity of 0.75 may fall short of the best one before a pair is given up.
-SLACK = 14.0
+SLACK = 12.0
 #: Members of a star, or of a side of a bucket, that one task compares with each other.
-STAR, CHUNK = 256, 512
+STAR, CHUNK = 256, 1024
 
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(1 << 31, size=REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -133,7 +133,23 @@ def estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", rate("n1", "r1", "n2", "r2").alias("j")).where(F.col("j").isNotNull() & ~F.isnan("j"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(rid, set): the full shingle sets of the wanted documents, as sorted hashes; of texts that share an id, the least."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rid": b["rid"], "set": [shingle_set(split_words(t)).tobytes() for t in b["text"]]})
+
+    named = docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    return named.join(wanted.hint("merge"), "rid", "left_semi").groupBy("rid").agg(F.min("text").alias("text")).mapInPandas(emit, "rid long, set binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach PERCENT.
 
     Each a is sent once to every group of about STAR of its partners, and each partner once a pair.
@@ -143,28 +159,30 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hub, own = None, None
         for batch in batches:
             a, b = [], []
-            for h, m, t in zip(batch["a"], batch["b"], batch["text"]):
-                s = shingle_set(split_words(t))
+            for h, m, raw in zip(batch["a"], batch["b"], batch["set"]):
+                s = np.frombuffer(raw, dtype=np.uint64)
                 if h == m:
                     hub, own = h, s
-                elif h == hub:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own) + len(s) - both):
-                        a.append(h)
-                        b.append(m)
+                elif h == hub and linked(own, s):
+                    a.append(h)
+                    b.append(m)
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     pairs = pairs.select("a", "b")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("_s"))
     salted = pairs.join(sizes.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_s")).alias("salt"))
     hubs = salted.select("a", F.col("a").alias("b"), "salt").distinct()
-    rows = salted.unionByName(hubs).join(texts.withColumnRenamed("rid", "b").hint("merge"), "b")
-    rows = rows.select("a", "salt", (F.col("a") != F.col("b")).alias("member"), "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "b")
-    return rows.select("a", "b", "text").mapInPandas(emit, "a long, b long")
+    rows = salted.unionByName(hubs).join(sets.withColumnRenamed("rid", "b").hint("merge"), "b")
+    rows = rows.select("a", "salt", (F.col("a") != F.col("b")).alias("member"), "b", "set").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "b")
+    return rows.select("a", "b", "set").mapInPandas(emit, "a long, b long")
+
 
+def within_buckets(rest: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a bucket, chunk against chunk.
 
-def within_buckets(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket that may link: (a, b, j), chunk against chunk."""
+    A pair is looked at in the first band that it shares; if the likelihood leaves it open, it is verified on full sets.
+    Components that a task has joined are one from then on, so it gives fewer links than it sees components.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -175,40 +193,50 @@ def within_buckets(rest: DataFrame, reps: DataFrame) -> DataFrame:
             at = cut[-1] if len(cut) else 0
             left = b.iloc[at:].reset_index(drop=True)
             if at:
-                yield pairs(b.iloc[:at].reset_index(drop=True))
+                yield links(b.iloc[:at].reset_index(drop=True))
         if left is not None and len(left):
-            yield pairs(left)
+            yield links(left)
 
-    def pairs(d: pd.DataFrame) -> pd.DataFrame:
+    def links(d: pd.DataFrame) -> pd.DataFrame:
         g = d[["band", "key", "lo", "hi"]].to_numpy()
         group = np.concatenate([[0], np.cumsum((g[1:] != g[:-1]).any(1))])
         k = np.frombuffer(b"".join(d["regs"]), dtype=np.uint16).reshape(len(d), REGISTERS)
-        rid, comp, n, side = (d[c].to_numpy() for c in ("rid", "comp", "n", "side"))
+        keys = k.view(np.int64)
+        rid, comp, n, side, band = (d[c].to_numpy() for c in ("rid", "comp", "n", "side", "band"))
         cross = (d["lo"] != d["hi"]).to_numpy()
-        out = []
+        found = []
         for gap in range(1, np.bincount(group).max()):
             i = np.flatnonzero((group[:-gap] == group[gap:]) & (comp[:-gap] != comp[gap:]))
             i = i[~cross[i] | (side[i] != side[i + gap])]
             for part in (i[s : s + 4096] for s in range(0, len(i), 4096)):
-                ok, j = may_link(n[part], k[part], n[part + gap], k[part + gap])
-                x, y = part[ok], part[ok] + gap
-                out.append(np.stack([np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y]), (1e9 * j[ok]).astype(np.int64)]))
-        a, b, j = np.concatenate(out, 1) if out else np.zeros((3, 0), dtype=np.int64)
-        return pd.DataFrame({"a": a, "b": b, "j": j / 1e9})
+                part = part[(keys[part] == keys[part + gap]).argmax(1) == band[part]]
+                if len(part):
+                    ok, j = may_link(n[part], k[part], n[part + gap], k[part + gap])
+                    found.append(np.stack([part[ok], part[ok] + gap, (1e9 * j[ok]).astype(np.int64)]))
+        a, b, up = [], [], {}
+
+        def top(c):
+            while up.get(c, c) != c:
+                up[c] = c = up.get(up[c], up[c])
+            return c
+
+        if found:
+            x, y, j = np.concatenate(found, 1)
+            for p in np.argsort(-j, kind="stable"):
+                u, v = int(x[p]), int(y[p])
+                cu, cv = top(comp[u]), top(comp[v])
+                if cu != cv and linked(np.frombuffer(d["set"].iat[u], dtype=np.uint64), np.frombuffer(d["set"].iat[v], dtype=np.uint64)):
+                    up[cu] = cv
+                    a.append(rid[u])
+                    b.append(rid[v])
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     cut = rest.withColumn("side", F.pmod(F.xxhash64("rid"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
     cut = cut.select("band", "key", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "rid", "comp")
-    rows = cut.join(reps.select("rid", "n", "regs").hint("merge"), "rid").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "rid")
-    return rows.mapInPandas(emit, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
-
-
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far, with those (ca, cb)."""
-    left = comp.select(F.col("node").alias("a"), F.col("root").alias("ca"))
-    right = comp.select(F.col("node").alias("b"), F.col("root").alias("cb"))
-    both = pairs.join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left")
-    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+    known = reps.select("rid", "n", "regs").join(sets.hint("merge"), "rid")
+    rows = cut.join(known.hint("merge"), "rid").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "rid")
+    return rows.mapInPandas(emit, "a long, b long")
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -219,35 +247,19 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     reps = materialise(classes)
     bands = band_rows(reps)
     hubs = bands.groupBy("band", "key").agg(F.min("rid").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(bands.join(hubs.hint("merge"), ["band", "key"]).where("rid <> hub"))
-    stars = estimate(members.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), reps)
-    stars = materialise(stars)
-
-    wanted = members.select("rid").union(members.select("hub")).distinct()
-    named = docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    texts = materialise(named.join(wanted.hint("merge"), "rid", "left_semi").groupBy("rid").agg(F.min("text").alias("text")))
-
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a"))
-    links = materialise(verify(best, texts))
-    comp = materialise(components(links))
+    members = materialise(bands.join(hubs.hint("merge"), ["band", "key"]))
+    sets = materialise(shingle_sets(docs, members.select("rid").distinct(), text, doc_id))
 
-    def extend(pairs: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = materialise(verify(pairs, texts))
-        if found.isEmpty():
-            return links, comp
-        links = links.unionByName(found)
-        return links, materialise(components(links))
+    shared = members.where("rid <> hub").groupBy("rid", "hub").agg(F.count("*").alias("n"))
+    best = shared.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a"))
+    links = materialise(verify(estimate(best, reps), sets))
+    comp = components(links)
 
-    links, comp = extend(apart(stars, comp), links, comp)
     label = members.join(comp.select(F.col("node").alias("rid"), F.col("root").alias("comp")).hint("merge"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    label = materialise(label.select("band", "key", "rid", "comp"))
     mixed = label.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
-    rest = label.drop("hub", "size").join(mixed.select("band", "key", "size").hint("merge"), ["band", "key"])
-    others = materialise(within_buckets(rest, reps))
-    if not others.isEmpty():
-        ends = apart(others, comp)
-        nearest = ends.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("j", "a", "b")).alias("p")).select("p.a", "p.b")
-        links, comp = extend(nearest, links, comp)
-        links, comp = extend(apart(others, comp), links, comp)
+    rest = label.join(mixed.select("band", "key", "size").hint("merge"), ["band", "key"])
+    comp = components(links.unionByName(materialise(within_buckets(rest, reps, sets))))
 
     roots = reps.select("cls", "rid").join(comp.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").select("cls", F.coalesce("root", "rid").alias("component_id"))
     out = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(roots.hint("merge"), "cls", "left")
@@ -260,8 +272,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     Documents link when the sets of their 5-word shingles share 75 % of the union or more. Documents with the
     same words are one node. Candidates share a band of SetSketch registers (a pair at 0.75 is missed with a
-    chance of about 2e-7); each is compared with the hub of its buckets, and members that stay in other
-    components than their bucket's are compared among themselves, so a group of n copies costs about n
+    chance of about 2e-7); each is verified against one hub, and where a bucket still holds several
+    components, its pairs across components are estimated and verified in it, so a group of n copies costs about n
     comparisons, and no link between components is left untested. Links are confirmed on full sets.
     Nulls and texts without words: n_shingles 0, linked with nothing. A row with a null doc_id has a null
     component and is not kept. Rows that share a doc_id share a component; if their texts differ, one text
