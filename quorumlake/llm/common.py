@@ -102,7 +102,7 @@ def same_all(left: str, right: str, keys: list[str]) -> Column:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root) where root is the smallest node reachable.
+    """Connected components of edges (a, b): rows (node, root) where root is the smallest node reachable; a root has no row.
 
     Alternates the large-star and small-star steps on hash-partitioned edges; each round is written to
     the shared folder. Edge count never grows; a hub's neighbours are pre-aggregated by min only.
