@@ -80,7 +80,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
         (F.char_length(body) - F.char_length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_b")).alias("n_repeat_words"),
-        F.coalesce(total / (F.size("_w") + F.size("_b")) / SCALE, F.lit(0.0)).alias("llr"),
+        F.when(F.size("_w") > 0, total / (F.size("_w") + F.size("_b")) / SCALE).otherwise(0.0).alias("llr"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
