@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -96,10 +95,11 @@ def extend_registry(registry: DataFrame, new: DataFrame, key: str, every: int =
 
     registry: key, ordinal, role, speaker_id. The id is a hash, so reruns agree.
     """
+    from .intervals import numbered
+
     at = registry.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("_at"))
     fresh = new.select(key).distinct().join(registry.select(key), key, "left_anti")
-    # registrations are few beside the corpus; each batch is numbered in one sort
-    rows = fresh.crossJoin(F.broadcast(at)).withColumn("ordinal", F.col("_at") + F.row_number().over(W.orderBy(key)) - 1).drop("_at")
+    rows = numbered(fresh, [F.col(key)], "_n", 0).crossJoin(F.broadcast(at)).withColumn("ordinal", F.col("_at") + F.col("_n")).drop("_at", "_n")
     role = F.when(F.pmod("ordinal", F.lit(every)) == every - 1, "dev").otherwise("train")
     rows = rows.withColumn("role", role).withColumn("speaker_id", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 32))
     return registry.unionByName(rows.select(registry.columns))
