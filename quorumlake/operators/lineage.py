@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,15 @@ def role_leaks(df: DataFrame, role: str, kinds: dict[str, str]) -> DataFrame:
     return out.where("roles > 1")
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the folder in spark.checkpoint.dir (a local one only where it is unset) and read back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
     path = f"{root.rstrip('/')}/lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
