@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,13 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The folder in spark.checkpoint.dir; one local folder for the application only where the setting is absent."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
 
 
 def materialise(df: DataFrame) -> DataFrame:
