@@ -217,3 +217,21 @@ def vocabulary_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Col
 def repetition(text: Column) -> Column:
     """How many characters repeat the one before."""
     return F.regexp_count(text, F.lit(r"(?s)(.)(?=\1)"))
+
+
+#: Normalisers by policy name; each takes the text column, and the language or locale column where it needs one.
+NORMALISERS = {
+    "compact": norm_compact,
+    "reference": norm_reference,
+    "by_language": norm_by_language,
+    "request": norm_request,
+    "spaces": norm_spaces,
+    "folded": norm_folded,
+    "typography": norm_typography,
+}
+
+
+def normalised_dimension(rows: DataFrame, text: str, policy: str, *more: str) -> DataFrame:
+    """Each distinct text once with its normal form, to be stored and joined: the Unicode work is done once a text."""
+    keys = [text, *more]
+    return rows.select(*keys).where(F.col(text).isNotNull()).distinct().withColumn("norm_text", NORMALISERS[policy](*[F.col(k) for k in keys]))

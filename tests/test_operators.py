@@ -216,3 +216,21 @@ def test_token_sequences_by_gap(spark):
     frames = spark.createDataFrame([("c", t, k) for t, k in [(0, 0), (10, 1), (20, 1), (30, 2), (70, 3), (80, 1)]], "case string, t long, token int")
     got = {(r.gap, r.first, r.second, r.third) for r in R.token_sequences(frames, "case", "t", "token", [20, 50]).collect()}
     assert got == {(50, 10, 30, 70)}
+
+
+def test_normaliser_registry(spark):
+    rows = spark.createDataFrame([("Ｏk then", "en"), ("Ｏk then", "en"), ("你 好!", "zh"), (None, "en")], "t string, lang string")
+    got = {r.t: r.norm_text for r in T.normalised_dimension(rows, "t", "by_language", "lang").collect()}
+    assert got == {"Ｏk then": "ok then", "你 好!": "你好"}
+    assert T.normalised_dimension(rows, "t", "reference").count() == 2
+
+
+def test_evidence_package_round_trip(spark, tmp_path):
+    from quorumlake.sources import writers as O
+
+    rows = spark.createDataFrame([("a", True, "x"), ("b", False, "y")], "clip_id string, accepted boolean, split string")
+    O.write_exports(rows, {"all": F.lit(True), "machine_candidate": F.col("accepted")}, str(tmp_path / "out"), ["split"])
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.export_kind, r.clip_id) for r in back.collect()) == [("all", "a"), ("all", "b"), ("machine_candidate", "a")]
+    O.write_flat_trace(rows, rows.limit(1), rows.agg(F.count("*").alias("n")), str(tmp_path / "trace"))
+    assert spark.read.json(str(tmp_path / "trace/summary")).first().n == 2
