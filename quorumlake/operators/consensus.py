@@ -14,26 +14,26 @@ def first_reason(rules: list[tuple[Column, str]], default: str | None = None) ->
     return out.otherwise(F.lit(default)) if rules else F.lit(default)
 
 
-def vote_counts(obs: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable") -> DataFrame:
-    """Per clip: observers, clean ones, the most frequent clean text (ties: the least) and its votes.
+def vote_counts(obs: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable", flags: dict[str, Column] | None = None) -> DataFrame:
+    """Per clip: observers, clean ones, the most frequent clean text (ties: the least) and its votes; and, for each flag, how
+    many observations it holds for.
 
-    Two levels of partial aggregation: no list of observations is built.
+    Two levels of partial aggregation in one pass over the observations: no list is built and nothing is joined.
     """
+    flags = flags or {}
     clean = F.col(usable) & F.col(text).isNotNull() & (F.col(text) != "")
-    texts = obs.groupBy(key, F.when(clean, F.col(text)).alias("_t")).agg(F.count("*").alias("_n"))
+    texts = obs.groupBy(key, F.when(clean, F.col(text)).alias("_t")).agg(F.count("*").alias("_n"), *[F.count_if(c).alias(f) for f, c in flags.items()])
     best = F.min(F.when(F.col("_t").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_t").alias("t"))))
-    out = texts.groupBy(key).agg(F.sum("_n").alias("observed"), F.sum(F.when(F.col("_t").isNotNull(), F.col("_n")).otherwise(0)).alias("clean"), F.count("_t").alias("distinct_texts"), best.alias("_b"))
-    return out.select(key, "observed", "clean", "distinct_texts", F.col("_b.t").alias("top_text"), F.coalesce(-F.col("_b.n"), F.lit(0)).cast("long").alias("top_votes"))
+    out = texts.groupBy(key).agg(F.sum("_n").alias("observed"), F.sum(F.when(F.col("_t").isNotNull(), F.col("_n")).otherwise(0)).alias("clean"), F.count("_t").alias("distinct_texts"), best.alias("_b"), *[F.sum(f).alias(f) for f in flags])
+    return out.select(key, "observed", "clean", "distinct_texts", *flags, F.col("_b.t").alias("top_text"), F.coalesce(-F.col("_b.n"), F.lit(0)).cast("long").alias("top_votes"))
 
 
 def strict_quorum(obs: DataFrame, keywords: list[str], key: str = "clip_id", text: str = "norm_text", usable: str = "usable", observers: int = 3) -> DataFrame:
     """A1: all observers clean; all equal gives weight 1; all but one equal, with every keyword present in all or in none, 0.5; else uncertain."""
-    votes = vote_counts(obs, key, text, usable)
+    both = vote_counts(obs, key, text, usable, {f"_k{i}": F.contains(F.col(text), F.lit(k)) for i, k in enumerate(keywords)})
     split = F.lit(False)
-    marks = obs.groupBy(key).agg(*[F.count_if(F.contains(F.col(text), F.lit(k))).alias(f"_k{i}") for i, k in enumerate(keywords)]) if keywords else obs.select(key).distinct()
     for i in range(len(keywords)):
         split = split | ((F.col(f"_k{i}") > 0) & (F.col(f"_k{i}") < observers))
-    both = votes.join(marks, key)
     reason = first_reason(
         [
             (F.col("observed") != observers, "incomplete"),
