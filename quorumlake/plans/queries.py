@@ -126,8 +126,8 @@ def a8_balanced_groups(spark, d):
     return C.balanced_groups(rows, ["A", "N", "R"]).groupBy("role", "reason").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT lang, quality, count(*) AS rows, count(DISTINCT source) AS families, count(*) >= 20 AND count(DISTINCT source) >= 10 AS enough FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality
-UNION ALL SELECT 'xx', 1, 0, 0, false""")
+@query("""WITH g(lang, quality) AS (SELECT * FROM (VALUES ('en'), ('de'), ('fr'), ('es')) a(l), (VALUES (0), (1)) b(q) UNION ALL SELECT 'xx', 1), r AS (SELECT lang, quality, count(*) AS rows, count(DISTINCT source) AS families FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality)
+SELECT lang, quality, coalesce(rows, 0) AS rows, coalesce(families, 0) AS families, coalesce(rows, 0) >= 20 AND coalesce(families, 0) >= 10 AS enough FROM g LEFT JOIN r USING (lang, quality)""")
 def a9_minimum_counts(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     cells = [(lang, q, 20, 10) for lang in ("en", "de", "fr", "es") for q in (0, 1)] + [("xx", 1, 20, 10)]
@@ -253,7 +253,7 @@ def a25_ledger_counts(spark, d):
 
 @query("""WITH s AS (SELECT lang, n_chars AS x, quality = 1 AS pos FROM documents JOIN labels USING (doc_id)), r AS (SELECT a.lang, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS w FROM s a JOIN s b ON a.lang = b.lang AND a.pos AND NOT b.pos GROUP BY 1),
 c AS (SELECT lang, count_if(pos) AS positives, count_if(NOT pos) AS negatives, min(x) FILTER (WHERE pos) > max(x) FILTER (WHERE NOT pos) AS separated FROM s GROUP BY lang)
-SELECT lang, positives, negatives, separated, round((w / (positives * negatives))::DOUBLE, 6) AS fraction FROM c JOIN r USING (lang)""")
+SELECT lang, positives, negatives, separated, round((w / (positives * negatives))::DOUBLE, 6) AS fraction FROM c LEFT JOIN r USING (lang)""")
 def a26_rank_fraction(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     return M.rank_fraction(rows, ["lang"], "n_chars", F.col("quality") == 1).withColumn("fraction", F.round("fraction", 6))
