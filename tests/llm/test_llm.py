@@ -309,7 +309,7 @@ def test_nonnegative_risk_separates():
     rng = np.random.default_rng(1)
     xp = rng.normal(1, 1, (600, 4)).astype(np.float32)
     xu = np.vstack([rng.normal(1, 1, (700, 4)), rng.normal(-1, 1, (300, 4))]).astype(np.float32)
-    m = QC.fit(xp, xu)
+    m = QC.fit(xp.copy(), xu.copy())
     assert 0.55 < m["prior"] < 0.9
     z = xu @ m["w"] + m["b"]
     assert ((z > 0) == (np.arange(1000) < 700)).mean() > 0.9
