@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
         F.when(F.size("_w") > 0, total / (F.size("_w") + F.size("_b")) / SCALE).otherwise(0.0).alias("llr"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    # the counts also keep a later filter on `kept` above the scores; pushed below them, it would split each text many times
+    return out.observe(f"quality-{uuid.uuid4().hex}", F.count("*").alias("documents"), F.count_if("kept").alias("kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
