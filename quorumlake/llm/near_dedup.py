@@ -25,6 +25,8 @@ SHIFT, TOP = 160, 1400
 SLACK = 12.0
 #: Members of a star, or of a side of a bucket, that one task compares with each other.
 STAR, CHUNK = 256, 1024
+#: Bytes of shingle sets that one side may hold; longer texts are cut into more chunks.
+CHUNK_BYTES = 64 << 20
 
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(1 << 31, size=REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -105,14 +107,14 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(band, key, rid): the register values of each band, packed."""
+    """(band, key, rid, n): the register values of each band, packed, and the set size."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = np.frombuffer(b"".join(b["regs"]), dtype=np.int64).reshape(len(b), BANDS)
-            yield pd.DataFrame({"band": np.tile(np.arange(BANDS, dtype=np.int16), len(b)), "key": keys.ravel(), "rid": np.repeat(b["rid"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"band": np.tile(np.arange(BANDS, dtype=np.int16), len(b)), "key": keys.ravel(), "rid": np.repeat(b["rid"].to_numpy(), BANDS), "n": np.repeat(b["n"].to_numpy(), BANDS)})
 
-    return reps.select("rid", "regs").mapInPandas(emit, "band short, key long, rid long")
+    return reps.select("rid", "n", "regs").mapInPandas(emit, "band short, key long, rid long, n long")
 
 
 def likely(n1: pd.Series, r1: pd.Series, n2: pd.Series, r2: pd.Series) -> pd.Series:
@@ -231,7 +233,7 @@ def within_buckets(rest: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
                     b.append(rid[v])
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    chunks = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("held") * 8 / CHUNK_BYTES)).cast("int")
     cut = rest.withColumn("side", F.pmod(F.xxhash64("rid"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
     cut = cut.select("band", "key", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "side", "rid", "comp")
     known = reps.select("rid", "n", "regs").join(sets.hint("merge"), "rid")
@@ -250,15 +252,15 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     members = materialise(bands.join(hubs.hint("merge"), ["band", "key"]))
     sets = materialise(shingle_sets(docs, members.select("rid").distinct(), text, doc_id))
 
-    shared = members.where("rid <> hub").groupBy("rid", "hub").agg(F.count("*").alias("n"))
-    best = shared.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a"))
+    shared = members.where("rid <> hub").groupBy("rid", "hub").agg(F.count("*").alias("bands"))
+    best = shared.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("a"))
     links = materialise(verify(estimate(best, reps), sets))
     comp = components(links)
 
     label = members.join(comp.select(F.col("node").alias("rid"), F.col("root").alias("comp")).hint("merge"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    label = materialise(label.select("band", "key", "rid", "comp"))
-    mixed = label.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
-    rest = label.join(mixed.select("band", "key", "size").hint("merge"), ["band", "key"])
+    label = materialise(label.select("band", "key", "rid", "n", "comp"))
+    mixed = label.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.sum("n").alias("held")).where("x <> y")
+    rest = label.drop("n").join(mixed.select("band", "key", "size", "held").hint("merge"), ["band", "key"])
     comp = components(links.unionByName(materialise(within_buckets(rest, reps, sets))))
 
     roots = reps.select("cls", "rid").join(comp.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").select("cls", F.coalesce("root", "rid").alias("component_id"))
