@@ -91,10 +91,14 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 
 def fit(xp: np.ndarray, xu: np.ndarray) -> dict:
-    """Scaling, class prior and weights from positive and unlabelled feature rows."""
-    both = np.vstack([xp, xu])
-    mean, std = both.mean(0), both.std(0) + 1e-3
-    xp, xu = ((xp - mean) / std).astype(np.float32), ((xu - mean) / std).astype(np.float32)
+    """Scaling, class prior and weights from positive and unlabelled feature rows, which are scaled in place."""
+    n = len(xp) + len(xu)
+    mean = (xp.sum(0, dtype=np.float64) + xu.sum(0, dtype=np.float64)) / n
+    square = (np.einsum("nd,nd->d", xp, xp, dtype=np.float64) + np.einsum("nd,nd->d", xu, xu, dtype=np.float64)) / n
+    std = np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3
+    for x in (xp, xu):
+        x -= mean.astype(np.float32)
+        x /= std.astype(np.float32)
     half = descend(xp[::2], xu[::2], None)
     prior = estimate_prior(xp[1::2] @ half[:-1], xu[1::2] @ half[:-1])
     w = descend(xp, xu, prior)
@@ -114,9 +118,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, fo
 
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), "_id").orderBy("_id", "_p").select("_p", "text")
     got = texts.mapInPandas(rows, "p int, x binary").toPandas()
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), dtype=np.float32).reshape(-1, GRAMS + DENSE)
     p = got["p"].to_numpy() == 1
-    return fit(x[p], x[~p]) if p.sum() > 1 and (~p).sum() > 1 else None
+    xp, xu = np.empty((p.sum(), GRAMS + DENSE), np.float32), np.empty(((~p).sum(), GRAMS + DENSE), np.float32)
+    for x, part in ((xp, got["x"][p]), (xu, got["x"][~p])):
+        for i, raw in enumerate(part):
+            x[i] = np.frombuffer(raw, dtype=np.float32)
+    del got
+    return fit(xp, xu) if len(xp) > 1 and len(xu) > 1 else None
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 3, max_positive: int = 4000, max_unlabelled: int = 8000) -> DataFrame:
