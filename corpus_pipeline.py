@@ -34,8 +34,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files ordered by the mixing position: equal weights of the sources while all last."""
-    order = mix(docs).select("doc_id", F.col("text_crc32").alias("_t"), "position")
+    """All documents, in files ordered by the mixing position: the sources have their shares of all blocks throughout."""
+    order = mix(docs, "size").select("doc_id", F.col("text_crc32").alias("_t"), "position")
     copy = lambda df: df.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_t").orderBy(df["_t"])))
     order = copy(order).withColumnRenamed("doc_id", "_id").alias("o")
     rows = copy(docs.withColumn("_t", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))).alias("d")
@@ -44,8 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: bucket, batch and slot."""
-    return pack(docs)
+    """Where each piece of each document goes: bucket, batch and slot; batches follow the mixing order."""
+    return pack(docs, ordered=True)
 
 
 STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

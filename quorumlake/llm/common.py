@@ -69,15 +69,17 @@ def prefix_sums(lengths: Column, chunk: int = 256) -> Column:
     return let(lengths, chunked)
 
 
-def ranked(df: DataFrame, cells: list[str], within: list[Column], name: str, group: list[str] | None = None, max_cells: int = 1_000_000) -> DataFrame:
+def ranked(df: DataFrame, cells: list[str], within: list[Column], name: str, group: list[str] | None = None, max_cells: int = 1_000_000, first: Column | None = None) -> DataFrame:
     """Add `name`: the 0-based gapless rank of each row in its group (default: all rows), by cells, then a hash of `within`, then `within`.
 
+    `first` stands for the hash where an order is given: a long from 0 to 2^31 - 1, spread over that range.
+
     `group` is a leading part of `cells`. A cell that holds many rows is cut by ranges of the hash into
     buckets of like size, so no task sorts a hot cell; offsets come from the bucket counts, a table of
     about max(4096, rows / 100,000) rows and one for each cell. Null cells form a cell of their own.
     """
     group = group or []
-    df = df.withColumn("_u", F.pmod(F.xxhash64(*within), F.lit(1 << 31))).withColumns({f"_c{i}": F.col(c) for i, c in enumerate(cells)})
+    df = df.withColumn("_u", F.pmod(F.xxhash64(*within), F.lit(1 << 31)) if first is None else first).withColumns({f"_c{i}": F.col(c) for i, c in enumerate(cells)})
     keys = [f"_c{i}" for i in range(len(cells))]
     sizes = materialise(df.groupBy(*keys).agg(F.count("*").alias("_n")))
     total = sizes.agg(F.sum("_n"), F.count("*")).first()

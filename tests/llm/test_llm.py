@@ -214,6 +214,15 @@ def test_mixing_odd(odd, empty):
     assert MX.mix(empty).count() == 0
 
 
+def test_size_weights_last_to_the_end(spark):
+    rows = [(i, f"t{i}", "en", "hot" if i % 3 == 0 else f"s{i % 10}") for i in range(6000)]
+    got = MX.mix(docs_of(spark, rows), "size").toPandas().sort_values("position")
+    assert list(got.position) == list(range(6000))
+    share = got.source.value_counts(normalize=True)
+    for part in np.array_split(got.source.to_numpy(), 6):  # the hot source never runs alone
+        assert all(abs((part == s).mean() - share[s]) < 0.05 for s in share.index)
+
+
 # --- 5
 
 

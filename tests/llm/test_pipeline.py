@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quorumlake.llm.common import materialise
+from quorumlake.llm.mixing import mix
 
 from .test_llm import brute_components
 
@@ -45,3 +46,15 @@ def test_stages_take_odd_rows(spark, sf_dir):
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf_dir).count() >= 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_batches_follow_the_mixing_order(spark, sf_dir, results):
+    """In each bucket, batches and slots rank the pieces by the mixing position of their documents."""
+    order = {r.doc_id: r.position for r in mix(results["near_dedup"], "size").collect()}
+    assert len(order) == results["near_dedup"].count()
+    got = results["packing"].where("n_tokens > 0").toPandas().sort_values(["bucket", "batch", "slot"])
+    for _, b in got.groupby("bucket"):
+        places = [(order[i], p) for i, p in zip(b.doc_id, b.part)]
+        assert places == sorted(places)
+    without = P.packing_stage(spark, results["near_dedup"], sf_dir).toPandas().sort_values(["bucket", "batch", "slot"])
+    assert list(without.doc_id) != list(got.doc_id)
