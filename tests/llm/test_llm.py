@@ -223,6 +223,22 @@ def test_size_weights_last_to_the_end(spark):
         assert all(abs((part == s).mean() - share[s]) < 0.05 for s in share.index)
 
 
+@pytest.mark.parametrize("weights", [None, "size", {"s1": 3.0, "hot": 2.0}])
+def test_mixing_takes_any_number_of_sources(spark, weights):
+    rows = [(i, f"t{i}", "en", "hot" if i % 3 == 0 else None if i % 50 == 1 else f"s{i * i % 61}") for i in range(2000)]
+    df = docs_of(spark, rows)
+    got = MX.mix(df, weights, block_rows=4, parts=60, max_sources=3).toPandas().sort_values("position")  # four levels
+    assert sorted(got.doc_id) == list(range(2000)) and list(got.position) == list(range(2000))
+    assert ((got.slot >= got.release) & (got.slot < got.deadline)).all() and got.slot.is_monotonic_increasing
+    blocks = got.drop_duplicates("slot")
+    assert list(blocks.slot) == list(range(len(blocks)))
+    assert (got.groupby("slot").source.nunique(dropna=False) == 1).all()
+    if weights == "size":
+        got = MX.mix(df, "size", block_rows=4, max_sources=20).toPandas().sort_values("position")  # two levels
+        hot = (got.drop_duplicates("slot").source == "hot").to_numpy()
+        assert np.abs(hot.cumsum() - hot.mean() * np.arange(1, len(hot) + 1)).max() < 4
+
+
 # --- 5
 
 
