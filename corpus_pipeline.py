@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quorumlake.llm.common import materialise, table
 from quorumlake.llm.line_dedup import line_dedup
 from quorumlake.llm.mixing import mix
-from quorumlake.llm.near_dedup import near_dedup
+from quorumlake.llm.near_dedup import near_unique
 from quorumlake.llm.packing import pack
 from quorumlake.llm.quality_rules import quality_rules
 
@@ -29,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id, in one row."""
-    return near_dedup(docs).where("kept").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each near-duplicate group: the one with the smallest id, in one row; null ids count as the largest."""
+    return near_unique(docs).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def may_link(n1: np.ndarray, k1: np.ndarray, n2: np.ndarray, k2: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, cls (hash of the word sequence), n (set size) and regs of every row."""
+    """doc_id, body (hash of the text), cls (hash of the word sequence), n (set size) and regs of every row."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,9 +101,10 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 s = shingle_set(ws)
                 out.append((xxhash.xxh3_128_hexdigest(b" ".join(ws)), len(s), registers(s).tobytes() if len(s) else b""))
             cls, n, regs = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "cls": cls, "n": np.array(n, dtype=np.int64), "regs": regs})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "body": b["body"], "cls": cls, "n": np.array(n, dtype=np.int64), "regs": regs})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(emit, "doc_id long, cls string, n long, regs binary")
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    return named.mapInPandas(emit, "doc_id long, body long, cls string, n long, regs binary")
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
@@ -136,14 +137,15 @@ def estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(rid, set): the full shingle sets of the wanted documents, as sorted hashes; of texts that share an id, the least."""
+    """(rid, set): the full shingle sets, as sorted hashes, of the wanted texts (rid, id, body)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"rid": b["rid"], "set": [shingle_set(split_words(t)).tobytes() for t in b["text"]]})
 
-    named = docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    return named.join(wanted.hint("merge"), "rid", "left_semi").groupBy("rid").agg(F.min("text").alias("text")).mapInPandas(emit, "rid long, set binary")
+    named = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_body"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    found = named.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_body") == F.col("body")))
+    return found.groupBy("rid").agg(F.min("text").alias("text")).mapInPandas(emit, "rid long, set binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -242,15 +244,21 @@ def within_buckets(rest: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFra
 
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, cls, n_shingles, component_id) for every row of docs; see near_dedup."""
+    """(doc_id, body, n_shingles, component_id, lead, first) for every row of docs; see near_dedup.
+
+    The nodes are the word sequences, named by a hash, so texts that share an id or have none are told apart. The row that
+    stands for a component has its least (id, word sequence, text), null ids last: `lead` marks the rows with its words, and
+    `first` those with its id and text too. Rows without words are all both.
+    """
     rows = materialise(sketches(docs, text, doc_id))
-    one = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("cls", "n", "regs")).alias("s"))
-    classes = one.groupBy("s.cls").agg(F.min("doc_id").alias("rid"), F.min("s.n").alias("n"), F.min("s.regs").alias("regs"))
-    reps = materialise(classes)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min(place).alias("p"), F.min("n").alias("n"), F.min("regs").alias("regs"))
+    reps = materialise(classes.select("cls", F.xxhash64("cls").alias("rid"), F.col("p.doc_id").alias("id"), F.col("p.body").alias("body"), "n", "regs"))
     bands = band_rows(reps)
     hubs = bands.groupBy("band", "key").agg(F.min("rid").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialise(bands.join(hubs.hint("merge"), ["band", "key"]))
-    sets = materialise(shingle_sets(docs, members.select("rid").distinct(), text, doc_id))
+    wanted = reps.select("rid", "id", "body").join(members.select("rid").distinct().hint("merge"), "rid", "left_semi")
+    sets = materialise(shingle_sets(docs, wanted, text, doc_id))
 
     shared = members.where("rid <> hub").groupBy("rid", "hub").agg(F.count("*").alias("bands"))
     best = shared.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("a"))
@@ -263,10 +271,30 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     rest = label.drop("n").join(mixed.select("band", "key", "size", "held").hint("merge"), ["band", "key"])
     comp = components(links.unionByName(materialise(within_buckets(rest, reps, sets))))
 
-    roots = reps.select("cls", "rid").join(comp.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").select("cls", F.coalesce("root", "rid").alias("component_id"))
-    out = rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(roots.hint("merge"), "cls", "left")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, F.col("component_id"), F.col("doc_id"))))
+    roots = reps.select("cls", "rid", "id", "body").join(comp.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    roots = materialise(roots.drop("rid"))
+    least = roots.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cls", "body")).alias("p"))
+    roots = roots.drop("id", "body").join(least.hint("merge"), "root").select("cls", "p.id", F.col("p.body").alias("at"), (F.col("cls") == F.col("p.cls")).alias("lead"))
+    out = rows.select("doc_id", "body", "cls", F.col("n").alias("n_shingles")).join(roots.hint("merge"), "cls", "left")
+    alone = F.col("n_shingles") == 0
+    return out.select(
+        "doc_id", "body", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col("id"))).alias("component_id"),
+        (alone | F.col("lead")).alias("lead"),
+        (alone | (F.col("lead") & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("at")))).alias("first"),
+    )
+
+
+def near_unique(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of docs for each group of near duplicates, and for each distinct (id, text) without words.
+
+    The row is that of the least (id, word sequence, text), null ids last: a text without an id stays where it duplicates
+    nothing that has one, and different texts of one id all stay.
+    """
+    marks = link(docs, text, doc_id).where("first").select(F.col("doc_id").alias("_id"), F.col("body").alias("_b")).distinct()
+    keyed = docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_body": F.xxhash64(text)})
+    out = keyed.join(marks.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_b")), "left_semi")
+    return out.dropDuplicates(["_doc", "_body"]).drop("_doc", "_body")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -278,15 +306,16 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     components, its pairs across components are estimated and verified in it, so a group of n copies costs about n
     comparisons, and no link between components is left untested. Links are confirmed on full sets.
     Nulls and texts without words: n_shingles 0, linked with nothing. A row with a null doc_id has a null
-    component and is not kept. Rows that share a doc_id share a component; if their texts differ, one text
-    stands for them. Repeated rows are marked alike. An empty table gives no rows.
+    component and is not kept, but is linked like others; near_unique keeps it where it duplicates nothing. Different
+    texts that share a doc_id are nodes of their own; component_id is the least id of a component. Repeated rows are marked
+    alike. An empty table gives no rows.
     """
-    marks = link(docs, text, doc_id).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    marks = link(docs, text, doc_id).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_b")).agg(F.min("component_id").alias("component_id"), F.max("lead").alias("_lead"))
     sized = docs.drop("n_shingles", "component_id", "kept")
-    out = sized.join(marks.withColumnRenamed("doc_id", "_id").hint("merge"), sized[doc_id].cast("long") == F.col("_id"), "left").drop("_id")
-    return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)))
+    out = sized.join(marks.hint("merge"), (sized[doc_id].cast("long") == F.col("_id")) & (F.xxhash64(sized[text]) == F.col("_b")), "left").drop("_id", "_b")
+    return out.withColumn("kept", F.coalesce((F.col(doc_id) == F.col("component_id")) & F.col("_lead"), F.lit(False))).drop("_lead")
 
 
 def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce((F.col("doc_id") == F.col("component_id")) & F.col("lead"), F.lit(False)).alias("kept"))

@@ -284,6 +284,18 @@ def test_near_dedup_sizes_and_odd(spark, sf_dir, real, odd, empty):
     assert ND.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(7, text("a")), (7, text("b")), (3, text("b") + " more"), (7, text("c")), (7, text("c") + " more"), (7, ""), (None, text("d")), (None, text("d")), (None, text("a")), (None, text("e")), (9, text("e") + " more"), (None, "")]
+    df = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
+    got = {(r.doc_id, r.text): (r.component_id, r.kept) for r in ND.near_dedup(df).collect()}
+    assert got[7, text("a")] == (7, True) and got[7, text("b")] == (3, False) and got[3, text("b") + " more"] == (3, True)
+    assert sorted(got[7, text("c") + x] for x in ("", " more")) == [(7, False), (7, True)]
+    kept = [(r.doc_id, r.text) for r in ND.near_unique(df).collect()]
+    want = {(7, text("a")), (3, text("b") + " more"), (7, ""), (None, text("d")), (9, text("e") + " more"), (None, "")}
+    assert set(kept) - want < {(7, text("c")), (7, text("c") + " more")} and want < set(kept) and len(kept) == len(want) + 1
+
+
 def test_likelihood_estimates_similarity():
     rng = np.random.default_rng(3)
     for j in (0.5, 0.8, 0.95):
