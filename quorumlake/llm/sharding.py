@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialise, ranked, table
+from .common import let, materialise, ranked, table, value_ranks
 
 BITS = 6
 
@@ -49,19 +49,15 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
 
 
 def value_codes(df: DataFrame, col: str, bits: int = BITS) -> DataFrame:
-    """Add _code_<col>: the rank of a string value among its sorted distinct values, spread over the axis; null has 0.
+    """Add _code_<col>: the rank of a value among the sorted distinct values, spread evenly over the axis; null has 0.
 
-    With more distinct values than cells on the axis, the code is a hash of the value. The table of
-    values holds at most 2**bits rows, so broadcasting it is bounded.
+    The code never falls as the value grows, however many values there are. Up to 200,000 values are broadcast.
     """
     cells = 1 << bits
-    values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(cells).collect()]
-    if len(values) >= cells:
-        return df.withColumn(f"_code_{col}", F.when(F.col(col).isNull(), 0).otherwise(F.pmod(F.xxhash64(col), F.lit(cells))).cast("int"))
-    places = F.lit(0)
-    for i, v in enumerate(sorted(values)):
-        places = F.when(F.col(col) == F.lit(v), F.lit((i + 1) * cells // (len(values) + 1))).otherwise(places)
-    return df.withColumn(f"_code_{col}", places.cast("int"))
+    ranks, n = value_ranks(df, col)
+    codes = ranks.select("value", F.expr(f"cast((r + 1) * {cells} div {n + 1} as int)").alias("code"))
+    out = df.join(F.broadcast(codes) if n <= 200_000 else codes.hint("merge"), F.col(col) == F.col("value"), "left")
+    return out.withColumn(f"_code_{col}", F.coalesce("code", F.lit(0))).drop("value", "code")
 
 
 def shard_by_hilbert(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", dims: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -69,19 +65,21 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 16, text: str = "text", doc_
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, the dims and `keep` columns, hilbert, rank, shard and slot.
     The law is `rows`: shard sizes differ by one at most, slot counts from 0 in each shard. A shard covers a
-    short run of the curve, so min/max statistics of every dimension prune files.
+    short run of the curve, so min/max statistics of every dimension prune files (see write_shards).
     Nulls: a null text has size 1 and the checksum of the empty text; a null dimension sorts at 0. Repeated
-    rows each get a slot. An empty table gives no rows. Only key columns are shuffled, never texts.
+    rows each get a slot. An empty table gives no rows. Only key columns are shuffled, never texts. Columns that
+    neither dims nor keep name are not read; dims and keep must not name a result column.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     size = (F.octet_length(body) + F.lit(1)).cast("long")
     cols = {doc_id: F.col(doc_id), "size": size, "text_crc32": F.crc32(body.cast("binary"))} | {c: F.col(c) for c in (*dims, *keep)}
     rows = docs.select(*[e.alias(k) for k, e in cols.items()])
+    rows = materialise(rows)  # keys only
     for d in dims:
         rows = value_codes(rows, d)
     scale = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("size").cast("double")) * 2)).cast("int")
     rows = rows.withColumn("hilbert", hilbert_index([*[F.col(f"_code_{d}") for d in dims], scale])).drop(*[f"_code_{d}" for d in dims])
-    rows = materialise(rows)
+    rows = materialise(rows)  # the codes come by joins
     total = rows.count()
     out = ranked(rows, ["hilbert"], [F.col(doc_id), F.col("text_crc32"), F.col("size")], "rank")
     if total == 0:
@@ -94,6 +92,11 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 16, text: str = "text", doc_
     return out.withColumn("slot", (F.col("rank") - start).cast("long"))
 
 
+def write_shards(rows: DataFrame, path: str, shards: int = 16) -> None:
+    """Write rows of shard_by_hilbert as Parquet, a folder and a file for each shard, in slot order."""
+    rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_hilbert(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
