@@ -19,8 +19,8 @@ from quorumlake.llm.quality_rules import quality_rules
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep; the scores are written before they are filtered, so each text is scored once."""
+    return materialise(quality_rules(docs, table(spark, sf_dir, "labels")).select(*docs.columns, "kept")).where("kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, words
+from .common import WORD, boxed, let, materialise, sized_join, table, unboxed, words
 
 #: Fixed-point scale of the weights: sums of whole numbers do not depend on their order.
 SCALE = 1 << 20
@@ -40,7 +39,8 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, text: str,
     Counts cover the words and word pairs of all documents; they are combined in each task before the
     shuffle, which moves at most `buckets` rows from each. Only these `buckets` numbers reach the driver.
     """
-    marked = docs.select(F.col(doc_id).alias("_id"), words(F.col(text)).alias("w")).join(F.broadcast(trusted.withColumn("t", F.lit(1))), "_id", "left")
+    marked = sized_join(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), materialise(trusted.withColumn("t", F.lit(1))), ["id"], "left")
+    marked = marked.select("t", words(F.col("text")).alias("w"))
     places = marked.where(F.size("w") > 0).select("w", F.coalesce("t", F.lit(0)).alias("t"), F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     one, two = F.xxhash64(F.get("w", F.col("i"))), F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + 1))
     hashed = places.select("t", F.explode(F.when(F.col("i") < F.size("w") - 1, F.array(one, two)).otherwise(F.array(one))).alias("h"))
@@ -55,40 +55,39 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, text: str,
     return [round(SCALE * ratio(t, r)) for t, r in zip(target, raw)]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = 1 << 15, max_trusted: int = 20_000, threshold: float = -0.1, prior: float = 10.0) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept to docs.
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = 1 << 15, threshold: float = -0.1, prior: float = 10.0) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and llr to docs.
 
     llr is the mean, over the words and word pairs of the text, of log p_trusted - log p_raw of the hashed
     n-gram; kept is `not base_failed and llr >= threshold`, the same rule for each document, with no draw.
-    Trusted documents are those that `labels` marks quality 1, at most max_trusted of them, by hash order;
-    the raw counts cover all of docs. With no trusted document llr is 0 and the base rules decide alone.
+    Trusted documents are all that `labels` marks quality 1; the raw counts cover all of docs. With no trusted
+    document llr is 0 and the base rules decide alone.
     Nulls: a null text has no words, so it fails the base rules; rows with a null doc_id are scored too.
-    Repeated rows are scored alike. Added names replace columns of those names.
+    Repeated rows are scored alike. Columns of the added names are replaced; others keep their values whatever their
+    names. A filter on the result should read it from a written table: pushed below the scores it splits each text again.
     """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    trusted = good.orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
     weights = ngram_weights(docs, trusted, buckets, text, doc_id, prior)
     weigh = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # a constant for the optimizer
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_w", words(F.col(text))).withColumn("_b", adjacent(F.col("_w"), 1))
+    body = F.coalesce("text", F.lit(""))
+    out = boxed(docs, text=F.col(text)).withColumn("w", words(F.col("text"))).withColumn("b", adjacent(F.col("w"), 1))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    total = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.get(weigh, F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
-    total = total + F.aggregate("_b", F.lit(0).cast("long"), lambda a, h: a + F.get(weigh, F.pmod(h, F.lit(buckets)).cast("int")))
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + F.get(weigh, F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+    total = total + F.aggregate("b", F.lit(0).cast("long"), lambda a, h: a + F.get(weigh, F.pmod(h, F.lit(buckets)).cast("int")))
     out = out.select(
-        *[c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")],
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        "row",
+        F.size("w").cast("long").alias("n_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.char_length(body) - F.char_length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_b")).alias("n_repeat_words"),
-        F.when(F.size("_w") > 0, total / (F.size("_w") + F.size("_b")) / SCALE).otherwise(0.0).alias("llr"),
+        repeated_words(F.col("b")).alias("n_repeat_words"),
+        F.when(F.size("w") > 0, total / (F.size("w") + F.size("b")) / SCALE).otherwise(0.0).alias("llr"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
-    # the counts also keep a later filter on `kept` above the scores; pushed below them, it would split each text many times
-    return out.observe(f"quality-{uuid.uuid4().hex}", F.count("*").alias("documents"), F.count_if("kept").alias("kept"))
+    counts = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    return unboxed(out, docs.columns, **counts, base_failed=failed, kept=~failed & (F.col("llr") >= threshold), llr=F.col("llr"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
