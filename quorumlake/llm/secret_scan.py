@@ -57,15 +57,16 @@ def candidates(docs: DataFrame, text: str, doc_id: str, repo: str, owner: str) -
     return rows.withColumn("loose", clear).drop("_loose")
 
 
-def secret_scan(docs: DataFrame, example_owners: int = 3, text: str = "text", doc_id: str = "doc_id", repo: str = "doc_id", owner: str = "source") -> DataFrame:
+def secret_scan(docs: DataFrame, example_owners: int = 3, example_repos: int = 8, text: str = "text", doc_id: str = "doc_id", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """Secrets of every document: spans, and for each span how widely its value is owned.
 
     Candidate values (the assigned value, or the whole run) are hashed and counted over the corpus by distinct
-    owners and repositories. A value held by example_owners owners or more is a copied example; any other that
+    owners and repositories. A value held by example_owners owners or more, or by example_repos repositories or more of
+    at least two owners, is a copied example; many repositories of one owner are that owner's own. Any other value that
     mixes letters and digits is owner-specific and live-looking. Base spans always stay; a loose run that no
     fixed pattern covers becomes a span only if it is live. Returns a row for each row of docs: doc, body (hash
     of the text), n_assign, n_access, n_hex, base (string), spans (string), found (array of spans with verdict,
-    owners, repos), n_live, n_example.
+    owners, repos), n_live, n_example. Other columns of docs are not read.
     Nulls: a null text counts as empty; null owners or repositories are not counted as one. Repeated rows get
     equal results and count once. A value that holds a third of all rows is combined in each task first.
     """
@@ -76,7 +77,8 @@ def secret_scan(docs: DataFrame, example_owners: int = 3, text: str = "text", do
     spread = materialise(by_owner.groupBy("h").agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos")))
     small = spread.limit(100_001).count() <= 100_000
     judged = each.join(F.broadcast(spread) if small else spread.hint("merge"), "h")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(live_looking(F.col("s.value")), "live").otherwise("plain")
+    copied = (F.col("owners") >= example_owners) | ((F.col("owners") >= 2) & (F.col("repos") >= example_repos))
+    verdict = F.when(copied, "example").when(live_looking(F.col("s.value")), "live").otherwise("plain")
     found = F.struct("s.start", "s.no", "s.end", "s.kind", verdict.alias("verdict"), "owners", "repos")
     found = judged.select("doc", "body", found.alias("f")).where((F.col("f.no") < 3) | (F.col("f.verdict") == "live"))
     by_doc = found.groupBy(F.col("doc").alias("_doc"), F.col("body").alias("_body")).agg(F.sort_array(F.collect_set("f")).alias("found"))
@@ -92,4 +94,4 @@ def secret_scan(docs: DataFrame, example_owners: int = 3, text: str = "text", do
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
-    return out.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+    return out.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", F.array_join("found.owners", ",").alias("owners"), F.array_join("found.repos", ",").alias("repos"))
