@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import boxed, components, materialise, table, unboxed
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -291,10 +291,10 @@ def near_unique(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     The row is that of the least (id, word sequence, text), null ids last: a text without an id stays where it duplicates
     nothing that has one, and different texts of one id all stay.
     """
-    marks = link(docs, text, doc_id).where("first").select(F.col("doc_id").alias("_id"), F.col("body").alias("_b")).distinct()
-    keyed = docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_body": F.xxhash64(text)})
-    out = keyed.join(marks.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_b")), "left_semi")
-    return out.dropDuplicates(["_doc", "_body"]).drop("_doc", "_body")
+    marks = link(docs, text, doc_id).where("first").select(F.col("doc_id").alias("one"), F.col("body").alias("of")).distinct()
+    keyed = boxed(docs, id=F.col(doc_id).cast("long"), body=F.xxhash64(text))
+    out = keyed.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col("one")) & (F.col("body") == F.col("of")), "left_semi")
+    return unboxed(out.dropDuplicates(["id", "body"]), docs.columns)
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -308,12 +308,13 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     Nulls and texts without words: n_shingles 0, linked with nothing. A row with a null doc_id has a null
     component and is not kept, but is linked like others; near_unique keeps it where it duplicates nothing. Different
     texts that share a doc_id are nodes of their own; component_id is the least id of a component. Repeated rows are marked
-    alike. An empty table gives no rows.
+    alike. An empty table gives no rows. Columns of the added names are replaced; others keep their values.
     """
-    marks = link(docs, text, doc_id).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_b")).agg(F.min("component_id").alias("component_id"), F.max("lead").alias("_lead"))
-    sized = docs.drop("n_shingles", "component_id", "kept")
-    out = sized.join(marks.hint("merge"), (sized[doc_id].cast("long") == F.col("_id")) & (F.xxhash64(sized[text]) == F.col("_b")), "left").drop("_id", "_b")
-    return out.withColumn("kept", F.coalesce((F.col(doc_id) == F.col("component_id")) & F.col("_lead"), F.lit(False))).drop("_lead")
+    marks = link(docs, text, doc_id).groupBy(F.col("doc_id").alias("one"), F.col("body").alias("of")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("lead").alias("lead"))
+    keyed = boxed(docs, id=F.col(doc_id).cast("long"), body=F.xxhash64(text))
+    out = keyed.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col("one")) & (F.col("body") == F.col("of")), "left")
+    kept = F.coalesce((F.col("id") == F.col("component_id")) & F.col("lead"), F.lit(False))
+    return unboxed(out, docs.columns, n_shingles=F.col("n_shingles"), component_id=F.col("component_id"), kept=kept)
 
 
 def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

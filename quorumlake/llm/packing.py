@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,18 +62,18 @@ def token_counts(text: str, tokenizer_file: str | None):
     return encode(F.coalesce(F.col(text), F.lit("")))
 
 
-def placed_rows(docs: DataFrame) -> DataFrame:
-    """docs with _file and _row: the place of a row in the files of docs or, where docs is not read from files, in its partitions."""
+def placed_rows(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns with _file and _row: the place of a row in the files of docs or, where docs is not read from files, in its partitions."""
     try:
-        return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return docs.select(*columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
-        return docs.withColumns({"_file": F.format_string("%010d", F.spark_partition_id()), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+        return docs.select(*columns, F.format_string("%010d", F.spark_partition_id()).alias("_file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"))
 
 
 def row_numbers(rows: DataFrame) -> tuple[DataFrame, int]:
     """Add _at, the number of a row of placed_rows in the order of files and rows, from the counts of the files; and the number of rows."""
     sizes = materialise(rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n")))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy(F.length("_file"), "_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     numbered = rows.join(F.broadcast(offsets), "_file").withColumn("_at", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
     return numbered, sizes.agg(F.sum("_n")).first()[0] or 0
 
@@ -83,16 +83,15 @@ def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 8, budget: int = 1
 
     A text of more than max_len tokens is cut into pieces of max_len and a rest, so all of it is packed. The bounds
     of the buckets come from the histogram of all pieces (at most max_len rows reach the driver). A batch of a bucket
-    holds budget // bucket_len pieces, in hash order of their documents; batch numbers are gapless over all buckets.
+    holds budget // bucket_len pieces (one, over the budget, where the budget is less than the bucket's length), in hash
+    order of their documents; batch numbers are gapless over all buckets.
     ordered: pieces keep the order of the rows of docs (by file name and row in it, if docs is read from files) instead.
     Nulls: a null or wordless text is one row with n_tokens 0 and no bucket, batch or slot. Rows with a null doc_id
-    and repeated rows are packed like others. A bucket that holds a third of all pieces is ranked in parts.
+    and repeated rows are packed like others. Other columns of docs are not read. No rows: no result rows. A bucket that holds a third of all pieces is ranked in parts.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    place = ["_file", "_row"] if ordered else []
-    docs = placed_rows(docs) if ordered else docs
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.crc32(body.cast("binary")).alias("text_crc32"), token_counts(text, tokenizer_file).alias("n"), *place)
-    rows = materialise(rows)
+    columns = [F.col(doc_id).alias("doc_id"), F.crc32(body.cast("binary")).alias("text_crc32"), token_counts(text, tokenizer_file).alias("n")]
+    rows = materialise(placed_rows(docs, columns) if ordered else docs.select(*columns))
     order, first, at = [F.col("doc_id"), F.col("text_crc32"), F.col("part")], None, []
     if ordered:
         rows, total = row_numbers(rows)
