@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import boxed, table, unboxed
 
 LETTER = r"\p{L}"
 
@@ -26,34 +26,31 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def learn_dictionaries(rows: DataFrame, text: str, lang: str, order: list[Column], max_docs: int, dict_bytes: int, max_langs: int) -> tuple[list[str], list[bytes]]:
+def learn_dictionaries(rows: DataFrame, text: str, lang: str, order: list[Column], max_docs: int, dict_bytes: int, all_bytes: int) -> tuple[list[str], list[bytes]]:
     """For each language the concatenation of the letters of whole texts, at most max_docs of them and dict_bytes bytes.
 
-    Languages come in order of their number of rows. Texts over dict_bytes are not used. A hash bound keeps
-    about four times max_docs rows of a language before they are ranked, so no task sorts a whole language.
+    Every language is learned, if it has a text within its bytes; where there are more than all_bytes / dict_bytes of them, each
+    gets an even part of all_bytes. Languages come in order of their number of rows. A hash bound keeps
+    about four times max_docs rows of a language before they are ranked, so no task sorts a whole language, and a
+    running sum of bytes cuts them before they reach the driver.
     """
-    able = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER) & (F.octet_length(text) <= dict_bytes))
-    counts = able.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_langs).collect()
+    able = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER))
+    counts = able.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()
     if not counts:
         return [], []
-    near = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1 << 31, (4 * max_docs + 64) * (1 << 31) // r["count"]))])
+    room = min(dict_bytes, max(1024, all_bytes // len(counts)))
+    able = able.where(F.octet_length(text) <= room)
+    fit = able.groupBy(lang).count().withColumn("_most", F.least(F.lit(1 << 31), F.expr(f"({4 * max_docs + 64}L << 31) div count"))).drop("count")
     u = F.pmod(F.xxhash64(*order), F.lit(1 << 31))
-    few = able.select(lang, letters(F.col(text)).alias(text), u.alias("_u")).where(F.col("_u") < F.element_at(near, F.col(lang)))
-    rank = F.row_number().over(W.partitionBy(lang).orderBy("_u", text))
+    few = able.select(lang, letters(F.col(text)).alias(text), u.alias("_u")).join(F.broadcast(fit), lang).where(F.col("_u") < F.col("_most"))
+    w = W.partitionBy(lang).orderBy("_u", text)
+    few = few.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_docs)
+    few = few.withColumn("_sum", F.sum(F.octet_length(text) + 1).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("_sum") <= room + 1)
     found = defaultdict(list)
-    for r in few.withColumn("_r", rank).where(F.col("_r") <= max_docs).orderBy(lang, "_r").select(lang, text).toLocalIterator():
+    for r in few.orderBy(lang, "_r").select(lang, text).toLocalIterator():
         found[r[lang]].append(r[text].encode())
-    names, dicts = [], []
-    for r in counts:
-        raw, room = [], dict_bytes
-        for body in found[r[lang]]:
-            if len(body) <= room:
-                raw.append(body)
-                room -= len(body)
-        if raw:
-            names.append(r[lang])
-            dicts.append(b"\n".join(raw))
-    return names, dicts
+    names = [r[lang] for r in counts if r[lang] in found]
+    return names, [b"\n".join(found[n]) for n in names]
 
 
 def compressed_sizes(body: bytes, compressors: list, piece: int) -> list[int]:
@@ -68,7 +65,8 @@ def language_id(docs: DataFrame, names: list[str], dicts: list[bytes], text: str
     lang_pred is the language whose dictionary gives the fewest bytes for the letters of the whole text (ties: the language with more training
     rows); margin is the saving against the second best, over the second best; score is
     0.5 + min(0.5, 5 * margin); rejected is true where the margin is under min_margin. A text that is null or has
-    no letter is `und`, with score 0 and rejected; so is every text if no language was learned.
+    no letter is `und`, with score 0 and rejected; so is every text if no language was learned. Repeated rows are
+    predicted alike. Columns of the added names are replaced; others keep their values whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((names, dicts))
 
@@ -90,15 +88,20 @@ def language_id(docs: DataFrame, names: list[str], dicts: list[bytes], text: str
                 out.append((langs[best], 0.5 + min(0.5, 5 * margin), margin))
             yield pd.DataFrame(out, columns=["lang", "score", "margin"])
 
-    readable = F.coalesce(F.col(text).rlike(LETTER), F.lit(False)) & F.lit(bool(names))
-    found = docs.withColumn("_p", F.when(readable, classify(F.when(readable, letters(F.col(text))).otherwise(""))))
-    return found.withColumns({"lang_pred": F.coalesce("_p.lang", F.lit("und")), "score": F.coalesce("_p.score", F.lit(0.0)), "margin": F.coalesce("_p.margin", F.lit(0.0))}).withColumn("rejected", F.col("margin") < min_margin).drop("_p")
+    readable = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)) & F.lit(bool(names))
+    found = boxed(docs, text=F.col(text)).withColumn("p", F.when(readable, classify(F.when(readable, letters(F.col("text"))).otherwise(""))))
+    margin = F.coalesce("p.margin", F.lit(0.0))
+    return unboxed(found, docs.columns, lang_pred=F.coalesce("p.lang", F.lit("und")), score=F.coalesce("p.score", F.lit(0.0)), margin=margin, rejected=margin < min_margin)
 
 
-def fit_and_identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 5, max_docs: int = 64, dict_bytes: int = 112_000, max_langs: int = 500) -> DataFrame:
-    """Learn from rows outside fold 0 (bounded by max_docs and dict_bytes a language) and predict every row of docs."""
-    train = docs.where(fold(F.col(doc_id), folds) != 0)
-    names, dicts = learn_dictionaries(train, text, lang, [F.col(doc_id), F.col(text)], max_docs, dict_bytes, max_langs)
+def fit_and_identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 5, max_docs: int = 64, dict_bytes: int = 112_000, all_bytes: int = 64 << 20) -> DataFrame:
+    """Learn from rows outside fold 0 and predict every row of docs; see language_id.
+
+    At most max_docs whole texts and dict_bytes bytes of each language are learned, and all_bytes of all languages: the
+    bounds of the labelled sample that is fitted. Rows with a null id or language are predicted but not learned from.
+    """
+    train = docs.where(fold(F.col(doc_id), folds) != 0).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    names, dicts = learn_dictionaries(train, "text", "lang", [F.col("id"), F.col("text")], max_docs, dict_bytes, all_bytes)
     return language_id(docs.withColumn("held_out", F.coalesce(fold(F.col(doc_id), folds) == 0, F.lit(False))), names, dicts, text)
 
 
