@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, table, unboxed
 from .language_id import fold
 
 GRAMS = 1024
@@ -79,19 +79,33 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float | None, seed: int = 7,
     return mean
 
 
+def tails(counts: np.ndarray) -> np.ndarray:
+    """Share of a histogram in each bin and those above it."""
+    return counts[::-1].cumsum()[::-1] / max(1, counts.sum())
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among unlabelled rows: least ratio of the tails above a score, with a confidence term (best bin)."""
-    cuts = np.unique(np.concatenate([p, u]))
-    qp = 1 - np.searchsorted(np.sort(p), cuts) / len(p)
-    qu = 1 - np.searchsorted(np.sort(u), cuts) / len(u)
-    slack = np.sqrt(np.log(20) / (2 * len(u))) + np.sqrt(np.log(20) / (2 * len(p)))
+    """Share of positives among unlabelled rows, from two histograms over the same bins of a score.
+
+    The least ratio of the tails above a score, with a confidence term (best bin).
+    """
+    qp, qu = tails(p), tails(u)
+    slack = np.sqrt(np.log(20) / (2 * max(1, u.sum()))) + np.sqrt(np.log(20) / (2 * max(1, p.sum())))
     able = qp > 0.05
     best = np.argmin((qu[able] + slack) / qp[able])
     return float(np.clip(qu[able][best] / qp[able][best], 0.05, 0.99))
 
 
-def fit(xp: np.ndarray, xu: np.ndarray) -> dict:
-    """Scaling, class prior and weights from positive and unlabelled feature rows, which are scaled in place."""
+#: Bins of a raw score between -CLIP and CLIP.
+BINS, CLIP = 4096, 30.0
+
+
+def bins_of(z: np.ndarray) -> np.ndarray:
+    return np.minimum(BINS - 1, ((np.clip(z, -CLIP, CLIP) + CLIP) * (BINS / (2 * CLIP))).astype(np.int64))
+
+
+def scaling(xp: np.ndarray, xu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of all rows, which are scaled in place."""
     n = len(xp) + len(xu)
     mean = (xp.sum(0, dtype=np.float64) + xu.sum(0, dtype=np.float64)) / n
     square = (np.einsum("nd,nd->d", xp, xp, dtype=np.float64) + np.einsum("nd,nd->d", xu, xu, dtype=np.float64)) / n
@@ -99,39 +113,66 @@ def fit(xp: np.ndarray, xu: np.ndarray) -> dict:
     for x in (xp, xu):
         x -= mean.astype(np.float32)
         x /= std.astype(np.float32)
+    return mean, std
+
+
+def fit(xp: np.ndarray, xu: np.ndarray, count) -> dict:
+    """Class prior and weights from positive and unlabelled feature rows.
+
+    A first model of positives against unlabelled rows is fitted to every second row. Its scores of the other positives, and
+    of all rows of the corpus, which count(w, b) gives as a histogram by bins_of, yield the prior; then the risk is minimised.
+    """
+    mean, std = scaling(xp, xu)
+    raw = lambda w: (w[:-1] / std, w[-1] - float((mean / std) @ w[:-1]))
     half = descend(xp[::2], xu[::2], None)
-    prior = estimate_prior(xp[1::2] @ half[:-1], xu[1::2] @ half[:-1])
-    w = descend(xp, xu, prior)
-    return {"prior": prior, "w": w[:-1] / std, "b": w[-1] - float((mean / std) @ w[:-1])}
+    mine = np.bincount(bins_of(xp[1::2] @ half[:-1] + half[-1]), minlength=BINS)
+    prior = estimate_prior(mine, count(*raw(half)))
+    w, b = raw(descend(xp, xu, prior))
+    return {"prior": prior, "w": w, "b": b}
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, folds: int, max_positive: int, max_unlabelled: int) -> dict | None:
-    """Fit on at most max_positive trusted rows and max_unlabelled rows whose labels are not looked at; None without positives."""
-    ids = docs.select(F.col(doc_id).alias("_id")).where(fold(F.col("_id"), folds) != 1)
-    first = lambda df, n: df.distinct().orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(n)
-    good = labels.select(F.col("doc_id").alias("_id"), "quality").where((fold(F.col("_id"), folds) != 1) & (F.col("quality") == 1)).drop("quality")
-    wanted = first(good, max_positive).withColumn("_p", F.lit(1)).union(first(ids, max_unlabelled).withColumn("_p", F.lit(0)))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fit on at most max_positive trusted rows and max_unlabelled rows whose labels are not looked at, one row an id; None without
+    positives. The class prior comes from the scores of all rows outside fold 1."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(fold(F.col("id"), folds) != 1)
+    first = lambda df, n: df.distinct().orderBy(F.xxhash64("id", F.lit(7)), "id").limit(n)
+    good = labels.select(F.col("doc_id").alias("id"), "quality").where((fold(F.col("id"), folds) != 1) & (F.col("quality") == 1)).drop("quality")
+    wanted = first(good, max_positive).withColumn("p", F.lit(1)).union(first(rows.select("id"), max_unlabelled).withColumn("p", F.lit(0)))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"p": b["_p"], "x": [features(s).tobytes() for s in b["text"]]})
+            yield pd.DataFrame({"p": b["p"], "x": [features(s).tobytes() for s in b["text"]]})
+
+    def count(w: np.ndarray, c: float) -> np.ndarray:
+        @F.pandas_udf("long")
+        def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield pd.Series([int(bins_of(features(s) @ w + c)) for s in b], dtype="int64")
+
+        out = np.zeros(BINS)
+        for r in rows.select(place("text").alias("bin")).groupBy("bin").count().collect():
+            out[r["bin"]] = r["count"]
+        return out
 
-    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), "_id").orderBy("_id", "_p").select("_p", "text")
-    got = texts.mapInPandas(rows, "p int, x binary").toPandas()
+    texts = rows.join(F.broadcast(wanted), "id").groupBy("id", "p").agg(F.min("text").alias("text")).orderBy("id", "p").select("p", "text")
+    got = texts.mapInPandas(encode, "p int, x binary").toPandas()
     p = got["p"].to_numpy() == 1
     xp, xu = np.empty((p.sum(), GRAMS + DENSE), np.float32), np.empty(((~p).sum(), GRAMS + DENSE), np.float32)
     for x, part in ((xp, got["x"][p]), (xu, got["x"][~p])):
         for i, raw in enumerate(part):
             x[i] = np.frombuffer(raw, dtype=np.float32)
     del got
-    return fit(xp, xu) if len(xp) > 1 and len(xu) > 1 else None
+    return fit(xp, xu, count) if len(xp) > 1 and len(xu) > 1 else None
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 3, max_positive: int = 4000, max_unlabelled: int = 8000) -> DataFrame:
     """Add held_out, score and predicted to docs; labels of fold 1 are not read.
 
-    The model is linear in features(text) of the whole text. A null text counts as empty. Without a trusted
-    positive every score is 0.5. Rows with a null doc_id are scored and never learned from.
+    The model is linear in features(text) of the whole text. Its risk is minimised on a sample: max_positive trusted rows and
+    max_unlabelled other rows of the training folds, by hash order; the class prior is counted over all of their rows.
+    A null text counts as empty. Without two trusted positives every score is 0.5. Rows with a null doc_id are scored and
+    never learned from; repeated rows are scored alike, and of rows that share an id the least text is learned from. Columns
+    of the added names are replaced; others keep their values whatever their names.
     """
     model = learn_quality(docs, labels, text, doc_id, folds, max_positive, max_unlabelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -145,9 +186,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
             else:
                 yield pd.Series([float(1 / (1 + np.exp(-np.clip(features(s) @ m["w"] + m["b"], -30, 30)))) for s in b], dtype=float)
 
-    out = docs.withColumn("held_out", F.coalesce(fold(F.col(doc_id), folds) == 1, F.lit(False)))
-    out = out.withColumn("score", rate(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    held = F.coalesce(fold(F.col("id"), folds) == 1, F.lit(False))
+    out = boxed(docs, id=F.col(doc_id), text=F.coalesce(F.col(text), F.lit(""))).select("row", held.alias("held_out"), rate("text").alias("score"))
+    return unboxed(out, docs.columns, held_out=F.col("held_out"), score=F.col("score"), predicted=(F.col("score") >= 0.5).cast("int"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
