@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import boxed, components, materialise, table, unboxed
 
 #: Rows of a bucket that one task compares at once; a larger bucket is compared chunk by chunk.
 CHUNK = 1024
@@ -60,12 +60,18 @@ def representatives(vectors: DataFrame, vec_id: str, embedding: str) -> DataFram
     return one.groupBy("embedding").agg(F.min("id").alias("rid"), F.count("*").alias("weight"))
 
 
+def key_type(p: dict) -> np.dtype:
+    """The smallest whole type that holds a key."""
+    return np.dtype(np.int32 if p["cuts"] < 32 else np.int64)
+
+
 def with_keys(reps: DataFrame, p: dict, seed: int) -> DataFrame:
-    """rid, weight, dim, x (unit vector) and keys (one for each order) of the vectors that can link."""
-    cuts, orders = p["cuts"], p["orders"]
+    """rid, weight, dim, x (unit vector, in the precision of the input) and keys (one for each order) of the vectors that can link."""
+    cuts, orders, kind = p["cuts"], p["orders"], key_type(p)
+    single = reps.schema["embedding"].dataType.elementType.simpleString() == "float"
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight, known = 1 << np.arange(cuts, dtype=np.int64), {}
+        bit, known = (1 << np.arange(cuts, dtype=np.int64)).astype(kind), {}
         for b in batches:
             xs = [unit(v) for v in b["embedding"]]
             for dim in {len(x) for x in xs if x is not None}:
@@ -73,20 +79,30 @@ def with_keys(reps: DataFrame, p: dict, seed: int) -> DataFrame:
                 x = np.array([xs[i] for i in at])
                 if dim not in known:
                     known[dim] = directions(dim, cuts * orders, seed)
-                keys = ((x @ known[dim] > 0).reshape(len(x), orders, cuts) * weight).sum(2)
-                yield pd.DataFrame({"rid": b["rid"].to_numpy()[at], "weight": b["weight"].to_numpy()[at], "dim": np.int32(dim), "x": [v.tobytes() for v in x], "keys": [k.tobytes() for k in keys]})
+                keys = np.stack([(x @ known[dim][:, o * cuts : (o + 1) * cuts] > 0).astype(kind) @ bit for o in range(orders)], 1)
+                own = [np.asarray(b["embedding"].iat[i], dtype=np.float32) if single else x[k] for k, i in enumerate(at)]
+                yield pd.DataFrame({"rid": b["rid"].to_numpy()[at], "weight": b["weight"].to_numpy()[at], "dim": np.int32(dim), "x": [v.tobytes() for v in own], "keys": [k.tobytes() for k in keys]})
 
     return reps.mapInPandas(emit, "rid long, weight long, dim int, x binary, keys binary")
 
 
-def key_rows(keyed: DataFrame, orders: int) -> DataFrame:
+def units(raw: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision of stored vectors of one length."""
+    kind = np.float32 if len(raw[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+
+
+def key_rows(keyed: DataFrame, p: dict) -> DataFrame:
     """(dim, ord, key, rid): one row for each vector and order."""
+    orders, kind = p["orders"], key_type(p)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = np.frombuffer(b"".join(b["keys"]), dtype=np.int64).reshape(len(b), orders)
+            keys = np.frombuffer(b"".join(b["keys"]), dtype=kind).reshape(len(b), orders)
             for o in range(orders):
-                yield pd.DataFrame({"dim": b["dim"], "ord": np.int32(o), "key": keys[:, o], "rid": b["rid"]})
+                yield pd.DataFrame({"dim": b["dim"], "ord": np.int32(o), "key": keys[:, o].astype(np.int64), "rid": b["rid"]})
 
     return keyed.select("rid", "dim", "keys").mapInPandas(emit, "dim int, ord int, key long, rid long")
 
@@ -132,8 +148,8 @@ def count_collisions(p: dict, cosine: float, seed: int):
     def links(d: pd.DataFrame, dim: int, r: np.ndarray) -> Iterator[pd.DataFrame]:
         """Pairs of a group by their distance in it. A pair counts in the first order in which its keys agree only."""
         half = p["width"] * math.sqrt(2 - 2 * cosine) / math.sqrt(dim)
-        x = np.frombuffer(b"".join(d["x"]), dtype=np.float64).reshape(-1, dim)
-        keys = np.frombuffer(b"".join(d["keys"]), dtype=np.int64).reshape(len(d), -1)
+        x = units(list(d["x"]), dim)
+        keys = np.frombuffer(b"".join(d["keys"]), dtype=key_type(p)).reshape(len(d), -1)
         at = (x @ r).astype(np.float32)
         rid, weight, order, side = (d[c].to_numpy() for c in ("rid", "weight", "ord", "side"))
         cross = (d["lo"] != d["hi"]).to_numpy()
@@ -171,12 +187,13 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec
     chunk by chunk, with counts and a spanning set of links as output, never the pairs.
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing: n_links 0,
     component_id their own id, kept. A row with a null id has n_links 0, a null component_id and is not kept. Of
-    rows that share an id, the least embedding counts. Vectors of different lengths never link.
+    rows that share an id, the least embedding counts. Vectors of different lengths never link. Columns of the added names are
+    replaced; others keep their values whatever their names.
     """
     reps = materialise(representatives(vectors, vec_id, embedding))
     p = plan(reps.count(), cosine)
     keyed = materialise(with_keys(reps, p, seed))
-    light = key_rows(keyed, p["orders"])
+    light = key_rows(keyed, p)
     sizes = light.groupBy("dim", "ord", "key").agg(F.count("*").alias("n")).where("n > 1")
     run = light.join(sizes.hint("merge"), ["dim", "ord", "key"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -189,13 +206,13 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec
     roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     nodes = reps.join(keyed.select("rid", F.lit(True).alias("able")).hint("merge"), "rid", "left").join(linked.hint("merge"), "rid", "left").join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid", "left")
     nodes = nodes.select(F.col("embedding").alias("_e"), "rid", F.coalesce("able", F.lit(False)).alias("able"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "rid").alias("root"))
-    ids = vectors.where(F.col(vec_id).isNotNull()).groupBy(F.col(vec_id).alias("_id")).agg(F.min(embedding).alias("_v"))
-    named = ids.join(nodes.hint("merge"), F.col("_v").eqNullSafe(F.col("_e")))
-    named = named.select("_id", F.when(F.col("able"), F.col("links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("able"), F.col("root")).otherwise(F.col("_id")).alias("component_id"))
-    clean = vectors.drop("n_links", "component_id", "kept")
-    out = clean.join(named.hint("merge"), clean[vec_id] == named["_id"], "left").drop("_id")
-    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).withColumn("kept", F.coalesce(F.col(vec_id) == F.col("component_id"), F.lit(False)))
+    ids = vectors.where(F.col(vec_id).isNotNull()).groupBy(F.col(vec_id).alias("id")).agg(F.min(embedding).alias("v"))
+    named = ids.join(nodes.hint("merge"), F.col("v").eqNullSafe(F.col("_e")))
+    named = named.select(F.col("id").alias("of"), F.when(F.col("able"), F.col("links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("able"), F.col("root")).otherwise(F.col("id")).alias("component_id"))
+    out = boxed(vectors, id=F.col(vec_id)).join(named.hint("merge"), F.col("id") == F.col("of"), "left")
+    n_links = F.coalesce("n_links", F.lit(0).cast("long"))
+    return unboxed(out, vectors.columns, n_links=n_links, component_id=F.col("component_id"), kept=F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+    return embedding_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
