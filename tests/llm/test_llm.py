@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -23,6 +24,7 @@ from quorumlake.llm import quality_classifier as QC
 from quorumlake.llm import quality_rules as QR
 from quorumlake.llm import secret_scan as SS
 from quorumlake.llm import sharding as SH
+from quorumlake.llm import common as C
 from quorumlake.llm.common import components, prefix_sums, ranked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -97,6 +99,41 @@ def test_line_spread_and_first_occurrence(spark):
     assert got[0] == "own 0\nshared line\nown again 0" and got[3] == "own 3\nown again 3" and got[9] == "few" and got[25] == "few"
 
 
+def test_long_lines_need_fewer_sites_and_copies_count_once(spark):
+    long = "a passage " * 20
+    rows = [(i, f"own {i}\n{long}\nshort one", "en", f"s{i}") for i in range(4)]
+    rows += [(10 + i, f"copied\n{long}\nonly here", "en", f"s{i}") for i in range(9)]  # one text on nine sites
+    got = {r.doc_id: (r.text, r.n_removed) for r in LD.line_dedup(docs_of(spark, rows)).collect()}
+    assert got[0] == (rows[0][1], 0) and got[3] == ("own 3\nshort one", 1)
+    assert {got[10 + i] for i in range(9)} == {("copied\nonly here", 1)}  # copies stay copies
+
+
+def test_estimates_near_the_threshold_are_counted_exactly(spark, monkeypatch):
+    """With sketches of 16 registers the estimate is far off; the exact count decides inside its band of errors."""
+    rows = [(100 * k + i, f"line number {k}\nown {k} {i}", "en", f"s{i}") for k in range(30) for i in range(28 + k % 4)]
+    got = LD.line_dedup(docs_of(spark, rows), min_sites=30, lg_k=4).collect()
+    for r in got:
+        k, i = divmod(r.doc_id, 100)
+        assert r.n_removed == (k % 4 >= 2 and i > 0), (k, i)
+
+
+def clashing(df):
+    """Columns with the names that operators use inside."""
+    names = ["row", "doc", "body", "_doc", "_body", "_gone", "gone", "site", "id", "_id", "_p", "p", "_w", "_b", "w", "b", "h", "len", "first", "one", "of", "lead", "llr0", "_metadata", "_file", "a.b"]
+    return df.withColumns({n: F.lit(n) for n in names}), names
+
+
+def test_user_columns_keep_their_values(spark, odd, labels):
+    df, names = clashing(odd)
+    vec, _ = clashing(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>"))
+    outs = [LD.line_dedup(df), QR.quality_rules(df, labels), LI.fit_and_identify(df), QC.quality_classifier(df, labels), ND.near_dedup(df), ND.near_unique(df), E.embedding_dedup(vec)]
+    for out in outs:
+        for r in out.collect():
+            assert all(r[n] == n for n in names)
+    assert MX.mix(df).count() == SS.secret_scan(df).count() == SH.shard_by_hilbert(df).count() == 8
+    assert PK.pack(df, ordered=True).count() == PK.pack(odd).count()
+
+
 def test_lines_odd(spark, odd, empty):
     got = LD.line_dedup(odd.withColumn("n_removed", F.lit(7)), min_sites=2).collect()
     assert len(got) == 8 and [r.text for r in got if r.doc_id == 1] == [None] and all(r.n_removed == 0 for r in got)
@@ -179,6 +216,23 @@ def test_secrets_against_python(spark):
             assert verdicts == {"live"} and "loose:5:26" in r.spans
 
 
+def test_verdicts_weigh_owners_and_repositories(spark):
+    value = lambda k: f"zZ9xY8wV7uT6sR5qP4oN{k}"
+    rows = [(i, f"here {value(1)}", "en", "one") for i in range(40)]  # many repositories of one owner: its own
+    rows += [(100 + i, f"here {value(2)}", "en", f"s{i % 2}") for i in range(8)]  # two owners, eight repositories: copied
+    rows += [(200 + i, f"here {value(3)}", "en", f"s{i % 2}") for i in range(4)]  # two owners, four repositories: live
+    rows += [(300 + i, f"here {value(4)}", "en", f"s{i}") for i in range(3)] * 2  # three owners, repeated rows
+    got = SS.secret_scan(docs_of(spark, rows)).collect()
+    verdict = {r.doc // 100: {(x.verdict, x.owners, x.repos) for q in got if q.doc // 100 == r.doc // 100 for x in q.found} for r in got}
+    assert verdict == {0: {("live", 1, 40)}, 1: set(), 2: {("live", 2, 4)}, 3: set()}
+
+
+def test_secrets_in_a_dense_long_text(spark):
+    text = "token=abcdef12 " * 5000 + "0123456789abcdef01234567 " * 2000
+    r = SS.secret_scan(docs_of(spark, [(1, text, "en", "s")])).first()
+    assert r.n_assign == 5000 and r.n_hex == 2000 and r.base == base_spans(text)
+
+
 def test_secrets_query_shape(spark, sf_dir, odd, empty):
     r = SS.op3_secret_scan(spark, sf_dir).first()
     assert re.fullmatch("[0-9a-f]{64}", r.base_sha256)
@@ -200,9 +254,55 @@ def test_frames_keep_windows_and_deviation(shares):
         assert (abs(given - np.arange(1, n + 1) * k / n) < 1).all()
 
 
+def plain_edf(blocks, weights):
+    """The schedule by plain simulation with exact rationals: which source has each slot, until one without a block is due; then again."""
+    left, out = list(blocks), []
+    while any(left):
+        act = [i for i, b in enumerate(left) if b]
+        w = {i: Fraction(str(weights[i])) / sum(Fraction(str(weights[k])) for k in act) for i in act}
+        given, t = dict.fromkeys(act, 0), 0
+        while True:
+            able = [i for i in act if math.floor(given[i] / w[i]) <= t]
+            i = min(able, key=lambda i: (math.ceil((given[i] + 1) / w[i]), i))
+            if not left[i]:
+                break
+            out.append(i)
+            given[i], left[i], t = given[i] + 1, left[i] - 1, t + 1
+    return out
+
+
+@pytest.mark.parametrize(("blocks", "weights"), [([300] * 12, [1] * 12), ([40, 7, 90], [0.2, 0.5, 0.3]), ([500, 3], [0.99, 0.01]), ([11, 222, 35, 1], [11, 222, 35, 1]), ([3, 3, 3], [1e-3, 1, 7])])
+def test_schedule_equals_plain_simulation(blocks, weights):
+    slots = {}
+    for name, _, first, end, at, k, n, own in MX.runs_of(list(range(len(blocks))), blocks, weights):
+        for b in range(first, end):
+            slots[at + (b - first) // k * n + own[(b - first) % k]] = name
+    assert [slots[i] for i in range(sum(blocks))] == plain_edf(blocks, weights)
+
+
+def test_deviation_stays_below_one_block_against_the_true_weights():
+    for blocks, weights in (([100_000] * 12, [1] * 12), ([300_000, 300_000], [0.99999, 0.00001]), ([10**6, 10**6, 10**6], [0.123, 0.456, 0.421])):
+        runs = [r for r in MX.runs_of(list(range(len(blocks))), blocks, weights) if r[1] == 0]
+        total = sum(Fraction(str(w)) for w in weights)
+        for i, _, first, end, at, k, n, own in runs:
+            assert Fraction(k, n) == Fraction(str(weights[i])) / total  # exact: the error can't add up
+            for b in [*range(0, min(end, 2000)), *range(max(0, end - 500), end)]:
+                slot = b // k * n + own[b % k]
+                assert b * n // k <= slot < -(-(b + 1) * n // k)  # inside its window, so less than one block off at any slot
+
+
+def test_weights_must_be_positive(odd):
+    for bad in (0, -1.0):
+        with pytest.raises(ValueError):
+            MX.mix(odd, {"a": 1.0, "b": bad})
+    got = MX.mix(docs_of(odd.sparkSession, [(i, "t", "en", None if i % 2 else "") for i in range(40)]), {None: 3.0, "": 1.0}, block_rows=2).toPandas()
+    first = got[got.slot < 12].drop_duplicates("slot")
+    assert (first.source.isna().sum(), (first.source == "").sum()) == (9, 3)  # a null source is apart from ""
+
+
 def test_mixing_places_every_row(spark):
     rows = [(i, f"t{i}", "en", None if i % 40 == 0 else "hot" if i % 3 else f"s{i % 4}") for i in range(1000)]
-    got = MX.mix(docs_of(spark, rows), {"hot": 2.0, "s0": 1.0}, block_rows=7, parts=60).toPandas().sort_values("position")
+    got = MX.mix(docs_of(spark, rows), {"hot": 2.0, "s0": 1.0}, block_rows=7).toPandas().sort_values("position")
     assert list(got.position) == list(range(1000)) and ((got.slot >= got.release) & (got.slot < got.deadline)).all()
     blocks = got.drop_duplicates("slot")
     assert list(blocks.slot) == list(range(len(blocks)))
@@ -227,7 +327,7 @@ def test_size_weights_last_to_the_end(spark):
 def test_mixing_takes_any_number_of_sources(spark, weights):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 == 0 else None if i % 50 == 1 else f"s{i * i % 61}") for i in range(2000)]
     df = docs_of(spark, rows)
-    got = MX.mix(df, weights, block_rows=4, parts=60, max_sources=3).toPandas().sort_values("position")  # four levels
+    got = MX.mix(df, weights, block_rows=4, max_sources=3).toPandas().sort_values("position")  # four levels
     assert sorted(got.doc_id) == list(range(2000)) and list(got.position) == list(range(2000))
     assert ((got.slot >= got.release) & (got.slot < got.deadline)).all() and got.slot.is_monotonic_increasing
     blocks = got.drop_duplicates("slot")
@@ -284,6 +384,23 @@ def test_near_dedup_sizes_and_odd(spark, sf_dir, real, odd, empty):
     assert ND.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_in_small_stars_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ND, "STAR", 4)
+    monkeypatch.setattr(ND, "CHUNK", 8)
+    monkeypatch.setattr(C, "HUB", 5)
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(40):
+            w = list(base)
+            for p in rng.choice(100, size=int(rng.integers(0, 4)), replace=False):
+                w[p] = f"m{g}_{k}_{p}"
+            rows.append((1000 * g + k, " ".join(w)))
+    got = ND.near_dedup(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
 def test_near_dedup_tells_texts_of_one_id_apart(spark):
     text = lambda w: " ".join(f"{w}{i}" for i in range(40))
     rows = [(7, text("a")), (7, text("b")), (3, text("b") + " more"), (7, text("c")), (7, text("c") + " more"), (7, ""), (None, text("d")), (None, text("d")), (None, text("a")), (None, text("e")), (9, text("e") + " more"), (None, "")]
@@ -322,6 +439,43 @@ def test_language_accuracy_and_odd(spark, sf_dir, real, odd, empty):
     assert LI.fit_and_identify(empty).count() == 0
 
 
+def test_language_against_plain_python(spark, real):
+    """The query's predictions from the learned dictionaries, by a compressor a text and language, with ties and rejection."""
+    import unicodedata
+
+    import zstandard
+
+    train = real.where(LI.fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("id"), "text", "lang")
+    names, dicts = LI.learn_dictionaries(train, "text", "lang", [F.col("id"), F.col("text")], 64, 112_000, 64 << 20)
+    assert sorted(names) == sorted({r.lang for r in train.where("lang is not null").select("lang").distinct().collect()})
+    known = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in dicts]
+
+    def sizes(text):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+        body = " ".join(kept.split()).encode()
+        make = lambda k: zstandard.ZstdCompressor(level=3, dict_data=k, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return [sum(len(make(k).compress(body[i : i + 2048])) for i in range(0, len(body), 2048)) for k in known]
+
+    got = {r.doc_id: r for r in LI.fit_and_identify(real).collect()}
+    for r in real.collect():
+        x, s = got[r.doc_id], sizes(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert x.lang_pred == "und" and x.rejected
+            continue
+        best, second = sorted(s)[:2]
+        assert x.lang_pred == names[s.index(best)] and abs(x.margin - (second - best) / second) < 1e-9
+        assert x.rejected == ((second - best) / second < 0.01)
+    tie = LI.language_id(docs_of(spark, [(1, "abc", None, None)]), ["xx", "yy"], [b"zzzzzzzz", b"zzzzzzzz"]).first()
+    assert (tie.lang_pred, tie.margin, tie.rejected) == ("xx", 0.0, True)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 600} text of lang{i % 600}", f"l{i % 600:03}", "s") for i in range(1200)]
+    train = docs_of(spark, rows).select(F.col("doc_id").alias("id"), "text", "lang")
+    names, dicts = LI.learn_dictionaries(train, "text", "lang", [F.col("id"), F.col("text")], 64, 112_000, 1 << 20)
+    assert len(names) == 600 and sum(map(len, dicts)) <= 1 << 20
+
+
 def test_language_labels_of_held_out_rows_do_not_matter(spark, real):
     held = LI.fold(F.col("doc_id"), 5) == 0
     other = real.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang")))
@@ -329,7 +483,8 @@ def test_language_labels_of_held_out_rows_do_not_matter(spark, real):
     assert a.lang_pred.tolist() == b.lang_pred.tolist()
 
 
-def test_classifier(spark, real, labels, odd, empty):
+def test_classifier(spark, odd, empty):
+    real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = QC.quality_classifier(real, labels)
     rows = got.toPandas()
     assert rows.score.between(0, 1).all() and ((rows.score >= 0.5) == (rows.predicted == 1)).all()
@@ -337,6 +492,18 @@ def test_classifier(spark, real, labels, odd, empty):
     other = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     again = QC.quality_classifier(real, other).toPandas()
     assert np.allclose(rows.sort_values("doc_id").score, again.sort_values("doc_id").score)
+    assert (rows.held_out.to_numpy() == [zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id]).all()
+    gold = rows.merge(labels.toPandas(), on="doc_id")
+    held = gold[gold.held_out]
+    assert (held.predicted == held.quality).mean() > 0.85
+    hi, lo = held.score[held.quality == 1].to_numpy(), held.score[held.quality == 0].to_numpy()
+    assert ((hi[:, None] > lo).mean() + 0.5 * (hi[:, None] == lo).mean()) > 0.9  # area under the curve
+    model = QC.learn_quality(real, labels, "text", "doc_id", 3, 4000, 8000)
+    texts = {r.doc_id: r.text or "" for r in real.collect()}
+    plain = [1 / (1 + math.exp(-float(QC.features(texts[i]) @ model["w"] + model["b"]))) for i in rows.doc_id]
+    assert np.allclose(rows.score, plain, atol=1e-4)
+    twice = QC.quality_classifier(real.union(real), labels).toPandas()
+    assert len(twice) == 2 * len(rows) and twice.groupby("doc_id").score.nunique().max() == 1
     out = QC.quality_classifier(odd, labels.limit(0)).collect()
     assert len(out) == 8 and {r.score for r in out} == {0.5}
     assert QC.quality_classifier(empty, labels).count() == 0
@@ -346,7 +513,7 @@ def test_nonnegative_risk_separates():
     rng = np.random.default_rng(1)
     xp = rng.normal(1, 1, (600, 4)).astype(np.float32)
     xu = np.vstack([rng.normal(1, 1, (700, 4)), rng.normal(-1, 1, (300, 4))]).astype(np.float32)
-    m = QC.fit(xp.copy(), xu.copy())
+    m = QC.fit(xp.copy(), xu.copy(), lambda w, b: np.bincount(QC.bins_of(xu @ w + b), minlength=QC.BINS))
     assert 0.55 < m["prior"] < 0.9
     z = xu @ m["w"] + m["b"]
     assert ((z > 0) == (np.arange(1000) < 700)).mean() > 0.9
@@ -366,6 +533,11 @@ def test_bounds_are_optimal():
             assert padding(PK.best_bounds(c, k)) == best
 
 
+def test_a_budget_below_the_bucket_gives_single_pieces(spark):
+    got = PK.pack(docs_of(spark, [(i, "w " * 50, "en", "s") for i in range(4)]), max_len=64, budget=10).toPandas()
+    assert sorted(got.batch) == [0, 1, 2, 3] and set(got.slot) == {0}
+
+
 def test_packing_keeps_every_token(spark, real, odd, empty):
     for df in (real, odd):
         got = PK.pack(df, max_len=64, buckets=4, budget=512).toPandas()
@@ -428,6 +600,22 @@ def test_large_runs_are_cut_into_chunks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows)
 
 
+def test_pairs_near_the_threshold_in_64_dimensions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=64)) for i in range(400)]
+    for i in range(400):  # partners at cosines around 0.95
+        v = rows[i][1] / np.linalg.norm(rows[i][1])
+        o = rng.normal(size=64)
+        o -= (o @ v) * v
+        c = rng.uniform(0.94, 0.97)
+        rows.append((1000 + i, c * v + math.sqrt(1 - c * c) * o / np.linalg.norm(o)))
+    rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in rows]
+    got = E.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = brute_links(rows)
+    assert sum(n for n, _ in want.values()) > 300
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def test_embeddings_odd(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.embedding_dedup(none).count() == 0
@@ -455,6 +643,34 @@ def test_shards_are_even_runs_of_the_curve(spark, sf_dir, real):
     assert got.hilbert.is_monotonic_increasing and set(got.law) == {"rows"}
 
 
+@pytest.mark.parametrize("n", [70, 10_000])
+def test_axis_codes_follow_the_values(spark, n):
+    df = spark.createDataFrame([(i, f"v{i * 7919 % n:05}") for i in range(n)] + [(-1, None)], "doc_id long, v string")
+    got = SH.value_codes(df, "v").orderBy("v").collect()
+    codes = [r._code_v for r in got]
+    assert codes == sorted(codes) and codes[0] == 0 and max(codes) == 63 and len(set(codes)) == 64
+
+
+def test_written_shards_prune(spark, tmp_path):
+    """A filter on any dimension opens few shards by the files' statistics; shards by hash would all be opened."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, "t" * int(2 ** (i * 37 % 14)), f"l{i * 31 % 40:02}", f"s{i * 17 % 90:02}") for i in range(6000)]
+    SH.write_shards(SH.shard_by_hilbert(docs_of(spark, rows)), str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("shard=*/*.parquet"))
+    assert len(files) == 16
+    spans = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        col = {meta.schema.column(j).name: [meta.row_group(g).column(j).statistics for g in range(meta.num_row_groups)] for j in range(meta.num_columns)}
+        spans.append({c: (min(s.min for s in col[c]), max(s.max for s in col[c])) for c in ("lang", "source", "size")})
+    for c, values in (("lang", [f"l{k:02}" for k in range(40)]), ("source", [f"s{k:02}" for k in range(90)]), ("size", [2**k + 1 for k in range(14)])):
+        opened = [sum(a <= v <= b for a, b in (s[c] for s in spans)) for v in values]
+        assert np.mean(opened) < 11, (c, np.mean(opened))
+    both = [sum(s["lang"][0] <= f"l{k % 40:02}" <= s["lang"][1] and s["source"][0] <= f"s{k:02}" <= s["source"][1] for s in spans) for k in range(90)]
+    assert np.mean(both) < 6
+
+
 def test_shards_odd(spark, odd, empty):
     got = SH.shard_by_hilbert(odd, shards=3).toPandas()
     assert sorted(got.groupby("shard").size()) == [2, 3, 3]
