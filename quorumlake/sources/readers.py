@@ -81,17 +81,32 @@ def wav_row(data: bytes) -> dict:
     return out
 
 
-def scan_wav(spark: SparkSession, path: str, glob: str | None = "*.wav") -> DataFrame:
-    """IO4, IO5: a row for each WAV file: path, bytes, file and PCM digests, header fields and fault."""
+def wav_bytes(samples: list[int], rate: int = 16_000) -> bytes:
+    """A mono 16-bit WAV file."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.array(samples, dtype="<i2").tobytes())
+    return out.getvalue()
+
+
+def wav_table(files: DataFrame) -> DataFrame:
+    """IO4, IO5: a row for each WAV file of (path, content): path, bytes, file and PCM digests, header fields and fault."""
+    names = ["path", "bytes", "file_sha256", "rate", "channels", "width", "encoding", "frames", "pcm_sha256", "fault"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([{"path": p} | wav_row(bytes(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "rate", "channels", "width", "encoding", "frames", "pcm_sha256", "fault"]).astype(object).where(lambda x: x.notna(), None)
+            rows = [{"path": p, "bytes": len(c), "file_sha256": hashlib.sha256(c).hexdigest()} | wav_row(bytes(c)) for p, c in zip(b["path"], b["content"])]
+            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-    files = _files(spark, path, glob)
-    rows = files.mapInPandas(run, "path string, rate int, channels int, width int, encoding string, frames long, pcm_sha256 string, fault string")
-    names = files.select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("file_sha256"))
-    return names.join(rows, "path")
+    return files.select("path", "content").mapInPandas(run, "path string, bytes long, file_sha256 string, rate int, channels int, width int, encoding string, frames long, pcm_sha256 string, fault string")
+
+
+def scan_wav(spark: SparkSession, path: str, glob: str | None = "*.wav") -> DataFrame:
+    """IO4, IO5: the table of the WAV files under a folder; each file is read once."""
+    return wav_table(_files(spark, path, glob))
 
 
 def scan_archives(spark: SparkSession, path: str, pattern: str = "*", glob: str | None = None, keep_content: bool = True) -> DataFrame:
@@ -118,35 +133,74 @@ def scan_archives(spark: SparkSession, path: str, pattern: str = "*", glob: str
     return _files(spark, path, glob).mapInPandas(run, "archive string, member string, bytes long, sha256 string, content binary, fault string")
 
 
-#: Layout of a hop trace: magic, then records (sample, ready flag, three floats), then the end mark.
-TRACE_MAGIC, TRACE_END, TRACE_RECORD = b"HOPTRC1\n", b"ENDTRC1\n", struct.Struct("<qB3f")
-
+# A trace is this mark, then for each hop four stages of so many 32-bit floats; a stage starts with its number,
+# its count and the clock, which is 16,000 at the first hop and 1,280 more at each next one.
+TRACE_MARK = b"EFFTR01\0"
+TRACE_STAGES = {1: 3104, 2: 2432, 3: 96, 4: 8}
+TRACE_FIRST, TRACE_HOP, TRACE_WARM = 16_000, 1_280, 15
 
-def trace_rows(data: bytes) -> tuple[list[tuple], str | None]:
-    if data[:8] != TRACE_MAGIC:
-        return [], "bad_magic"
-    body = data[8:-8]
-    if data[-8:] != TRACE_END or len(body) % TRACE_RECORD.size:
-        return [], "truncated"
-    return [(s, bool(r), [float(x) for x in p]) for s, r, *p in TRACE_RECORD.iter_unpack(body)], None
+#: One hop of a trace as it lies in the file.
+TRACE_RECORD = np.dtype([(f"{name}{k}", kind, shape) for k, n in TRACE_STAGES.items() for name, kind, shape in (("stage", "<u4", ()), ("count", "<u4", ()), ("clock", "<u8", ()), ("values", "<f4", (n,)))])
 
 
-def write_trace(rows: list[tuple]) -> bytes:
-    return TRACE_MAGIC + b"".join(TRACE_RECORD.pack(s, r, *p) for s, r, p in rows) + TRACE_END
-
+def trace_rows(data: bytes) -> tuple[list[tuple], str | None]:
+    """(sample, ready, event, logits, probabilities) of each hop of a trace, or the first fault found in it.
 
-def read_traces(spark: SparkSession, path: str, glob: str = "*.trace") -> DataFrame:
-    """IO7: hop rows (path, sample, ready, probabilities) of binary traces; a broken file gives one row with its fault."""
+    The last stage holds the ready flag, the event, three logits and three probabilities; all but the flag are zero in the warm-up.
+    """
+    if data[:8] != TRACE_MARK:
+        return [], "bad_mark"
+    if (len(data) - 8) % TRACE_RECORD.itemsize:
+        return [], "truncated"
+    r = np.frombuffer(data, dtype=TRACE_RECORD, offset=8)
+    clock = TRACE_FIRST + TRACE_HOP * np.arange(len(r), dtype=np.uint64)
+    head = r["values4"]
+    ready, event, p = head[:, 0], head[:, 1], head[:, 5:8]
+    warm = np.arange(len(r)) < TRACE_WARM
+    checks = {
+        "bad_stage": all((r[f"stage{k}"] == k).all() and (r[f"count{k}"] == n).all() for k, n in TRACE_STAGES.items()),
+        "bad_clock": all((r[f"clock{k}"] == clock).all() for k in TRACE_STAGES),
+        "not_finite": all(np.isfinite(r[f"values{k}"]).all() for k in TRACE_STAGES),
+        "bad_ready": bool((ready == ~warm).all()),
+        "bad_event": bool(np.isin(event, (0, 1, 2)).all()),
+        "bad_warm_up": not head[warm, 1:].any(),
+        "bad_probabilities": bool((((p >= 0) & (p <= 1)).all(1) & (np.abs(p.astype(np.float64).sum(1) - 1) <= 2e-6) | warm).all()),
+    }
+    if fault := next((name for name, ok in checks.items() if not ok), None):
+        return [], fault
+    return [(int(c), bool(x), int(e), logits, probs) for c, x, e, logits, probs in zip(clock, ready, event, head[:, 2:5].tolist(), p.tolist())], None
+
+
+def write_trace(probabilities: list, events: list[int] | None = None) -> bytes:
+    """A trace of the given vectors, with zeros for features and logits; the warm-up hops carry none of them."""
+    r = np.zeros(len(probabilities), dtype=TRACE_RECORD)
+    for k, n in TRACE_STAGES.items():
+        r[f"stage{k}"], r[f"count{k}"], r[f"clock{k}"] = k, n, TRACE_FIRST + TRACE_HOP * np.arange(len(r))
+    if len(r) > TRACE_WARM:
+        r["values4"][TRACE_WARM:, 0] = 1
+        r["values4"][TRACE_WARM:, 5:] = np.array([np.asarray(p, dtype=np.float32) for p in probabilities[TRACE_WARM:]])
+        r["values4"][TRACE_WARM:, 1] = 0 if events is None else events[TRACE_WARM:]
+    return TRACE_MARK + r.tobytes()
+
+
+def trace_table(files: DataFrame) -> DataFrame:
+    """IO7: hop rows (path, sample, ready, event, logits, probabilities) of the traces of (path, content); a broken one gives one row with its fault."""
+    names = ["path", "sample", "ready", "event", "logits", "probabilities", "fault"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, c in zip(b["path"], b["content"]):
                 rows, fault = trace_rows(bytes(c))
-                rows = [(p, *r, None) for r in rows] if fault is None else [(p, None, None, None, fault)]
+                rows = [(p, *r, None) for r in rows] if fault is None else [(p, None, None, None, None, None, fault)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "sample", "ready", "probabilities", "fault"]).astype({"sample": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype({"sample": "Int64", "event": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, sample long, ready boolean, event int, logits array<double>, probabilities array<double>, fault string")
 
-    return _files(spark, path, glob).mapInPandas(run, "path string, sample long, ready boolean, probabilities array<double>, fault string")
+
+def read_traces(spark: SparkSession, path: str, glob: str = "*.trace") -> DataFrame:
+    """IO7: the hop rows of the trace files under a folder."""
+    return trace_table(_files(spark, path, glob))
 
 
 def read_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataFrame:

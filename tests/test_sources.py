@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from quorumlake.sources import readers as S
@@ -34,7 +35,7 @@ def test_json_rows_fail_fast(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "t": "x"}\n')
     assert S.read_rows(spark, str(tmp_path / "a.jsonl"), "id int, t string").collect()[0].t == "x"
     (tmp_path / "b.jsonl").write_text('{"id": "no"}\n')
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, Py4JJavaError), match="MALFORMED_RECORD"):
         S.read_rows(spark, str(tmp_path / "b.jsonl"), "id int, t string").collect()
 
 
@@ -72,11 +73,24 @@ def test_archives(spark, tmp_path):
 
 
 def test_traces_and_arrays(spark, tmp_path):
-    rows = [(16_000 + 1280 * i, i > 14, [0.5, 0.25, 0.25]) for i in range(20)]
-    (tmp_path / "a.trace").write_bytes(S.write_trace(rows))
-    (tmp_path / "b.trace").write_bytes(S.write_trace(rows)[:-3])
+    # a hop written field by field: number, count and clock of each stage, then its floats
+    def hop(i, ready, event, p, clock=None):
+        out = b""
+        for stage, count in ((1, 3104), (2, 2432), (3, 96), (4, 8)):
+            head = [float(ready), float(event), 0.0, 0.0, 0.0, *p] if stage == 4 else [0.5] * count
+            out += struct.pack("<IIQ", stage, count, clock or 16_000 + 1280 * i) + struct.pack(f"<{count}f", *head)
+        return out
+
+    none, p = [0.0] * 3, [0.5, 0.25, 0.25]
+    good = b"EFFTR01\0" + b"".join(hop(i, i > 14, 2 * (i == 18), p if i > 14 else none) for i in range(20))
+    bad = {"cut": good[:-3], "mark": b"X" + good[1:], "clock": b"EFFTR01\0" + hop(0, 0, 0, none, 17_000), "warm": b"EFFTR01\0" + hop(0, 0, 0, p), "ready": b"EFFTR01\0" + hop(0, 1, 0, p), "sum": good + hop(20, 1, 0, [0.5, 0.5, 0.5]), "nan": good + hop(20, 1, 0, [float("nan"), 0.5, 0.5]), "event": good + hop(20, 1, 3, p)}
+    for name, data in {"a": good, "none": b"EFFTR01\0", **bad}.items():
+        (tmp_path / f"{name}.trace").write_bytes(data)
     got = S.read_traces(spark, str(tmp_path)).orderBy("path", "sample").collect()
-    assert [(r.sample, r.ready, r.probabilities) for r in got[:20]] == rows and got[20].fault == "truncated"
+    faults = {r.path.rsplit("/", 1)[1][:-6]: r.fault for r in got if r.fault}
+    assert faults == {"cut": "truncated", "mark": "bad_mark", "clock": "bad_clock", "warm": "bad_warm_up", "ready": "bad_ready", "sum": "bad_probabilities", "nan": "not_finite", "event": "bad_event"}
+    assert [(r.sample, r.ready, r.event, r.probabilities) for r in got if not r.fault] == [(16_000 + 1280 * i, i > 14, 2 * (i == 18), p if i > 14 else none) for i in range(20)]
+    assert S.write_trace([none] * 15 + [p] * 5, [0] * 18 + [2, 0])[-32:] == good[-32:]
     np.savez(tmp_path / "x.npz", m=np.arange(6).reshape(2, 3))
     assert [r["values"] for r in S.read_arrays(spark, str(tmp_path)).orderBy("row").collect()] == [[0, 1, 2], [3, 4, 5]]
 
