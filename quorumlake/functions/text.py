@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.sizes import sized
+
 CJK = r"\p{IsHan}"
 
 
@@ -127,20 +129,22 @@ def whole_phrase(text: Column, phrase: str) -> Column:
 def pattern_matches(clips: DataFrame, patterns: DataFrame, key: str, text: str, full: bool) -> DataFrame:
     """Matches of each clip in a small table (name, pattern): how many, and the name if there is just one."""
     p = F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")) if full else F.col("pattern")
-    hits = clips.select(key, text).join(F.broadcast(patterns), F.rlike(F.col(text), p))
+    hits = clips.select(key, text).join(sized(patterns), F.rlike(F.col(text), p))
     one = hits.groupBy(key).agg(F.count("*").alias("matches"), F.min("name").alias("_name"))
     out = clips.select(key).join(one, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
     return out.withColumn("only", F.when(F.col("matches") == 1, F.col("_name"))).drop("_name")
 
 
 def token_code(tokens: Column, vocabulary: Column) -> Column:
-    """An array of tokens as a string with one private-use character for each token's place in the vocabulary."""
-    return F.array_join(F.transform(tokens, lambda t: F.chr(F.array_position(vocabulary, t) + 32)), "")
+    """An array of tokens as a string with one character for each token's place in the vocabulary, past the surrogates."""
+    place = lambda t: (F.array_position(vocabulary, t) + F.when(F.array_position(vocabulary, t) < 55_000, 64).otherwise(4096)).cast("int")
+    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 8, "0")), "UTF-32")), "")
 
 
-def token_distance(a: Column, b: Column, vocabulary: Column) -> Column:
-    """Edit distance of two token arrays over a vocabulary of at most 200 tokens."""
-    return F.levenshtein(token_code(a, vocabulary), token_code(b, vocabulary))
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two token arrays, of any tokens; the vocabulary is that of the pair."""
+    words = F.array_union(a, b)
+    return F.levenshtein(token_code(a, words), token_code(b, words))
 
 
 def near_spans(df: DataFrame, key: str, text: str, target: str, boundary: str = " ") -> DataFrame:
@@ -185,7 +189,7 @@ def phonetic_spans(tokens: DataFrame, key: str, target: list[list[str]], tones:
     read = F.coalesce("readings", F.expr("cast(array() as array<string>)"))
     rows = tokens.select(key, "pos", (read if tones else F.transform(read, toneless)).alias("r"))
     starts = rows.select(key, F.col("pos").alias("from"))
-    grown = starts.withColumn("pos", F.explode(F.sequence(F.col("from"), F.col("from") + n))).join(rows, [key, "pos"])
+    grown = starts.withColumn("pos", F.explode(F.sequence(F.col("from"), F.col("from") + n))).join(rows.hint("merge"), [key, "pos"])
     lists = grown.groupBy(key, "from").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("rs"))
     spans = lists.withColumn("size", F.explode(F.array(*[F.lit(k) for k in (n - 1, n, n + 1) if k > 0]))).where(F.size("rs") >= F.col("size"))
     distance = F.pandas_udf(_set_distance, "int")
@@ -206,7 +210,7 @@ def ctc_collapse(ids: Column, drop: list[int]) -> Column:
 
 def vocabulary_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Ids of the tokens in order, the tokens that the vocabulary lacks, and the least frames (one more for each repeat)."""
-    long = rows.select(key, F.posexplode(tokens).alias("pos", "token")).join(F.broadcast(vocabulary), "token", "left")
+    long = rows.select(key, F.posexplode(tokens).alias("pos", "token")).join(sized(vocabulary), "token", "left")
     out = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_x"), F.sort_array(F.collect_set(F.when(F.col("id").isNull(), F.col("token")))).alias("unsupported"))
     ids = F.transform("_x", lambda x: x["id"])
     out = out.withColumn("ids", ids)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 
 def first_reason(rules: list[tuple[Column, str]], default: str | None = None) -> Column:
     """The code of the first rule that holds."""
@@ -101,8 +103,8 @@ def two_model_state(obs: DataFrame, targets: DataFrame, models: tuple[str, str],
 
 def keyword_presence(obs: DataFrame, decisions: DataFrame, keywords: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable", observers: int = 3) -> DataFrame:
     """Per clip and keyword: the full-text decision if there is one; else present only on clean hits of every observer; else unknown."""
-    grid = decisions.select(key, "mask", "full_text").crossJoin(F.broadcast(keywords))
-    hits = obs.join(F.broadcast(keywords), F.contains(F.col(text), F.col("keyword")) & F.col(usable)).groupBy(key, "keyword").agg(F.count("*").alias("hits"))
+    grid = decisions.select(key, "mask", "full_text").crossJoin(sized(keywords))
+    hits = obs.join(sized(keywords), F.contains(F.col(text), F.col("keyword")) & F.col(usable)).groupBy(key, "keyword").agg(F.count("*").alias("hits"))
     out = grid.join(hits, [key, "keyword"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
     inherited = F.col("mask") & F.col("full_text").isNotNull()
     target = F.when(inherited, F.contains("full_text", "keyword").cast("int")).when(F.col("hits") == observers, 1)
@@ -117,9 +119,9 @@ def blind_admission(obs: DataFrame, patterns: DataFrame, aliases: DataFrame, com
     patterns: class, pattern, onset_missing; aliases: class, alias. obs carries one row per observer, phones per clip.
     """
     clips = obs.groupBy(key).agg(F.max(phones).alias("_p"), F.count_if(F.col(usable) & F.col(text).rlike(competing)).alias("rivals"))
-    match = clips.join(F.broadcast(patterns), F.rlike(F.col("_p"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
+    match = clips.join(sized(patterns), F.rlike(F.col("_p"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
     unique = match.groupBy(key).agg(F.count("*").alias("matches"), F.min("class").alias("class"), F.bool_or("onset_missing").alias("onset_missing"))
-    votes = obs.where(F.col(usable)).join(F.broadcast(aliases.withColumnRenamed("class", "_c")), F.col(text) == F.col("alias")).groupBy(key, F.col("_c").alias("class")).agg(F.count("*").alias("votes"))
+    votes = obs.where(F.col(usable)).join(sized(aliases.withColumnRenamed("class", "_c")), F.col(text) == F.col("alias")).groupBy(key, F.col("_c").alias("class")).agg(F.count("*").alias("votes"))
     out = clips.join(unique, key, "left").join(votes, [key, "class"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
     reason = first_reason(
         [
@@ -140,7 +142,7 @@ def balanced_groups(rows: DataFrame, required: list, group: str = "group", label
     out = rows.join(own, group)
     whole = F.col("_has") == F.array(*[F.lit(x) for x in sorted(required)])
     per_role = out.where(whole).groupBy(role).agg(F.count_distinct(group).alias("_groups"))
-    out = out.join(F.broadcast(per_role), role, "left")
+    out = out.join(sized(per_role), role, "left")
     reason = first_reason([(F.col(label).isNull(), "not_admitted"), (~whole, "group_incomplete"), (F.coalesce("_groups", F.lit(0)) < min_groups, "role_too_small")], "kept")
     return out.withColumn("reason", reason).withColumn("admitted", F.col("reason") == "kept").drop("_has", "_groups")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
+from .sizes import sized
 
 
 def merge_intervals(df: DataFrame, key: list[str], start: str, end: str, touching: bool = True, collect: dict[str, Column] | None = None) -> DataFrame:
@@ -111,13 +112,15 @@ def keyword_offsets(text: Column, keyword: str) -> Column:
     """Offsets of the non-overlapping matches, left to right."""
     parts = F.split(text, f"\\Q{keyword}\\E", -1)
     lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.char_length(p))
-    return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * len(keyword))
+    start = F.struct(F.lit(-len(keyword)).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    step = lambda a, x: (a["at"] + x + len(keyword))
+    return F.aggregate(lengths, start, lambda a, x: F.struct(step(a, x).alias("at"), F.array_append(a["out"], step(a, x)).alias("out")), lambda a: a["out"])
 
 
 def latin_order(sources: DataFrame, prompts: DataFrame, source: str, prompt: str) -> DataFrame:
     """Every source with every prompt; in turn t, source i gets prompt (i + t) mod n. Both are small dimensions."""
     number = lambda df, c, n: df.select(c, (F.row_number().over(W.orderBy(c)) - 1).cast("long").alias(n))
-    grid = number(sources, source, "_i").crossJoin(F.broadcast(number(prompts, prompt, "_j")))
+    grid = number(sources, source, "_i").crossJoin(sized(number(prompts, prompt, "_j")))
     size = prompts.select(F.count_distinct(prompt).alias("_n"))
     return grid.crossJoin(F.broadcast(size)).withColumn("turn", F.pmod(F.col("_j") - F.col("_i"), F.col("_n"))).drop("_i", "_j", "_n")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join where each key of the right side names one row; a second one raises when it is read."""
@@ -15,11 +17,15 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 
 
 def covered_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Joined rows; keys of either side without a partner, or with several, come with `fault` instead of null."""
+    """Joined rows; keys of either side without a partner, or with several, come as one row with `fault` instead of null.
+
+    Keys are judged first and only clean ones are joined, so repeated keys never multiply. Null keys have no partner.
+    """
     a = left.groupBy(*keys).agg(F.count("*").alias("_l"))
     b = right.groupBy(*keys).agg(F.count("*").alias("_r"))
     state = a.join(b, keys, "full").select(*keys, F.when(F.col("_r").isNull(), "missing_right").when(F.col("_l").isNull(), "missing_left").when((F.col("_l") > 1) | (F.col("_r") > 1), "repeated").alias("fault"))
-    return left.join(right, keys, "full").join(state, keys)
+    clean = state.where("fault is null")
+    return left.join(clean.drop("fault"), keys).join(right, keys).unionByName(state.where("fault is not null"), allowMissingColumns=True).withColumn("fault", F.col("fault"))
 
 
 def by_model(sources: DataFrame, obs: DataFrame, models: list[str], key: str = "clip_id", model: str = "model", text: str = "norm_text") -> DataFrame:
@@ -28,6 +34,21 @@ def by_model(sources: DataFrame, obs: DataFrame, models: list[str], key: str = "
     return sources.join(wide, key, "left")
 
 
+def paired_geometry(old: DataFrame, new: DataFrame, keys: list[str], geometry: list[str]) -> DataFrame:
+    """The rows of two runs side by side, paired only where all of `geometry` agrees; else the fault and nothing else.
+
+    Fault: only_old, only_new, repeated, or geometry; null for a pair, which carries the other columns as old_ and new_.
+    """
+    side = lambda df, p: df.groupBy(*keys).agg(F.count("*").alias(f"_{p}"), F.min(F.struct(*[F.col(c) for c in df.columns if c not in keys])).alias(p))
+    both = side(old, "old").join(side(new, "new"), keys, "full")
+    same = F.lit(True)
+    for c in geometry:
+        same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
+    fault = F.when(F.col("_new").isNull(), "only_old").when(F.col("_old").isNull(), "only_new").when((F.col("_old") > 1) | (F.col("_new") > 1), "repeated").when(~same, "geometry")
+    rest = [F.when(fault.isNull(), F.col(f"{p}.{c}")).alias(f"{p}_{c}") for p, df in (("old", old), ("new", new)) for c in df.columns if c not in (*keys, *geometry)]
+    return both.select(*keys, *[F.when(fault.isNull(), F.col(f"old.{c}")).alias(c) for c in geometry], *rest, fault.alias("fault"))
+
+
 def attach_text(clips: DataFrame, texts: DataFrame, keys: list[str], text: str = "reference_text") -> DataFrame:
     """Publisher text by key; absent text stays null with status `unknown`."""
     out = clips.join(texts.select(*keys, F.col(text), F.lit("known").alias("text_status")), keys, "left")
@@ -36,7 +57,7 @@ def attach_text(clips: DataFrame, texts: DataFrame, keys: list[str], text: str =
 
 def keep_missing(clips: DataFrame, models: DataFrame, obs: DataFrame, key: str = "clip_id", model: str = "model", status: str = "status") -> DataFrame:
     """One row for each clip and model; no observation gives the outcome `missing`. models is a small dimension."""
-    grid = clips.select(key).crossJoin(F.broadcast(models.select(model)))
+    grid = clips.select(key).crossJoin(sized(models.select(model)))
     return grid.join(obs, [key, model], "left").withColumn(status, F.coalesce(status, F.lit("missing")))
 
 
@@ -53,7 +74,7 @@ def in_qualified_groups(rows: DataFrame, group: str, qualifies: Column) -> DataF
 def variant_pairs(rows: DataFrame, voice: str, variant: str, contrasts: DataFrame, carry: list[str]) -> DataFrame:
     """The two variants of each contrast (left_variant, right_variant) said by the same voice, side by side."""
     side = lambda p: rows.select(voice, F.col(variant).alias(f"{p}_variant"), *[F.col(c).alias(f"{p}_{c}") for c in carry])
-    return side("left").join(F.broadcast(contrasts), "left_variant").join(side("right"), [voice, "right_variant"])
+    return side("left").join(sized(contrasts), "left_variant").join(side("right"), [voice, "right_variant"])
 
 
 def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, closed: str = "right", width: int | None = None, how: str = "inner") -> DataFrame:
@@ -89,30 +110,35 @@ def assign_by_hash(rows: DataFrame, pool: DataFrame, key: str, role: str, item:
 
     ranked = pool.select(F.col(role), F.col(item), (F.row_number().over(W.partitionBy(role).orderBy(item)) - 1).cast("decimal(20,0)").alias("_rank"))
     sizes = pool.groupBy(role).agg(F.count("*").alias("_size"))
-    place = rows.join(F.broadcast(sizes), role, "left").withColumn("_rank", F.pmod(hash_number(F.lit(salt), F.col(key).cast("string")), F.col("_size").cast("decimal(20,0)")).cast("decimal(20,0)"))
+    place = rows.join(sized(sizes), role, "left").withColumn("_rank", F.pmod(hash_number(F.lit(salt), F.col(key).cast("string")), F.col("_size").cast("decimal(20,0)")).cast("decimal(20,0)"))
     return place.join(ranked, [role, "_rank"], "left").drop("_rank", "_size")
 
 
 def request_grid(axes: list[DataFrame], repetitions: int = 1) -> DataFrame:
-    """The cross product of small request axes, repeated; every axis but the first is broadcast."""
+    """The cross product of small request axes, repeated; every axis but the first is broadcast if it is small."""
     out = axes[0]
     for a in axes[1:]:
-        out = out.crossJoin(F.broadcast(a))
+        out = out.crossJoin(sized(a))
     return out.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
 
 
 def lexicon_lookup(rows: DataFrame, lexicon: DataFrame, key: str, tokens: Column) -> DataFrame:
     """A row for each token with its readings (null: out of vocabulary). lexicon: token, readings (array)."""
     long = rows.select(key, F.posexplode(tokens).alias("pos", "token"))
-    return long.join(F.broadcast(lexicon), "token", "left").withColumn("oov", F.col("readings").isNull())
+    return long.join(sized(lexicon), "token", "left").withColumn("oov", F.col("readings").isNull())
 
 
 def attribute_points(events: DataFrame, segments: DataFrame, case: str, clock: str, segment: str, start: str, end: str, grace: int) -> DataFrame:
-    """Each event with the one segment with start <= clock < end + grace; null if none; `ambiguous` if there are more."""
+    """Each event with the one segment with start <= clock < end + grace; null if none; `ambiguous` if there are more.
+
+    Decided once for each point of a case's clock, so equal events are told alike and stay rows of their own.
+    """
     s = segments.select(F.col(case).alias("_case"), F.col(segment), F.col(start), (F.col(end) + grace).alias("_end"))
-    hit = events.join(s, (F.col(case) == F.col("_case")) & (F.col(start) <= F.col(clock)) & (F.col(clock) < F.col("_end")), "left")
-    own = [c for c in events.columns]
-    return hit.groupBy(*own).agg(F.count(segment).alias("_n"), F.min(segment).alias(segment)).withColumn("ambiguous", F.col("_n") > 1).withColumn(segment, F.when(F.col("_n") == 1, F.col(segment))).drop("_n")
+    points = events.select(case, clock).distinct()
+    hit = points.join(s, (F.col(case) == F.col("_case")) & (F.col(start) <= F.col(clock)) & (F.col(clock) < F.col("_end")), "left")
+    per = hit.groupBy(F.col(case).alias("_c"), F.col(clock).alias("_at")).agg(F.count(segment).alias("_n"), F.min(segment).alias(segment))
+    own = events.join(per.hint("merge"), F.col(case).eqNullSafe(F.col("_c")) & F.col(clock).eqNullSafe(F.col("_at")), "left").drop("_c", "_at")
+    return own.withColumn("ambiguous", F.col("_n") > 1).withColumn(segment, F.when(F.col("_n") == 1, F.col(segment))).drop("_n")
 
 
 def import_decisions(windows: DataFrame, decisions: DataFrame, key: str, must_match: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,13 +28,27 @@ def _own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the one that spark.checkpoint.dir names; without that, a local one for a local session only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_dir(spark.sparkContext.applicationId)
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir (a local one only where it is unset) and read back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
-    path = f"{root.rstrip('/')}/lineage-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; store the results that read it first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:

@@ -85,12 +85,12 @@ def latency_summary(df: DataFrame, keys: list[str], time: str, audio: str | None
 
 def numeric_parity(left: DataFrame, right: DataFrame, key: list[str], values: str, atol: float, rtol: float) -> DataFrame:
     """Element by element: count, violations of atol + rtol * |x|, the greatest error, and the first violation."""
-    flat = lambda df, n: df.select(*key, F.posexplode(values).alias("_pos", n))
-    both = flat(left, "_x").join(flat(right, "_y"), [*key, "_pos"], "full")
-    err = F.abs(F.col("_x") - F.col("_y"))
-    bad = F.coalesce(err > atol + rtol * F.abs("_x"), F.lit(True))
-    first = F.min(F.when(bad, F.struct(*key, "_pos")))
-    return both.agg(F.count("*").alias("elements"), F.count_if(bad).alias("violations"), F.max(err).alias("max_error"), first.alias("first"))
+    side = lambda df, n: df.select(*key, F.col(values).alias(n))
+    pairs = F.zip_with(F.coalesce("_x", F.array().cast("array<double>")), F.coalesce("_y", F.array().cast("array<double>")), lambda x, y: F.struct(F.abs(x - y).alias("e"), F.coalesce(F.abs(x - y) > atol + rtol * F.abs(x), F.lit(True)).alias("bad")))
+    both = side(left, "_x").join(side(right, "_y"), key, "full").select(*key, pairs.alias("_z"))
+    first = F.min(F.when(F.exists("_z", lambda z: z["bad"]), F.struct(*key, (F.array_position(F.transform("_z", lambda z: z["bad"]), True) - 1).cast("int").alias("_pos"))))
+    bad = F.size(F.filter("_z", lambda z: z["bad"])).cast("long")
+    return both.agg(F.sum(F.size("_z").cast("long")).alias("elements"), F.sum(bad).alias("violations"), F.max(F.array_max(F.transform("_z", lambda z: z["e"]))).alias("max_error"), first.alias("first"))
 
 
 def identity_groups(df: DataFrame, identity: str, member: str, owner: str | None = None) -> DataFrame:

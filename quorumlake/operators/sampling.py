@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 
 def class_schedule(quotas: dict[str, int], batch: int = 10_000) -> Iterator[pd.DataFrame]:
     """Positions of each class: at each place the class with the largest quota * (place + 1) - used * total; ties in dict order."""
@@ -34,7 +36,7 @@ def exposure_plan(rows: DataFrame, quotas: dict[str, int], label: str, family: s
     fam = per.withColumn("_fi", F.row_number().over(W.partitionBy("class").orderBy("_f")).cast("long") - 1)
     sizes = per.groupBy("class").agg(F.count("*").alias("_fams"))
     placed = rows.select(F.col(label).alias("class"), F.col(family).alias("_f"), F.col(item), (F.row_number().over(W.partitionBy(label, family).orderBy(item)).cast("long") - 1).alias("_ri"))
-    out = plan.join(F.broadcast(sizes), "class").withColumn("_fi", F.pmod("draw", F.col("_fams")))
+    out = plan.join(sized(sizes), "class").withColumn("_fi", F.pmod("draw", F.col("_fams")))
     out = out.join(fam, ["class", "_fi"]).withColumn("_ri", F.pmod(F.expr("draw div _fams"), F.col("_rows")))
     return out.join(placed, ["class", "_f", "_ri"]).select("position", "class", "draw", F.col("_f").alias(family), item)
 
@@ -51,9 +53,9 @@ def bag_weights(rows: DataFrame, label: str, group: str, tier: str, classes: int
     """Tier / (classes * groups of the class * rows of the group), scaled to a sum of 1. Counts are joined, not windowed."""
     per_group = rows.groupBy(label, group).agg(F.count("*").alias("_rows"))
     per_class = per_group.groupBy(label).agg(F.count("*").alias("_groups"))
-    out = rows.join(per_group, [label, group]).join(F.broadcast(per_class), label)
+    out = rows.join(per_group, [label, group]).join(sized(per_class), label)
     raw = F.col(tier) / (classes * F.col("_groups") * F.col("_rows"))
-    total = per_group.join(F.broadcast(per_class), label).join(rows.groupBy(label, group).agg(F.sum(tier).alias("_tier")), [label, group]).agg(F.sum(F.col("_tier") / (classes * F.col("_groups") * F.col("_rows"))).alias("_total"))
+    total = per_group.join(sized(per_class), label).join(rows.groupBy(label, group).agg(F.sum(tier).alias("_tier")), [label, group]).agg(F.sum(F.col("_tier") / (classes * F.col("_groups") * F.col("_rows"))).alias("_total"))
     return out.crossJoin(F.broadcast(total)).withColumn("weight", raw / F.col("_total")).drop("_rows", "_groups", "_total")
 
 
@@ -84,7 +86,7 @@ def blind_tables(df: DataFrame, salt: str, key: str, shown: list[str]) -> tuple[
 
 def refinement(rows: DataFrame, rejected: Column, voice: str, requests: DataFrame) -> DataFrame:
     """One more round for every voice with a rejected row: each voice with all of the small request table."""
-    return rows.where(rejected).select(voice).distinct().crossJoin(F.broadcast(requests))
+    return rows.where(rejected).select(voice).distinct().crossJoin(sized(requests))
 
 
 def groups_by_class(rows: DataFrame, label: str, group: str, item: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 
 def clip_job(clips: DataFrame, columns: list[str], one: Callable, schema: str) -> DataFrame:
     """Rows `one(*columns)` gives for each clip, batch by batch."""
@@ -186,7 +188,7 @@ def add_context(clips: DataFrame, key: str, samples: str, before: int, after: in
 
 def gain_variants(clips: DataFrame, samples: str, gains: DataFrame) -> DataFrame:
     """Every clip at every gain (a small table with `gain`), rounded to nearest even and clipped."""
-    return clips.crossJoin(F.broadcast(gains)).withColumn("pcm", F.transform(samples, lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.rint(x * F.col("gain")).cast("int")))))
+    return clips.crossJoin(sized(gains)).withColumn("pcm", F.transform(samples, lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.rint(x * F.col("gain")).cast("int")))))
 
 
 def slice_windows(windows: DataFrame, pcm: str, start: str, end: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,17 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def letters(text: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")))
+
+
+def without_last(text: Column) -> Column:
+    """Words but the last."""
+    return F.regexp_replace(text, " ?[a-z]+$", "")
+
+
+def without_first(text: Column) -> Column:
+    return F.regexp_replace(text, "^[a-z]+ ?", "")
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of all documents, in letters; `utt` names the document and the place of the sentence."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "[.\n]")).alias("i", "s"))
+    return rows.select(F.concat_ws(":", "doc_id", "i").alias("utt"), "doc_id", "lang", letters(F.col("s")).alias("spoken")).where("spoken <> ''")
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as clips: the first 24 ASCII-folded characters stand for the spoken text."""
-    t = F.substring(F.trim(F.lower(F.regexp_replace("text", "[^A-Za-z]+", " "))), 1, 24)
+    """Documents as clips: the letters of the whole text, in lower case with single spaces, stand for the spoken text."""
+    t = letters(F.col("text"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), "lang", F.col("source").alias("family"), F.sha2("text", 256).alias("pcm_sha256"), t.alias("spoken"), F.col("n_chars").alias("frames"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three observers for each clip, by a formula with ties, cuts and failures."""
+    """Three observers for each clip, by a formula with ties, lost first or last words and failures."""
     rows = clips(spark, sf_dir).withColumn("model", F.explode(F.array(*[F.lit(m) for m in range(3)])))
     k = (F.col("clip_id") * 31 + F.col("model") * 17) % 7
-    text = F.when(k == 0, F.substring("spoken", 1, 20)).when(k == 1, F.substring("spoken", 1, 18)).otherwise(F.col("spoken"))
+    text = F.when(k == 0, without_last(F.col("spoken"))).when(k == 1, without_first(F.col("spoken"))).otherwise(F.col("spoken"))
     return rows.withColumn("norm_text", text).withColumn("usable", (F.col("clip_id") * 13 + F.col("model") * 5) % 23 != 0)
 
 
@@ -47,9 +66,13 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLIPS = """clips AS (SELECT doc_id AS clip_id, lang, source AS family, sha256(text) AS pcm_sha256, n_chars AS frames,
-  substr(trim(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))), 1, 24) AS spoken FROM documents)"""
+  trim(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))) AS spoken FROM documents)"""
+WITHOUT_LAST = "regexp_replace(spoken, ' ?[a-z]+$', '')"
+UTTS = """utts AS (SELECT doc_id || ':' || i AS utt, doc_id, lang, trim(lower(regexp_replace(s, '[^A-Za-z]+', ' ', 'g'))) AS spoken
+  FROM (SELECT doc_id, lang, unnest(string_split_regex(text, '[.\n]')) AS s, unnest(range(len(string_split_regex(text, '[.\n]')))) AS i FROM documents)
+  WHERE regexp_matches(s, '[A-Za-z]'))"""
 OBS = f"""{CLIPS}, obs AS (SELECT c.*, m AS model,
-  CASE (clip_id * 31 + m * 17) % 7 WHEN 0 THEN substr(spoken, 1, 20) WHEN 1 THEN substr(spoken, 1, 18) ELSE spoken END AS norm_text,
+  CASE (clip_id * 31 + m * 17) % 7 WHEN 0 THEN {WITHOUT_LAST} WHEN 1 THEN regexp_replace(spoken, '^[a-z]+ ?', '') ELSE spoken END AS norm_text,
   (clip_id * 13 + m * 5) % 23 <> 0 AS usable FROM clips c, (VALUES (0), (1), (2)) v(m))"""
 HOPS = """hops AS (SELECT user_id AS case_id, 1280 * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample,
   CASE WHEN event_type = 'view' THEN 0 WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 2 END AS best,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as T
@@ -14,6 +15,7 @@ from quorumlake.operators import metrics as M
 from quorumlake.operators import sampling as X
 from quorumlake.operators import signal as G
 from quorumlake.operators import validate as V
+from quorumlake.operators.sizes import sized
 from quorumlake.sources import writers as O
 
 from .base import CLIPS, HOPS, KEYWORDS, OBS, clips, hops, observations, table, with_vectors
@@ -68,7 +70,7 @@ def context_view(obs: DataFrame, requests: DataFrame, keyword: str) -> DataFrame
 def keyword_projection(obs: DataFrame, keywords: DataFrame, lang: str = "lang") -> DataFrame:
     """Per clip and keyword of its language: how many clean observers have it, and present / absent / unknown counts."""
     words = keywords.select(F.col("lang").alias(lang), "keyword")
-    hits = obs.join(F.broadcast(words), lang).groupBy("clip_id", lang, "keyword").agg(F.count_if("usable").alias("clean"), F.count_if(F.col("usable") & F.contains("norm_text", "keyword")).alias("hits"))
+    hits = obs.join(sized(words), lang).groupBy("clip_id", lang, "keyword").agg(F.count_if("usable").alias("clean"), F.count_if(F.col("usable") & F.contains("norm_text", "keyword")).alias("hits"))
     status = F.when((F.col("clean") == 3) & (F.col("hits") == 3), "present").when((F.col("clean") == 3) & (F.col("hits") == 0), "unheard").otherwise("unknown")
     return hits.withColumn("status", status)
 
@@ -109,9 +111,10 @@ def panel_assessment(rows: DataFrame, source: str, cell: str, required: list, ro
 
 
 def review_queue(texts: DataFrame, acoustic: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """Three kinds of evidence on one cell, ordered for review: largest text edit, then difference, then flags."""
+    """Three kinds of evidence on one cell, ordered for review: largest text edit (201: over 200), then difference, then flags."""
     both = J.checked_join(J.checked_join(texts, acoustic, [key]), phones, [key])
-    both = both.withColumn("edit", F.levenshtein("heard", "target"))
+    edit = F.levenshtein("heard", "target", 200)
+    both = both.withColumn("edit", F.when(edit < 0, 201).otherwise(edit))
     return I.numbered(both, [F.desc("edit"), F.desc("difference"), F.desc("flags"), F.col(key)])
 
 
@@ -151,13 +154,14 @@ def two_arms(rows: DataFrame, model: str, word: str, better: str, other: str) ->
 def condition_table(parents: DataFrame, tracks: DataFrame, conditions: list[str], key: str, role: str, track: str) -> DataFrame:
     """Every parent under every condition with a track chosen by hash; a track used for the parent before is not used again.
 
-    Of the tracks of its role, ranked by hash for the parent, condition i takes the i-th; without enough tracks the row keeps a reason.
+    The n tracks of a role stand in order; condition i takes number (hash of the parent + i) mod n, so parents are never paired with
+    all tracks. Without enough tracks the row keeps a reason.
     """
-    ranked = parents.join(F.broadcast(tracks.select(role, track)), role).withColumn("_h", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col(track).cast("string")), 256))
-    picks = I.top_per_group(ranked, [key], [F.col("_h"), F.col(track)], len(conditions), "_i").select(key, track, "_i")
-    names = parents.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(conditions)], "_i long, condition string")
-    grid = parents.crossJoin(F.broadcast(names))
-    out = grid.join(picks, [key, "_i"], "left").drop("_i")
+    sizes = tracks.groupBy(role).agg(F.count("*").alias("_n"))
+    placed = tracks.select(role, track, (F.row_number().over(W.partitionBy(role).orderBy(track)) - 1).cast("decimal(20,0)").alias("_at"))
+    grid = parents.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(conditions)]))).select(*parents.columns, F.col("_c.i").alias("_i"), F.col("_c.name").alias("condition"))
+    at = F.when(F.col("_i") < F.col("_n"), F.pmod(J.hash_number(F.lit("track"), F.col(key).cast("string")) + F.col("_i"), F.col("_n").cast("decimal(20,0)"))).cast("decimal(20,0)")
+    out = grid.join(sized(sizes), role, "left").withColumn("_at", at).join(sized(placed), [role, "_at"], "left").drop("_i", "_n", "_at")
     return out.withColumn("reason", F.when(F.col(track).isNull(), "no_track_left"))
 
 
@@ -240,20 +244,19 @@ def p8_content_check(spark, d):
     return C.unanimous_content(observations(spark, d), clips(spark, d).select("clip_id", F.col("spoken").alias("reference_text")))
 
 
-@query("""WITH g AS (SELECT p_partkey, r_name, rep FROM part CROSS JOIN region CROSS JOIN (VALUES (0), (1)) v(rep) WHERE p_size < 10) SELECT 'req-' || substr(sha256(p_partkey || '|' || r_name || '|' || rep), 1, 24) AS request_id, CASE WHEN r_name = 'ASIA' AND rep = 1 THEN 'refused' ELSE 'planned' END AS state FROM g""")
+@query("""WITH g AS (SELECT p_partkey, r_name, rep FROM part CROSS JOIN region CROSS JOIN (VALUES (0), (1)) v(rep)) SELECT 'req-' || substr(sha256(p_partkey || '|' || r_name || '|' || rep), 1, 24) AS request_id, CASE WHEN r_name = 'ASIA' AND rep = 1 THEN 'refused' ELSE 'planned' END AS state FROM g""")
 def p9_campaign(spark, d):
-    axes = [table(spark, d, "part").where("p_size < 10").select("p_partkey"), table(spark, d, "region").select("r_name")]
+    axes = [table(spark, d, "part").select("p_partkey"), table(spark, d, "region").select("r_name")]
     first = campaign(axes, 2, ["p_partkey", "r_name"])
     return campaign(axes, 2, ["p_partkey", "r_name"], first.where("r_name = 'ASIA' and repetition = 1")).select("request_id", "state")
 
 
-@query("""WITH r AS (SELECT o_orderkey AS k, count(l_orderkey) AS n, max((l_quantity < 2)::INT) AS bad FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber <= 1 WHERE o_orderkey % 2 = 0 GROUP BY 1),
-x AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber <= 1 AND l_orderkey % 2 = 1)
-SELECT state, count(*) AS n FROM (SELECT CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN bad = 1 THEN 'faulty' ELSE 'good' END AS state FROM r UNION ALL SELECT 'unplanned' FROM x) GROUP BY state""")
+@query("""WITH p AS (SELECT o_orderkey * 8 + n AS slot FROM orders, range(1, 5) r(n)), r AS (SELECT l_orderkey * 8 + l_linenumber AS slot, count(*) AS n, max((l_quantity < 2)::INT) AS bad FROM lineitem GROUP BY 1)
+SELECT CASE WHEN p.slot IS NULL THEN 'unplanned' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN bad = 1 THEN 'faulty' ELSE 'good' END AS state, count(*) AS n FROM p FULL JOIN r ON p.slot = r.slot GROUP BY 1""")
 def p10_collection_audit(spark, d):
-    plan = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey")
-    got = table(spark, d, "lineitem").where("l_linenumber <= 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
-    return collection_audit(plan, got, "o_orderkey", [(F.col("l_quantity") >= 2, "short")]).groupBy("state").agg(F.count("*").alias("n"))
+    plan = table(spark, d, "orders").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4)))).select((F.col("o_orderkey") * 8 + F.col("n")).cast("long").alias("slot"))
+    got = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("slot"), "l_quantity")
+    return collection_audit(plan, got, "slot", [(F.col("l_quantity") >= 2, "short")]).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(DISTINCT l_returnflag = 'A') AS roles, count(*) AS rows, count(DISTINCT l_linenumber) AS cells, max(l_linenumber) AS hi FROM lineitem GROUP BY 1)
@@ -263,7 +266,7 @@ def p11_panel_assessment(spark, d):
     return panel_assessment(rows, "l_orderkey", "l_linenumber", [1, 2], "role").groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""{VOTES}, q AS (SELECT c.clip_id, levenshtein(coalesce(top_text, ''), spoken)::INT AS edit, (c.frames % 97)::INT AS difference, coalesce(quality, 2)::INT AS flags FROM clips c JOIN votes USING (clip_id) LEFT JOIN labels ON doc_id = c.clip_id) SELECT clip_id, edit, row_number() OVER (ORDER BY edit DESC, difference DESC, flags DESC, clip_id) AS number FROM q""")
+@query(f"""{VOTES}, q AS (SELECT c.clip_id, least(201, length(spoken) - length(coalesce(top_text, '')))::INT AS edit, (c.frames % 97)::INT AS difference, coalesce(quality, 2)::INT AS flags FROM clips c JOIN votes USING (clip_id) LEFT JOIN labels ON doc_id = c.clip_id) SELECT clip_id, edit, row_number() OVER (ORDER BY edit DESC, difference DESC, flags DESC, clip_id) AS number FROM q""")
 def p12_review_queue(spark, d):
     c = clips(spark, d)
     texts = c.join(C.vote_counts(observations(spark, d)).select("clip_id", "top_text"), "clip_id").select("clip_id", F.col("spoken").alias("target"), F.coalesce("top_text", F.lit("")).alias("heard"))
@@ -316,8 +319,9 @@ def p18_latency_report(spark, d):
     return got.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "max")
 
 
-@query("""WITH p AS (SELECT doc_id, (doc_id % 5)::INT AS role FROM documents), t AS (SELECT n_regionkey AS role, n_nationkey AS track FROM nation WHERE n_nationkey < 12), r AS (SELECT doc_id, track, row_number() OVER (PARTITION BY doc_id ORDER BY sha256(doc_id || '|' || track), track) AS i FROM p JOIN t USING (role)),
-c(i, condition) AS (VALUES (1, 'near'), (2, 'far'), (3, 'street')) SELECT p.doc_id, condition, track, CASE WHEN track IS NULL THEN 'no_track_left' END AS reason FROM p CROSS JOIN c LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = c.i""")
+@query("""WITH p AS (SELECT doc_id, (doc_id % 5)::INT AS role FROM documents), t AS (SELECT n_regionkey AS role, n_nationkey AS track FROM nation WHERE n_nationkey < 12), r AS (SELECT role, track, row_number() OVER (PARTITION BY role ORDER BY track) - 1 AS k, count(*) OVER (PARTITION BY role) AS n FROM t),
+c(i, condition) AS (VALUES (0, 'near'), (1, 'far'), (2, 'street')), g AS (SELECT *, ('0x' || substr(sha256('track|' || doc_id), 1, 16))::UBIGINT::HUGEINT + i AS h FROM p CROSS JOIN c)
+SELECT doc_id, condition, track, CASE WHEN track IS NULL THEN 'no_track_left' END AS reason FROM g LEFT JOIN r ON r.role = g.role AND g.i < r.n AND g.h % r.n = r.k""")
 def p19_condition_table(spark, d):
     parents = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("role"))
     tracks = table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_regionkey").cast("int").alias("role"), F.col("n_nationkey").alias("track"))
@@ -378,7 +382,7 @@ def g3_log_mel(spark, d):
 
 
 def _matrices(spark, d) -> DataFrame:
-    rows = with_vectors(hops(spark, d)).where("sample <= 25600")
+    rows = with_vectors(hops(spark, d))
     return rows.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "probabilities"))), lambda x: x["probabilities"]).alias("m"))
 
 
@@ -414,15 +418,17 @@ def g8_gain_variants(spark, d):
     return G.gain_variants(w, "x", gains).select("clip", "gain", F.aggregate("pcm", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query("SELECT doc_id, octet_length(encode(text)) >= 240 AS inside FROM documents")
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) >= 240 + 2 * (doc_id % 9) THEN sha256(from_hex(substr(hex(encode(text)), 81 + 4 * (doc_id % 9), 400))) END AS window_sha256 FROM documents")
 def g9_slice_windows(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"), F.lit(20).alias("a"), F.lit(120).alias("b"))
-    return G.slice_windows(rows, "pcm", "a", "b").select("doc_id", F.col("window_sha256").isNotNull().alias("inside"))
+    at = (20 + F.col("doc_id") % 9).cast("int")
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"), at.alias("a"), (at + 100).alias("b"))
+    return G.slice_windows(rows, "pcm", "a", "b").select("doc_id", "window_sha256")
 
 
-@query("SELECT vec_id::VARCHAR AS clip, 5::BIGINT AS start, 8::BIGINT AS \"end\" FROM embeddings UNION ALL SELECT vec_id::VARCHAR, 64, 66 FROM embeddings")
+@query("SELECT vec_id::VARCHAR AS clip, (vec_id % 40)::BIGINT AS start, (vec_id % 40 + 1 + label % 5)::BIGINT AS \"end\" FROM embeddings UNION ALL SELECT vec_id::VARCHAR, 64, 66 FROM embeddings")
 def g10_sample_difference(spark, d):
-    bent = F.concat(F.transform("x", lambda v, i: F.when((i >= 5) & (i < 8), v + 1).otherwise(v)), F.array(F.lit(0.0), F.lit(0.0)))
+    at = F.col("clip").cast("long") % 40
+    bent = F.concat(F.transform("x", lambda v, i: F.when((i >= at) & (i <= at + F.col("label") % 5), v + 1).otherwise(v)), F.array(F.lit(0.0), F.lit(0.0)))
     return G.sample_difference(_waves(spark, d).withColumn("y", bent), "clip", "x", "y")
 
 

@@ -18,7 +18,7 @@ from quorumlake.operators import sets as U
 from quorumlake.operators import validate as V
 from quorumlake.streaming import gate as R
 
-from .base import CLIPS, HOPS, KEYWORDS, OBS, SPANS, clips, hops, observations, spans, table, with_vectors
+from .base import CLIPS, HOPS, KEYWORDS, OBS, SPANS, UTTS, WITHOUT_LAST, clips, hops, observations, spans, table, utterances, with_vectors, without_last
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -35,13 +35,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import jobs  # noqa: F401  registers the jobs
+    from . import exchange, jobs  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import jobs  # noqa: F401
+    from . import exchange, jobs  # noqa: F401
 
     return dict(_SQL)
 
@@ -66,12 +66,12 @@ def a1_strict_quorum(spark, d):
     return C.strict_quorum(observations(spark, d), KEYWORDS).select("clip_id", "mask", "full_text", "weight", "reason")
 
 
-@query(f"""{VOTES}, i AS (SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS intent, CASE WHEN clip_id % 4 = 0 THEN substr(spoken, 1, 20) ELSE spoken END AS want, clip_id % 19 <> 0 AS gen, frames < 100 AS flag FROM clips)
+@query(f"""{VOTES}, i AS (SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS intent, CASE WHEN clip_id % 4 = 0 THEN {WITHOUT_LAST} ELSE spoken END AS want, clip_id % 19 <> 0 AS gen, frames < 100 AS flag FROM clips)
 SELECT clip_id, CASE WHEN NOT gen THEN 'generation_failed' WHEN flag THEN 'audio_flag' WHEN top_votes < 2 THEN 'no_quorum' WHEN intent = 'positive' AND top_text IS DISTINCT FROM want THEN 'positive_unconfirmed'
  WHEN intent = 'negative' AND regexp_matches(top_text, 't.*h.*e') THEN 'negative_has_path' ELSE 'accepted' END AS reason FROM votes JOIN i USING (clip_id)""")
 def a2_intent_quorum(spark, d):
     c = clips(spark, d)
-    intents = c.select("clip_id", F.when(F.col("clip_id") % 3 == 0, "positive").otherwise("negative").alias("intent"), F.when(F.col("clip_id") % 4 == 0, F.substring("spoken", 1, 20)).otherwise(F.col("spoken")).alias("intended_text"), (F.col("clip_id") % 19 != 0).alias("generated"), (F.col("frames") < 100).alias("flagged"))
+    intents = c.select("clip_id", F.when(F.col("clip_id") % 3 == 0, "positive").otherwise("negative").alias("intent"), F.when(F.col("clip_id") % 4 == 0, without_last(F.col("spoken"))).otherwise(F.col("spoken")).alias("intended_text"), (F.col("clip_id") % 19 != 0).alias("generated"), (F.col("frames") < 100).alias("flagged"))
     return C.intent_quorum(observations(spark, d), intents, T.contains_in_order(F.col("top_text"), "the")).select("clip_id", "reason")
 
 
@@ -105,7 +105,7 @@ def a6_keyword_presence(spark, d):
 
 
 @query(f"""WITH {OBS}, pat(class, pattern, om) AS (VALUES (1, 'the.*', false), (1, 'th.* o.*', true), (2, '.*que.*', false), (2, 'a.*', true)),
-v AS (SELECT clip_id, any_value(spoken) AS ph, sum((usable AND norm_text LIKE '%zz%')::INT) AS rivals FROM obs GROUP BY clip_id),
+v AS (SELECT clip_id, any_value(spoken) AS ph, sum((usable AND norm_text <> spoken AND norm_text LIKE '%zz%')::INT) AS rivals FROM obs GROUP BY clip_id),
 m AS (SELECT clip_id, count(*) AS matches, min(class) AS class, bool_or(om) AS om FROM v JOIN pat ON regexp_full_match(ph, pattern) GROUP BY clip_id),
 al AS (SELECT clip_id, count(*) AS votes FROM obs WHERE usable AND norm_text = spoken GROUP BY clip_id)
 SELECT CASE WHEN rivals > 0 THEN 'competing_word' WHEN matches IS NULL THEN 'no_pattern' WHEN matches > 1 THEN 'ambiguous_pattern' WHEN om AND coalesce(votes, 0) < 3 THEN 'onset_needs_three' WHEN coalesce(votes, 0) < 2 THEN 'too_few_votes' ELSE 'admitted' END AS reason, count(*) AS n
@@ -422,9 +422,10 @@ def j6_keep_missing(spark, d):
     return got.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def j7_unused(spark, d):
-    return J.unused(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    used = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return J.unused(table(spark, d, "customer").select("c_custkey"), used, ["c_custkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_discount >= 0.02))")
@@ -439,10 +440,10 @@ def j9_variant_pairs(spark, d):
     return got.groupBy("p_brand", F.col("left_variant").alias("left_size"), F.col("right_variant").alias("right_size")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {HOPS}, w AS (SELECT l_suppkey AS case_id, l_linenumber * 1280 AS a, l_linenumber * 1280 + l_quantity::BIGINT * 128 AS b, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey < 60)
+@query(f"""WITH {HOPS}, w AS (SELECT l_suppkey AS case_id, l_linenumber * 1280 AS a, l_linenumber * 1280 + l_quantity::BIGINT * 128 AS b, l_orderkey, l_linenumber FROM lineitem)
 SELECT l_orderkey, l_linenumber, case_id, count(*) AS hops, max(p) AS peak FROM w JOIN hops USING (case_id) WHERE a < sample AND sample <= b GROUP BY ALL""")
 def j11_range_join(spark, d):
-    w = table(spark, d, "lineitem").where("l_suppkey < 60").select(F.col("l_suppkey").alias("case_id"), (F.col("l_linenumber") * 1280).cast("long").alias("a"), (F.col("l_linenumber") * 1280 + F.col("l_quantity").cast("long") * 128).alias("b"), "l_orderkey", "l_linenumber")
+    w = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), (F.col("l_linenumber") * 1280).cast("long").alias("a"), (F.col("l_linenumber") * 1280 + F.col("l_quantity").cast("long") * 128).alias("b"), "l_orderkey", "l_linenumber")
     got = J.range_join(hops(spark, d), w, "case_id", "sample", "a", "b", width=12_800)
     return got.groupBy("l_orderkey", "l_linenumber", "case_id").agg(F.count("*").alias("hops"), F.max("p").alias("peak"))
 
@@ -588,9 +589,16 @@ def w11_aliases(spark, d):
     return I.aliases(rows, "c_mktsegment", "n_name", F.col("c_custkey")).select("c_custkey", "alias")
 
 
-@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, spoken, string_split(spoken, 'an') AS q FROM clips) SELECT CASE WHEN len(q) = 1 THEN 'absent' WHEN len(q) > 2 THEN 'repeated' WHEN spoken = 'an' THEN 'isolated' WHEN q[1] = '' THEN 'prefix' WHEN q[2] = '' THEN 'suffix' ELSE 'middle' END AS context, count(*) AS n FROM c GROUP BY 1""")
+@query(f"""WITH {UTTS}, c AS (SELECT spoken, string_split(spoken, 'an') AS q FROM utts) SELECT CASE WHEN len(q) = 1 THEN 'absent' WHEN len(q) > 2 THEN 'repeated' WHEN spoken = 'an' THEN 'isolated' WHEN q[1] = '' THEN 'prefix' WHEN q[2] = '' THEN 'suffix' ELSE 'middle' END AS context, count(*) AS n FROM c GROUP BY 1""")
 def w12_keyword_context(spark, d):
-    return clips(spark, d).groupBy(I.keyword_context(F.col("spoken"), "an").alias("context")).agg(F.count("*").alias("n"))
+    return utterances(spark, d).groupBy(I.keyword_context(F.col("spoken"), "an").alias("context")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {UTTS}, c AS (SELECT utt, string_split(spoken, 'an') AS q FROM utts), p AS (SELECT utt, unnest(range(len(q) - 1)) AS i, q FROM c WHERE len(q) > 1)
+SELECT utt, count(*) AS matches, sum(length(array_to_string(q[1:i + 1], 'an')))::BIGINT AS total FROM p GROUP BY utt""")
+def w12_keyword_offsets(spark, d):
+    at = utterances(spark, d).select("utt", I.keyword_offsets(F.col("spoken"), "an").alias("at")).where(F.size("at") > 0)
+    return at.select("utt", F.size("at").cast("long").alias("matches"), F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("""WITH s AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation), p AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS j, count(*) OVER () AS n FROM region) SELECT n_name, r_name, ((j - i) % n + n) % n AS turn FROM s, p""")
@@ -598,9 +606,14 @@ def w13_latin_order(spark, d):
     return I.latin_order(table(spark, d, "nation"), table(spark, d, "region"), "n_name", "r_name")
 
 
-@query("SELECT doc_id FROM documents ORDER BY sha256('shuffle' || doc_id) LIMIT 100")
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('shuffle' || doc_id)) AS number FROM documents")
 def w14_hash_shuffle(spark, d):
-    return table(spark, d, "documents").orderBy(I.hash_order("shuffle", F.col("doc_id"))).limit(100).select("doc_id")
+    return I.numbered(table(spark, d, "documents").select("doc_id"), [I.hash_order("shuffle", F.col("doc_id"))])
+
+
+@query(f"""WITH {UTTS} SELECT utt, list_reduce(list_concat([0::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(spoken, '')]), lambda a, x: (a * 131 + x) % 4294967296) AS hash FROM utts""")
+def w14_rolling_hash(spark, d):
+    return utterances(spark, d).select("utt", I.rolling_hash(F.col("spoken")).alias("hash"))
 
 
 @query(f"""WITH {CLIPS} SELECT clip_id, coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + frames + 80)::BIGINT AS grace_end FROM clips""")
@@ -789,9 +802,9 @@ def t1_normal_forms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.norm_reference(ascii_only)).alias("norm"))
 
 
-@query("SELECT clip_id, trim(regexp_replace(translate(spoken, 'aeˈː', 'ae'), ' +', ' ', 'g')) AS phones FROM (SELECT * FROM (WITH " + CLIPS + " SELECT * FROM clips))")
+@query(f"WITH {UTTS} SELECT utt, spoken AS phones FROM utts")
 def t2_phones(spark, d):
-    return clips(spark, d).select("clip_id", T.norm_phones(F.transform(F.split("spoken", " "), lambda w: F.concat(w, F.lit("ˈː")))).alias("phones"))
+    return utterances(spark, d).select("utt", T.norm_phones(F.transform(F.split("spoken", " "), lambda w: F.concat(w, F.lit("ˈː")))).alias("phones"))
 
 
 @query("SELECT count_if(contains(text, 'idiot')) AS hits, count(*) AS n FROM documents")
@@ -799,41 +812,40 @@ def t3_presence(spark, d):
     return table(spark, d, "documents").agg(F.count_if(T.present(F.col("text"), F.lit("idiot"))).alias("hits"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, string_split(spoken, '') AS t FROM clips), p AS (SELECT clip_id, i FROM c, range(24) r(i) WHERE i + 2 <= len(t) AND t[i + 1] = 'e' AND t[i + 2] = 'r') SELECT clip_id, count(*) AS hits, min(i)::INT AS first FROM p GROUP BY clip_id""")
+@query(f"""WITH {UTTS} SELECT utt, (length(spoken) - length(replace(spoken, 'er', ''))) // 2 AS hits, (instr(spoken, 'er') - 1)::INT AS first FROM utts WHERE contains(spoken, 'er')""")
 def t4_positions(spark, d):
-    got = clips(spark, d).select("clip_id", T.positions(T.characters(F.col("spoken")), ["e", "r"]).alias("at")).where(F.size("at") > 0)
-    return got.select("clip_id", F.size("at").cast("long").alias("hits"), F.get("at", F.lit(0)).alias("first"))
+    got = utterances(spark, d).select("utt", T.positions(T.characters(F.col("spoken")), ["e", "r"]).alias("at")).where(F.size("at") > 0)
+    return got.select("utt", F.size("at").cast("long").alias("hits"), F.get("at", F.lit(0)).alias("first"))
 
 
-@query(f"WITH {CLIPS} SELECT count_if(regexp_matches(spoken, 'a.*n.*d')) AS ordered, count_if(regexp_matches(spoken, '\\bthe\\b')) AS whole FROM clips")
+@query(f"WITH {UTTS} SELECT lang, count_if(regexp_matches(spoken, 'a.*n.*d')) AS ordered, count_if(regexp_matches(spoken, '\\bthe\\b')) AS whole FROM utts GROUP BY lang")
 def t5_t6_phrases(spark, d):
-    return clips(spark, d).agg(F.count_if(T.contains_in_order(F.col("spoken"), "and")).alias("ordered"), F.count_if(T.whole_phrase(F.col("spoken"), "the")).alias("whole"))
+    return utterances(spark, d).groupBy("lang").agg(F.count_if(T.contains_in_order(F.col("spoken"), "and")).alias("ordered"), F.count_if(T.whole_phrase(F.col("spoken"), "the")).alias("whole"))
 
 
-@query(f"""WITH {CLIPS}, p(name, pattern) AS (VALUES ('the', '.*\\bthe\\b.*'), ('que', '.*que.*'), ('ing', '.*ing')), m AS (SELECT clip_id, count(*) AS matches, min(name) AS name FROM clips JOIN p ON regexp_full_match(spoken, pattern) GROUP BY 1)
-SELECT clip_id, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN name END AS only FROM clips LEFT JOIN m USING (clip_id)""")
+@query(f"""WITH {UTTS}, p(name, pattern) AS (VALUES ('the', '.*\\bthe\\b.*'), ('que', '.*que.*'), ('ing', '.*ing')), m AS (SELECT utt, count(*) AS matches, min(name) AS name FROM utts JOIN p ON regexp_full_match(spoken, pattern) GROUP BY 1)
+SELECT utt, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN name END AS only FROM utts LEFT JOIN m USING (utt)""")
 def t7_pattern_matches(spark, d):
     p = spark.createDataFrame([("the", r".*\bthe\b.*"), ("que", ".*que.*"), ("ing", ".*ing")], "name string, pattern string")
-    return T.pattern_matches(clips(spark, d), p, "clip_id", "spoken", full=True)
+    return T.pattern_matches(utterances(spark, d), p, "utt", "spoken", full=True)
 
 
-@query(f"""WITH {CLIPS} SELECT clip_id, levenshtein(translate(spoken, ' ', ''), translate(substr(spoken, 3), ' ', ''))::BIGINT AS distance FROM clips""")
+@query(f"""WITH {UTTS} SELECT utt, levenshtein(translate(spoken, ' ', ''), translate({WITHOUT_LAST}, ' ', ''))::BIGINT AS distance FROM utts""")
 def t8_token_distance(spark, d):
-    letters = F.array(*[F.lit(chr(97 + i)) for i in range(26)])
     tokens = lambda c: T.characters(F.translate(c, " ", ""))
-    return clips(spark, d).select("clip_id", T.token_distance(tokens(F.col("spoken")), tokens(F.substring("spoken", 3, 24)), letters).cast("long").alias("distance"))
+    return utterances(spark, d).select("utt", T.token_distance(tokens(F.col("spoken")), tokens(without_last(F.col("spoken")))).cast("long").alias("distance"))
 
 
-@query(f"""WITH {CLIPS}, s AS (SELECT clip_id, a, n, substr(spoken, a::BIGINT, n::BIGINT) AS span FROM clips, range(1, 25) t(a), (VALUES (3), (4), (5)) v(n) WHERE a + n - 1 <= length(spoken)) SELECT clip_id, (a - 1)::INT AS "at", span, levenshtein(span, 'tion')::INT AS distance FROM s WHERE NOT contains(span, ' ') AND levenshtein(span, 'tion') <= 1""")
+@query(f"""WITH {UTTS}, a AS (SELECT utt, spoken, unnest(range(1, length(spoken) + 1)) AS a FROM utts), s AS (SELECT utt, a, n, substr(spoken, a::BIGINT, n::BIGINT) AS span FROM a, (VALUES (3), (4), (5)) v(n) WHERE a + n - 1 <= length(spoken)) SELECT utt, (a - 1)::INT AS "at", span, levenshtein(span, 'tion')::INT AS distance FROM s WHERE NOT contains(span, ' ') AND levenshtein(span, 'tion') <= 1""")
 def t9_near_spans(spark, d):
-    return T.near_spans(clips(spark, d), "clip_id", "spoken", "tion")
+    return T.near_spans(utterances(spark, d), "utt", "spoken", "tion")
 
 
-@query(f"""WITH {CLIPS} SELECT CASE WHEN frames < 100 THEN 'unknown' WHEN contains(spoken, 'the') THEN 'positive' WHEN regexp_matches(spoken, 't.?e') THEN 'unknown' ELSE 'negative' END AS state, count(*) AS n FROM clips GROUP BY 1""")
+@query(f"""WITH {UTTS} SELECT CASE WHEN length(spoken) < 12 THEN 'unknown' WHEN contains(spoken, 'the') THEN 'positive' WHEN regexp_matches(spoken, 't.?e') THEN 'unknown' ELSE 'negative' END AS state, count(*) AS n FROM utts GROUP BY 1""")
 def t12_presence_state(spark, d):
     s = F.col("spoken")
-    state = T.presence_state(F.col("frames") < 100, s.contains("the"), s.rlike("t.?e"), F.lit(False))
-    return clips(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    state = T.presence_state(F.length(s) < 12, s.contains("the"), s.rlike("t.?e"), F.lit(False))
+    return utterances(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {HOPS}, c AS (SELECT case_id, sample, best, lag(best) OVER (PARTITION BY case_id ORDER BY sample) AS prev FROM hops) SELECT case_id, string_agg(best::VARCHAR, '' ORDER BY sample) AS path FROM c WHERE best <> 0 AND best IS DISTINCT FROM prev GROUP BY case_id""")
@@ -849,17 +861,17 @@ def t14_ctc_events(spark, d):
     return path.select("case_id", F.size(T.positions(F.col("ids"), [1, 2, 1])).cast("long").alias("hits"))
 
 
-@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM clips), v AS (SELECT clip_id, i, t, ascii(t) - 96 AS id, lag(t) OVER (PARTITION BY clip_id ORDER BY i) AS prev FROM c)
-SELECT clip_id, count(*) + count_if(t = prev AND t <> ' ' AND t <> 'x') AS min_frames, count_if(t = ' ' OR t = 'x') > 0 AS unsupported FROM v GROUP BY clip_id""")
+@query(f"""WITH {UTTS}, c AS (SELECT utt, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM utts), v AS (SELECT utt, i, t, ascii(t) - 96 AS id, lag(t) OVER (PARTITION BY utt ORDER BY i) AS prev FROM c)
+SELECT utt, count(*) + count(*) FILTER (WHERE t = prev AND t <> ' ' AND t <> 'x') AS min_frames, count_if(t = ' ' OR t = 'x') > 0 AS unsupported FROM v GROUP BY utt""")
 def t15_vocabulary_ids(spark, d):
     vocab = spark.createDataFrame([(chr(97 + i), i + 1) for i in range(26) if chr(97 + i) != "x"], "token string, id int")
-    got = T.vocabulary_ids(clips(spark, d), vocab, "clip_id", T.characters(F.col("spoken")))
-    return got.select("clip_id", F.col("min_frames").cast("long").alias("min_frames"), (F.size("unsupported") > 0).alias("unsupported"))
+    got = T.vocabulary_ids(utterances(spark, d), vocab, "utt", T.characters(F.col("spoken")))
+    return got.select("utt", F.col("min_frames").cast("long").alias("min_frames"), (F.size("unsupported") > 0).alias("unsupported"))
 
 
-@query(f"""WITH {CLIPS}, c AS (SELECT clip_id, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM clips), v AS (SELECT *, lead(t) OVER (PARTITION BY clip_id ORDER BY i) AS nxt FROM c) SELECT clip_id, count_if(t = nxt) AS repeats FROM v GROUP BY clip_id""")
+@query(f"""WITH {UTTS}, c AS (SELECT utt, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM utts), v AS (SELECT *, lead(t) OVER (PARTITION BY utt ORDER BY i) AS nxt FROM c) SELECT utt, count(*) FILTER (WHERE t = nxt) AS repeats FROM v GROUP BY utt""")
 def t16_repetition(spark, d):
-    return clips(spark, d).where("spoken <> ''").select("clip_id", F.regexp_count("spoken", F.lit(r"(.)(?=\1)")).cast("long").alias("repeats"))
+    return utterances(spark, d).select("utt", T.repetition(F.col("spoken")).cast("long").alias("repeats"))
 
 
 @query("SELECT (props::JSON ->> 'k')::INT AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -922,11 +934,11 @@ def r5_trace_summary(spark, d):
     return R.trace_summary(hops(spark, d).withColumn("ready", F.col("sample") > 19_200), "case_id", "sample", "ready", F.col("p") >= 0.9)
 
 
-@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events WHERE event_id % 9 = 0)
+@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events)
 SELECT user_id, CASE WHEN arg_max(s, event_id) = 'started' THEN 'unknown' ELSE arg_max(s, event_id) END AS state, count_if(s = 'started') AS attempts, bool_or(s IN ('started', 'completed', 'failed')) AS consumed FROM l GROUP BY user_id""")
 def r7_claim_state(spark, d):
     s = F.when(F.col("event_type") == "view", "planned").when(F.col("event_type") == "click", "started").when(F.col("event_type") == "error", "failed").otherwise("completed")
-    return R.claim_state(table(spark, d, "events").where("event_id % 9 = 0").select("user_id", "event_id", s.alias("s")), "user_id", "event_id", "s")
+    return R.claim_state(table(spark, d, "events").select("user_id", "event_id", s.alias("s")), "user_id", "event_id", "s")
 
 
 @query("""WITH a AS (SELECT conv_id, turn, CASE WHEN turn >= conv_id % 4 THEN md5(text) || 'x' ELSE md5(text) END AS y, md5(text) AS x FROM conversations), f AS (SELECT conv_id, count(*) AS hops, min(turn) FILTER (WHERE x <> y) AS f, min(turn) AS lo FROM a GROUP BY conv_id) SELECT conv_id, hops, coalesce(f - lo, hops) AS prefix FROM f""")
