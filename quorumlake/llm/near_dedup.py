@@ -291,10 +291,14 @@ def near_unique(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     The row is that of the least (id, word sequence, text), null ids last: a text without an id stays where it duplicates
     nothing that has one, and different texts of one id all stay.
     """
-    marks = link(docs, text, doc_id).where("first").select(F.col("doc_id").alias("one"), F.col("body").alias("of")).distinct()
+    rows = link(docs, text, doc_id).where("first")
+    marks = materialise(rows.groupBy(F.col("doc_id").alias("one"), F.col("body").alias("of")).agg(F.count("*").alias("n")))
     keyed = boxed(docs, id=F.col(doc_id).cast("long"), body=F.xxhash64(text))
-    out = keyed.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col("one")) & (F.col("body") == F.col("of")), "left_semi")
-    return unboxed(out.dropDuplicates(["id", "body"]), docs.columns)
+    same = F.col("id").eqNullSafe(F.col("one")) & (F.col("body") == F.col("of"))
+    many = marks.where("n > 1")  # only repeated rows are dealt out once more
+    many = F.broadcast(many) if many.limit(200_001).count() <= 200_000 else many.hint("merge")
+    out = keyed.join(marks.where("n = 1").hint("merge"), same, "left_semi")
+    return unboxed(out.unionByName(keyed.join(many, same, "left_semi").dropDuplicates(["id", "body"])), docs.columns)
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
