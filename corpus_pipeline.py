@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import materialise, table
+from quorumlake.llm.common import boxed, materialise, table, unboxed
 from quorumlake.llm.line_dedup import line_dedup
 from quorumlake.llm.mixing import mix
 from quorumlake.llm.near_dedup import near_unique
@@ -34,13 +34,23 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files ordered by the mixing position: the sources have their shares of all blocks throughout."""
-    order = mix(docs, "size").select("doc_id", F.col("text_crc32").alias("_t"), "position")
-    copy = lambda df: df.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_t").orderBy(df["_t"])))
-    order = copy(order).withColumnRenamed("doc_id", "_id").alias("o")
-    rows = copy(docs.withColumn("_t", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))).alias("d")
-    both = rows.join(order.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("o._id")) & (F.col("d._t") == F.col("o._t")) & (F.col("d._k") == F.col("o._k")))
-    return both.select("d.*", "o.position").repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """All documents, in files ordered by the mixing position: the sources have their shares of all blocks throughout.
+
+    Rows get their places by id and checksum; only rows that share both are numbered first.
+    """
+    order = materialise(mix(docs, "size").select(F.col("doc_id").alias("of"), F.col("text_crc32").alias("sum"), "position"))
+    many = materialise(order.groupBy(F.col("of").alias("same"), F.col("sum").alias("crc")).count().where("count > 1").drop("count"))
+    repeated = F.broadcast(many) if many.limit(200_001).count() <= 200_000 else many.hint("merge")
+    rows = boxed(docs, id=F.col("doc_id"), t=F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    among = lambda i, t: F.col(i).eqNullSafe(F.col("same")) & (F.col(t) == F.col("crc"))
+    place = F.col("id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("sum"))
+    once = rows.join(order.join(repeated, among("of", "sum"), "left_anti").hint("merge"), place)
+    k = lambda df, i, t: df.withColumn("k", F.row_number().over(W.partitionBy(i, t).orderBy(t)))
+    twice = k(rows.join(repeated, among("id", "t"), "left_semi"), "id", "t").alias("d")
+    places = k(order.join(repeated, among("of", "sum"), "left_semi"), "of", "sum").alias("o")
+    twice = twice.join(places.hint("merge"), place & (F.col("d.k") == F.col("o.k")))
+    both = once.select("row", "position").unionByName(twice.select("row", "position"))
+    return unboxed(both.repartitionByRange("position").sortWithinPartitions("position"), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
