@@ -95,10 +95,35 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number", start: in
     return rows.join(F.broadcast(at), "_p").withColumn(name, F.col("_at") + F.col("_i") + start).drop("_p", "_i", "_at")
 
 
-def aliases(df: DataFrame, role: str, label: str, order: Column) -> DataFrame:
+def meet(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the other columns of side, joined on keys where null equals null; side is broadcast if a count finds it small."""
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    return df.alias("d").join(sized(side).alias("s"), same, how).select("d.*", *[F.col(f"s.{c}") for c in side.columns if c not in keys])
+
+
+def running(df: DataFrame, key: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """Add, for each name, the sum of its whole numbers over the earlier rows of the key (0 for the first one).
+
+    One key may hold any share of the rows: they are dealt by ranges of (key, order), and a range starts with what the
+    ranges before it hold of its key. F.lit(1) numbers the rows of a key from 0.
+    """
+    rows = df.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*key, *order)
+    rows = cut_lineage(rows.withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    per = rows.groupBy(*key, "_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    out = meet(rows, per.select(*key, "_range", *[F.sum(f"_{n}").over(before).alias(f"_{n}_at") for n in sums]), [*key, "_range"])
+    inside = W.partitionBy(*key, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = out.withColumns({n: (zero(F.col(f"_{n}_at")) + zero(F.sum(f"_{n}").over(inside))).cast("long") for n in sums})
+    return out.drop("_range", *[c for n in sums for c in (f"_{n}", f"_{n}_at")])
+
+
+def aliases(df: DataFrame, role: str, label: str, order: str) -> DataFrame:
     """Stable names ROLE-LABEL-nn by rank in (role, label)."""
-    rank = F.row_number().over(W.partitionBy(role, label).orderBy(order))
-    return df.withColumn("alias", F.concat_ws("-", F.upper(role), F.upper(label), F.when(rank < 10, F.concat(F.lit("0"), rank.cast("string"))).otherwise(rank.cast("string"))))
+    rank = (F.col("_rank") + 1).cast("string")
+    number = F.when(F.length(rank) < 2, F.concat(F.lit("0"), rank)).otherwise(rank)
+    out = running(df, [role, label], [order], _rank=F.lit(1))
+    return out.withColumn("alias", F.concat_ws("-", F.upper(role), F.upper(label), number)).drop("_rank")
 
 
 def keyword_context(text: Column, keyword: str) -> Column:

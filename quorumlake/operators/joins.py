@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import running
 from .sizes import sized
 
 
@@ -106,9 +107,7 @@ def hash_number(*parts: Column) -> Column:
 
 def assign_by_hash(rows: DataFrame, pool: DataFrame, key: str, role: str, item: str, salt: str) -> DataFrame:
     """Give every row one item of the pool of its role: number hash(salt, key) modulo the pool's size, in item order."""
-    from pyspark.sql import Window as W
-
-    ranked = pool.select(F.col(role), F.col(item), (F.row_number().over(W.partitionBy(role).orderBy(item)) - 1).cast("decimal(20,0)").alias("_rank"))
+    ranked = running(pool.select(role, item), [role], [item], _rank=F.lit(1)).withColumn("_rank", F.col("_rank").cast("decimal(20,0)"))
     sizes = pool.groupBy(role).agg(F.count("*").alias("_size"))
     place = rows.join(sized(sizes), role, "left").withColumn("_rank", F.pmod(hash_number(F.lit(salt), F.col(key).cast("string")), F.col("_size").cast("decimal(20,0)")).cast("decimal(20,0)"))
     return place.join(ranked, [role, "_rank"], "left").drop("_rank", "_size")

@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/lineage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,25 +51,51 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
-    """Connected components: (node, component) with the least node as the component's name.
+#: Edges from which on a node counts as a hub.
+HUB = 1000
 
-    Each round, every node takes the least name among its neighbours and itself, then the name of that name (pointer
-    jumping). Ends when no name changes; each round is written to the shared folder.
+
+def with_least(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (a, b) with m, the least of a and its neighbours. The edges of hubs meet their m by broadcast, so no task reads a whole hub."""
+    limit = max(HUB, count // 50_000)
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    if count <= limit:
+        return edges.join(least.drop("n").hint("merge"), "a")
+    least = cut_lineage(least)
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))  # at most 50,000 rows
+    rest = edges.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m").hint("merge"), "a")
+    return edges.join(hubs, "a").unionByName(rest)
+
+
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components of edges (a, b): rows (node, root) where root is the least node reachable; a root has no row.
+
+    Alternates the large-star and small-star steps on hash-partitioned edges; each round is written to the shared
+    folder. The number of edges never grows, and a hub's neighbours are aggregated by min before they are shuffled.
     """
-    both = cut_lineage(edges.select(F.col(left).alias("x"), F.col(right).alias("y")).unionByName(edges.select(F.col(right).alias("x"), F.col(left).alias("y"))).distinct())
-    names = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")))
+    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    last = None
     for _ in range(max_rounds):
-        near = both.join(names.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("_m"))
-        step = names.join(near, "node").select("node", F.least("component", "_m").alias("component"), F.col("component").alias("_old"))
-        jump = step.join(step.select(F.col("node").alias("component"), F.col("component").alias("_up")), "component", "left")
-        new = cut_lineage(jump.select("node", F.least("component", F.coalesce("_up", "component")).alias("component"), "_old"))
-        names = new.drop("_old")
-        if new.where("component <> _old").isEmpty():
-            return names
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = with_least(both, 2 * now.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut_lineage(large.where("a <> b").distinct())
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        small = with_least(large, large.count()).select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+        now = cut_lineage(small.where("a <> b").distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == last:
+            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        last = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Connected components: (node, component) for every node of an edge, with the least node as the component's name."""
+    edges = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
+    nodes = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return nodes.join(stars(edges).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
 def identity_components(df: DataFrame, row_id: str, kinds: dict[str, str]) -> DataFrame:
     """L3: rows with the component they share through any identity; a row without identities is its own."""
     pairs = F.array(*[F.concat_ws(":", F.lit(k), F.when(F.col(c).isNotNull(), F.col(c).cast("string"))) for c, k in kinds.items()])

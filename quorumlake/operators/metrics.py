@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import meet, running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
@@ -76,11 +78,27 @@ def dominates(rates: DataFrame, model: str, word: str, better: str, other: str)
     return both.agg(F.bool_and(F.coalesce(le, F.lit(False))).alias("not_worse"), F.bool_or(F.coalesce(lt, F.lit(False))).alias("better")).withColumn("dominates", F.col("not_worse") & F.col("better"))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of the non-null values by key, interpolated linearly, a column for each share.
+
+    From counts per value and their running sums, so no task holds the values of a key.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = running(per, keys, [value], _below=F.col("_n"))
+    placed = meet(placed, placed.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+    place = {name: F.lit(q) * (F.col("_all") - 1) for name, q in shares.items()}
+    at = lambda i: F.max(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_n")), F.col(value).cast("double")))
+    ends = [c for n, p in place.items() for c in (at(F.floor(p)).alias(f"_{n}_0"), at(F.ceil(p)).alias(f"_{n}_1"), F.max(p - F.floor(p)).alias(f"_{n}_f"))]
+    mid = lambda n: F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_f")
+    return placed.groupBy(*keys).agg(*ends).select(*keys, *[mid(n).alias(n) for n in shares])
+
+
 def latency_summary(df: DataFrame, keys: list[str], time: str, audio: str | None = None) -> DataFrame:
     """Exact linear-interpolated p50, p95, p99, the maximum and the real-time factor."""
-    cols = [F.percentile(time, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
+    shares = {f"p{round(q * 100)}": q for q in (0.5, 0.95, 0.99)}
     rtf = [ratio(F.sum(time), F.sum(audio)).alias("rtf")] if audio else []
-    return df.groupBy(*keys).agg(F.count(time).alias("n"), *cols, F.max(time).alias("max"), *rtf)
+    out = meet(df.groupBy(*keys).agg(F.count(time).alias("n"), F.max(time).alias("max"), *rtf), quantiles(df, keys, time, shares), keys, "left")
+    return out.select(*keys, "n", *shares, "max", *(["rtf"] if audio else []))
 
 
 def numeric_parity(left: DataFrame, right: DataFrame, key: list[str], values: str, atol: float, rtol: float) -> DataFrame:
@@ -101,7 +119,8 @@ def identity_groups(df: DataFrame, identity: str, member: str, owner: str | None
 
 def ratio_summary(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     """Exact median, least and greatest, and how many are over the limit."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count_if(F.col(value) > limit).alias("flagged"))
+    out = df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.count_if(F.col(value) > limit).alias("flagged"))
+    return meet(out, quantiles(df, keys, value, {"median": 0.5}), keys, "left").select(*keys, "median", "least", "greatest", "flagged")
 
 
 def hits_by_condition(df: DataFrame, condition: str, model: str, models: list[str], hit: Column, case: str) -> DataFrame:
@@ -151,7 +170,6 @@ def rank_fraction(df: DataFrame, keys: list[str], score: str, positive: Column)
     From counts per score and a running sum over the distinct scores of a key, never the pairs.
     """
     per = df.groupBy(*keys, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2))
+    wins = running(per, keys, [score], _below=F.col("_n")).withColumn("_w", F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     out = wins.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.min(F.when(F.col("_p") > 0, F.col(score))).alias("_low"), F.max(F.when(F.col("_n") > 0, F.col(score))).alias("_high"))
     return out.withColumn("fraction", ratio(F.col("_w"), F.col("positives") * F.col("negatives"))).withColumn("separated", F.col("_low") > F.col("_high")).drop("_w", "_low", "_high")

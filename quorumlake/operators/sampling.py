@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import running
 from .sizes import sized
 
 
@@ -35,18 +36,18 @@ def exposure_plan(rows: DataFrame, quotas: dict[str, int], label: str, family: s
     per = rows.groupBy(F.col(label).alias("class"), F.col(family).alias("_f")).agg(F.count("*").alias("_rows"))
     fam = per.withColumn("_fi", F.row_number().over(W.partitionBy("class").orderBy("_f")).cast("long") - 1)
     sizes = per.groupBy("class").agg(F.count("*").alias("_fams"))
-    placed = rows.select(F.col(label).alias("class"), F.col(family).alias("_f"), F.col(item), (F.row_number().over(W.partitionBy(label, family).orderBy(item)).cast("long") - 1).alias("_ri"))
+    placed = running(rows.select(F.col(label).alias("class"), F.col(family).alias("_f"), item), ["class", "_f"], [item], _ri=F.lit(1))
     out = plan.join(sized(sizes), "class").withColumn("_fi", F.pmod("draw", F.col("_fams")))
-    out = out.join(fam, ["class", "_fi"]).withColumn("_ri", F.pmod(F.expr("draw div _fams"), F.col("_rows")))
-    return out.join(placed, ["class", "_f", "_ri"]).select("position", "class", "draw", F.col("_f").alias(family), item)
+    out = out.join(fam.hint("merge"), ["class", "_fi"]).withColumn("_ri", F.pmod(F.expr("draw div _fams"), F.col("_rows")))
+    return out.join(placed.hint("merge"), ["class", "_f", "_ri"]).select("position", "class", "draw", F.col("_f").alias(family), item)
 
 
 def step_draws(rows: DataFrame, group: list[str], item: str, steps: int) -> DataFrame:
     """For each step and group, the row at step mod size, in item order."""
-    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy(*group).orderBy(item)).cast("long") - 1)
+    placed = running(rows.select(*group, item), group, [item], _i=F.lit(1))
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")))).withColumn("_i", F.pmod("step", F.col("_n")))
-    return draws.join(placed.select(*group, item, "_i"), [*group, "_i"]).select("step", *group, item)
+    return draws.join(placed.hint("merge"), [*group, "_i"]).select("step", *group, item)
 
 
 def bag_weights(rows: DataFrame, label: str, group: str, tier: str, classes: int = 3) -> DataFrame:

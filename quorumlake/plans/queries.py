@@ -586,7 +586,7 @@ def w10_review_order(spark, d):
 @query("SELECT c_custkey, upper(c_mktsegment) || '-' || upper(n_name) || '-' || lpad(row_number() OVER (PARTITION BY c_mktsegment, n_name ORDER BY c_custkey)::VARCHAR, greatest(2, length(row_number() OVER (PARTITION BY c_mktsegment, n_name ORDER BY c_custkey)::VARCHAR))::INT, '0') AS alias FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def w11_aliases(spark, d):
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return I.aliases(rows, "c_mktsegment", "n_name", F.col("c_custkey")).select("c_custkey", "alias")
+    return I.aliases(rows, "c_mktsegment", "n_name", "c_custkey").select("c_custkey", "alias")
 
 
 @query(f"""WITH {UTTS}, c AS (SELECT spoken, string_split(spoken, 'an') AS q FROM utts) SELECT CASE WHEN len(q) = 1 THEN 'absent' WHEN len(q) > 2 THEN 'repeated' WHEN spoken = 'an' THEN 'isolated' WHEN q[1] = '' THEN 'prefix' WHEN q[2] = '' THEN 'suffix' ELSE 'middle' END AS context, count(*) AS n FROM c GROUP BY 1""")

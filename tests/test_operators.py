@@ -1,7 +1,9 @@
 """Hand fixtures for operators: golden cases and failing rows."""
 
+import collections
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -234,3 +236,25 @@ def test_evidence_package_round_trip(spark, tmp_path):
     assert sorted((r.export_kind, r.clip_id) for r in back.collect()) == [("all", "a"), ("all", "b"), ("machine_candidate", "a")]
     O.write_flat_trace(rows, rows.limit(1), rows.agg(F.count("*").alias("n")), str(tmp_path / "trace"))
     assert spark.read.json(str(tmp_path / "trace/summary")).first().n == 2
+
+
+def test_running_sums_and_quantiles_over_a_hot_key(spark):
+    rows = [("hot" if i % 3 else None, i, float(i % 17)) for i in range(600)] + [("none", 600, None)]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(7)
+    got = {r.i: (r.at, r.n) for r in I.running(df, ["k"], ["i"], at=F.col("i"), n=F.lit(1)).collect()}
+    seen = collections.defaultdict(lambda: (0, 0))
+    for k, i, _ in rows:
+        assert got[i] == seen[k]
+        seen[k] = (seen[k][0] + i, seen[k][1] + 1)
+    for r in M.latency_summary(df, ["k"], "x").collect():
+        xs = [x for k, _, x in rows if k == r.k and x is not None]
+        want = [float(np.quantile(xs, q)) for q in (0.5, 0.95, 0.99)] if xs else [None] * 3
+        assert r.n == len(xs) and [r.p50, r.p95, r.p99] == (pytest.approx(want) if xs else want)
+
+
+def test_hub_and_chain_components(spark, monkeypatch):
+    monkeypatch.setattr(L, "HUB", 3)
+    edges = [("hub", f"n{i:03}") for i in range(300)] + [(f"n{i:03}", f"z{i:03}") for i in range(0, 300, 7)] + [("p", "p"), ("q", "r"), (None, "q")]
+    got = {r.node: r.component for r in L.connected(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert {got[n] for n in got if n not in "pqr"} == {"hub"} and (got["p"], got["q"], got["r"]) == ("p", "q", "q")
+    assert len(got) == 1 + 300 + 43 + 3
