@@ -72,27 +72,27 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps on hash-partitioned edges; each round is written to the shared
     folder. The number of edges never grows, and a hub's neighbours are aggregated by min before they are shuffled.
+    Ends when the large-star step changes nothing and every node has one edge to a smaller one.
     """
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = None
     for _ in range(max_rounds):
+        before = state(now)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both, 2 * now.count()).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut_lineage(large.where("a <> b").distinct())
+        if state(large) == before and large.groupBy("a").count().where("count > 1").isEmpty():
+            return large.select(F.col("a").alias("node"), F.col("b").alias("root"))
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
-        small = with_least(large, large.count()).select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+        small = with_least(large, before[0]).select(F.explode(pairs).alias("e")).select("e.a", "e.b")
         now = cut_lineage(small.where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        last = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components: (node, component) for every node of an edge, with the least node as the component's name."""
-    edges = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
-    nodes = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    edges = cut_lineage(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(stars(edges).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
