@@ -49,32 +49,31 @@ def signal_measures(samples: Column, full: float = 32768.0, quiet_rms: float = 0
 
 
 def quantise(clips: DataFrame, key: str, samples: str) -> DataFrame:
-    """G1: floats to 16-bit integers, nearest even, saturating; with how many saturated and the greatest error."""
-
-    def one(k, x):
-        x = np.asarray(x, dtype=np.float64)
-        q = np.clip(np.rint(x * 32768), -32768, 32767)
-        sat = int((np.rint(x * 32768) != q).sum())
-        return [(k, q.astype(int).tolist(), sat, float(np.abs(q / 32768 - x).max()) if len(x) else 0.0)]
-
-    return clip_job(clips, [key, samples], one, f"{key} string, pcm array<int>, saturated long, max_error double")
+    """G1: floats to 16-bit integers, nearest even, saturating; with how many saturated and the greatest error. A null clip has null results."""
+    wide = F.transform(samples, lambda v: F.rint(v * 32768))
+    pcm = F.transform(wide, lambda v: F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), v)).cast("int"))
+    saturated = F.size(F.filter(wide, lambda v: (v > 32767) | (v < -32768))).cast("long")
+    out = clips.select(key, F.col(samples).alias("_x"), pcm.alias("pcm"), F.when(F.col(samples).isNotNull(), saturated).alias("saturated"))
+    error = F.aggregate(F.zip_with("pcm", "_x", lambda q, v: F.abs(q / 32768 - v)), F.lit(0.0), lambda a, e: F.greatest(a, e))
+    return out.select(key, "pcm", "saturated", error.alias("max_error"))
 
 
 def silence(clips: DataFrame, key: str, samples: str, rate: int = 16_000, share: float = 0.01) -> DataFrame:
-    """Leading, trailing and longest internal silence in ms: 10 ms frames whose RMS is under `share` of the clip's peak."""
-
-    def one(k, x):
-        x = np.asarray(x, dtype=np.float64)
-        size = rate // 100
-        frames = x[: len(x) // size * size].reshape(-1, size)
-        if not len(frames):
-            return [(k, 0, 0, 0)]
-        loud = np.flatnonzero(np.sqrt((frames**2).mean(1)) >= share * np.abs(x).max()) if np.abs(x).max() else np.array([], dtype=int)
-        if not len(loud):
-            return [(k, 10 * len(frames), 0, 0)]
-        return [(k, 10 * int(loud[0]), 10 * int(len(frames) - 1 - loud[-1]), 10 * int(max(0, np.diff(loud).max(initial=1) - 1)))]
-
-    return clip_job(clips, [key, samples], one, f"{key} string, lead_ms long, tail_ms long, inner_ms long")
+    """Leading, trailing and longest internal silence in ms: 10 ms frames whose RMS is under `share` of the clip's peak.
+
+    A clip without any loud frame is one leading silence; a null clip, or one under a frame, has none.
+    """
+    size, none = rate // 100, F.expr("cast(array() as array<int>)")
+    frames = F.coalesce(F.floor(F.size(F.col(samples)) / size).cast("int"), F.lit(0))
+    rows = clips.select(key, F.col(samples).alias("_x"), F.greatest(frames, F.lit(0)).alias("_n"), F.array_max(F.transform(samples, lambda v: F.abs(v))).alias("_top"))
+    rms = lambda f: F.sqrt(F.aggregate(F.slice("_x", f * size + 1, F.lit(size)), F.lit(0.0), lambda a, v: a + v * v) / size)
+    loud = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda f: rms(f) >= share * F.col("_top"))
+    rows = rows.withColumn("_loud", F.when((F.col("_n") > 0) & (F.col("_top") > 0), loud).otherwise(none))
+    n = F.size("_loud")
+    gaps = F.transform("_loud", lambda f, i: F.when(i > 0, f - F.get("_loud", i - 1) - 1).otherwise(0))
+    ms = lambda c: (10 * F.coalesce(c, F.lit(0))).cast("long")
+    lead, tail = F.when(n == 0, F.col("_n")).otherwise(F.get("_loud", F.lit(0))), F.when(n > 0, F.col("_n") - 1 - F.array_max("_loud"))
+    return rows.select(key, ms(lead).alias("lead_ms"), ms(tail).alias("tail_ms"), ms(F.array_max(gaps)).alias("inner_ms"))
 
 
 def mel_bank(bands: int, size: int, rate: int, low: float = 20.0, high: float | None = None) -> np.ndarray:
@@ -156,22 +155,14 @@ def ctc_scores(clips: DataFrame, key: str, logits: str, candidates: dict[str, li
 
 def mix_snr(rows: DataFrame, key: str, clip: str, noise: str, snr_db: str) -> DataFrame:
     """Clip plus noise at a signal-to-noise ratio; silent inputs, short noise and results without headroom keep a reason and no samples."""
-
-    def one(k, c, n, snr):
-        c, n = np.asarray(c, dtype=np.float64), np.asarray(n, dtype=np.float64)
-        if len(n) < len(c):
-            return [(k, None, None, "noise_short")]
-        n = n[: len(c)]
-        pc, pn = (c**2).mean() if len(c) else 0, (n**2).mean() if len(n) else 0
-        if pc == 0 or pn == 0:
-            return [(k, None, None, "silent")]
-        gain = np.sqrt(pc / pn / 10 ** (snr / 10))
-        out = np.rint(c + gain * n)
-        if np.abs(out).max() > 32767:
-            return [(k, None, float(gain), "no_headroom")]
-        return [(k, out.astype(int).tolist(), float(gain), None)]
-
-    return clip_job(rows, [key, clip, noise, snr_db], one, f"{key} string, pcm array<int>, gain double, reason string")
+    power = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
+    n = F.slice(noise, F.lit(1), F.size(clip))
+    sound = rows.select(key, F.col(clip).alias("_c"), n.alias("_n"), (F.size(noise) < F.size(clip)).alias("_short"), power(F.col(clip)).alias("_pc"), power(n).alias("_pn"), F.col(snr_db).alias("_snr"))
+    gain = F.sqrt(F.col("_pc") / F.col("_pn") / F.pow(F.lit(10.0), F.col("_snr") / 10))
+    mixed = sound.withColumn("gain", F.when(~F.col("_short") & (F.col("_pc") > 0) & (F.col("_pn") > 0), gain))
+    mixed = mixed.withColumn("_out", F.when(F.col("gain").isNotNull(), F.zip_with("_c", "_n", lambda c, v: F.rint(c + F.col("gain") * v))))
+    reason = F.when(F.col("_short"), "noise_short").when(F.col("gain").isNull(), "silent").when(F.exists("_out", lambda v: F.abs(v) > 32767), "no_headroom")
+    return mixed.withColumn("reason", reason).select(key, F.when(F.col("reason").isNull(), F.transform("_out", lambda v: v.cast("int"))).alias("pcm"), "gain", "reason")
 
 
 def add_context(clips: DataFrame, key: str, samples: str, before: int, after: int, level: float) -> DataFrame:
@@ -199,18 +190,14 @@ def slice_windows(windows: DataFrame, pcm: str, start: str, end: str) -> DataFra
 
 
 def sample_difference(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Half-open ranges in which two sample arrays differ (the longer one's tail differs)."""
-
-    def one(k, a, b):
-        a, b = np.asarray(a), np.asarray(b)
-        n = max(len(a), len(b))
-        d = np.ones(n, dtype=bool)
-        m = min(len(a), len(b))
-        d[:m] = a[:m] != b[:m]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], d, [False]]).astype(int)))
-        return [(k, int(s), int(e)) for s, e in zip(edge[::2], edge[1::2])]
-
-    return clip_job(pairs, [key, left, right], one, f"{key} string, start long, end long")
+    """Half-open ranges in which two sample arrays differ (the longer one's tail differs); null equals null, a null array is empty."""
+    x, y = F.coalesce(left, F.array()), F.coalesce(right, F.array())
+    rows = pairs.select(key, x.alias("_x"), y.alias("_y"), F.greatest(F.size(x), F.size(y)).alias("_n"))
+    beyond = lambda i: (i >= F.size("_x")) | (i >= F.size("_y"))
+    differs = lambda i: (i >= 0) & (i < F.col("_n")) & (beyond(i) | ~F.get("_x", i).eqNullSafe(F.get("_y", i)))
+    edges = lambda step: F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: differs(i) & ~differs(i + step))
+    ranges = F.zip_with(edges(-1), edges(1), lambda a, b: F.struct(a.cast("long").alias("start"), (b + 1).cast("long").alias("end")))
+    return rows.where("_n > 0").select(key, F.explode(ranges).alias("r")).select(key, "r.start", "r.end")
 
 
 def covering_ends(first: Column, hop: Column, last: Column, support: Column, start: Column, end: Column) -> Column:

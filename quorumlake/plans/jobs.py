@@ -369,7 +369,9 @@ def g1_quantise(spark, d):
     return got.select("clip", F.aggregate("pcm", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), "saturated")
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), f AS (SELECT vec_id, i // 4 AS f, sqrt(sum(x * x) / 4) AS rms FROM v GROUP BY ALL HAVING count(*) = 4), m AS (SELECT vec_id, max(abs(x)) AS top FROM v GROUP BY vec_id),
+n AS (SELECT vec_id, count(*) AS n FROM f GROUP BY vec_id), l AS (SELECT vec_id, f, f - lag(f) OVER (PARTITION BY vec_id ORDER BY f) - 1 AS quiet FROM f JOIN m USING (vec_id) WHERE top > 0 AND rms >= 0.01 * top)
+SELECT e.vec_id::VARCHAR AS clip, 10 * coalesce(min(f), any_value(n), 0) AS lead_ms, 10 * coalesce(any_value(n) - 1 - max(f), 0) AS tail_ms, 10 * coalesce(max(quiet), 0) AS inner_ms FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN l USING (vec_id) GROUP BY e.vec_id""")
 def g2_silence(spark, d):
     return G.silence(_waves(spark, d), "clip", "x", rate=400)
 
@@ -399,10 +401,14 @@ def g5_ctc_scores(spark, d):
     return G.ctc_scores(m, "case_id", "m", {"one": [1], "two": [2], "one_two": [1, 2], "two_one": [2, 1]})
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 20000) AS c, list_transform(list_reverse(embedding), lambda x: x::DOUBLE * 9000) AS n FROM embeddings),
+g AS (SELECT *, list_sum(list_transform(c, lambda x: x * x)) AS pc, list_sum(list_transform(n, lambda x: x * x)) AS pn FROM v), a AS (SELECT *, CASE WHEN pc > 0 AND pn > 0 THEN sqrt(pc / pn / 10) END AS gain FROM g),
+o AS (SELECT *, list_transform(list_zip(c, n), lambda z: round_even(z[1] + gain * z[2], 0)) AS pcm FROM a)
+SELECT vec_id::VARCHAR AS clip, CASE WHEN gain IS NOT NULL AND list_max(list_transform(pcm, lambda x: abs(x))) <= 32767 THEN list_sum(pcm)::BIGINT END AS total, round(gain, 9) AS gain, CASE WHEN gain IS NULL THEN 'silent' WHEN list_max(list_transform(pcm, lambda x: abs(x))) > 32767 THEN 'no_headroom' END AS reason FROM o""")
 def g6_mix_snr(spark, d):
     w = _waves(spark, d).select("clip", F.transform("x", lambda v: v * 20000).alias("x"), F.transform(F.reverse("x"), lambda v: v * 9000).alias("noise"), F.lit(10.0).alias("snr"))
-    return G.mix_snr(w, "clip", "x", "noise", "snr").select("clip", F.size("pcm").alias("samples"), F.round("gain", 9).alias("gain"), "reason")
+    total = F.aggregate("pcm", F.lit(0).cast("long"), lambda a, v: a + v)
+    return G.mix_snr(w, "clip", "x", "noise", "snr").select("clip", total.alias("total"), F.round("gain", 9).alias("gain"), "reason")
 
 
 @query()

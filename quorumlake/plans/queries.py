@@ -658,7 +658,12 @@ def w15_extend_registry(spark, d):
     return L.extend_registry(old, n.where("n_nationkey < 12"), "speaker").select("speaker", "ordinal", "role")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT -1::BIGINT AS position, '' AS class, 0::BIGINT AS draw, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c
+UNION ALL SELECT position + 1, pick, CASE pick WHEN 'positive' THEN a WHEN 'ordinary' THEN b ELSE c END, a + (pick = 'positive')::INT, b + (pick = 'ordinary')::INT, c + (pick = 'near')::INT
+FROM (SELECT *, CASE WHEN x >= greatest(y, z) THEN 'positive' WHEN y >= z THEN 'ordinary' ELSE 'near' END AS pick FROM (SELECT *, CASE WHEN a < 1000 THEN 1000 * (position + 2) - a * 2000 ELSE -10000000 END AS x, CASE WHEN b < 900 THEN 900 * (position + 2) - b * 2000 ELSE -10000000 END AS y, CASE WHEN c < 100 THEN 100 * (position + 2) - c * 2000 ELSE -10000000 END AS z FROM s)) WHERE position < 1999),
+r AS (SELECT doc_id, source, CASE WHEN quality = 0 THEN 'near' WHEN lang = 'en' THEN 'ordinary' ELSE 'positive' END AS class FROM documents JOIN labels USING (doc_id)),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY class ORDER BY source) - 1 AS f, row_number() OVER (PARTITION BY class, source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY class, source) AS n FROM r), m AS (SELECT class, count(DISTINCT source) AS m FROM r GROUP BY class)
+SELECT position, class, draw, source, doc_id FROM s JOIN m USING (class) JOIN i USING (class) WHERE i.f = s.draw % m.m AND i.k = (s.draw // m.m) % i.n""")
 def x1_exposure_plan(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "source", F.when(F.col("quality") == 0, "near").when(F.col("lang") == "en", "ordinary").otherwise("positive").alias("kind"))
     return X.exposure_plan(rows, {"positive": 1000, "ordinary": 900, "near": 100}, "kind", "source", "doc_id")
@@ -721,15 +726,20 @@ def l2_speaker_generator_leaks(spark, d):
 
 
 def _parts(spark, d) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice").cast("string")).alias("price"), F.when(F.col("p_partkey") % 7 == 1, F.concat_ws(":", "p_brand", "p_size")).alias("brand"), F.when(F.col("p_partkey") % 10 == 0, "dev").otherwise("train").alias("split"))
+    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice").cast("string")).alias("price"), F.when(F.col("p_partkey") % 7 == 1, F.concat_ws(":", "p_brand", "p_size")).alias("brand"), F.when(F.col("p_partkey") % 2 == 0, "dev").otherwise("train").alias("split"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'dev' ELSE 'train' END AS split, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 7 = 1 THEN p_brand || ':' || p_size END AS brand FROM part),
+h AS (SELECT k, min(k) OVER (PARTITION BY price) AS m FROM p WHERE price IS NOT NULL UNION SELECT k, min(k) OVER (PARTITION BY brand) FROM p WHERE brand IS NOT NULL), e AS (SELECT k AS a, m AS b FROM h WHERE k <> m UNION SELECT m, k FROM h WHERE k <> m),
+r AS (SELECT k AS node, k AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b), c AS (SELECT node, min(root) AS component FROM r GROUP BY node)
+SELECT min(k::VARCHAR) AS component, count(DISTINCT split) AS splits, count(*) AS rows FROM p JOIN c ON node = k GROUP BY c.component HAVING count(DISTINCT split) > 1""")
 def l3_split_components(spark, d):
     return L.split_leaks(L.identity_components(_parts(spark, d), "p_partkey", {"price": "price", "brand": "brand"}), "split")
 
 
-@query()
+@query("""WITH d AS (SELECT 'd' || doc_id AS key, source, doc_id % 10 <> 0 AS train, min('d' || doc_id) OVER (PARTITION BY text) AS component FROM documents), b AS (SELECT DISTINCT 'd' || item_id AS key FROM benchmark),
+c AS (SELECT component, bool_or(b.key IS NOT NULL AND b.key < 'd2') AS exposed, bool_or(b.key IS NOT NULL AND b.key >= 'd38') AS banned, count(DISTINCT train) AS roles, count(DISTINCT source) AS sources FROM d LEFT JOIN b USING (key) GROUP BY component), g AS (SELECT source, count(DISTINCT component) AS comps FROM d GROUP BY source)
+SELECT key, component, exposed, CASE WHEN banned THEN 'banned_member' WHEN exposed AND NOT train THEN 'exposed_not_train' WHEN roles > 1 THEN 'role_clash' WHEN sources > 1 OR comps > 1 THEN 'group_not_component' END AS violation FROM d JOIN c USING (component) JOIN g USING (source)""")
 def l4_lineage_groups(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.col("source").alias("group"), F.when(F.col("doc_id") % 10 == 0, "heldout").otherwise("train").alias("role"), F.sha2("text", 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("key").alias("left"), F.count("*").alias("n")).where("n > 1")
@@ -894,11 +904,17 @@ def m1_signal_measures(spark, d):
 POLICY = R.GatePolicy(threshold=0.6, confirmations=2, block_samples=5_120, warm_hops=3)
 
 
+GATED = f"""{HOPS}, n AS (SELECT case_id, sample, best, p::FLOAT AS p, row_number() OVER (PARTITION BY case_id ORDER BY sample) AS i FROM hops),
+g AS (SELECT case_id, 0::BIGINT AS i, NULL::BIGINT AS sample, -1 AS label, 0 AS seen, -1::BIGINT AS until, NULL::INT AS hit FROM n WHERE i = 1
+UNION ALL SELECT case_id, i, sample, CASE WHEN ok AND c < 2 THEN best ELSE -1 END, CASE WHEN ok AND c < 2 THEN c ELSE 0 END, CASE WHEN ok AND c = 2 THEN sample + 5120 ELSE until END, CASE WHEN ok AND c = 2 THEN best END
+FROM (SELECT n.case_id, n.i, n.sample, n.best, g.until, n.i > 3 AND n.sample >= g.until AND n.best <> 0 AND n.p >= 0.6::FLOAT AS ok, CASE WHEN n.best = g.label THEN g.seen + 1 ELSE 1 END AS c FROM g JOIN n ON n.case_id = g.case_id AND n.i = g.i + 1))"""
+
+
 def _gated(spark, d) -> DataFrame:
     return R.gate_events(with_vectors(hops(spark, d)), policy=POLICY)
 
 
-@query()
+@query(f"WITH RECURSIVE {GATED} SELECT case_id::VARCHAR AS case_id, sample, hit AS event_class FROM g WHERE hit IS NOT NULL")
 def r1_event_gate(spark, d):
     return _gated(spark, d)
 
@@ -922,10 +938,12 @@ def r3_windowed_match(spark, d):
     return got.groupBy("timing").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GATED}, e AS (SELECT case_id::VARCHAR AS case_id, sample, hit AS event_class FROM g WHERE hit IS NOT NULL)
+SELECT *, 'derived' AS side FROM e WHERE sample % 3 = 0 UNION ALL SELECT case_id, sample + 1, event_class, 'stored' FROM e WHERE sample % 7 = 0""")
 def r4_event_consistency(spark, d):
     e = _gated(spark, d)
-    stored = e.where(F.col("sample") % 5 != 0)
+    moved = e.where(F.col("sample") % 7 == 0).withColumn("sample", F.col("sample") + 1)
+    stored = e.where(F.col("sample") % 3 != 0).unionByName(moved)
     return R.event_consistency(e, stored, ["case_id", "sample", "event_class"])
 
 
@@ -948,7 +966,12 @@ def r8_shared_prefix(spark, d):
     return R.shared_prefix(c, bent, "conv_id", "turn", "h")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HOPS}, t AS (SELECT case_id, sample AS clock, event_id % 4 AS t, lag(event_id % 4) OVER (PARTITION BY case_id ORDER BY sample) AS prev FROM hops),
+k AS (SELECT case_id, clock, t, row_number() OVER (PARTITION BY case_id ORDER BY clock) AS i FROM t WHERE t IS DISTINCT FROM prev),
+s AS (SELECT case_id, gap, 0::BIGINT AS i, 0 AS seen, 0::BIGINT AS first, 0::BIGINT AS second, NULL::BIGINT AS third FROM k, (VALUES (1280::BIGINT), (2560), (5120), (12800)) v(gap) WHERE i = 1
+UNION ALL SELECT case_id, gap, i, CASE WHEN t = held + 1 THEN (held + 1) % 3 WHEN t = 1 THEN 1 ELSE held END, CASE WHEN t = 1 THEN clock ELSE first END, CASE WHEN t = 2 AND held = 1 THEN clock ELSE second END, CASE WHEN t = 3 AND held = 2 THEN clock END
+FROM (SELECT k.case_id, s.gap, k.i, k.t, k.clock, s.first, s.second, CASE WHEN k.clock - CASE s.seen WHEN 1 THEN s.first ELSE s.second END > s.gap THEN 0 ELSE s.seen END AS held FROM s JOIN k ON k.case_id = s.case_id AND k.i = s.i + 1))
+SELECT case_id::VARCHAR AS case_id, gap, first, second, third FROM s WHERE third IS NOT NULL""")
 def r9_token_sequences(spark, d):
     frames = hops(spark, d).withColumn("token", (F.col("event_id") % 4).cast("int"))
     return R.token_sequences(frames, "case_id", "sample", "token", [1_280, 2_560, 5_120, 12_800])

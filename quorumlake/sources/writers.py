@@ -28,19 +28,27 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_summary(files: DataFrame) -> DataFrame:
-    """IO10: files, bytes and one digest of a manifest."""
-    return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("sha256"))), 256).alias("digest"))
+    """IO10: files, bytes and one digest of a manifest, whatever its order."""
+    out = _folded(files.select(F.col("sha256").alias("h"), "bytes"), F.sum("bytes").alias("bytes"))
+    return out.agg(F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), _digest().alias("digest"))
 
 
-def table_digest(df: DataFrame, buckets: int = 256) -> DataFrame:
-    """IO11: one digest of a table whatever its order: sums of the rows' digests in buckets, then a digest over the buckets.
+def table_digest(df: DataFrame) -> DataFrame:
+    """IO11: one digest of a table whatever its order; repeated rows count."""
+    return _folded(df.select(row_digest(df.columns).alias("h"))).agg(F.sum("n").alias("rows"), _digest().alias("digest"))
 
-    The sums are whole numbers, so partial aggregation holds no list; repeated rows count.
-    """
-    h = df.select(row_digest(df.columns).alias("h"))
+
+def _folded(digests: DataFrame, *more: Column, buckets: int = 256) -> DataFrame:
+    """Sums of the hex digests `h` in buckets (b, n, s): whole numbers, so partial aggregation holds no list of digests."""
     part = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
-    per = h.groupBy(F.pmod(F.crc32(F.col("h").cast("binary")), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.concat_ws(":", *[part(i) for i in range(8)]).alias("s"))
-    return per.agg(F.sum("n").alias("rows"), F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("b", "s"))), lambda x: F.concat_ws("=", x["b"].cast("string"), x["s"]))), 256).alias("digest"))
+    bucket = F.pmod(F.crc32(F.col("h").cast("binary")), F.lit(buckets)).alias("b")
+    return digests.groupBy(bucket).agg(F.count("*").alias("n"), F.concat_ws(":", *[part(i) for i in range(8)]).alias("s"), *more)
+
+
+def _digest() -> Column:
+    """One digest over the buckets of `_folded`."""
+    rows = F.sort_array(F.collect_list(F.struct("b", "s")))
+    return F.sha2(F.concat_ws("\n", F.transform(rows, lambda x: F.concat_ws("=", x["b"].cast("string"), x["s"]))), 256)
 
 
 def write_flat_trace(hops: DataFrame, metadata: DataFrame, summary: DataFrame, path: str) -> None:

@@ -258,3 +258,17 @@ def test_hub_and_chain_components(spark, monkeypatch):
     got = {r.node: r.component for r in L.connected(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
     assert {got[n] for n in got if n not in "pqr"} == {"hub"} and (got["p"], got["q"], got["r"]) == ("p", "q", "q")
     assert len(got) == 1 + 300 + 43 + 3
+
+
+def test_signal_odd_clips(spark):
+    w = spark.createDataFrame([("empty", []), ("null", None), ("short", [0.5]), ("still", [0.0] * 320), ("ends", [0.0] * 160 + [1.0] * 160 + [0.0] * 160 + [1.0] * 160 + [0.0] * 320)], "k string, x array<double>")
+    s = {r.k: (r.lead_ms, r.tail_ms, r.inner_ms) for r in G.silence(w, "k", "x").collect()}
+    assert s == {"empty": (0, 0, 0), "null": (0, 0, 0), "short": (0, 0, 0), "still": (20, 0, 0), "ends": (10, 20, 10)}
+    q = {r.k: (r.pcm, r.saturated, r.max_error) for r in G.quantise(w.where("k in ('empty', 'null', 'short')"), "k", "x").collect()}
+    assert q == {"empty": ([], 0, 0.0), "null": (None, None, None), "short": ([16384], 0, 0.0)}
+    pairs = [("both", [], None), ("tail", [1], [1, 2, 3]), ("null", [None, 1], [None, 2]), ("ends", [9, 1, 9], [1, 1, 1])]
+    d = G.sample_difference(spark.createDataFrame(pairs, "k string, a array<int>, b array<int>"), "k", "a", "b").collect()
+    assert sorted(map(tuple, d)) == [("ends", 0, 1), ("ends", 2, 3), ("null", 1, 2), ("tail", 1, 3)]
+    mixes = [("loud", [32767.0, -1.0], [9.0, 9.0], 0.0), ("none", None, [1.0], 0.0), ("still", [0.0, 0.0], [1.0, 1.0], 0.0)]
+    m = {r.k: (r.pcm, r.reason) for r in G.mix_snr(spark.createDataFrame(mixes, "k string, c array<double>, n array<double>, s double"), "k", "c", "n", "s").collect()}
+    assert m == {"loud": (None, "no_headroom"), "none": (None, "silent"), "still": (None, "silent")}
