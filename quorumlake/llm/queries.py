@@ -17,6 +17,7 @@ _QUERIES = {
     "op2_quality_rules": "quality_rules",
     "op3_secret_scan": "secret_scan",
     "op10_hilbert_sharding": "sharding",
+    "op12_vector_packing": "vector_packing",
     "op13_lexical_search": "lexical_search",
 }
 
