@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from . import lexical_search, line_dedup
+from . import lexical_search, line_dedup, phrase_mining
 
 _QUERIES = {
     "op4_pfair_mixing": "mixing",
@@ -17,6 +17,7 @@ _QUERIES = {
     "op2_quality_rules": "quality_rules",
     "op3_secret_scan": "secret_scan",
     "op10_hilbert_sharding": "sharding",
+    "op11_phrase_collocations": "phrase_mining",
     "op12_vector_packing": "vector_packing",
     "op13_lexical_search": "lexical_search",
 }
@@ -27,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op13_lexical_search": lexical_search.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op11_phrase_collocations": phrase_mining.SQL, "op13_lexical_search": lexical_search.SQL}
