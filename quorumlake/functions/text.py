@@ -116,9 +116,30 @@ def escaped(needle: str) -> str:
     return "".join(f"\\Q{c}\\E" for c in needle)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def prefix_sums(numbers: Column, chunk: int = 256) -> Column:
+    """For each element of an array the sum up to and with it, as longs; by chunks of the array, so that the cost is not square in its size."""
+    none = F.expr("cast(array() as array<bigint>)")
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out"))
+    within = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)
+
+    def chunked(xs: Column) -> Column:
+        firsts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / chunk).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        parts = F.transform(firsts, lambda i: within(F.slice(xs, i * chunk + 1, chunk)))
+        more = lambda ps: F.zip_with(ps, within(F.transform(ps, lambda p: p["at"]))["out"], lambda p, top: F.transform(p["out"], lambda x: x + top - p["at"]))
+        return let(parts, lambda ps: F.flatten(more(ps)))
+
+    return let(numbers, chunked)
+
+
 def contains_in_order(text: Column, needle: str) -> Column:
-    """T5: the characters of the needle in order, with anything between."""
-    return text.rlike("(?s)" + ".*".join(escaped(c) for c in needle))
+    """T5: the characters of the needle in order, with anything between. Each step takes the first place and never goes back, so it is linear."""
+    code = [f"\\x{{{ord(c):x}}}" for c in needle]
+    return text.rlike("^" + "".join(f"[^{c}]*+{c}" for c in code))
 
 
 def whole_phrase(text: Column, phrase: str) -> Column:
@@ -135,27 +156,80 @@ def pattern_matches(clips: DataFrame, patterns: DataFrame, key: str, text: str,
     return out.withColumn("only", F.when(F.col("matches") == 1, F.col("_name"))).drop("_name")
 
 
-def token_code(tokens: Column, vocabulary: Column) -> Column:
-    """An array of tokens as a string with one character for each token's place in the vocabulary, past the surrogates."""
-    place = lambda t: (F.array_position(vocabulary, t) + F.when(F.array_position(vocabulary, t) < 55_000, 64).otherwise(4096)).cast("int")
-    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 8, "0")), "UTF-32")), "")
+#: Edits up to which the diagonals of two sequences are followed, before whole columns are computed.
+FEW_EDITS = 32
+
+
+def edits(a: list, b: list) -> int:
+    """Edit distance of two sequences of any tokens. Few edits take time linear in the length; many take bit-parallel columns."""
+    n, m, at = len(a), len(b), 0
+    while at < min(n, m) and a[at] == b[at]:
+        at += 1
+    a, b = a[at:], b[at:]
+    while a and b and a[-1] == b[-1]:
+        a.pop(), b.pop()
+    if not a or not b:
+        return len(a) + len(b)
+    n, m = len(a), len(b)
+    furthest = {0: 0}  # diagonal (place in b less place in a) -> places of a matched with as many edits as so far
+    for k in range(FEW_EDITS + 1):
+        if k:
+            low = lambda d: max(furthest.get(d, -2) + 1, furthest.get(d - 1, -2), furthest.get(d + 1, -2) + 1)
+            furthest = {d: min(low(d), n, m - d) for d in range(-min(k, n), min(k, m) + 1)}
+        for d, i in furthest.items():
+            while 0 <= i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            furthest[d] = i
+        if furthest.get(m - n) == n:
+            return k
+    marks: dict = {}
+    for i, x in enumerate(a):
+        marks.setdefault(x, []).append(i)
+    bits = {}
+    for x, places in marks.items():
+        held = bytearray((n + 7) // 8)
+        for i in places:
+            held[i >> 3] |= 1 << (i & 7)
+        bits[x] = int.from_bytes(held, "little")
+    full, last, distance = (1 << n) - 1, 1 << (n - 1), n
+    plus, minus = full, 0
+    for y in b:
+        same = bits.get(y, 0)
+        vertical = same | minus
+        across = (((same & plus) + plus) ^ plus) | same
+        up, down = minus | (full & ~(across | plus)), plus & across
+        distance += 1 if up & last else -1 if down & last else 0
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        plus, minus = down | (full & ~(vertical | up)), up & vertical
+    return distance
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two token arrays, of any tokens; the vocabulary is that of the pair."""
-    words = F.array_union(a, b)
-    return F.levenshtein(token_code(a, words), token_code(b, words))
+    """Edit distance of two token arrays, of any tokens and any length; null where one is null."""
+
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in batches:
+            yield pd.Series([None if x is None or y is None else edits(list(x), list(y)) for x, y in zip(xs, ys)], dtype="Int64")
+
+    return F.pandas_udf(apply, "long")(a, b)
 
 
 def near_spans(df: DataFrame, key: str, text: str, target: str, boundary: str = " ") -> DataFrame:
-    """Spans of the text within one edit of the target, of its length or one more or less, with no boundary inside."""
+    """Spans of the text within one edit of the target, of its length or one more or less, with no boundary inside.
+
+    The characters are split once, spans are slices of them, and only spans that match leave the row.
+    """
     n = len(target)
-    sizes = F.array(*[F.lit(k) for k in (n - 1, n, n + 1) if k > 0])
-    starts = F.when(F.char_length(text) > 0, F.sequence(F.lit(1), F.char_length(text)))
-    long = df.select(key, text, F.explode(starts).alias("at")).withColumn("size", F.explode(sizes)).where(F.col("at") + F.col("size") - 1 <= F.char_length(text))
-    span = F.substring(F.col(text), F.col("at"), F.col("size"))
-    out = long.withColumn("span", span).where(~F.contains("span", F.lit(boundary)))
-    return out.withColumn("distance", F.levenshtein("span", F.lit(target))).where("distance <= 1").select(key, (F.col("at") - 1).alias("at"), "span", "distance")
+
+    def spans_of(chars: Column) -> Column:
+        def of(k: int) -> Column:
+            starts = F.when(F.size(chars) >= k, F.sequence(F.lit(1), F.size(chars) - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
+            span = F.transform(starts, lambda i: let(F.array_join(F.slice(chars, i, k), ""), lambda s: F.struct((i - 1).alias("at"), s.alias("span"), F.levenshtein(s, F.lit(target)).alias("distance"))))
+            return F.filter(span, lambda x: (x["distance"] <= 1) & ~F.contains(x["span"], F.lit(boundary)))
+
+        return F.concat(*[of(k) for k in (n - 1, n, n + 1) if k > 0])
+
+    return df.where(F.col(text).isNotNull()).select(key, F.explode(let(characters(F.col(text)), spans_of)).alias("_x")).select(key, "_x.at", "_x.span", "_x.distance")
 
 
 def toneless(reading: Column) -> Column:

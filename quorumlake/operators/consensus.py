@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.functions.text import contains_in_order
+
 from .sizes import sized
 
 
@@ -16,28 +18,39 @@ def first_reason(rules: list[tuple[Column, str]], default: str | None = None) ->
     return out.otherwise(F.lit(default)) if rules else F.lit(default)
 
 
-def vote_counts(obs: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable", flags: dict[str, Column] | None = None) -> DataFrame:
+def vote_counts(obs: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable", flags: dict[str, Column] | None = None, model: str | None = None) -> DataFrame:
     """Per clip: observers, clean ones, the most frequent clean text (ties: the least) and its votes; and, for each flag, how
-    many observations it holds for.
+    many observations it holds for. With a model column also `models`, the set of observers: it is smaller than `observed` where one has two rows.
 
-    Two levels of partial aggregation in one pass over the observations: no list is built and nothing is joined.
+    Two levels of partial aggregation in one pass over the observations: no list of rows is built and nothing is joined.
     """
     flags = flags or {}
     clean = F.col(usable) & F.col(text).isNotNull() & (F.col(text) != "")
-    texts = obs.groupBy(key, F.when(clean, F.col(text)).alias("_t")).agg(F.count("*").alias("_n"), *[F.count_if(c).alias(f) for f, c in flags.items()])
+    sets = [F.collect_set(F.col(model).cast("string")).alias("_m")] if model else []
+    texts = obs.groupBy(key, F.when(clean, F.col(text)).alias("_t")).agg(F.count("*").alias("_n"), *[F.count_if(c).alias(f) for f, c in flags.items()], *sets)
     best = F.min(F.when(F.col("_t").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_t").alias("t"))))
-    out = texts.groupBy(key).agg(F.sum("_n").alias("observed"), F.sum(F.when(F.col("_t").isNotNull(), F.col("_n")).otherwise(0)).alias("clean"), F.count("_t").alias("distinct_texts"), best.alias("_b"), *[F.sum(f).alias(f) for f in flags])
-    return out.select(key, "observed", "clean", "distinct_texts", *flags, F.col("_b.t").alias("top_text"), F.coalesce(-F.col("_b.n"), F.lit(0)).cast("long").alias("top_votes"))
+    models = [F.array_distinct(F.flatten(F.collect_list("_m"))).alias("models")] if model else []
+    out = texts.groupBy(key).agg(F.sum("_n").alias("observed"), F.sum(F.when(F.col("_t").isNotNull(), F.col("_n")).otherwise(0)).alias("clean"), F.count("_t").alias("distinct_texts"), best.alias("_b"), *[F.sum(f).alias(f) for f in flags], *models)
+    return out.select(key, "observed", "clean", "distinct_texts", *flags, *(["models"] if model else []), F.col("_b.t").alias("top_text"), F.coalesce(-F.col("_b.n"), F.lit(0)).cast("long").alias("top_votes"))
+
 
+def roster_fault(roster: list | None = None) -> Column:
+    """The rows of a clip are not one a model (a model may not vote twice), or a model is not on the roster. For columns of vote_counts."""
+    out = F.size("models") < F.col("observed")
+    if roster is not None:
+        out = out | (F.size(F.array_except("models", F.array(*[F.lit(str(m)) for m in roster]))) > 0)
+    return F.coalesce(out, F.lit(False))
 
-def strict_quorum(obs: DataFrame, keywords: list[str], key: str = "clip_id", text: str = "norm_text", usable: str = "usable", observers: int = 3) -> DataFrame:
+
+def strict_quorum(obs: DataFrame, keywords: list[str], key: str = "clip_id", text: str = "norm_text", usable: str = "usable", observers: int = 3, model: str = "model", roster: list | None = None) -> DataFrame:
     """A1: all observers clean; all equal gives weight 1; all but one equal, with every keyword present in all or in none, 0.5; else uncertain."""
-    both = vote_counts(obs, key, text, usable, {f"_k{i}": F.contains(F.col(text), F.lit(k)) for i, k in enumerate(keywords)})
+    both = vote_counts(obs, key, text, usable, {f"_k{i}": F.contains(F.col(text), F.lit(k)) for i, k in enumerate(keywords)}, model)
     split = F.lit(False)
     for i in range(len(keywords)):
         split = split | ((F.col(f"_k{i}") > 0) & (F.col(f"_k{i}") < observers))
     reason = first_reason(
         [
+            (roster_fault(roster), "model_roster"),
             (F.col("observed") != observers, "incomplete"),
             (F.col("clean") < observers, "unusable"),
             (F.col("top_votes") == observers, "all_equal"),
@@ -53,32 +66,49 @@ def strict_quorum(obs: DataFrame, keywords: list[str], key: str = "clip_id", tex
     return out.select(key, F.when(good, F.col("top_text")).alias("full_text"), good.alias("mask"), weight.alias("weight"), tier.alias("tier"), "reason")
 
 
-def intent_quorum(obs: DataFrame, intents: DataFrame, path: Column, key: str = "clip_id", text: str = "norm_text", usable: str = "usable") -> DataFrame:
+#: Intents that A2 may label, besides "positive".
+NEGATIVE_INTENTS = ("near_miss", "hard_negative", "partial", "speech_negative")
+
+
+def intent_quorum(obs: DataFrame, intents: DataFrame, keywords: list[str], key: str = "clip_id", text: str = "norm_text", usable: str = "usable", complete: str = "complete", model: str = "model", roster: list | None = None, observers: int = 3) -> DataFrame:
     """A2: two or more equal clean texts, then vetoes by what was asked for; the request only ever vetoes.
 
-    intents: key, intended_text, intent ('positive' or 'negative'), generated (bool), flagged (bool).
-    path: condition on top_text that a keyword path is there.
+    intents: key, intent ("positive" or one of NEGATIVE_INTENTS), keyword (the one intended, for positives), generated (bool), flagged (bool).
+    In this order: a repeated or unknown model, a failed generation, no two equal texts, a flagged signal; a positive whose own keyword is not in the
+    agreed text; a negative where any usable or complete observation, not only an agreeing one, has the letters of a keyword in
+    order; any other intent. An accepted clip has weight 1 if all observers agree, else 0.5, and a target (0 or 1) for each keyword.
     """
-    both = vote_counts(obs, key, text, usable).join(intents, key, "right")
+    seen = (F.col(usable) | F.coalesce(F.col(complete), F.lit(False))) & F.col(text).isNotNull() & (F.col(text) != "")
+    path = F.lit(False)
+    for k in keywords:
+        path = path | contains_in_order(F.col(text), k)
+    both = vote_counts(obs, key, text, usable, {"_paths": seen & path}, model).join(intents.hint("merge"), key, "right")
+    top = F.col("top_text")
+    positive = F.col("intent").eqNullSafe("positive")
     reason = first_reason(
         [
+            (roster_fault(roster), "model_roster"),
             (~F.coalesce("generated", F.lit(False)), "generation_failed"),
-            (F.coalesce("flagged", F.lit(False)), "audio_flag"),
             (F.coalesce("top_votes", F.lit(0)) < 2, "no_quorum"),
-            ((F.col("intent") == "positive") & ~F.col("top_text").eqNullSafe(F.col("intended_text")), "positive_unconfirmed"),
-            ((F.col("intent") == "negative") & F.coalesce(path, F.lit(False)), "negative_has_path"),
+            (F.coalesce("flagged", F.lit(False)), "audio_flag"),
+            (positive & ~F.coalesce(F.col("keyword").isin(*keywords) & F.contains(top, F.col("keyword")), F.lit(False)), "positive_unconfirmed"),
+            (~positive & (F.col("_paths") > 0), "negative_has_path"),
+            (~positive & ~F.coalesce(F.col("intent").isin(*NEGATIVE_INTENTS), F.lit(False)), "unsupported_intent"),
         ],
         "accepted",
     )
-    return both.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted")
+    out = both.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted")
+    out = out.withColumn("weight", F.when(~F.col("accepted"), 0.0).when(F.col("top_votes") == observers, 1.0).otherwise(0.5))
+    return out.withColumns({f"target_{i}": F.when(F.col("accepted"), F.contains(top, F.lit(k)).cast("int")) for i, k in enumerate(keywords)}).drop("_paths")
 
 
-def exact_screen(obs: DataFrame, targets: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable", observers: int = 3) -> DataFrame:
-    """A3: how many observers heard the target exactly: all, all but one (review), fewer; `hold` while observations lack."""
+def exact_screen(obs: DataFrame, targets: DataFrame, key: str = "clip_id", text: str = "norm_text", usable: str = "usable", observers: int = 3, model: str = "model") -> DataFrame:
+    """A3: how many observers heard the target exactly: all, all but one (review), fewer; `hold` while observations lack, `model_roster` where a model has two."""
     heard = F.count_if(F.col(usable) & (F.col(text) == F.col("target")))
-    out = targets.join(obs, key, "left").groupBy(key, "target").agg(F.count(text).alias("seen"), heard.alias("hits"))
-    state = first_reason([(F.col("seen") < observers, "hold"), (F.col("hits") == observers, "match"), (F.col("hits") == observers - 1, "review")], "mismatch")
-    return out.withColumn("state", state)
+    models = F.size(F.collect_set(F.col(model).cast("string")))
+    out = targets.hint("merge").join(obs.withColumn("_o", F.lit(1)), key, "left").groupBy(key, "target").agg(F.count("_o").alias("_rows"), models.alias("_models"), F.count(text).alias("seen"), heard.alias("hits"))
+    state = first_reason([(F.col("_models") < F.col("_rows"), "model_roster"), (F.col("seen") < observers, "hold"), (F.col("hits") == observers, "match"), (F.col("hits") == observers - 1, "review")], "mismatch")
+    return out.withColumn("state", state).drop("_rows", "_models")
 
 
 def agreement_class(obs: DataFrame, targets: DataFrame, key: str = "clip_id", text: str = "norm_text") -> DataFrame:

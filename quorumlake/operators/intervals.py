@@ -6,27 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quorumlake.functions.text import prefix_sums
+
 from .lineage import cut_lineage
-from .sizes import sized
+from .scan import carried, earlier, in_range, passed_on, ranges, running, stitched
+from .sizes import MOST, sized
+
+
+#: How aggregates of the pieces of a range are put together over ranges.
+TOGETHER = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def merge_intervals(df: DataFrame, key: list[str], start: str, end: str, touching: bool = True, collect: dict[str, Column] | None = None) -> DataFrame:
+def merge_intervals(df: DataFrame, key: list[str], start: str, end: str, touching: bool = True, collect: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """W1 (touching intervals merge) and W2 (only strict overlap merges): transitive union for each key.
 
-    Gaps and islands over (start, end) in each key; `collect` adds aggregates of the members of a merged interval.
+    Gaps and islands inside ranges of (key, start, end); an island that the furthest end of earlier ranges reaches goes on with the one open
+    there, so a key may hold any share of the rows. `collect` adds aggregates ("sum", "min" or "max" of a column) of the members.
     """
-    w = W.partitionBy(*key).orderBy(start, end)
+    w = in_range(key, [start, end])
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     new = reach.isNull() | (F.col(start) > reach if touching else F.col(start) >= reach)
-    marked = df.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    more = [c.alias(k) for k, c in (collect or {}).items()]
-    return marked.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"), *more).drop("_island")
+    rows = ranges(df, key, [start, end]).withColumn("_new", new.cast("int")).withColumn("_piece", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    collect = collect or {}
+    pieces = cut_lineage(rows.groupBy(*key, "_range", "_piece").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"), *[TOGETHER[how](c).alias(n) for n, (how, c) in collect.items()]))
+    tops = pieces.groupBy(*key, "_range").agg(F.max(end).alias("_top"))
+    pieces = carried(pieces, passed_on(tops, key, _reach=F.max("_top").over(earlier(key))), key)
+    joined = F.col(start) <= F.col("_reach") if touching else F.col(start) < F.col("_reach")
+    return stitched(pieces, key, joined, [F.min(start).alias(start), F.max(end).alias(end), F.sum("members").alias("members"), *[TOGETHER[how](n).alias(n) for n, (how, _) in collect.items()]])
 
 
 def candidate_windows(seeds: DataFrame, key: str, at: str, frames: Column, before: int, after: int) -> DataFrame:
-    """Seeds widened by context, clipped to the recording, and merged where they strictly overlap; the seeds stay listed."""
+    """Seeds widened by context, clipped to the recording, and merged where they strictly overlap, with the number of seeds (members) and the
+    first and last one. A range join of seeds with windows lists them all."""
     wide = seeds.withColumn("start", F.greatest(F.lit(0), F.col(at) - before)).withColumn("end", F.least(frames, F.col(at) + after))
-    return merge_intervals(wide, [key], "start", "end", touching=False, collect={"seeds": F.sort_array(F.collect_list(at))})
+    return merge_intervals(wide, [key], "start", "end", touching=False, collect={"first_seed": ("min", F.col(at)), "last_seed": ("max", F.col(at))})
 
 
 def coverage_totals(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
@@ -36,16 +49,26 @@ def coverage_totals(df: DataFrame, key: list[str], start: str, end: str) -> Data
     return raw.join(union, key).withColumn("overlap", F.col("processed") - F.col("distinct"))
 
 
-def runs(df: DataFrame, key: list[str], clock: str, value: Column, hop: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
-    """Maximal runs of an equal value; with `hop`, a gap in the clock breaks a run. Null is a value."""
-    w = W.partitionBy(*key).orderBy(clock)
-    rows = df.withColumn("value", value)
+def runs(df: DataFrame, key: list[str], clock: str, value: Column, hop: int | None = None, carry: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Maximal runs of an equal value; with `hop`, a gap in the clock breaks a run. Null is a value.
+
+    Runs inside ranges of (key, clock); the first of a range goes on with the last one before it if that has its value. `carry` adds
+    aggregates ("sum", "min" or "max" of a column) of the rows of a run.
+    """
+    w = in_range(key, [clock])
     same = F.col("value").eqNullSafe(F.lag("value").over(w)) & F.lag(clock).over(w).isNotNull()
     if hop is not None:
         same = same & (F.col(clock) - F.lag(clock).over(w) == hop)
-    rows = rows.withColumn("_run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    more = [c.alias(k) for k, c in (carry or {}).items()]
-    return rows.groupBy(*key, "_run", "value").agg(F.min(clock).alias("first"), F.max(clock).alias("last"), F.count("*").alias("length"), *more).withColumnRenamed("_run", "run")
+    carry = carry or {}
+    rows = ranges(df.withColumn("value", value), key, [clock])
+    rows = rows.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("_piece", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = cut_lineage(rows.groupBy(*key, "_range", "_piece", "value").agg(F.min(clock).alias("first"), F.max(clock).alias("last"), F.count("*").alias("length"), *[TOGETHER[how](c).alias(n) for n, (how, c) in carry.items()]))
+    ends = pieces.groupBy(*key, "_range").agg(F.max(F.struct("_piece", "value", "last")).alias("_end"))
+    pieces = carried(pieces, passed_on(ends, key, _before=F.lag("_end").over(W.partitionBy(*key).orderBy("_range"))), key)
+    joined = (F.col("_piece") == 1) & F.col("_before").isNotNull() & F.col("value").eqNullSafe(F.col("_before.value"))
+    if hop is not None:
+        joined = joined & (F.col("first") - F.col("_before.last") == hop)
+    return stitched(pieces, key, joined, [F.first("value").alias("value"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"), *[TOGETHER[how](n).alias(n) for n, (how, _) in carry.items()]])
 
 
 def longest_run(df: DataFrame, key: list[str], clock: str, eligible: Column, hop: int | None = None) -> DataFrame:
@@ -54,11 +77,13 @@ def longest_run(df: DataFrame, key: list[str], clock: str, eligible: Column, hop
 
 
 def best_triplet(df: DataFrame, key: list[str], clock: str, prob: str, hop: int) -> DataFrame:
-    """The greatest minimum over three consecutive hops, and the last hop of the first such triplet."""
-    w = W.partitionBy(*key).orderBy(clock)
-    whole = (F.col(clock) - F.lag(clock, 1).over(w) == hop) & (F.lag(clock, 1).over(w) - F.lag(clock, 2).over(w) == hop)
-    low = df.withColumn("_low", F.when(whole, F.least(prob, F.lag(prob, 1).over(w), F.lag(prob, 2).over(w))))
-    return low.where(F.col("_low").isNotNull()).groupBy(*key).agg(F.max("_low").alias("best"), F.max_by(clock, F.struct("_low", -F.col(clock))).alias("at"))
+    """The greatest minimum over three consecutive hops, and the last hop of the first such triplet.
+
+    Each hop goes to the three triplets it is in, by (key, last hop), so a long key needs no order. The clock is unique in a key.
+    """
+    ends = F.explode(F.array(*[F.col(clock) + k * hop for k in range(3)])).alias("_end")
+    low = df.select(*key, ends, F.col(prob).alias("_p")).groupBy(*key, "_end").agg(F.count("*").alias("_n"), F.min("_p").alias("_low")).where("_n = 3")
+    return low.groupBy(*key).agg(F.max("_low").alias("best"), F.max_by("_end", F.struct("_low", -F.col("_end"))).alias("at"))
 
 
 def peak(df: DataFrame, key: list[str], clock: str, prob: str) -> DataFrame:
@@ -72,11 +97,15 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int =
 
 
 def capped(df: DataFrame, source: str, order: list[Column], key: list[str], per_source: int, total: int) -> DataFrame:
-    """At most per_source rows of a source, then at most `total` of all; each row keeps its state: SELECTED or EXCLUDED_*."""
-    ranked = df.withColumn("source_rank", F.row_number().over(W.partitionBy(source).orderBy(*order)).cast("long"))
-    best = ranked.where(F.col("source_rank") <= per_source).orderBy(*order).limit(total).select(*key, F.lit(True).alias("_top"))
-    out = ranked.join(F.broadcast(best), key, "left")
-    state = F.when(F.col("source_rank") > per_source, "EXCLUDED_PER_SOURCE_CAP").when(F.col("_top").isNull(), "EXCLUDED_GLOBAL_CAP").otherwise("SELECTED")
+    """At most per_source rows of a source, then at most `total` of all; each row keeps its state: SELECTED or EXCLUDED_*.
+
+    Tasks cut the rows of a source to per_source before they are shuffled; source_rank is null beyond that.
+    """
+    best = top_per_group(df, [source], order, per_source, "source_rank")
+    top = best.orderBy(*order).limit(total).select(*key, F.lit(True).alias("_top"))
+    chosen = best.select(*key, "source_rank").join(F.broadcast(top) if total <= MOST else top.hint("merge"), key, "left")
+    out = df.join(chosen.hint("merge"), key, "left")
+    state = F.when(F.col("source_rank").isNull(), "EXCLUDED_PER_SOURCE_CAP").when(F.col("_top").isNull(), "EXCLUDED_GLOBAL_CAP").otherwise("SELECTED")
     return out.withColumn("state", state).drop("_top")
 
 
@@ -95,29 +124,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number", start: in
     return rows.join(F.broadcast(at), "_p").withColumn(name, F.col("_at") + F.col("_i") + start).drop("_p", "_i", "_at")
 
 
-def meet(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """df with the other columns of side, joined on keys where null equals null; side is broadcast if a count finds it small."""
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    return df.alias("d").join(sized(side).alias("s"), same, how).select("d.*", *[F.col(f"s.{c}") for c in side.columns if c not in keys])
-
-
-def running(df: DataFrame, key: list[str], order: list[str], **sums: Column) -> DataFrame:
-    """Add, for each name, the sum of its whole numbers over the earlier rows of the key (0 for the first one).
-
-    One key may hold any share of the rows: they are dealt by ranges of (key, order), and a range starts with what the
-    ranges before it hold of its key. F.lit(1) numbers the rows of a key from 0.
-    """
-    rows = df.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*key, *order)
-    rows = cut_lineage(rows.withColumn("_range", F.spark_partition_id()))
-    before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    per = rows.groupBy(*key, "_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
-    out = meet(rows, per.select(*key, "_range", *[F.sum(f"_{n}").over(before).alias(f"_{n}_at") for n in sums]), [*key, "_range"])
-    inside = W.partitionBy(*key, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = out.withColumns({n: (zero(F.col(f"_{n}_at")) + zero(F.sum(f"_{n}").over(inside))).cast("long") for n in sums})
-    return out.drop("_range", *[c for n in sums for c in (f"_{n}", f"_{n}_at")])
-
-
 def aliases(df: DataFrame, role: str, label: str, order: str) -> DataFrame:
     """Stable names ROLE-LABEL-nn by rank in (role, label)."""
     rank = (F.col("_rank") + 1).cast("string")
@@ -134,12 +140,9 @@ def keyword_context(text: Column, keyword: str) -> Column:
 
 
 def keyword_offsets(text: Column, keyword: str) -> Column:
-    """Offsets of the non-overlapping matches, left to right."""
-    parts = F.split(text, f"\\Q{keyword}\\E", -1)
-    lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.char_length(p))
-    start = F.struct(F.lit(-len(keyword)).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    step = lambda a, x: (a["at"] + x + len(keyword))
-    return F.aggregate(lengths, start, lambda a, x: F.struct(step(a, x).alias("at"), F.array_append(a["out"], step(a, x)).alias("out")), lambda a: a["out"])
+    """Offsets of the non-overlapping matches, left to right: the lengths of the parts between them, summed up by chunks."""
+    parts = F.transform(F.split(text, f"\\Q{keyword}\\E", -1), lambda p: F.char_length(p) + len(keyword))
+    return F.transform(prefix_sums(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), lambda x: (x - len(keyword)).cast("int"))
 
 
 def latin_order(sources: DataFrame, prompts: DataFrame, source: str, prompt: str) -> DataFrame:
@@ -161,17 +164,26 @@ def rolling_hash(text: Column) -> Column:
     return F.aggregate(F.transform(chars, lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda a, c: F.pmod(a * 131 + c, F.lit(1 << 32)))
 
 
-def stream_layout(df: DataFrame, case: str, order: list[Column], length: str, gap: int, grace: int) -> DataFrame:
-    """Clips of a case one after another with fixed gaps: start, end and grace_end."""
-    w = W.partitionBy(case).orderBy(*order)
-    start = F.coalesce(F.sum(F.col(length) + gap).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.col(length)).withColumn("grace_end", F.col("end") + grace)
+def stream_layout(df: DataFrame, case: list[str], order: list, length: str, gap: int, grace: int, lead: int = 0) -> DataFrame:
+    """Clips of a case one after another with fixed gaps, the first after `lead`: start, end and grace_end."""
+    out = running(df, case, order, start=F.col(length).cast("long") + gap).withColumn("start", F.col("start") + lead)
+    return out.withColumn("end", F.col("start") + F.col(length)).withColumn("grace_end", F.col("end") + grace)
+
+
+def mixed_layout(df: DataFrame, case: str, kind: str, name: str, order: str, length: str, gap: int, grace: int, lead: int = 0) -> DataFrame:
+    """Layouts of a case with ordinary (kind 0) and wanted (kind 1) clips, each sorted by name: "mixed" takes an ordinary and a wanted one in turn
+    while there are any, "reverse" is that backwards, "ordinary_only" leaves the wanted ones out."""
+    if order not in ("mixed", "reverse", "ordinary_only"):
+        raise ValueError(order)
+    rows = running(df.where(F.col(kind) == 0) if order == "ordinary_only" else df, [case, kind], [name], _turn=F.lit(1))
+    by = [F.desc("_turn"), F.desc(kind)] if order == "reverse" else ["_turn", kind]
+    return stream_layout(rows, [case], by, length, gap, grace, lead).drop("_turn")
 
 
 def argmax_runs(frames: DataFrame, key: list[str], frame: str, scores: str, hop: int, width: int) -> DataFrame:
     """Runs of the best token of each frame (ties: the first index), with frame range and sample support."""
     best = F.array_position(F.col(scores), F.array_max(scores)) - 1
-    out = runs(frames, key, frame, best)
+    out = running(runs(frames, key, frame, best), key, ["first"], run=F.lit(1)).withColumn("run", F.col("run") + 1)
     return out.withColumnRenamed("value", "token").withColumn("from_sample", F.col("first") * hop).withColumn("to_sample", F.col("last") * hop + width)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import running
+from .lineage import cut_lineage
+from .scan import running
 from .sizes import sized
 
 
@@ -95,9 +96,20 @@ def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: st
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str, start: str, end: str, outer_start: str, outer_end: str) -> DataFrame:
-    """Inner intervals that lie wholly inside an outer one of the same key."""
-    o = outer.withColumnRenamed(key, "_key")
-    return inner.join(o, (F.col(key) == F.col("_key")) & (F.col(outer_start) <= F.col(start)) & (F.col(end) <= F.col(outer_end))).drop("_key")
+    """Inner intervals of whole numbers that lie wholly inside an outer one of the same key.
+
+    An outer interval is put into the one or two cells of width 2**level that it touches, 2**level being the least power that is not less than its
+    length. An inner one is looked up in the cell of its start at each level of its own length or above that occurs (64 at most). So intervals that are
+    far apart, and outer ones that are shorter, never meet, and a long key is dealt over its cells.
+    """
+    level = lambda a, b: F.when(b - a <= 1, F.lit(0)).otherwise(F.length(F.bin(b - a - 1)))
+    o = outer.withColumnRenamed(key, "_key").where(F.col(outer_start) <= F.col(outer_end)).withColumn("_level", level(F.col(outer_start), F.col(outer_end)))
+    cell = lambda c: F.expr(f"shiftright(cast({c} as bigint), _level)")
+    o = o.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(outer_start), cell(outer_end)))))
+    levels = F.broadcast(o.select("_level").distinct())
+    i = inner.withColumn("_least", level(F.col(start), F.col(end))).join(levels, F.col("_least") <= F.col("_level")).withColumn("_at", cell(start)).withColumnRenamed("_level", "_own")
+    same = (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_level")) & (F.col("_at") == F.col("_cell"))
+    return i.join(o.hint("merge"), same & (F.col(outer_start) <= F.col(start)) & (F.col(end) <= F.col(outer_end))).drop("_key", "_level", "_own", "_least", "_at", "_cell")
 
 
 def hash_number(*parts: Column) -> Column:
@@ -130,14 +142,32 @@ def lexicon_lookup(rows: DataFrame, lexicon: DataFrame, key: str, tokens: Column
 def attribute_points(events: DataFrame, segments: DataFrame, case: str, clock: str, segment: str, start: str, end: str, grace: int) -> DataFrame:
     """Each event with the one segment with start <= clock < end + grace; null if none; `ambiguous` if there are more.
 
-    Decided once for each point of a case's clock, so equal events are told alike and stay rows of their own.
+    A sweep: starts, ends and events of a case in clock order. What an event needs of all that came before is how many segments are open and the sum of
+    their numbers, which is the number of the one if it is just one. Sums pass from range to range, so a case may hold any share of the rows.
     """
-    s = segments.select(F.col(case).alias("_case"), F.col(segment), F.col(start), (F.col(end) + grace).alias("_end"))
-    points = events.select(case, clock).distinct()
-    hit = points.join(s, (F.col(case) == F.col("_case")) & (F.col(start) <= F.col(clock)) & (F.col(clock) < F.col("_end")), "left")
-    per = hit.groupBy(F.col(case).alias("_c"), F.col(clock).alias("_at")).agg(F.count(segment).alias("_n"), F.min(segment).alias(segment))
-    own = events.join(per.hint("merge"), F.col(case).eqNullSafe(F.col("_c")) & F.col(clock).eqNullSafe(F.col("_at")), "left").drop("_c", "_at")
-    return own.withColumn("ambiguous", F.col("_n") > 1).withColumn(segment, F.when(F.col("_n") == 1, F.col(segment))).drop("_n")
+    s = cut_lineage(segments.where(F.col(case).isNotNull() & (F.col(start) < F.col(end) + grace)).select(F.col(case).alias("_case"), F.col(segment).alias("_segment"), F.col(start).cast("long").alias("_a"), (F.col(end) + grace).cast("long").alias("_b"), F.monotonically_increasing_id().alias("_no")))
+    event = F.struct(*events.columns)
+    number = F.col("_no").cast("decimal(38,0)")
+    marks = s.select("_case", F.explode(F.array(F.struct(F.col("_a").alias("at"), F.lit(1).alias("one"), number.alias("sum")), F.struct(F.col("_b").alias("at"), F.lit(-1).alias("one"), (-number).cast("decimal(38,0)").alias("sum")))).alias("_m"))
+    marks = marks.select("_case", F.col("_m.at").alias("_at"), F.lit(0).alias("_late"), F.col("_m.one").alias("_one"), F.col("_m.sum").alias("_sum"), F.lit(None).cast(events.select(event.alias("e")).schema["e"].dataType).alias("_event"))
+    points = events.select(F.col(case).alias("_case"), F.col(clock).cast("long").alias("_at"), F.lit(1).alias("_late"), F.lit(0).alias("_one"), F.lit(0).cast("decimal(38,0)").alias("_sum"), event.alias("_event"))
+    told = running(marks.unionByName(points), ["_case"], ["_at", "_late"], _open=F.col("_one"), _which=F.col("_sum")).where("_late = 1")
+    told = told.select("_event.*", (F.col("_open") > 1).alias("ambiguous"), F.when(F.col("_open") == 1, F.col("_which")).cast("long").alias("_told"))
+    return told.join(s.select(F.col("_no").alias("_told"), F.col("_segment").alias(segment)).hint("merge"), "_told", "left").drop("_told")
+
+
+def anchor_origin(rows: DataFrame, anchors: list[str], segments: DataFrame, case: str, segment: str, start: str, end: str, grace: int) -> DataFrame:
+    """The segment of each of several clocks of a row (<anchor>_segment), all found in one sweep; `same` if all lie in one segment, else `cross`
+    (another one, or none); `ambiguous` if one of them lies in several."""
+    numbered_rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    long = numbered_rows.select("_row", case, F.posexplode(F.array(*[F.col(a).cast("long") for a in anchors])).alias("_i", "_clock"))
+    told = attribute_points(long, segments, case, "_clock", segment, start, end, grace)
+    per = told.groupBy("_row").agg(*[F.max(F.when(F.col("_i") == i, F.col(segment))).alias(f"{a}_segment") for i, a in enumerate(anchors)], F.bool_or("ambiguous").alias("ambiguous"))
+    first = F.col(f"{anchors[0]}_segment")
+    same = first.isNotNull()
+    for a in anchors[1:]:
+        same = same & first.eqNullSafe(F.col(f"{a}_segment"))
+    return numbered_rows.join(per.hint("merge"), "_row").withColumn("same", same).withColumn("cross", ~same).drop("_row")
 
 
 def import_decisions(windows: DataFrame, decisions: DataFrame, key: str, must_match: list[str]) -> DataFrame:

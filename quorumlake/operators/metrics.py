@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import meet, running
+from .scan import meet, running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -157,10 +157,10 @@ def kl_divergence(p: Column, q: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
-def running_budget(df: DataFrame, queue: str, order: list[Column], cost: str, per_job: float, total: float) -> DataFrame:
-    """Cost so far in each queue, and whether the job and the running sum stay inside their bounds."""
-    w = W.partitionBy(queue).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("spent", F.sum(cost).over(w))
+def running_budget(df: DataFrame, queue: str, order: list, cost: str, per_job: float, total: float) -> DataFrame:
+    """Cost so far in each queue, in exact millionths, and whether the job and the running sum stay inside their bounds."""
+    out = running(df, [queue], order, spent=F.col(cost).cast("decimal(28,6)"))
+    out = out.withColumn("spent", (F.col("spent") + F.col(cost).cast("decimal(28,6)")).cast("double"))
     return out.withColumn("within", (F.col(cost) <= per_job) & (F.col("spent") <= total))
 
 

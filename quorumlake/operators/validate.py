@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+from .scan import carried, in_range, passed_on, ranges
+
 
 class ConstraintError(ValueError):
     """A table breaks a constraint."""
@@ -68,11 +71,17 @@ def incomplete_groups(df: DataFrame, group: str, cell: str, expected: list) -> D
 
 
 def clock_faults(df: DataFrame, key: str, sample: str, hop: int, first: int) -> DataFrame:
-    """V8: places where a key's clock is not first, first + hop, ...: start, repeat, gap or order (in seq order, if there is a `seq`)."""
-    w = W.partitionBy(key).orderBy("seq" if "seq" in df.columns else sample)
-    step = F.col(sample) - F.lag(sample).over(w)
+    """V8: places where a key's clock is not first, first + hop, ...: start, repeat, gap or order (in seq order, if there is a `seq`).
+
+    A range of a key's rows starts with the last clock of the range before.
+    """
+    order = ["seq" if "seq" in df.columns else sample]
+    rows = cut_lineage(ranges(df, [key], order))
+    ends = rows.groupBy(key, "_range").agg(F.max_by(sample, order[0]).alias("_end"))
+    rows = carried(rows, passed_on(ends, [key], _before=F.lag("_end").over(W.partitionBy(key).orderBy("_range"))), [key])
+    step = F.col(sample) - F.coalesce(F.lag(sample).over(in_range([key], order)), F.col("_before"))
     fault = F.when(step.isNull() & (F.col(sample) != first), "start").when(step == 0, "repeat").when(step < 0, "order").when(step != hop, "gap")
-    return df.withColumn("fault", fault).where(F.col("fault").isNotNull())
+    return rows.withColumn("fault", fault).where(F.col("fault").isNotNull()).drop("_range", "_before")
 
 
 def not_probabilities(df: DataFrame, column: str, size: int = 3, tolerance: float = 1e-5) -> DataFrame:

@@ -35,11 +35,9 @@ def verify_catalog(catalog: DataFrame, reviews: DataFrame, splits: DataFrame, ru
     return O.union_all([failed, twice, alone, orphan, leaks])
 
 
-def weak_view(obs: DataFrame, intents: DataFrame, keywords: list[str], path: Column) -> DataFrame:
+def weak_view(obs: DataFrame, intents: DataFrame, keywords: list[str]) -> DataFrame:
     """Accepted clips with keyword targets and masks, and the exports each row belongs to; refused ones keep their reason."""
-    voted = C.intent_quorum(obs, intents, path)
-    for i, k in enumerate(keywords):
-        voted = voted.withColumn(f"target_{i}", F.when(F.col("accepted"), F.contains("top_text", F.lit(k)).cast("int")))
+    voted = C.intent_quorum(obs, intents, keywords)
     kinds = {"all": F.lit(True), "machine_candidate": F.col("accepted"), "uncertain": ~F.col("accepted"), "disagreement": F.coalesce("top_votes", F.lit(0)) < 3}
     return O.tagged_exports(voted, kinds)
 
@@ -111,11 +109,9 @@ def panel_assessment(rows: DataFrame, source: str, cell: str, required: list, ro
 
 
 def review_queue(texts: DataFrame, acoustic: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """Three kinds of evidence on one cell, ordered for review: largest text edit (201: over 200), then difference, then flags."""
+    """Three kinds of evidence on one cell, ordered for review: largest edit of the tokens heard against those of the target, then difference, then flags."""
     both = J.checked_join(J.checked_join(texts, acoustic, [key]), phones, [key])
-    edit = F.levenshtein("heard", "target", 200)
-    both = both.withColumn("edit", F.when(edit < 0, 201).otherwise(edit))
-    return I.numbered(both, [F.desc("edit"), F.desc("difference"), F.desc("flags"), F.col(key)])
+    return I.numbered(both.withColumn("edit", T.token_distance(F.col("heard"), F.col("target"))), [F.desc("edit"), F.desc("difference"), F.desc("flags"), F.col(key)])
 
 
 def balanced_admission(rows: DataFrame, blind: DataFrame, required: list, group: str, role: str, min_groups: int) -> DataFrame:
@@ -193,13 +189,14 @@ def p1_verify_catalog(spark, d):
     return verify_catalog(c, reviews, splits, rules, "clip_id").groupBy("finding").agg(F.count("*").alias("n"))
 
 
-@query(f"""{VOTES}, a AS (SELECT *, CASE WHEN top_votes < 2 THEN 'no_quorum' WHEN clip_id % 2 = 1 AND contains(top_text, 'que') THEN 'negative_has_path' ELSE 'accepted' END AS r FROM votes),
+@query(f"""{VOTES}, p AS (SELECT clip_id, coalesce(bool_or(usable AND norm_text <> '' AND (regexp_matches(norm_text, 'v.*o.*u.*s') OR regexp_matches(norm_text, 't.*h.*e.*r'))), false) AS path FROM obs GROUP BY clip_id),
+a AS (SELECT *, CASE WHEN top_votes < 2 THEN 'no_quorum' WHEN clip_id % 2 = 0 AND NOT contains(top_text, 'ther') THEN 'positive_unconfirmed' WHEN clip_id % 2 = 1 AND path THEN 'negative_has_path' ELSE 'accepted' END AS r FROM votes JOIN p USING (clip_id)),
 e AS (SELECT *, unnest(list_filter(['all', CASE WHEN r = 'accepted' THEN 'machine_candidate' ELSE 'uncertain' END, CASE WHEN top_votes < 3 THEN 'disagreement' END], lambda x: x IS NOT NULL)) AS export_kind FROM a)
-SELECT export_kind, r AS reason, count(*) AS n, coalesce(sum(CASE WHEN r = 'accepted' THEN contains(top_text, 'the')::INT END), 0)::BIGINT AS with_the FROM e GROUP BY ALL""")
+SELECT export_kind, r AS reason, count(*) AS n, coalesce(sum(CASE WHEN r = 'accepted' THEN contains(top_text, 'vous')::INT END), 0)::BIGINT AS with_vous FROM e GROUP BY ALL""")
 def p2_weak_view(spark, d):
-    intents = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 2 == 1, "negative").otherwise("other").alias("intent"), F.col("spoken").alias("intended_text"), F.lit(True).alias("generated"), F.lit(False).alias("flagged"))
-    got = weak_view(observations(spark, d), intents, KEYWORDS, F.contains("top_text", F.lit("que")))
-    return got.groupBy("export_kind", "reason").agg(F.count("*").alias("n"), F.coalesce(F.sum("target_0"), F.lit(0)).cast("long").alias("with_the"))
+    intents = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 2 == 1, "near_miss").otherwise("positive").alias("intent"), F.lit("ther").alias("keyword"), F.lit(True).alias("generated"), F.lit(False).alias("flagged"))
+    got = weak_view(observations(spark, d).withColumn("complete", F.lit(False)), intents, ["vous", "ther"])
+    return got.groupBy("export_kind", "reason").agg(F.count("*").alias("n"), F.coalesce(F.sum("target_0"), F.lit(0)).cast("long").alias("with_vous"))
 
 
 @query(f"""{VOTES}, w AS (SELECT clip_id, family, (clip_id // 20) * 700 AS start, (clip_id // 20) * 700 + c.frames AS "end" FROM clips c),
@@ -266,12 +263,12 @@ def p11_panel_assessment(spark, d):
     return panel_assessment(rows, "l_orderkey", "l_linenumber", [1, 2], "role").groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""{VOTES}, q AS (SELECT c.clip_id, least(201, length(spoken) - length(coalesce(top_text, '')))::INT AS edit, (c.frames % 97)::INT AS difference, coalesce(quality, 2)::INT AS flags FROM clips c JOIN votes USING (clip_id) LEFT JOIN labels ON doc_id = c.clip_id) SELECT clip_id, edit, row_number() OVER (ORDER BY edit DESC, difference DESC, flags DESC, clip_id) AS number FROM q""")
+@query(f"""{VOTES}, q AS (SELECT c.clip_id, len(regexp_extract_all(spoken, '[a-z]+')) - len(regexp_extract_all(coalesce(top_text, ''), '[a-z]+')) AS edit, (c.frames % 97)::INT AS difference, coalesce(quality, 2)::INT AS flags FROM clips c JOIN votes USING (clip_id) LEFT JOIN labels ON doc_id = c.clip_id) SELECT clip_id, edit::BIGINT AS edit, row_number() OVER (ORDER BY edit DESC, difference DESC, flags DESC, clip_id) AS number FROM q""")
 def p12_review_queue(spark, d):
     c = clips(spark, d)
-    texts = c.join(C.vote_counts(observations(spark, d)).select("clip_id", "top_text"), "clip_id").select("clip_id", F.col("spoken").alias("target"), F.coalesce("top_text", F.lit("")).alias("heard"))
+    texts = c.join(C.vote_counts(observations(spark, d)).select("clip_id", "top_text").hint("merge"), "clip_id").select("clip_id", T.latin_words(F.col("spoken")).alias("target"), T.latin_words(F.coalesce("top_text", F.lit(""))).alias("heard"))
     acoustic = c.select("clip_id", (F.col("frames") % 97).cast("int").alias("difference"))
-    phones = c.join(table(spark, d, "labels").select(F.col("doc_id").alias("clip_id"), "quality"), "clip_id", "left").select("clip_id", F.coalesce("quality", F.lit(2)).alias("flags"))
+    phones = c.join(table(spark, d, "labels").select(F.col("doc_id").alias("clip_id"), "quality").hint("merge"), "clip_id", "left").select("clip_id", F.coalesce("quality", F.lit(2)).alias("flags"))
     return review_queue(texts, acoustic, phones, "clip_id").select("clip_id", "edit", "number")
 
 

@@ -61,25 +61,45 @@ def a1_consensus_by_lang(spark, d):
     return got.join(clips(spark, d).select("clip_id", "lang"), "clip_id").groupBy("lang", "tier", "reason").agg(F.count("*").alias("clips"))
 
 
-@query(f"{VOTES} SELECT clip_id, mask, CASE WHEN mask THEN top_text END AS full_text, CASE reason WHEN 'all_equal' THEN 1.0 WHEN 'majority' THEN 0.5 ELSE 0.0 END::DOUBLE AS weight, reason FROM labels3")
+#: Every 29th clip has a second row of its first observer.
+AGAIN = "again AS (SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE clip_id % 29 = 0 AND model = 0)"
+
+
+def voted_again(spark, d):
+    obs = observations(spark, d)
+    return obs.unionByName(obs.where("clip_id % 29 = 0 and model = 0"))
+
+
+@query(f"{VOTES} SELECT clip_id, mask AND clip_id % 29 <> 0 AS mask, CASE WHEN mask AND clip_id % 29 <> 0 THEN top_text END AS full_text, CASE WHEN clip_id % 29 = 0 THEN 0.0 WHEN reason = 'all_equal' THEN 1.0 WHEN reason = 'majority' THEN 0.5 ELSE 0.0 END::DOUBLE AS weight, CASE WHEN clip_id % 29 = 0 THEN 'model_roster' ELSE reason END AS reason FROM labels3")
 def a1_strict_quorum(spark, d):
-    return C.strict_quorum(observations(spark, d), KEYWORDS).select("clip_id", "mask", "full_text", "weight", "reason")
+    return C.strict_quorum(voted_again(spark, d), KEYWORDS, roster=[0, 1, 2]).select("clip_id", "mask", "full_text", "weight", "reason")
+
 
+INTENTS = ["positive", "near_miss", "hard_negative", "partial", "speech_negative", "song"]
 
-@query(f"""{VOTES}, i AS (SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS intent, CASE WHEN clip_id % 4 = 0 THEN {WITHOUT_LAST} ELSE spoken END AS want, clip_id % 19 <> 0 AS gen, frames < 100 AS flag FROM clips)
-SELECT clip_id, CASE WHEN NOT gen THEN 'generation_failed' WHEN flag THEN 'audio_flag' WHEN top_votes < 2 THEN 'no_quorum' WHEN intent = 'positive' AND top_text IS DISTINCT FROM want THEN 'positive_unconfirmed'
- WHEN intent = 'negative' AND regexp_matches(top_text, 't.*h.*e') THEN 'negative_has_path' ELSE 'accepted' END AS reason FROM votes JOIN i USING (clip_id)""")
+
+@query(f"""WITH {OBS}, {AGAIN}, per AS (SELECT clip_id, norm_text, count(*) AS n FROM again WHERE usable AND norm_text <> '' GROUP BY ALL),
+best AS (SELECT clip_id, max(n) AS top_votes, arg_min(norm_text, (-n, norm_text)) AS top_text FROM per GROUP BY clip_id),
+k AS (SELECT clip_id, count(*) > count(DISTINCT model) AS twice, coalesce(bool_or((usable OR clip_id % 5 = 0) AND norm_text <> '' AND (regexp_matches(norm_text, 'q.*u.*e.*e.*n') OR regexp_matches(norm_text, 'z.*b.*l.*e'))), false) AS path FROM again GROUP BY clip_id),
+i AS (SELECT clip_id, ['positive', 'near_miss', 'hard_negative', 'partial', 'speech_negative', 'song'][clip_id % 6 + 1] AS intent, CASE WHEN clip_id % 4 = 0 THEN 'zble' WHEN clip_id % 9 = 0 THEN 'other' ELSE 'queen' END AS keyword, clip_id % 19 <> 0 AS gen, frames < 100 AS flag FROM clips),
+r AS (SELECT *, CASE WHEN twice THEN 'model_roster' WHEN NOT gen THEN 'generation_failed' WHEN coalesce(top_votes, 0) < 2 THEN 'no_quorum' WHEN flag THEN 'audio_flag'
+ WHEN intent = 'positive' AND NOT (keyword <> 'other' AND contains(top_text, keyword)) THEN 'positive_unconfirmed' WHEN intent <> 'positive' AND path THEN 'negative_has_path'
+ WHEN intent = 'song' THEN 'unsupported_intent' ELSE 'accepted' END AS reason FROM i JOIN k USING (clip_id) LEFT JOIN best USING (clip_id))
+SELECT clip_id, reason, CASE WHEN reason <> 'accepted' THEN 0.0 WHEN top_votes = 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight, CASE WHEN reason = 'accepted' THEN contains(top_text, 'queen')::INT END AS target_0 FROM r""")
 def a2_intent_quorum(spark, d):
-    c = clips(spark, d)
-    intents = c.select("clip_id", F.when(F.col("clip_id") % 3 == 0, "positive").otherwise("negative").alias("intent"), F.when(F.col("clip_id") % 4 == 0, without_last(F.col("spoken"))).otherwise(F.col("spoken")).alias("intended_text"), (F.col("clip_id") % 19 != 0).alias("generated"), (F.col("frames") < 100).alias("flagged"))
-    return C.intent_quorum(observations(spark, d), intents, T.contains_in_order(F.col("top_text"), "the")).select("clip_id", "reason")
+    at = F.col("clip_id")
+    kind = F.get(F.array(*[F.lit(x) for x in INTENTS]), (at % 6).cast("int"))
+    word = F.when(at % 4 == 0, "zble").when(at % 9 == 0, "other").otherwise("queen")
+    intents = clips(spark, d).select("clip_id", kind.alias("intent"), word.alias("keyword"), (at % 19 != 0).alias("generated"), (F.col("frames") < 100).alias("flagged"))
+    obs = voted_again(spark, d).withColumn("complete", at % 5 == 0)
+    return C.intent_quorum(obs, intents, ["queen", "zble"], roster=[0, 1, 2]).select("clip_id", "reason", "weight", "target_0")
 
 
-@query(f"""WITH {OBS} SELECT clip_id, count(norm_text) AS seen, sum((usable AND norm_text = spoken)::INT)::BIGINT AS hits,
-CASE WHEN count(norm_text) < 3 THEN 'hold' WHEN sum((usable AND norm_text = spoken)::INT) = 3 THEN 'match' WHEN sum((usable AND norm_text = spoken)::INT) = 2 THEN 'review' ELSE 'mismatch' END AS state
-FROM obs WHERE NOT (clip_id % 11 = 0 AND model = 2) GROUP BY clip_id""")
+@query(f"""WITH {OBS}, {AGAIN} SELECT clip_id, count(norm_text) AS seen, sum((usable AND norm_text = spoken)::INT)::BIGINT AS hits,
+CASE WHEN clip_id % 29 = 0 THEN 'model_roster' WHEN count(norm_text) < 3 THEN 'hold' WHEN sum((usable AND norm_text = spoken)::INT) = 3 THEN 'match' WHEN sum((usable AND norm_text = spoken)::INT) = 2 THEN 'review' ELSE 'mismatch' END AS state
+FROM again WHERE NOT (clip_id % 11 = 0 AND model = 2) GROUP BY clip_id""")
 def a3_exact_screen(spark, d):
-    obs = observations(spark, d).where(~((F.col("clip_id") % 11 == 0) & (F.col("model") == 2)))
+    obs = voted_again(spark, d).where(~((F.col("clip_id") % 11 == 0) & (F.col("model") == 2)))
     return C.exact_screen(obs, clips(spark, d).select("clip_id", F.col("spoken").alias("target"))).select("clip_id", "seen", "hits", "state")
 
 
@@ -287,7 +307,7 @@ def a30_kl_divergence(spark, d):
 
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS spent, o_totalprice <= 400000 AND round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) <= 1000000 AS within FROM orders""")
 def a31_running_budget(spark, d):
-    got = M.running_budget(table(spark, d, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 400000, 1000000)
+    got = M.running_budget(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", 400000, 1000000)
     return got.select("o_orderkey", F.round("spent", 2).alias("spent"), "within")
 
 
@@ -448,12 +468,11 @@ def j11_range_join(spark, d):
     return got.groupBy("l_orderkey", "l_linenumber", "case_id").agg(F.count("*").alias("hops"), F.max("p").alias("peak"))
 
 
-@query(f"""WITH {SPANS} SELECT i.l_orderkey, i.l_linenumber, count(*) AS outers FROM spans i JOIN (SELECT * FROM spans WHERE "end" - start >= 49) o ON i.parent = o.parent AND o.start <= i.start AND i."end" <= o."end" AND i."end" - i.start < 20 GROUP BY ALL""")
+@query(f"""WITH {SPANS} SELECT i.l_orderkey, i.l_linenumber, i.parent, i.start, count(*) AS outers FROM spans i JOIN spans o ON i.parent = o.parent AND o.start <= i.start AND i."end" <= o."end" GROUP BY ALL""")
 def j12_contained(spark, d):
     s = spans(spark, d)
-    outer = s.where(F.col("end") - F.col("start") >= 49).select("parent", F.col("start").alias("os"), F.col("end").alias("oe"))
-    got = J.contained(s.where(F.col("end") - F.col("start") < 20), outer, "parent", "start", "end", "os", "oe")
-    return got.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("outers"))
+    got = J.contained(s, s.select("parent", F.col("start").alias("os"), F.col("end").alias("oe")), "parent", "start", "end", "os", "oe")
+    return got.groupBy("l_orderkey", "l_linenumber", "parent", "start").agg(F.count("*").alias("outers"))
 
 
 @query("SELECT a.conv_id, a.turn, a.role, length(b.text) AS first_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 0 WHERE a.turn > 0")
@@ -483,12 +502,20 @@ def j16_lexicon_lookup(spark, d):
     return got.groupBy((~F.col("oov")).alias("known")).agg(F.count("*").alias("n"), F.count_distinct("clip_id").alias("clips"))
 
 
-@query(f"""WITH {HOPS}, s AS (SELECT user_id AS case_id, k, k * 12800 AS a, k * 12800 + 6400 AS b FROM (SELECT DISTINCT user_id FROM events), range(6) r(k))
-SELECT event_id, k AS segment FROM hops h LEFT JOIN s ON h.case_id = s.case_id AND a <= sample AND sample < b + 2560""")
+#: A segment from every tenth hop on; every seventh one is so long that the next begins inside it.
+SEGMENTS = """segments AS (SELECT case_id, case_id * 1000000 + sample // 12800 AS segment, sample AS a, sample + CASE WHEN (sample // 12800) % 7 = 0 THEN 14000 ELSE 6400 END AS b FROM hops WHERE sample % 12800 = 0)"""
+
+
+def segments_of(h):
+    number = F.expr("sample div 12800")
+    return h.where("sample % 12800 = 0").select("case_id", (F.col("case_id") * 1_000_000 + number).alias("segment"), F.col("sample").alias("a"), (F.col("sample") + F.when(number % 7 == 0, 14_000).otherwise(6_400)).alias("b"))
+
+
+@query(f"""WITH {HOPS}, {SEGMENTS}, n AS (SELECT event_id, count(segment) AS n, min(segment) AS segment FROM hops h LEFT JOIN segments s ON h.case_id = s.case_id AND a <= sample AND sample < b + 2560 GROUP BY event_id)
+SELECT event_id, CASE WHEN n = 1 THEN segment END AS segment, n > 1 AS ambiguous FROM n""")
 def j17_attribute_points(spark, d):
     h = hops(spark, d)
-    seg = h.select("case_id").distinct().withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).withColumn("a", F.col("segment") * 12_800).withColumn("b", F.col("a") + 6_400)
-    return J.attribute_points(h.select("event_id", "case_id", "sample"), seg, "case_id", "sample", "segment", "a", "b", 2_560).select("event_id", "segment")
+    return J.attribute_points(h.select("event_id", "case_id", "sample"), segments_of(h), "case_id", "sample", "segment", "a", "b", 2_560).select("event_id", "segment", "ambiguous")
 
 
 @query("""SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'undecided' WHEN o_orderkey % 5 = 0 THEN 'refused' ELSE 'imported' END AS state, count(*) AS n FROM orders GROUP BY 1""")
@@ -503,8 +530,8 @@ SELECT case_id, (off + sample - 1280)::BIGINT AS global_sample, sample - 1280 AS
 def j19_align_stream(spark, d):
     h = hops(spark, d)
     roster = h.groupBy("case_id").agg((F.count("*") * 1280).alias("samples"))
-    roster = I.stream_layout(roster.withColumn("all", F.lit(1)), "all", [F.col("case_id")], "samples", 0, 0).select("case_id", F.col("start").alias("offset"), "samples")
-    stream = h.join(roster, "case_id").select((F.col("offset") + F.col("sample") - 1280).alias("global_sample"))
+    roster = I.stream_layout(roster, [], ["case_id"], "samples", 0, 0).select("case_id", F.col("start").alias("offset"), "samples")
+    stream = h.join(roster.hint("merge"), "case_id").select((F.col("offset") + F.col("sample") - 1280).alias("global_sample"))
     return J.align_stream(stream, roster, "case_id", "offset", "samples", "global_sample")
 
 
@@ -525,12 +552,12 @@ def w1_strict_union(spark, d):
     return I.merge_intervals(spans(spark, d), ["parent"], "start", "end", touching=False)
 
 
-@query(f"""WITH {HOPS}, n AS (SELECT case_id, max(sample) AS frames FROM hops GROUP BY 1), spans AS (SELECT h.case_id AS parent, greatest(0, sample - 1600) AS start, least(frames, sample + 1600) AS "end" FROM hops h JOIN n USING (case_id) WHERE p >= 0.9), {_MERGED.replace("{op}", ">=")}""")
+@query(f"""WITH {HOPS}, n AS (SELECT case_id, max(sample) AS frames FROM hops GROUP BY 1), spans AS (SELECT h.case_id AS parent, greatest(0, sample - 1600) AS start, least(frames, sample + 1600) AS "end", sample FROM hops h JOIN n USING (case_id) WHERE p >= 0.9), {_MERGED.replace("{op}", ">=").replace("AS members", "AS members, min(sample) AS first_seed, max(sample) AS last_seed")}""")
 def w2_candidate_windows(spark, d):
     h = hops(spark, d)
     seeds = h.where("p >= 0.9").join(h.groupBy("case_id").agg(F.max("sample").alias("frames")), "case_id")
     got = I.candidate_windows(seeds, "case_id", "sample", F.col("frames"), 1600, 1600)
-    return got.select(F.col("case_id").alias("parent"), "start", "end", "members")
+    return got.select(F.col("case_id").alias("parent"), "start", "end", "members", "first_seed", "last_seed")
 
 
 @query(f"""WITH {HOPS}, f AS (SELECT *, p >= 0.7 AS ok FROM hops), g AS (SELECT *, sample / 1280 - row_number() OVER (PARTITION BY case_id ORDER BY sample) AS z, row_number() OVER (PARTITION BY case_id, ok ORDER BY sample) - row_number() OVER (PARTITION BY case_id ORDER BY sample) AS isl FROM f),
@@ -618,7 +645,16 @@ def w14_rolling_hash(spark, d):
 
 @query(f"""WITH {CLIPS} SELECT clip_id, coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + frames + 80)::BIGINT AS grace_end FROM clips""")
 def w16_stream_layout(spark, d):
-    return I.stream_layout(clips(spark, d), "family", [F.col("clip_id")], "frames", 160, 80).select("clip_id", "start", "grace_end")
+    return I.stream_layout(clips(spark, d), ["family"], ["clip_id"], "frames", 160, 80).select("clip_id", "start", "grace_end")
+
+
+@query(f"""WITH {CLIPS}, k AS (SELECT clip_id, family, frames, (clip_id % 3 = 0)::INT AS kind FROM clips), t AS (SELECT *, row_number() OVER (PARTITION BY family, kind ORDER BY clip_id) AS turn FROM k),
+o AS (SELECT 'mixed' AS layout, *, row_number() OVER (PARTITION BY family ORDER BY turn, kind) AS place FROM t UNION ALL SELECT 'reverse', *, row_number() OVER (PARTITION BY family ORDER BY turn DESC, kind DESC) FROM t UNION ALL SELECT 'ordinary_only', *, row_number() OVER (PARTITION BY family ORDER BY turn) FROM t WHERE kind = 0)
+SELECT layout, clip_id, (500 + coalesce(sum(frames + 160) OVER (PARTITION BY layout, family ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM o""")
+def w16_mixed_layouts(spark, d):
+    rows = clips(spark, d).withColumn("kind", (F.col("clip_id") % 3 == 0).cast("int"))
+    out = [I.mixed_layout(rows, "family", "kind", "clip_id", k, "frames", 160, 80, 500).select(F.lit(k).alias("layout"), "clip_id", "start") for k in ("mixed", "reverse", "ordinary_only")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT s_suppkey FROM (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) WHERE k <= 3")
@@ -984,3 +1020,16 @@ def r10_reconcile(spark, d):
     used = o.where("o_orderkey % 50 <> 49")
     outcomes = {"failed": used.where("o_orderkey % 3 = 0"), "prior": used.where("o_orderkey % 7 = 0"), "returned": used.where("o_orderkey % 3 <> 0 and o_orderkey % 7 <> 0")}
     return R.reconcile(o, outcomes, "o_orderkey", "o_orderkey").groupBy("outcome", "in_prefix").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HOPS}, {SEGMENTS}, e AS (SELECT row_number() OVER () AS row, first, second, third, case_id FROM (@R9@) WHERE gap = 12800),
+l AS (SELECT row, case_id::BIGINT AS case_id, unnest([0, 1, 2]) AS i, unnest([first, second, third]) AS clock FROM e),
+t AS (SELECT row, i, CASE WHEN count(segment) = 1 THEN min(segment) END AS segment, count(segment) > 1 AS many FROM l LEFT JOIN segments s ON l.case_id = s.case_id AND a <= clock AND clock < b + 2560 GROUP BY row, i),
+p AS (SELECT row, max(segment) FILTER (WHERE i = 0) AS s0, max(segment) FILTER (WHERE i = 1) AS s1, max(segment) FILTER (WHERE i = 2) AS s2, bool_or(many) AS ambiguous FROM t GROUP BY row)
+SELECT case_id, first, third, s0 AS first_segment, s2 AS third_segment, coalesce(s0 = s1 AND s1 = s2, false) AS same, NOT coalesce(s0 = s1 AND s1 = s2, false) AS cross, ambiguous FROM e JOIN p USING (row)""".replace("@R9@", _SQL["r9_token_sequences"]))
+def j17_anchor_origin(spark, d):
+    h = hops(spark, d)
+    found = R.token_sequences(h.withColumn("token", (F.col("event_id") % 4).cast("int")), "case_id", "sample", "token", [12_800])
+    seg = segments_of(h).withColumn("case_id", F.col("case_id").cast("string"))
+    got = J.anchor_origin(found, ["first", "second", "third"], seg, "case_id", "segment", "a", "b", 2_560)
+    return got.select("case_id", "first", "third", "first_segment", "third_segment", "same", "cross", "ambiguous")
