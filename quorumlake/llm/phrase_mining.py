@@ -7,6 +7,7 @@ import pickle
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from .common import materialise, sized_join, table
 
 #: UTF-8 bytes: A-Z in lower case, what ends a piece as a line feed, tabs as spaces. Bytes past ASCII belong to words.
 PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)).lower()
-#: Bytes of whole texts of a language that make a shard, and slots that one block of a filter holds.
-SHARD, BLOCK = 24 << 20, 1 << 16
+#: Bytes of whole texts of a language that make a shard, slots in one block of a filter, and the power of two of occurrences of a first word in one range.
+SHARD, BLOCK, RANGE = 16 << 20, 1 << 16, 17
 #: Odd multipliers that mix the hashes of two words.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -83,7 +84,7 @@ def frequent(tree: dict, least: int, path: tuple[str, ...]) -> Iterator[tuple[tu
             yield from frequent(branch, least, (*path, word))
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
     """(lang, names, word, piece) of rows (lang, text in bytes): the distinct words and, for all word occurrences in order, their place and piece."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size: dict[str, int] = defaultdict(int)
@@ -96,14 +97,14 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
         blank = np.array([w in (b"", b"\n") for w in names], bool)
         ends = np.array([w == b"\n" for w in names], bool)
         real = ~blank[at]
-        return lang, names, at[real], np.cumsum(ends[at])[real]
+        return lang, names, at[real], np.cumsum(ends[at], dtype=np.int32)[real]
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             if body := text.as_py():
                 held[lang].append(body.translate(PLAIN).replace(b"\n", b" \n "))
                 size[lang] += len(body)
-                if size[lang] >= SHARD:
+                if size[lang] >= most:
                     yield cut(lang)
     for lang in list(held):
         yield cut(lang)
@@ -117,8 +118,8 @@ def slots_of(lang: str, names: list[bytes], word: np.ndarray, piece: np.ndarray,
     return (h >> shift).astype(np.int64), np.where(piece[:-1] == piece[1:], pairs.astype(np.int64), -1)
 
 
-def slot_counts(rows: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Which of 2**bits slots hold at least `least` occurrences of words and word pairs, by hash; a set of bits.
+def slot_weights(rows: DataFrame, bits: int, least: int) -> np.ndarray:
+    """For each of 2**bits slots the power of two in its number of occurrences of words and word pairs, by hash; 0 under `least`.
 
     Each task counts into one array and sends it by blocks; blocks are summed where they meet.
     """
@@ -126,7 +127,7 @@ def slot_counts(rows: DataFrame, bits: int, least: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
-        for lang, names, word, piece in shards(batches):
+        for lang, names, word, piece in shards(batches, SHARD):
             words, pairs = slots_of(lang, names, word, piece, bits)
             for slots in (words[word], pairs[pairs >= 0]):
                 found, n = np.unique(slots, return_counts=True)
@@ -142,23 +143,25 @@ def slot_counts(rows: DataFrame, bits: int, least: int) -> np.ndarray:
             for i, packed in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = zlib.decompress(packed.as_py())
                 sums[i] = sums.get(i, 0) + np.frombuffer(raw, f"u{len(raw) // BLOCK}").astype(np.int64)
-        rows = [(i, np.packbits(x >= least).tobytes()) for i, x in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bits"])
+        power = lambda x: np.where(x >= least, np.maximum(np.log2(np.maximum(x, 1)), 1), 0).astype(np.uint8)
+        packed = [zlib.compress(power(x).tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "weights"])
 
-    out = np.zeros((blocks, BLOCK // 8), np.uint8)
-    for r in rows.mapInArrow(count, "block int, counts binary").repartition(blocks, "block").mapInArrow(add, "block int, bits binary").collect():
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    out = np.zeros((blocks, BLOCK), np.uint8)
+    for r in rows.mapInArrow(count, "block int, counts binary").repartition(blocks, "block").mapInArrow(add, "block int, weights binary").collect():
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["weights"]), np.uint8)
     return out.reshape(-1)
 
 
-def prefix_rows(rows: DataFrame, seen: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """(lang, w1, w2, n, tail): for each shard the counts of words (w2 null), of all words (w1 null too), and of pairs of words.
+def prefix_rows(rows: DataFrame, weight: np.ndarray, bits: int, longest: int) -> DataFrame:
+    """(lang, word, part, n, tail): for each shard and frequent word its number of occurrences, and the count transducers of what follows it.
 
-    tail is the count transducer of what follows a pair in windows of at most `longest` words. A window ends with its piece and
-    before a pair whose slot is not in `seen`, as no frequent phrase goes on there.
+    They hold windows of at most `longest` words. A window ends with its piece and before a pair whose slot has no weight, as no frequent phrase goes on
+    there. A word of much weight has several parts, by the hash of the second word, so each range (word, part) stays small; n stands in the first one.
+    The number of all words has a row with a null word.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(seen)
-    shape = pa.schema([("lang", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("n", pa.int64()), ("tail", pa.binary())])
+    shared = rows.sparkSession.sparkContext.broadcast(weight)
+    shape = pa.schema([("lang", pa.string()), ("word", pa.string()), ("part", pa.int64()), ("n", pa.int64()), ("tail", pa.binary())])
 
     def windows(word: np.ndarray, joined: np.ndarray) -> np.ndarray:
         """Sorted windows as rows of places, -1 where a window has ended."""
@@ -170,72 +173,81 @@ def prefix_rows(rows: DataFrame, seen: np.ndarray, bits: int, longest: int) -> D
         out = np.stack([np.where(runs[starts] >= k, padded[starts + k], -1) for k in range(longest)], axis=1)
         return out[np.lexsort(out.T[::-1])]
 
+    def tails(lang: str, names: list[bytes], word: np.ndarray, piece: np.ndarray) -> Iterator[tuple]:
+        words, pairs = slots_of(lang, names, word, piece, bits)
+        power = shared.value[words].astype(np.int64)
+        times = np.bincount(word, minlength=len(names))
+        often = np.flatnonzero((times > 0) & (power > 0))
+        by_bytes = np.array(sorted(often.tolist(), key=names.__getitem__), np.int64)
+        order = np.full(len(names), -1, np.int32)  # places among the shard's frequent words in the order of their bytes
+        order[by_bytes] = np.arange(len(by_bytes), dtype=np.int32)
+        joined = (pairs >= 0) & (shared.value[np.maximum(pairs, 0)] > 0) & (order[word[:-1]] >= 0) & (order[word[1:]] >= 0)
+        found = windows(order[word], joined)
+        new = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]) if len(found) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        count, grams = np.diff(np.append(at, len(found))).tolist(), found[at].tolist()
+        label = [names[i].decode() for i in by_bytes.tolist()]
+        parts = (1 << np.maximum(power[by_bytes] - RANGE, 0)).tolist()
+        hashed = words[by_bytes].tolist()
+        total, yet = times[by_bytes].tolist(), 0
+        yield lang, None, 0, len(word), None
+        for w, name in enumerate(label):
+            dealt: dict[int, list] = {0: []}
+            while yet < len(grams) and grams[yet][0] == w:
+                g = grams[yet]
+                dealt.setdefault(hashed[g[1]] % parts[w], []).append((tuple(label[x] for x in g[1:] if x >= 0), count[yet]))
+                yet += 1
+            for part, mine in dealt.items():
+                yield lang, name, part, 0 if part else total[w], pickle.dumps(transducer(mine), protocol=5) if mine else None
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, names, word, piece in shards(batches):
-            words, pairs = slots_of(lang, names, word, piece, bits)
-            has = lambda s: (shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-            times = np.bincount(word, minlength=len(names))
-            often = np.flatnonzero((times > 0) & has(words))
-            text = {i: names[i].decode() for i in often.tolist()}
-            out = [(lang, None, None, len(word), None), *[(lang, w, None, int(times[i]), None) for i, w in text.items()]]
-            order = np.full(len(names), -1, np.int64)  # places among the shard's words in the order of their bytes
-            by_bytes = np.array(sorted(often.tolist(), key=names.__getitem__), np.int64)
-            order[by_bytes] = np.arange(len(by_bytes))
-            joined = (pairs >= 0) & has(np.maximum(pairs, 0)) & (order[word[:-1]] >= 0) & (order[word[1:]] >= 0)
-            found = windows(order[word], joined)
-            new = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]) if len(found) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            count = np.diff(np.append(at, len(found))).tolist()
-            unique = found[at]
-            pair_at = np.flatnonzero(np.concatenate([[True], (unique[1:, :2] != unique[:-1, :2]).any(axis=1)])) if len(at) else at
-            label = [text[i] for i in by_bytes.tolist()]
-            grams = unique.tolist()
-            for a, b in zip(pair_at.tolist(), [*pair_at[1:].tolist(), len(at)]):
-                tails = [(tuple(label[x] for x in g[2:] if x >= 0), c) for g, c in zip(grams[a:b], count[a:b])]
-                tail = transducer(tails) if tails[-1][0] else None
-                out.append((lang, label[grams[a][0]], label[grams[a][1]], sum(count[a:b]), tail and pickle.dumps(tail, protocol=5)))
-            for i in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 10_000]), shape)], schema=shape)
-
-    return rows.mapInArrow(build, "lang string, w1 string, w2 string, n long, tail binary")
+        for shard in shards(batches, SHARD):
+            rows = tails(*shard)
+            while out := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+
+    return rows.mapInArrow(build, "lang string, word string, part long, n long, tail binary")
 
 
 def united(shard_rows: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, size, f): words and phrases with f >= least, and the number of words of each lang under size 0.
 
-    Rows are dealt by ranges of (lang, w1, w2) and sorted, so those of one prefix follow each other; a task unites their transducers and
-    holds one prefix at a time. A prefix has at most one row a shard.
+    The transducers of one range of prefixes (lang, word, part) meet and follow each other in a task, which unites them and holds one range at a
+    time. A range has at most one row a shard.
     """
     shape = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, tree, out = None, 0, {}, []
+    def whole(now: list, total: int, tree: dict) -> Iterator[tuple]:
+        lang, word, part = now
+        if word is None:
+            yield lang, "", 0, total
+        else:
+            for words, f in [*([((word,), total)] if not part and total >= least else []), *frequent(tree, least, (word,))]:
+                yield lang, " ".join(words), len(words), f
 
-        def done() -> None:
-            head = tuple(w for w in now[1:] if w is not None)
-            if total >= least or not head:
-                for words, f in [(head, total), *frequent(tree, least, head)]:
-                    out.append((now[0], " ".join(words), len(words), f))
-
-        for b in batches:
-            for *key, n, tail in zip(*[c.to_pylist() for c in b.columns]):
-                if key != now:
-                    if now:
-                        done()
-                    now, total, tree = key, 0, {}
-                total += n
-                if tail is not None:
-                    unite(tree, pickle.loads(tail))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
-                out = []
-        if now:
-            done()
-        if out:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, tree = None, 0, {}
+
+        def found() -> Iterator[tuple]:
+            nonlocal now, total, tree
+            for b in batches:
+                for *key, n, tail in zip(*[c.to_pylist() for c in b.columns]):
+                    if key != now:
+                        if now:
+                            yield from whole(now, total, tree)
+                        now, total, tree = key, 0, {}
+                    total += n
+                    if tail is not None:
+                        unite(tree, pickle.loads(tail))
+            if now:
+                yield from whole(now, total, tree)
+
+        rows = found()
+        while out := list(islice(rows, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
 
-    keys = ["lang", "w1", "w2"]
-    return shard_rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(add, "lang string, phrase string, size int, f long")
+    keys = ["lang", "word", "part"]
+    return shard_rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, "lang string, phrase string, size int, f long")
 
 
 def phrase_collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = 5, most_bits: int = 25, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -247,17 +259,16 @@ def phrase_collocations(docs: DataFrame, least: int = 100, top: int = 2000, long
 
     Texts are read twice. The first time, words and word pairs are counted by hash in 2**bits slots, bits growing with the
     text up to most_bits; a slot under `least` shows that its words and pairs are rare, and hash collisions only let more through. The second
-    time each shard sorts its windows of pairs that may be frequent into count transducers, one for each prefix of two words; these are united by ranges
-    of prefixes, and counts under `least` fall away. The parts of phrases are looked up by sorted joins of phrases with the united counts,
-    as each part is as frequent as its phrase. Nothing is counted in part: the slots decide only what is sent.
+    time each shard sorts its windows of pairs that may be frequent into count transducers, one for each range of prefixes: a first word, or a part
+    of one that is common. The transducers of a range are united and their counts summed, and those under `least` fall away. The parts of phrases are
+    looked up by sorted joins of phrases with the united counts, as each part is as frequent as its phrase. The slots decide only what is sent.
     Nulls: a null text is empty, a null lang is "und". Repeated rows count. Empty tables and languages without phrases give no rows.
     Ties in score and a go by the phrase in bytes. Other columns are not read; neither are ids.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bits = min(most_bits, max(16, math.ceil(math.log2(size / 64 + 1))))
-    seen = slot_counts(rows, bits, least)
-    counts = materialise(united(materialise(prefix_rows(rows, seen, bits, longest)), least))
+    counts = materialise(united(prefix_rows(rows, slot_weights(rows, bits, least), bits, longest), least))
     words = F.split("phrase", " ")
     found = counts.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"))
     part = lambda a, b: F.array_join(F.slice(words, a, b), " ")
