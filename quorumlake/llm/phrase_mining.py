@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,10 @@ from .common import materialise, sized_join, table
 
 #: UTF-8 bytes: A-Z in lower case, what ends a piece as a line feed, tabs as spaces. Bytes past ASCII belong to words.
 PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)).lower()
-#: Bytes of whole texts of a language that make a shard, slots in one block of a filter, and the power of two of occurrences of a first word in one range.
-SHARD, BLOCK, RANGE = 16 << 20, 1 << 16, 17
+#: Bytes of whole texts of a language that make a shard, slots in one block of a filter, and the power of two of occurrences from which a word has ranges of its own.
+SHARD, BLOCK, HEAVY = 24 << 20, 1 << 16, 17
+#: Bytes of text for each range of prefixes.
+RANGE_BYTES = 1 << 20
 #: Odd multipliers that mix the hashes of two words.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -153,15 +155,16 @@ def slot_weights(rows: DataFrame, bits: int, least: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix_rows(rows: DataFrame, weight: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """(lang, word, part, n, tail): for each shard and frequent word its number of occurrences, and the count transducers of what follows it.
+def prefix_rows(rows: DataFrame, weight: np.ndarray, bits: int, ranges: int, longest: int) -> DataFrame:
+    """(lang, range, part, n, tail): for each shard and range of first words a pickled pair: the number of occurrences of each frequent word of the
+    range, and the count transducer of all windows that begin with one.
 
-    They hold windows of at most `longest` words. A window ends with its piece and before a pair whose slot has no weight, as no frequent phrase goes on
-    there. A word of much weight has several parts, by the hash of the second word, so each range (word, part) stays small; n stands in the first one.
-    The number of all words has a row with a null word.
+    Windows have at most `longest` words. A window ends with its piece and before a pair whose slot has no weight, as no frequent phrase goes on
+    there. Ranges are by the hash of the first word. A heavy word has a range of its own, in parts by the hash of the second word, so ranges stay small; the
+    numbers of words stand in the first part. The number n of all words of the shard has a row without a range.
     """
     shared = rows.sparkSession.sparkContext.broadcast(weight)
-    shape = pa.schema([("lang", pa.string()), ("word", pa.string()), ("part", pa.int64()), ("n", pa.int64()), ("tail", pa.binary())])
+    shape = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("tail", pa.binary())])
 
     def windows(word: np.ndarray, joined: np.ndarray) -> np.ndarray:
         """Sorted windows as rows of places, -1 where a window has ended."""
@@ -178,27 +181,31 @@ def prefix_rows(rows: DataFrame, weight: np.ndarray, bits: int, longest: int) ->
         power = shared.value[words].astype(np.int64)
         times = np.bincount(word, minlength=len(names))
         often = np.flatnonzero((times > 0) & (power > 0))
-        by_bytes = np.array(sorted(often.tolist(), key=names.__getitem__), np.int64)
-        order = np.full(len(names), -1, np.int32)  # places among the shard's frequent words in the order of their bytes
-        order[by_bytes] = np.arange(len(by_bytes), dtype=np.int32)
+        heavy = power > HEAVY
+        of = np.where(heavy, -1 - words, words % ranges).tolist()
+        by_range = np.array(sorted(often.tolist(), key=lambda i: (of[i], names[i])), np.int64)
+        order = np.full(len(names), -1, np.int32)  # places among the shard's frequent words, by range and bytes
+        order[by_range] = np.arange(len(by_range), dtype=np.int32)
         joined = (pairs >= 0) & (shared.value[np.maximum(pairs, 0)] > 0) & (order[word[:-1]] >= 0) & (order[word[1:]] >= 0)
         found = windows(order[word], joined)
         new = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]) if len(found) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         count, grams = np.diff(np.append(at, len(found))).tolist(), found[at].tolist()
-        label = [names[i].decode() for i in by_bytes.tolist()]
-        parts = (1 << np.maximum(power[by_bytes] - RANGE, 0)).tolist()
-        hashed = words[by_bytes].tolist()
-        total, yet = times[by_bytes].tolist(), 0
+        label = [names[i].decode() for i in by_range.tolist()]
+        parts = np.where(heavy, 1 << np.maximum(power - HEAVY, 0), 1)[by_range].tolist()
+        hashed, total, yet = words[by_range].tolist(), times[by_range].tolist(), 0
         yield lang, None, 0, len(word), None
-        for w, name in enumerate(label):
+        for r, group in groupby(range(len(label)), key=lambda w: of[by_range[w]]):
+            known: dict[str, int] = {}
             dealt: dict[int, list] = {0: []}
-            while yet < len(grams) and grams[yet][0] == w:
-                g = grams[yet]
-                dealt.setdefault(hashed[g[1]] % parts[w], []).append((tuple(label[x] for x in g[1:] if x >= 0), count[yet]))
-                yet += 1
+            for w in group:
+                known[label[w]] = total[w]
+                while yet < len(grams) and grams[yet][0] == w:
+                    g = grams[yet]
+                    dealt.setdefault(hashed[g[1]] % parts[w], []).append((tuple(label[x] for x in g if x >= 0), count[yet]))
+                    yet += 1
             for part, mine in dealt.items():
-                yield lang, name, part, 0 if part else total[w], pickle.dumps(transducer(mine), protocol=5) if mine else None
+                yield lang, r, part, 0, pickle.dumps(({} if part else known, transducer(mine)), protocol=5)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, SHARD):
@@ -206,47 +213,48 @@ def prefix_rows(rows: DataFrame, weight: np.ndarray, bits: int, longest: int) ->
             while out := list(islice(rows, 10_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
 
-    return rows.mapInArrow(build, "lang string, word string, part long, n long, tail binary")
+    return rows.mapInArrow(build, "lang string, range long, part long, n long, tail binary")
 
 
 def united(shard_rows: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, size, f): words and phrases with f >= least, and the number of words of each lang under size 0.
 
-    The transducers of one range of prefixes (lang, word, part) meet and follow each other in a task, which unites them and holds one range at a
+    The transducers of one range of prefixes (lang, range, part) meet and follow each other in a task, which unites them and holds one range at a
     time. A range has at most one row a shard.
     """
     shape = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
-    def whole(now: list, total: int, tree: dict) -> Iterator[tuple]:
-        lang, word, part = now
-        if word is None:
+    def whole(now: list, total: int, known: Counter, tree: dict) -> Iterator[tuple]:
+        lang, of, _ = now
+        if of is None:
             yield lang, "", 0, total
-        else:
-            for words, f in [*([((word,), total)] if not part and total >= least else []), *frequent(tree, least, (word,))]:
+        yield from ((lang, word, 1, f) for word, f in known.items() if f >= least)
+        for word, (_, branch) in tree.items():
+            for words, f in frequent(branch, least, (word,)):
                 yield lang, " ".join(words), len(words), f
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, tree = None, 0, {}
-
         def found() -> Iterator[tuple]:
-            nonlocal now, total, tree
+            now, total, known, tree = None, 0, Counter(), {}
             for b in batches:
                 for *key, n, tail in zip(*[c.to_pylist() for c in b.columns]):
                     if key != now:
                         if now:
-                            yield from whole(now, total, tree)
-                        now, total, tree = key, 0, {}
+                            yield from whole(now, total, known, tree)
+                        now, total, known, tree = key, 0, Counter(), {}
                     total += n
                     if tail is not None:
-                        unite(tree, pickle.loads(tail))
+                        more, states = pickle.loads(tail)
+                        known.update(more)
+                        unite(tree, states)
             if now:
-                yield from whole(now, total, tree)
+                yield from whole(now, total, known, tree)
 
         rows = found()
         while out := list(islice(rows, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
 
-    keys = ["lang", "word", "part"]
+    keys = ["lang", "range", "part"]
     return shard_rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, "lang string, phrase string, size int, f long")
 
 
@@ -259,8 +267,8 @@ def phrase_collocations(docs: DataFrame, least: int = 100, top: int = 2000, long
 
     Texts are read twice. The first time, words and word pairs are counted by hash in 2**bits slots, bits growing with the
     text up to most_bits; a slot under `least` shows that its words and pairs are rare, and hash collisions only let more through. The second
-    time each shard sorts its windows of pairs that may be frequent into count transducers, one for each range of prefixes: a first word, or a part
-    of one that is common. The transducers of a range are united and their counts summed, and those under `least` fall away. The parts of phrases are
+    time each shard sorts its windows of pairs that may be frequent into count transducers, one for each range of prefixes: some first words, or a part
+    of the windows of a common one. The transducers of a range are united and their counts summed, and those under `least` fall away. The parts of phrases are
     looked up by sorted joins of phrases with the united counts, as each part is as frequent as its phrase. The slots decide only what is sent.
     Nulls: a null text is empty, a null lang is "und". Repeated rows count. Empty tables and languages without phrases give no rows.
     Ties in score and a go by the phrase in bytes. Other columns are not read; neither are ids.
@@ -268,7 +276,8 @@ def phrase_collocations(docs: DataFrame, least: int = 100, top: int = 2000, long
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bits = min(most_bits, max(16, math.ceil(math.log2(size / 64 + 1))))
-    counts = materialise(united(prefix_rows(rows, slot_weights(rows, bits, least), bits, longest), least))
+    ranges = max(1, size // RANGE_BYTES)
+    counts = materialise(united(prefix_rows(rows, slot_weights(rows, bits, least), bits, ranges, longest), least))
     words = F.split("phrase", " ")
     found = counts.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"))
     part = lambda a, b: F.array_join(F.slice(words, a, b), " ")

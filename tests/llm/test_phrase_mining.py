@@ -59,7 +59,8 @@ def test_small_vocabulary(spark, monkeypatch, bits):
     docs = [("".join(random.choice(words) + random.choice(gaps) for _ in range(random.randint(0, 60))), random.choice(["en", "en", "de", None, "und", ""])) for _ in range(120)]
     docs += [("new york city hall now", "en")] * 40 + [("a a a a a a a a", "en")] * 30 + [(None, "en"), ("", "en"), (" .. ", "xx"), ("x", None)]
     monkeypatch.setattr(PM, "SHARD", 300)
-    monkeypatch.setattr(PM, "RANGE", 7)  # common first words fall into several ranges
+    monkeypatch.setattr(PM, "HEAVY", 7)  # common first words have several ranges
+    monkeypatch.setattr(PM, "RANGE_BYTES", 2000)
     got = rows(PM.phrase_collocations(docs_of(spark, [(i, t, lang, "a") for i, (t, lang) in enumerate(docs)]).repartition(3), least=20, most_bits=bits))
     assert got == sorted(brute(docs, 20)) and {r[0] for r in got} >= {"en", "und"}
     assert ("en", "new york city hall now") in {(r[0], r[2]) for r in got}
