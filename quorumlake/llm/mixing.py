@@ -4,186 +4,169 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, ranked, table
 
-
-#: Rows that all frames of a schedule may have together.
-FRAME_ROWS = 1 << 20
+#: Slots that a task schedules at least, slices that a schedule is cut into (but for the ends of phases), and slots that a task schedules at most.
+SLICE, SLICES, MOST = 1 << 16, 2048, 1 << 22
+#: What the query and the pipeline aim at: the square root of the size of each source.
+TARGET = "sqrt"
 
 
 def exact_shares(weights: list) -> list[int]:
-    """Whole shares in the exact proportion of the weights, which are taken as the decimals they are written as.
-
-    Only where their sum would exceed FRAME_ROWS / sources (one billionth against one, or row counts of a large table) are
-    they rounded, to about so many parts and one part at least; these shares are then the targets. Weights must be positive.
-    """
+    """Whole shares in the exact proportion of the weights, which are taken as the decimals they are written as. Weights must be positive."""
     exact = [Fraction(str(w)) for w in weights]
     if any(w <= 0 for w in exact):
         raise ValueError("weights must be positive")
     scale = math.lcm(*[w.denominator for w in exact])
     whole = [int(w * scale) for w in exact]
-    parts = max(len(whole), FRAME_ROWS // max(1, len(whole)))
-    if sum(whole) // math.gcd(*whole) > parts:
-        total = sum(whole)
-        whole = [max(1, (2 * w * parts + total) // (2 * total)) for w in whole]
     return [w // math.gcd(*whole) for w in whole]
 
 
-def frame(shares: list[int], length: int | None = None) -> list[list[int]]:
-    """Slots of each source in the first `length` slots (default: all) of a frame of sum(shares) slots.
+def tightest(shares: np.ndarray, total: int, due_by: np.ndarray, last: int, slot: int, firsts: np.ndarray) -> np.ndarray:
+    """For each interval of slots after `last` that ends with one of firsts: the least number of slots that are left, from a slot of it on up to
+    `slot`, beside the blocks that are released and due there."""
+    low = -(-shares * (last + 1) // total)  # the first block released after last
+    many = np.maximum(due_by - low, 0).astype(np.int64)
+    of = np.repeat(np.arange(len(shares)), many)
+    block = low[of] + (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+    release = (block * total // shares[of]).astype(np.int64)
+    starts = np.bincount(release - last - 1, minlength=slot - last - 1)
+    left = np.arange(slot - last - 1, 0, -1) - np.cumsum(starts[::-1])[::-1]
+    return np.minimum.reduceat(left[: firsts[-1] - last], np.concatenate([[0], firsts[:-1] - last]))
+
 
-    Block j (from 0) of a source with share k of n is released at floor(j*n/k) and due by ceil((j+1)*n/k); each
-    slot goes to the released block with the earliest deadline (ties: the earlier source). Utilisation is one,
-    so all deadlines hold, and at every slot a source has less than one block more or less than its due.
+def given_by(shares: np.ndarray, total: int, slot: int, last: int, before: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What each source has given at a slot, as (blocks that are due by then, whether also the next one, early).
+
+    A source with share k of n has k * slot / n blocks due, rounded down, and one more released unless that is whole. The slots that are left go to the
+    released ones with the earliest deadlines, as they would if each slot went to the earliest deadline; but not to more of those released from a slot
+    `a` on than the slots from a on leave beside the blocks that are due. An early block of the slot before (`last`) stays given. So all windows between
+    the two slots can be kept, whatever comes before and after.
+    """
+    due_by = shares * slot // total
+    open_ = shares * slot % total > 0
+    kept = before[1] & (before[0] == due_by) & open_
+    need = slot - int(due_by.sum()) - int(kept.sum())
+    able = np.flatnonzero(open_ & ~kept)
+    due, release = -(-(due_by[able] + 1) * total // shares[able]), due_by[able] * total // shares[able]
+    firsts = np.unique(release[release > last])
+    slack = tightest(shares, total, due_by, last, slot, firsts.astype(np.int64)) if len(firsts) else np.zeros(0, np.int64)
+    chosen: list[int] = []
+    for x in sorted(range(len(able)), key=lambda x: (due[x], able[x])):
+        if len(chosen) == need:
+            break
+        upto = int(np.searchsorted(firsts, release[x], side="right"))
+        if upto and slack[:upto].min() < 1:
+            continue
+        slack[:upto] -= 1
+        chosen.append(x)
+    if len(chosen) < need:
+        raise AssertionError("no schedule keeps all windows")
+    early = kept.copy()
+    early[able[chosen]] = True
+    return due_by, early
+
+
+def slices(blocks: list[int], weights: list, size: int | None = None) -> Iterator[dict]:
+    """The schedule as slices that tasks can work on alone: phase, the slot of the phase's start, first and end slot in the phase, total share, and for
+    each source with blocks in the slice its place in the input, share, first and end block in the phase, and blocks given in earlier phases.
+
+    A phase ends at the slot at which a source has no block left; the rest go on in proportion.
+    """
+    whole = np.array(exact_shares(weights) if weights else [], dtype=object)
+    size = size or min(max(SLICE, -(-sum(blocks) // SLICES)), MOST)
+    left, used, at, phase = np.array(blocks, dtype=object), np.zeros(len(blocks), dtype=object), 0, 0
+    while len(active := np.flatnonzero(left > 0)):
+        shares = whole[active] // math.gcd(*whole[active])
+        total = int(shares.sum())
+        if total * (int(left.sum()) + total) < 1 << 62:
+            shares = shares.astype(np.int64)
+        end = int((left[active] * total // shares).min())  # up to here no source is asked for more than it has
+        given, last = (np.zeros(len(active), dtype=shares.dtype), np.zeros(len(active), bool)), 0
+        cuts = [*range(size, end, size), end]
+        for cut in cuts:
+            now, more = given_by(shares, total, cut, last, given), 0
+            before, after = given[0] + given[1], now[0] + now[1]
+            if cut == end and not (after == left[active]).any():
+                # the next slot goes to the one last block that is due at its end
+                ends = -(-(after + 1) * total // shares)
+                mine = np.flatnonzero((after + 1 == left[active]) & (ends == end + 1))
+                after[mine[0]] += 1
+                more = 1
+            own = np.flatnonzero(after > before)
+            yield {"phase": phase, "at": at, "start": last, "end": cut + more, "total": str(total), "source": active[own].tolist(), "share": [str(x) for x in shares[own]], "first": [int(x) for x in before[own]], "last": [int(x) for x in after[own]], "used": [int(x) for x in used[active[own]]]}
+            given, last = now, cut
+        used[active] += after
+        left[active] -= after
+        at, phase = at + end + more, phase + 1
+
+
+def scheduled(part: dict) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot) of the blocks of a slice: each slot goes to the released block with the earliest deadline (ties: the earlier source).
+
+    Block j (from 0) of a source with share k of n is released at floor(j*n/k) and due by ceil((j+1)*n/k), so at every slot a source has given less than one
+    block more or less than its due. A missed deadline raises.
     """
-    n = sum(shares)
-    waiting = [(0, i, 0) for i in range(len(shares))]  # release, source, block
+    total, at, start, end = int(part["total"]), part["at"], part["start"], part["end"]
+    share = [int(x) for x in part["share"]]
+    release = lambda i, j: j * total // share[i]
+    due = lambda i, j: -(-(j + 1) * total // share[i])
+    waiting = [(max(start, release(i, j)), i, j) for i, j in enumerate(part["first"])]
     heapq.heapify(waiting)
-    ready, out = [], [[] for _ in shares]
-    for slot in range(n if length is None else min(n, length)):
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(start, end):
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * n // shares[i]), i, j))
-        due, i, j = heapq.heappop(ready)
-        if slot >= due:
+            heapq.heappush(ready, (min(end, due(i, j)), i, j))
+        latest, i, j = heapq.heappop(ready)
+        if slot >= latest:
             raise AssertionError("a deadline was missed")
-        out[i].append(slot)
-        if j + 1 < shares[i]:
-            heapq.heappush(waiting, ((j + 1) * n // shares[i], i, j + 1))
-    return out
+        yield part["source"][i], part["used"][i] + j, part["phase"], at + release(i, j), at + due(i, j), at + slot
+        if j + 1 < part["last"][i]:
+            heapq.heappush(waiting, (max(start, release(i, j + 1)), i, j + 1))
 
 
-def phases(blocks: list[int], weights: list) -> list[dict]:
-    """Runs of the schedule: a phase ends at the slot that goes to a source without a block left; the rest go on in proportion.
+def schedule(spark: SparkSession, blocks: list[int], weights: list) -> DataFrame:
+    """(source, block, phase, release, deadline, slot) of all blocks; a task makes a slice. source is a place in the input."""
+    shape = "phase int, at long, start long, end long, total string, source array<int>, share array<string>, first array<long>, last array<long>, used array<long>"
+    parts = [tuple(p.values()) for p in slices(blocks, weights)]
+    columns = [c.split()[0] for c in shape.split(", ")]
 
-    Each has its sources (place in the input -> share, slots of a frame), the first block of each, the first slot
-    and the number of slots. No phase is simulated for more slots than it has, or than its frame has.
-    """
-    used, out, at = [0] * len(blocks), [], 0
-    whole = exact_shares(weights) if weights else []
-    while active := [i for i, b in enumerate(blocks) if used[i] < b]:
-        common = math.gcd(*[whole[i] for i in active])
-        shares = [whole[i] // common for i in active]
-        n = sum(shares)
-        slots = frame(shares, min(-(-(blocks[i] - used[i] + 1) * n // k) for i, k in zip(active, shares)))
-        missing = [(divmod(blocks[i] - used[i], k), own) for i, k, own in zip(active, shares, slots)]
-        length = min(turns * n + own[rest] for (turns, rest), own in missing if rest < len(own))
-        out.append({"at": at, "slots": length, "parts": n, "sources": {i: (k, own, used[i]) for i, k, own in zip(active, shares, slots)}})
-        for i, k, own in zip(active, shares, slots):
-            used[i] += length // n * k + sum(s < length % n for s in own)
-        at += length
-    return out
-
-
-def runs_of(names: list, blocks: list[int], weights: list) -> list[tuple]:
-    """(name, phase, first, end, at, share, parts, slots) for each phase of each source: blocks first .. end - 1 go out in it."""
-    out = []
-    for p, ph in enumerate(phases(blocks, weights)):
-        for i, (k, slots, first) in ph["sources"].items():
-            end = first + ph["slots"] // ph["parts"] * k + sum(s < ph["slots"] % ph["parts"] for s in slots)
-            out.append((names[i], p, first, end, ph["at"], k, ph["parts"], slots))
-    return out
-
-
-def grouped(sources: DataFrame, fan: int) -> tuple[DataFrame, DataFrame]:
-    """Gather sources (_s, blocks, weight) into at most fan groups; each group has a schedule of its own, made in a task.
-
-    Sources of like lifetime (blocks over weight) share a group of at most fan members, and groups share groups until fan
-    are left, so that the members of a group end at about the same time. Gives (_s, block, _g, _q): the place _q of
-    each block among the blocks of its group _g; and (_g, blocks, weight). A group has less than one of its blocks more
-    or less than its due, and a member less than one more or less than its due of the group's blocks: a source is off by
-    less than one block and, for each further level, its share of a group.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame(scheduled(dict(zip(columns, r))), columns=["source", "block", "phase", "release", "deadline", "slot"])
 
-    def schedule(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("name")
-        rows = runs_of(list(d["name"]), [int(x) for x in d["blocks"]], list(d["weight"]))
-        return pd.DataFrame([(r[0], int(d["node"].iloc[0]), *r[2:]) for r in rows], columns=["name", "node", "first", "end", "at", "share", "parts", "slots"])
-
-    age = F.floor(64 * F.log(F.col("blocks") / F.col("weight"))).cast("long")
-    now = materialise(ranked(sources.withColumn("_age", age), ["_age"], [F.col("_s")], "_i").select(F.col("_s").alias("name"), F.col("_i").alias("i"), "blocks", "weight"))
-    count, places = now.count(), None
-    while places is None or count > fan:
-        now = now.withColumn("node", F.expr(f"i div {fan}"))
-        kind = now.schema["name"].dataType.simpleString()
-        runs = now.groupBy("node").applyInPandas(schedule, f"name {kind}, node long, first long, end long, at long, share int, parts int, slots array<int>")
-        each = runs.withColumn("block", F.explode(F.expr("sequence(first, end - 1)"))).where("end > first")
-        each = each.select("name", "block", "node", F.expr("at + (block - first) div share * parts + get(slots, cast((block - first) % share as int))").alias("q"))
-        if places is None:
-            places = each.select(F.col("name").alias("_s"), "block", F.col("node").alias("_g"), F.col("q").alias("_q"))
-        else:
-            each = each.select(F.col("name").alias("_g"), F.col("block").alias("_q"), "node", "q").hint("merge")
-            places = places.join(each, ["_g", "_q"]).select("_s", "block", F.col("node").alias("_g"), F.col("q").alias("_q"))
-        places = materialise(places)
-        now = materialise(now.groupBy("node").agg(F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight")).select(F.col("node").alias("name"), F.col("node").alias("i"), "blocks", "weight"))
-        count = now.count()
-    return places, now.select(F.col("name").alias("_g"), "blocks", "weight")
-
-
-def ranked_in_sources(rows: DataFrame, sizes: DataFrame, hot: int = 100_000) -> DataFrame:
-    """Add _rank as ranked() does, for any number of sources: only those of more than hot rows are cut into parts."""
-    within = [F.col("doc_id"), F.col("_t")]
-    big = F.broadcast(sizes.where(F.col("count") > hot).select("_s"))
-    order = W.partitionBy("_s").orderBy(F.pmod(F.xxhash64(*within), F.lit(1 << 31)), *within)
-    small = rows.join(big, "_s", "left_anti").withColumn("_rank", (F.row_number().over(order) - 1).cast("long"))
-    return ranked(rows.join(big, "_s", "left_semi"), ["_s"], within, "_rank", group=["_s"]).unionByName(small)
-
-
-def mix_many(rows: DataFrame, sizes: DataFrame, weights: dict[str, float] | str | None, block_rows: int, fan: int) -> DataFrame:
-    """The order of mix() for more than fan sources: by groups of sources, see grouped()."""
-    spark = rows.sparkSession
-    sources = sizes.withColumn("blocks", F.expr(f"(count + {block_rows - 1}) div {block_rows}"))
-    if weights == "size":
-        sources = sources.withColumn("weight", F.col("blocks").cast("double"))
-    elif weights:
-        given = spark.createDataFrame([(source_key(s), float(w)) for s, w in weights.items()], "_s string, weight double")
-        sources = sources.join(given.hint("merge"), "_s", "left").withColumn("weight", F.coalesce("weight", F.lit(float(min(weights.values())))))
-    else:
-        sources = sources.withColumn("weight", F.lit(1.0))
-    places, groups = grouped(materialise(sources), fan)
-    top = groups.orderBy("_g").collect()
-    plan = runs_of([r["_g"] for r in top], [r["blocks"] for r in top], [r["weight"] for r in top])
-    runs_df = spark.createDataFrame(plan, "_g long, phase int, first long, end long, at long, share int, parts int, slots array<int>")
-    on = (places["_g"] == runs_df["_g"]) & (F.col("_q") >= F.col("first")) & (F.col("_q") < F.col("end"))
-    at = places.join(F.broadcast(runs_df), on).select(
-        "_s", "block", "phase",
-        F.expr("at + (_q - first) div share * parts + get(slots, cast((_q - first) % share as int))").alias("slot"),
-        F.expr("at + ((_q - first) * parts) div share").alias("release"),
-        F.expr("at + ((_q - first + 1) * parts + share - 1) div share").alias("deadline"),
-    )
-    order = ranked_in_sources(rows, sizes).withColumn("block", F.expr(f"_rank div {block_rows}")).withColumn("in_block", F.expr(f"_rank % {block_rows}").cast("int"))
-    placed = order.join(at.hint("merge"), ["_s", "block"])
-    width = max(256, sum(r["blocks"] for r in top) // 4096)
-    first = F.expr(f"cast((slot % {width}) * {1 << 31} div {width} as long)")
-    return ranked(placed.withColumn("_cell", F.expr(f"slot div {width}")), ["_cell"], [F.col("slot"), F.col("in_block")], "position", first=first)
+    rows = spark.createDataFrame(parts, shape)
+    return rows.repartition(max(1, min(len(parts), SLICES)), "phase", "start").mapInPandas(run, "source int, block long, phase int, release long, deadline long, slot long")
 
 
 def source_key(name: str | None) -> str:
     return "null" if name is None else f"={name}"
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | str | None = None, block_rows: int = 16, max_sources: int = 200, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | str | None = None, block_rows: int = 16, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The interleaving order of docs: doc_id, source, block, in_block, phase, release, deadline, slot, position.
 
     Rows of a source are put in hash order and cut into blocks of block_rows; blocks go out by the Pfair schedule
     of the target weights (default: equal; "size": the shares of the sources in all blocks, so that all last to the
-    end). While no source is exhausted, the blocks given by each source up to any slot differ from weight x slots by
-    less than one, for any number of slots; see exact_shares for what counts as the weight. When a slot
-    falls to a source without a block left, the rest go on by their weights in a new phase; every row has a place. `slot` numbers
-    the blocks and `position` the rows of the whole order, both gapless.
+    end; "sqrt": the square roots of these, in thousandths). While no source is exhausted, the blocks given by each source up to any slot differ from
+    weight x slots by less than one, for any weights, any number of slots and any number of sources. When a source has no block left, the rest go on by
+    their weights in a new phase; every row has a place. `slot` numbers the blocks and `position` the rows of the whole order, both gapless.
     Nulls: a null source is a source of its own, apart from ""; its weight goes under None. Rows with null ids or texts
-    have a place. Repeated rows each have a place; rows that tie in hash, id and text are ordered by chance. No rows: no
+    have a place. Repeated rows each have a place; rows with the same id, source and text are interchangeable. No rows: no
     result rows. A source without a weight has the least weight given; zero and negative weights raise.
-    The driver sees the row counts of the sources only, if there are at most max_sources. More sources are gathered into
-    at most max_sources groups, each with a schedule of its own (see grouped): phase, release and deadline are then those of the
-    group's block, and a source differs from its due by less than one block and, for each further level, its share of a group.
+    The driver sees the row counts of the sources and, for each cut between slices, what each source has given by then; tasks make the slices. It takes
+    time and memory in proportion to the sources and, but for "size", to their square, as each source's end begins a phase.
     A hot source is ranked in parts. Other columns of docs are not read.
     """
     if isinstance(weights, dict):
@@ -191,47 +174,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | str | None = None, block_ro
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_s"), F.col(source).alias("source"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_t"))
     rows = materialise(rows)
-    sizes = materialise(rows.groupBy("_s").count())
-    columns = ["doc_id", "source", "block", "in_block", "phase", "release", "deadline", "slot", "position", F.col("_t").alias("text_crc32")]
-    counts = sizes.orderBy("_s").limit(max_sources + 1).collect()
-    if len(counts) > max_sources:
-        return mix_many(rows, sizes, weights, block_rows, max_sources).select(*columns)
-    names = [r["_s"] for r in counts]
-    numbers = [r["count"] for r in counts]
+    counts = rows.groupBy("_s").count().orderBy("_s").collect()
+    names, numbers = [r["_s"] for r in counts], [r["count"] for r in counts]
     blocks = [-(-n // block_rows) for n in numbers]
-    given = dict(zip(names, blocks)) if weights == "size" else {source_key(s): w for s, w in (weights or {}).items()}
+    if weights == "size":
+        given = dict(zip(names, blocks))
+    elif weights == "sqrt":
+        given = {s: math.isqrt(10**6 * b) for s, b in zip(names, blocks)}
+    else:
+        given = {source_key(s): w for s, w in (weights or {}).items()}
     least = min(given.values(), default=1)
-    runs, frames, own = [], [], {}
-    for name, p, first, end, at, k, n, slots in runs_of(names, blocks, [given.get(s, least) for s in names]):
-        runs.append((name, p, first, end, at, k, n))
-        frames += [(name, p, j, s) for j, s in enumerate(slots)]
-        own[name, at] = slots
-    runs_df = spark.createDataFrame(runs, "_s string, phase int, first long, end long, at long, share int, parts int")
-    frames_df = spark.createDataFrame(frames, "_s string, phase int, j int, own int")
+    known = spark.createDataFrame([(i, s, -(-n // block_rows) - 1, -n % block_rows) for i, (s, n) in enumerate(zip(names, numbers))], "source int, _s string, end long, lack int")
+    at = schedule(spark, blocks, [given.get(s, least) for s in names]).join(F.broadcast(known) if len(names) <= 200_000 else known.hint("merge"), "source").drop("source")
+    at = materialise(at)
+    short = sorted((r["slot"], r["lack"]) for r in at.where("block = end and lack > 0").select("slot", "lack").collect())  # a row a source at most
+    ends, lacks = np.array([s for s, _ in short], np.int64), np.cumsum([0, *[n for _, n in short]])
+
+    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The place of a block's first row: block_rows for each slot before, less what the short last blocks among them lack."""
+        for b in batches:
+            slot = b.column("slot").to_numpy()
+            first = slot * block_rows - lacks[np.searchsorted(ends, slot)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first)], [*b.schema.names, "_first"])
+
+    columns = ["_s", "block", "phase", "release", "deadline", "slot"]
+    at = at.select(*columns).mapInArrow(first_rows, "_s string, block long, phase int, release long, deadline long, slot long, _first long")
     order = ranked(rows, ["_s"], [F.col("doc_id"), F.col("_t")], "_rank", group=["_s"])
     placed = order.withColumn("block", F.expr(f"_rank div {block_rows}")).withColumn("in_block", F.expr(f"_rank % {block_rows}").cast("int"))
-    placed = placed.join(F.broadcast(runs_df), (placed["_s"] == runs_df["_s"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))).drop(runs_df["_s"])
-    nth = F.col("block") - F.col("first")
-    placed = placed.withColumn("j", F.pmod(nth, F.col("share")).cast("int")).join(F.broadcast(frames_df), ["_s", "phase", "j"])  # at most about FRAME_ROWS rows
-    placed = placed.withColumns({
-        "slot": F.expr("at + ((block - first) div share) * parts + own"),
-        "release": F.expr("at + ((block - first) * parts) div share"),
-        "deadline": F.expr("at + ((block - first + 1) * parts + share - 1) div share"),
-    })
-    # rows before a slot: block_rows for each slot, less what the short last block of a source lacks
-    ends = []
-    for s, n in zip(names, numbers):
-        block, lack = (n - 1) // block_rows, block_rows - 1 - (n - 1) % block_rows
-        _, _, first, _, at, share, width = next(r for r in reversed(runs) if r[0] == s)
-        if lack:
-            ends.append((at + (block - first) // share * width + own[s, at][(block - first) % share], lack))
-    less = F.lit(0).cast("long")
-    if ends:
-        steps = F.array(*[F.struct(F.lit(slot).cast("long").alias("slot"), F.lit(lack).alias("lack")) for slot, lack in sorted(ends)])
-        less = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + F.when(x["slot"] < F.col("slot"), x["lack"]).otherwise(0))
-    placed = placed.withColumn("position", (F.col("slot") * block_rows + F.col("in_block") - less).cast("long"))
-    return placed.select(*columns)
+    placed = placed.join(at.hint("merge"), ["_s", "block"]).withColumn("position", F.col("_first") + F.col("in_block"))
+    return placed.select("doc_id", "source", "block", "in_block", "phase", "release", "deadline", "slot", "position", F.col("_t").alias("text_crc32"))
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), "size")
+    return mix(table(spark, sf_dir, "documents"), TARGET)

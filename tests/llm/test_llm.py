@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from fractions import Fraction
@@ -244,51 +245,52 @@ def test_secrets_query_shape(spark, sf_dir, odd, empty):
 # --- 4
 
 
-@pytest.mark.parametrize("shares", [[1], [1, 1, 1], [7, 2, 1], [497, 301, 150, 50, 2]])
-def test_frames_keep_windows_and_deviation(shares):
-    slots, n = MX.frame(shares), sum(shares)
-    assert sorted(s for own in slots for s in own) == list(range(n))
-    for k, own in zip(shares, slots):
-        assert all(j * n // k <= s < -(-(j + 1) * n // k) for j, s in enumerate(own))
-        given = np.cumsum(np.isin(np.arange(n), own))
-        assert (abs(given - np.arange(1, n + 1) * k / n) < 1).all()
-
-
-def plain_edf(blocks, weights):
-    """The schedule by plain simulation with exact rationals: which source has each slot, until one without a block is due; then again."""
-    left, out = list(blocks), []
-    while any(left):
-        act = [i for i, b in enumerate(left) if b]
-        w = {i: Fraction(str(weights[i])) / sum(Fraction(str(weights[k])) for k in act) for i in act}
-        given, t = dict.fromkeys(act, 0), 0
-        while True:
-            able = [i for i in act if math.floor(given[i] / w[i]) <= t]
-            i = min(able, key=lambda i: (math.ceil((given[i] + 1) / w[i]), i))
-            if not left[i]:
-                break
-            out.append(i)
-            given[i], left[i], t = given[i] + 1, left[i] - 1, t + 1
-    return out
-
-
-@pytest.mark.parametrize(("blocks", "weights"), [([300] * 12, [1] * 12), ([40, 7, 90], [0.2, 0.5, 0.3]), ([500, 3], [0.99, 0.01]), ([11, 222, 35, 1], [11, 222, 35, 1]), ([3, 3, 3], [1e-3, 1, 7])])
-def test_schedule_equals_plain_simulation(blocks, weights):
+def check_schedule(blocks, weights, size):
+    """Every block inside its window in a slot of its own, in order; and while no source is exhausted, less than one block off at every slot."""
     slots = {}
-    for name, _, first, end, at, k, n, own in MX.runs_of(list(range(len(blocks))), blocks, weights):
-        for b in range(first, end):
-            slots[at + (b - first) // k * n + own[(b - first) % k]] = name
-    assert [slots[i] for i in range(sum(blocks))] == plain_edf(blocks, weights)
-
-
-def test_deviation_stays_below_one_block_against_the_true_weights():
-    for blocks, weights in (([100_000] * 12, [1] * 12), ([300_000, 300_000], [0.99999, 0.00001]), ([10**6, 10**6, 10**6], [0.123, 0.456, 0.421])):
-        runs = [r for r in MX.runs_of(list(range(len(blocks))), blocks, weights) if r[1] == 0]
-        total = sum(Fraction(str(w)) for w in weights)
-        for i, _, first, end, at, k, n, own in runs:
-            assert Fraction(k, n) == Fraction(str(weights[i])) / total  # exact: the error can't add up
-            for b in [*range(0, min(end, 2000)), *range(max(0, end - 500), end)]:
-                slot = b // k * n + own[b % k]
-                assert b * n // k <= slot < -(-(b + 1) * n // k)  # inside its window, so less than one block off at any slot
+    for part in MX.slices(blocks, weights, size):
+        for source, block, phase, release, deadline, slot in MX.scheduled(part):
+            assert release <= slot < deadline and slot not in slots
+            slots[slot] = (source, block)
+    assert sorted(slots) == list(range(sum(blocks)))
+    seen, total = [0] * len(blocks), sum(Fraction(str(w)) for w in weights)
+    share = [Fraction(str(w)) / total for w in weights]
+    exhausted = False
+    for t in range(len(slots)):
+        source, block = slots[t]
+        assert block == seen[source]
+        seen[source] += 1
+        exhausted = exhausted or any(n == b for n, b in zip(seen, blocks))
+        if not exhausted:
+            assert all(abs(n - w * (t + 1)) < 1 for n, w in zip(seen, share))
+
+
+def test_schedules_in_slices_keep_every_window():
+    random.seed(1)
+    for _ in range(60):
+        m = random.randint(1, 12)
+        blocks = [random.choice([1, 3, 20, random.randint(1, 50)]) for _ in range(m)]
+        weights = [random.choice([1, 2, 0.5, 0.001, 7, round(random.random(), 6)]) for _ in range(m)]
+        for size in (1, 2, 7, 16, 1000):
+            check_schedule(blocks, weights, size)
+
+
+@pytest.mark.parametrize(("blocks", "weights", "size"), [([9] * 250, [1] * 250, 300), ([1 + i % 23 for i in range(260)], "size", 137), ([700, 1100, 3000], [0.123456789012345, 0.4, 7e-12], 64), ([2000, 3], [0.99999, 0.00001], 500)])
+def test_many_sources_and_long_fractions(blocks, weights, size):
+    check_schedule(blocks, blocks if weights == "size" else weights, size)
+
+
+def test_shares_are_exact_beyond_a_million_slots():
+    """Cuts of a long schedule are exact: what is given by them differs from the true weights by less than one block."""
+    blocks, weights = [3_000_000, 2_000_000, 1_500_001, 77], [0.123, 0.456, 0.421, 0.0000001]
+    total = sum(Fraction(str(w)) for w in weights)
+    given = [0] * 4
+    for part in itertools.takewhile(lambda p: p["phase"] == 0, MX.slices(blocks, weights)):
+        for i, n in zip(part["source"], part["last"]):
+            given[i] = n
+        if part["end"] % MX.SLICE == 0:
+            assert all(abs(n - Fraction(str(w)) / total * part["end"]) < 1 for n, w in zip(given, weights))
+    assert max(given) > 1_600_000
 
 
 def test_weights_must_be_positive(odd):
@@ -323,20 +325,23 @@ def test_size_weights_last_to_the_end(spark):
         assert all(abs((part == s).mean() - share[s]) < 0.05 for s in share.index)
 
 
-@pytest.mark.parametrize("weights", [None, "size", {"s1": 3.0, "hot": 2.0}])
-def test_mixing_takes_any_number_of_sources(spark, weights):
+@pytest.mark.parametrize("weights", [None, "size", "sqrt", {"s1": 3.0, "hot": 2.0}])
+def test_mixing_in_slices(spark, weights, monkeypatch):
+    monkeypatch.setattr(MX, "SLICE", 32)
+    monkeypatch.setattr(MX, "SLICES", 9)
     rows = [(i, f"t{i}", "en", "hot" if i % 3 == 0 else None if i % 50 == 1 else f"s{i * i % 61}") for i in range(2000)]
-    df = docs_of(spark, rows)
-    got = MX.mix(df, weights, block_rows=4, max_sources=3).toPandas().sort_values("position")  # four levels
+    got = MX.mix(docs_of(spark, rows), weights, block_rows=4).toPandas().sort_values("position")
     assert sorted(got.doc_id) == list(range(2000)) and list(got.position) == list(range(2000))
     assert ((got.slot >= got.release) & (got.slot < got.deadline)).all() and got.slot.is_monotonic_increasing
     blocks = got.drop_duplicates("slot")
     assert list(blocks.slot) == list(range(len(blocks)))
     assert (got.groupby("slot").source.nunique(dropna=False) == 1).all()
     if weights == "size":
-        got = MX.mix(df, "size", block_rows=4, max_sources=20).toPandas().sort_values("position")  # two levels
-        hot = (got.drop_duplicates("slot").source == "hot").to_numpy()
-        assert np.abs(hot.cumsum() - hot.mean() * np.arange(1, len(hot) + 1)).max() < 4
+        hot = (blocks.source == "hot").to_numpy()
+        assert np.abs(hot.cumsum() - hot.mean() * np.arange(1, len(hot) + 1)).max() < 1
+    if weights == "sqrt":  # a target apart from the supply: the hot source, a third of all blocks, starts with a far smaller share
+        first = blocks[blocks.phase == 0]
+        assert (blocks.source == "hot").mean() > 0.3 > 0.2 > (first.source == "hot").mean() and blocks.phase.nunique() > 3
 
 
 # --- 5

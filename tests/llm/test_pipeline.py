@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quorumlake.llm.common import materialise
-from quorumlake.llm.mixing import mix
+from quorumlake.llm.mixing import TARGET, mix
 
 from .test_llm import brute_components
 
@@ -50,7 +50,7 @@ def test_stages_take_odd_rows(spark, sf_dir):
 
 def test_batches_follow_the_mixing_order(spark, sf_dir, results):
     """In each bucket, batches and slots rank the pieces by the mixing position of their documents."""
-    order = {r.doc_id: r.position for r in mix(results["near_dedup"], "size").collect()}
+    order = {r.doc_id: r.position for r in mix(results["near_dedup"], TARGET).collect()}
     assert len(order) == results["near_dedup"].count()
     got = results["packing"].where("n_tokens > 0").toPandas().sort_values(["bucket", "batch", "slot"])
     for _, b in got.groupby("bucket"):
