@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm.common import boxed, materialise, table, unboxed
 from quorumlake.llm.line_dedup import line_dedup
-from quorumlake.llm.mixing import mix
+from quorumlake.llm.mixing import TARGET, mix
 from quorumlake.llm.near_dedup import near_unique
 from quorumlake.llm.packing import pack
 from quorumlake.llm.quality_rules import quality_rules
@@ -34,11 +34,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files ordered by the mixing position: the sources have their shares of all blocks throughout.
+    """All documents, in files ordered by the mixing position: sources go by the square roots of their sizes.
 
     Rows get their places by id and checksum; only rows that share both are numbered first.
     """
-    order = materialise(mix(docs, "size").select(F.col("doc_id").alias("of"), F.col("text_crc32").alias("sum"), "position"))
+    order = materialise(mix(docs, TARGET).select(F.col("doc_id").alias("of"), F.col("text_crc32").alias("sum"), "position"))
     many = materialise(order.groupBy(F.col("of").alias("same"), F.col("sum").alias("crc")).count().where("count > 1").drop("count"))
     repeated = F.broadcast(many) if many.limit(200_001).count() <= 200_000 else many.hint("merge")
     rows = boxed(docs, id=F.col("doc_id"), t=F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
