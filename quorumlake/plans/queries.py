@@ -956,22 +956,31 @@ def r1_event_gate(spark, d):
 
 
 def _cases(spark, d) -> DataFrame:
-    h = hops(spark, d)
-    return h.groupBy("case_id").agg(F.max("sample").alias("last")).select("case_id", (F.col("case_id") % 3).alias("weak_class"), F.expr("last div 4").alias("clip_start"), F.expr("last div 2").alias("clip_eof"))
+    """A clip in each case; some start on the clock of a hop. Cases of class 0 have none."""
+    last = hops(spark, d).groupBy("case_id").agg(F.max("sample").alias("last")).withColumn("weak_class", F.col("case_id") % 3)
+    return last.select("case_id", "weak_class", F.when(F.col("weak_class") > 0, F.expr("last div 4 div 1280 * 1280")).alias("clip_start"), F.when(F.col("weak_class") > 0, F.expr("last div 2")).alias("clip_eof"))
+
+
+_MATCHED = """c AS (SELECT case_id, case_id % 3 AS weak_class, CASE WHEN case_id % 3 > 0 THEN max(sample) // 4 // 1280 * 1280 END AS clip_start, CASE WHEN case_id % 3 > 0 THEN max(sample) // 2 END AS clip_eof FROM hops GROUP BY case_id),
+e AS (SELECT c.*, sample, best, coalesce(sample <= clip_start, false) AS prefix FROM c LEFT JOIN (SELECT * FROM hops WHERE p >= 0.9) h USING (case_id)),
+k AS (SELECT *, sample IS NOT NULL AND weak_class > 0 AND NOT coalesce(prefix, false) AND best = weak_class AS own FROM e),
+m AS (SELECT *, own AND sample < clip_eof + {low} AS early, own AND sample > clip_eof + {high} AS late FROM k),
+r AS (SELECT case_id, any_value(weak_class) AS weak_class, count(sample) AS events, count_if(prefix) AS prefix_events, count_if(own AND NOT early AND NOT late) AS matches, count_if(early) AS early_events, count_if(late) AS late_events,
+ count_if(sample IS NOT NULL AND weak_class > 0 AND NOT coalesce(prefix, false) AND best <> weak_class) AS wrong_events, count_if(sample IS NOT NULL AND weak_class = 0) AS negative_events, min(sample) FILTER (WHERE own AND NOT early AND NOT late) - any_value(clip_eof) AS lag_samples FROM m GROUP BY case_id)
+SELECT case_id, events, prefix_events, matches, early_events, late_events, wrong_events, negative_events, greatest(matches - 1, 0) AS extra_events, weak_class > 0 AND matches = 0 AS missing, lag_samples,
+ prefix_events + early_events + late_events + wrong_events + negative_events + greatest(matches - 1, 0) > 0 OR (weak_class > 0 AND matches = 0) AS error FROM r"""
+_SUMMARY = ["case_id", "events", "prefix_events", "matches", "early_events", "late_events", "wrong_events", "negative_events", "extra_events", "missing", "lag_samples", "error"]
 
 
-@query(f"""WITH {HOPS}, c AS (SELECT case_id, case_id % 3 AS weak_class, max(sample) // 4 AS clip_start, max(sample) // 2 AS clip_eof FROM hops GROUP BY case_id), e AS (SELECT * FROM hops WHERE p >= 0.9)
-SELECT c.case_id, count_if(sample < clip_start) AS prefix_events, count_if(sample >= clip_start AND best = weak_class) AS right_events, count_if(sample >= clip_start AND best <> weak_class) AS wrong_events, min(sample) FILTER (WHERE sample >= clip_start AND best = weak_class) - any_value(clip_eof) AS lag_samples, any_value(weak_class) > 0 AND count_if(sample >= clip_start AND best = weak_class) = 0 AS missing FROM c LEFT JOIN e USING (case_id) GROUP BY c.case_id""")
+@query(f"WITH {HOPS}, " + _MATCHED.format(low="-1000000000000", high="1000000000000"))
 def r2_evaluate_events(spark, d):
     e = hops(spark, d).where("p >= 0.9").select("case_id", "sample", "best")
-    got = R.evaluate_events(e, _cases(spark, d), "case_id", "sample", "best")
-    return got.select("case_id", "prefix_events", "right_events", "wrong_events", "lag_samples", "missing")
+    return R.evaluate_events(e, _cases(spark, d), "case_id", "sample", "best").select(*_SUMMARY)
 
 
-@query(f"""WITH {HOPS}, c AS (SELECT case_id, max(sample) // 2 AS eof FROM hops GROUP BY case_id) SELECT CASE WHEN sample - eof < 128 THEN 'early' WHEN sample - eof > 16000 THEN 'late' ELSE 'accepted' END AS timing, count(*) AS n FROM hops JOIN c USING (case_id) WHERE p >= 0.9 GROUP BY 1""")
+@query(f"WITH {HOPS}, " + _MATCHED.format(low="128", high="16000"))
 def r3_windowed_match(spark, d):
-    got = R.windowed_match(hops(spark, d).where("p >= 0.9"), _cases(spark, d), "case_id", "sample")
-    return got.groupBy("timing").agg(F.count("*").alias("n"))
+    return R.windowed_match(hops(spark, d).where("p >= 0.9"), _cases(spark, d), "case_id", "sample", "best").select(*_SUMMARY)
 
 
 @query(f"""WITH RECURSIVE {GATED}, e AS (SELECT case_id::VARCHAR AS case_id, sample, hit AS event_class FROM g WHERE hit IS NOT NULL)
@@ -988,11 +997,27 @@ def r5_trace_summary(spark, d):
     return R.trace_summary(hops(spark, d).withColumn("ready", F.col("sample") > 19_200), "case_id", "sample", "ready", F.col("p") >= 0.9)
 
 
-@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events)
-SELECT user_id, CASE WHEN arg_max(s, event_id) = 'started' THEN 'unknown' ELSE arg_max(s, event_id) END AS state, count_if(s = 'started') AS attempts, bool_or(s IN ('started', 'completed', 'failed')) AS consumed FROM l GROUP BY user_id""")
-def r7_claim_state(spark, d):
+_LOG = """l AS (SELECT user_id * 100 + event_id % 100 AS slot, event_id, CASE event_type WHEN 'view' THEN 'planned' WHEN 'click' THEN 'started' WHEN 'error' THEN 'failed' ELSE 'completed' END AS s FROM events),
+c AS (SELECT slot, CASE WHEN arg_max(s, event_id) = 'started' THEN 'unknown' ELSE arg_max(s, event_id) END AS state, count_if(s = 'started') AS attempts, bool_or(s IN ('started', 'completed', 'failed')) AS consumed,
+ coalesce(min(event_id) FILTER (WHERE s IN ('completed', 'failed')) < coalesce(min(event_id) FILTER (WHERE s = 'started'), 1e18), false) AS early FROM l GROUP BY slot)"""
+
+
+def _claims(spark, d):
     s = F.when(F.col("event_type") == "view", "planned").when(F.col("event_type") == "click", "started").when(F.col("event_type") == "error", "failed").otherwise("completed")
-    return R.claim_state(table(spark, d, "events").select("user_id", "event_id", s.alias("s")), "user_id", "event_id", "s")
+    log = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("slot"), "event_id", s.alias("s"))
+    return R.claim_state(log.unionByName(log.where("event_id % 7 = 0")), "slot", "event_id", "s")
+
+
+@query(f"WITH {_LOG} SELECT slot, state, attempts, consumed, array_to_string(list_filter([CASE WHEN early THEN 'outcome_without_claim' END, CASE WHEN attempts > 1 THEN 'claimed_again' END], lambda x: x IS NOT NULL), ',') AS faults FROM c")
+def r7_claim_state(spark, d):
+    return _claims(spark, d).withColumn("faults", F.array_join("faults", ","))
+
+
+@query(f"""WITH {_LOG}, p AS (SELECT DISTINCT user_id * 100 + event_id % 90 AS slot FROM events), b AS (SELECT coalesce(p.slot, c.slot) AS slot, p.slot AS position, coalesce(attempts, 0) AS attempts, coalesce(state, 'not_run') AS state FROM p FULL JOIN c ON p.slot = c.slot), g AS (SELECT min(position) AS gap FROM b WHERE attempts = 0)
+SELECT slot, state, attempts, CASE WHEN position IS NULL THEN 'unplanned' WHEN attempts > 0 AND position > gap THEN 'claim_after_gap' END AS fault FROM b, g""")
+def r7_attempted_prefix(spark, d):
+    plan = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 90).alias("slot")).distinct().withColumn("position", F.col("slot"))
+    return R.attempted_prefix(plan, _claims(spark, d), "slot", "position").select("slot", "state", "attempts", "fault")
 
 
 @query("""WITH a AS (SELECT conv_id, turn, CASE WHEN turn >= conv_id % 4 THEN md5(text) || 'x' ELSE md5(text) END AS y, md5(text) AS x FROM conversations), f AS (SELECT conv_id, count(*) AS hops, min(turn) FILTER (WHERE x <> y) AS f, min(turn) AS lo FROM a GROUP BY conv_id) SELECT conv_id, hops, coalesce(f - lo, hops) AS prefix FROM f""")

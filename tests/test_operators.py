@@ -58,19 +58,6 @@ def test_gate_confirms_blocks_and_warms_up(spark):
     assert R.gate_events(hops(spark, 33, 15, p=0.79)).count() == 0
 
 
-def test_gate_stream_equals_batch(spark, tmp_path):
-    df = hops(spark, 40, 10)
-    (tmp_path / "in").mkdir()
-    df.where("sample < 40000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    df.where("sample >= 40000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = R.gate_stream(stream).writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = {(r.sample, r.event_class) for r in R.gate_events(df).collect()}
-    assert {(r.sample, r.event_class) for r in spark.table("gate").collect()} == want and want
-
-
 def test_exposure_plan_keeps_positive_draws(spark):
     rows = spark.createDataFrame([(f"{k}{f}{i}", f"f{f}", k) for k in ("positive", "ordinary", "near") for f in range(3) for i in range(4)], "id string, family string, kind string")
     plan = lambda near: X.exposure_plan(rows, {"positive": 100, "ordinary": 100 - near, "near": near}, "kind", "family", "id").collect()
