@@ -292,6 +292,20 @@ def vocabulary_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Col
     return out.withColumn("min_frames", F.size("ids") + repeats).drop("_x")
 
 
+def ctc_targets(rows: DataFrame, vocabulary: DataFrame, key: str, text: str, frames: str, stride: int) -> DataFrame:
+    """Target ids of the characters of a text, or why there are none: no_full_transcript, vocabulary_not_supplied, out_of_vocabulary (an id of 0 is the blank,
+    so no target), insufficient_frames. An output frame is needed for each id and one more for each repeat. frames: samples of the clip."""
+    n = F.col(frames)
+    steps = F.expr(f"1 + ({frames} - 400) div 320") if stride == 2 else F.expr(f"(1 + ({frames} - 400) div 160) div {stride}")
+    steps = F.when(n < 400, 0).otherwise(F.greatest(steps, F.lit(0)))
+    given = not vocabulary.isEmpty()
+    ids = vocabulary_ids(rows.where(F.col(text).isNotNull()), vocabulary.where("id > 0"), key, characters(F.col(text)))
+    both = rows.select(key, text, steps.cast("long").alias("steps")).join(ids.hint("merge"), key, "left")
+    reason = F.when(F.col(text).isNull(), "no_full_transcript").when(F.lit(not given), "vocabulary_not_supplied").when(F.size("unsupported") > 0, "out_of_vocabulary")
+    reason = reason.when(F.col("ids").isNull() | (F.col("steps") < F.col("min_frames")), "insufficient_frames")
+    return both.withColumn("reason", reason).select(key, "reason", F.when(F.col("reason").isNull(), F.col("ids")).alias("target_ids"), "min_frames", "steps")
+
+
 def repetition(text: Column) -> Column:
     """How many characters repeat the one before."""
     return F.regexp_count(text, F.lit(r"(?s)(.)(?=\1)"))

@@ -149,6 +149,24 @@ def extend_registry(registry: DataFrame, new: DataFrame, key: str, every: int =
     return registry.unionByName(rows.select(registry.columns))
 
 
+def registry_faults(registry: DataFrame, key: str, every: int = 4) -> DataFrame:
+    """What is wrong with a registry: a key or a speaker_id that is there twice, an ordinal that is repeated or beyond the number of rows, and a role that
+    is not the one of its ordinal. No row: the registry is valid."""
+    twice = lambda c, code: registry.groupBy(F.col(c).cast("string").alias("value")).count().where("count > 1").select(F.lit(code).alias("fault"), "value")
+    size = registry.agg(F.count("*").alias("_size"))
+    rows = registry.crossJoin(F.broadcast(size))
+    role = F.when(F.pmod("ordinal", F.lit(every)) == every - 1, "dev").otherwise("train")
+    row = lambda cond, code: rows.where(F.coalesce(cond, F.lit(True))).select(F.lit(code).alias("fault"), F.col(key).cast("string").alias("value"))
+    out = twice(key, "repeated_key").unionByName(twice("speaker_id", "shared_id")).unionByName(twice("ordinal", "repeated_ordinal"))
+    return out.unionByName(row((F.col("ordinal") < 0) | (F.col("ordinal") >= F.col("_size")), "ordinal_out_of_range")).unionByName(row(F.col("role") != role, "role_changed"))
+
+
+def registry_lookup(registry: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Every wanted key once, with its entry, or the reason not_registered."""
+    found = wanted.select(key).distinct().join(registry.hint("merge"), key, "left")
+    return found.withColumn("reason", F.when(F.col("speaker_id").isNull(), "not_registered"))
+
+
 def partition_role(partition: Column) -> Column:
     """Test and heldout partitions are refused, dev partitions never train."""
     p = F.lower(F.trim(partition))

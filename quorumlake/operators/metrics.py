@@ -31,8 +31,8 @@ def outcome_counts(df: DataFrame, keys: list[str], hit: Column, wrong: Column, e
     return df.groupBy(*keys).agg(F.count("*").alias("cases"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(wrong).alias("wrong"), F.sum(F.greatest(F.col(events) - 1, F.lit(0))).cast("long").alias("extra"))
 
 
-def known_confusion(df: DataFrame, keys: list[str], state: str, human: str, item: str, listed: int = 100) -> DataFrame:
-    """Confusion against human labels (positive, negative; unknown is in no denominator), with the least `listed` error ids.
+def known_confusion(df: DataFrame, keys: list[str], state: str, human: str) -> DataFrame:
+    """Confusion against human labels (positive, negative; unknown is in no denominator). known_errors has the rows behind fn and fp.
 
     state: positive, negative or unknown.
     """
@@ -42,9 +42,13 @@ def known_confusion(df: DataFrame, keys: list[str], state: str, human: str, item
     out = df.groupBy(*keys).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in agg.items()])
     total = sum((F.col(k) for k in agg), F.lit(0))
     known = F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp")
-    out = out.withColumns({"recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "specificity": ratio(F.col("tn"), F.col("tn") + F.col("fp")), "coverage": ratio(known, total)})
-    errors = df.where((pos & s("negative")) | (neg & s("positive"))).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(item))).where(F.col("_r") <= listed)
-    return out.join(errors.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("errors")), keys, "left")
+    return out.withColumns({"recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "specificity": ratio(F.col("tn"), F.col("tn") + F.col("fp")), "coverage": ratio(known, total)})
+
+
+def known_errors(df: DataFrame, keys: list[str], state: str, human: str, item: str) -> DataFrame:
+    """Every item whose state is the opposite of its human label: false_negative or false_positive."""
+    kind = F.when((F.col(human) == "positive") & (F.col(state) == "negative"), "false_negative").when((F.col(human) == "negative") & (F.col(state) == "positive"), "false_positive")
+    return df.select(*keys, item, kind.alias("error")).where("error is not null")
 
 
 def paired_known(df: DataFrame, keys: list[str], first: str, second: str, human: str) -> DataFrame:
@@ -78,6 +82,35 @@ def dominates(rates: DataFrame, model: str, word: str, better: str, other: str)
     return both.agg(F.bool_and(F.coalesce(le, F.lit(False))).alias("not_worse"), F.bool_or(F.coalesce(lt, F.lit(False))).alias("better")).withColumn("dominates", F.col("not_worse") & F.col("better"))
 
 
+def shared_gate(arms: DataFrame, words: DataFrame, arm: str, word: str, control: str, treatment: str, max_far: float, budgets: dict[str, float]) -> DataFrame:
+    """Two arms under one false-alarm gate and the same budgets, as one row.
+
+    arms: arm, false_alarms, hours and a column for each budget; words: arm, word, misses, positives. An arm is eligible if its false alarms an hour are within
+    max_far and every resource within its budget. The treatment dominates if both are eligible, it misses no word more often, and one less often.
+    `faults` forbid any comparison: an arm or a word is missing, is there twice or has no positives; hours or positives of the arms are not the same.
+    """
+    fits = F.col("false_alarms") / F.col("hours") <= max_far
+    for c, most in budgets.items():
+        fits = fits & (F.col(c) > 0) & (F.col(c) <= most)
+    side = lambda m, p: arms.where(F.col(arm) == m).agg(F.count("*").alias(f"{p}_rows"), F.max(F.col("false_alarms") / F.col("hours")).alias(f"{p}_far"), F.max("hours").alias(f"_{p}_hours"), F.bool_and(F.coalesce(fits, F.lit(False))).alias(f"{p}_eligible"))
+    two = side(control, "control").crossJoin(F.broadcast(side(treatment, "treatment")))
+    of = lambda m, p: words.where(F.col(arm) == m).groupBy(word).agg(F.count("*").alias(f"_{p}_n"), F.max("misses").alias(f"_{p}_miss"), F.max("positives").alias(f"_{p}_pos"))
+    pairs = of(control, "c").join(of(treatment, "t").hint("merge"), word, "full")
+    c, t = F.col("_c_miss") / F.col("_c_pos"), F.col("_t_miss") / F.col("_t_pos")
+    good = (F.col("_c_n") == 1) & (F.col("_t_n") == 1) & (F.col("_c_pos") > 0)
+    per = pairs.agg(F.count("*").alias("words"), F.bool_and(F.coalesce(good, F.lit(False))).alias("_good"), F.bool_and(F.coalesce(F.col("_c_pos") == F.col("_t_pos"), F.lit(False))).alias("_equal"), F.bool_and(t <= c).alias("_not_worse"), F.bool_or(t < c).alias("_better"))
+    both = two.crossJoin(F.broadcast(per))
+    faults = F.array_compact(F.array(
+        F.when((F.col("control_rows") != 1) | (F.col("treatment_rows") != 1), F.lit("two_arms_required")),
+        F.when(~F.coalesce("_good", F.lit(False)), F.lit("word_missing")),
+        F.when(~F.coalesce(F.col("_control_hours") == F.col("_treatment_hours"), F.lit(False)), F.lit("unequal_hours")),
+        F.when(~F.coalesce("_equal", F.lit(False)), F.lit("unequal_positives")),
+    ))
+    both = both.withColumn("faults", faults)
+    dominant = (F.size("faults") == 0) & F.col("control_eligible") & F.col("treatment_eligible") & F.col("_not_worse") & F.col("_better")
+    return both.select("control_far", "treatment_far", "control_eligible", "treatment_eligible", "words", "faults", F.coalesce(dominant, F.lit(False)).alias("dominates"))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles of the non-null values by key, interpolated linearly, a column for each share.
 
@@ -135,9 +168,12 @@ def shift_histogram(pairs: DataFrame, old: str, new: str) -> DataFrame:
     return pairs.groupBy(kind.alias("kind"), (F.col(new) - F.col(old)).alias("shift")).agg(F.count("*").alias("n"))
 
 
-def ledger_counts(attempts: DataFrame, keys: list[str], state: str, states: list[str]) -> DataFrame:
-    """Attempts by state, a column for each."""
-    return attempts.groupBy(*keys).agg(F.count("*").alias("attempts"), *[F.count_if(F.col(state) == s).alias(s) for s in states])
+def ledger_counts(attempts: DataFrame, keys: list[str], state: str, started: str = "started", completed: str = "completed", failed: str = "failed") -> DataFrame:
+    """An attempt has one row; by keys (a stage is one of them) how many completed, failed or are unknown (started, without an outcome), and how many calls
+    were made at least (those with an outcome) and at most (all that started). Other states have not been attempted."""
+    s = F.col(state)
+    out = attempts.groupBy(*keys).agg(F.count_if(s == completed).alias("completed"), F.count_if(s == failed).alias("failed"), F.count_if(s == started).alias("unknown"), F.count_if(~s.isin(started, completed, failed) | s.isNull()).alias("not_run"))
+    return out.withColumn("calls_at_least", F.col("completed") + F.col("failed")).withColumn("calls_at_most", F.col("calls_at_least") + F.col("unknown"))
 
 
 def token_histogram(frames: DataFrame, keys: list[str], token: Column, tokens: list[int]) -> DataFrame:

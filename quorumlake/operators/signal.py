@@ -48,32 +48,44 @@ def signal_measures(samples: Column, full: float = 32768.0, quiet_rms: float = 0
     return F.struct(rms.alias("rms"), (top / full).alias("peak"), clipped.alias("clipped"), flags.alias("flags"))
 
 
-def quantise(clips: DataFrame, key: str, samples: str) -> DataFrame:
-    """G1: floats to 16-bit integers, nearest even, saturating; with how many saturated and the greatest error. A null clip has null results."""
-    wide = F.transform(samples, lambda v: F.rint(v * 32768))
+def quantise(clips: DataFrame, key: str, samples: str, least: int = 400, most: int = 480_000) -> DataFrame:
+    """G1: floats to 16-bit integers, nearest even, saturating; with how many saturated, the greatest error, peak and RMS of the floats, and flags.
+
+    A null clip, one with a sample that is null, NaN or infinite, and one that is too short or too long are refused: reason no_audio, nonfinite or extent,
+    and no samples.
+    """
+    x = F.col("_x")
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    reason = F.when(x.isNull(), "no_audio").when((F.size(x) < least) | (F.size(x) > most), "extent").when(bad, "nonfinite")
+    rows = clips.select(key, F.col(samples).alias("_x")).withColumn("reason", reason).withColumn("_x", F.when(F.col("reason").isNull(), x))
+    wide = F.transform(x, lambda v: F.rint(v * 32768))
     pcm = F.transform(wide, lambda v: F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), v)).cast("int"))
     saturated = F.size(F.filter(wide, lambda v: (v > 32767) | (v < -32768))).cast("long")
-    out = clips.select(key, F.col(samples).alias("_x"), pcm.alias("pcm"), F.when(F.col(samples).isNotNull(), saturated).alias("saturated"))
+    out = rows.select(key, "_x", "reason", pcm.alias("pcm"), F.when(x.isNotNull(), saturated).alias("saturated"))
     error = F.aggregate(F.zip_with("pcm", "_x", lambda q, v: F.abs(q / 32768 - v)), F.lit(0.0), lambda a, e: F.greatest(a, e))
-    return out.select(key, "pcm", "saturated", error.alias("max_error"))
+    flags = F.array_compact(F.array(F.when(~F.exists("pcm", lambda v: v != 0), F.lit("no_nonzero_samples")), F.when(F.col("saturated") > 0, F.lit("saturation"))))
+    rms = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v) / F.size("_x"))
+    return out.select(key, "reason", "pcm", "saturated", error.alias("max_error"), F.array_max(F.transform("_x", lambda v: F.abs(v))).alias("peak"), rms.alias("rms"), F.when(F.col("reason").isNull(), flags).alias("flags"))
 
 
-def silence(clips: DataFrame, key: str, samples: str, rate: int = 16_000, share: float = 0.01) -> DataFrame:
-    """Leading, trailing and longest internal silence in ms: 10 ms frames whose RMS is under `share` of the clip's peak.
+def silence(clips: DataFrame, key: str, samples: str, rate: int = 16_000, share: float = 0.01, floor: float = 100.0) -> DataFrame:
+    """Leading, trailing and longest internal silence in ms, from whole 10 ms frames of 16-bit samples.
 
-    A clip without any loud frame is one leading silence; a null clip, or one under a frame, has none.
+    A frame is loud if its RMS is over `share` of that of the loudest frame. A clip whose loudest frame is under `floor` is silent from end to end, which counts as
+    internal; a null clip, or one under a frame, has no silence.
     """
-    size, none = rate // 100, F.expr("cast(array() as array<int>)")
-    frames = F.coalesce(F.floor(F.size(F.col(samples)) / size).cast("int"), F.lit(0))
-    rows = clips.select(key, F.col(samples).alias("_x"), F.greatest(frames, F.lit(0)).alias("_n"), F.array_max(F.transform(samples, lambda v: F.abs(v))).alias("_top"))
+    size = rate // 100
+    frames = F.greatest(F.coalesce(F.floor(F.size(F.col(samples)) / size).cast("int"), F.lit(0)), F.lit(0))
     rms = lambda f: F.sqrt(F.aggregate(F.slice("_x", f * size + 1, F.lit(size)), F.lit(0.0), lambda a, v: a + v * v) / size)
-    loud = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda f: rms(f) >= share * F.col("_top"))
-    rows = rows.withColumn("_loud", F.when((F.col("_n") > 0) & (F.col("_top") > 0), loud).otherwise(none))
-    n = F.size("_loud")
+    levels = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), rms)).otherwise(F.expr("cast(array() as array<double>)"))
+    rows = clips.select(key, F.col(samples).alias("_x"), frames.alias("_n")).select(key, "_n", levels.alias("_levels")).withColumn("_top", F.array_max("_levels"))
+    marked = F.filter(F.transform("_levels", lambda v, i: F.when(v > share * F.col("_top"), i)), lambda i: i.isNotNull())
+    silent = F.coalesce(F.col("_top") < floor, F.lit(False))
+    rows = rows.withColumn("_loud", F.when(silent, F.expr("cast(array() as array<int>)")).otherwise(marked))
     gaps = F.transform("_loud", lambda f, i: F.when(i > 0, f - F.get("_loud", i - 1) - 1).otherwise(0))
     ms = lambda c: (10 * F.coalesce(c, F.lit(0))).cast("long")
-    lead, tail = F.when(n == 0, F.col("_n")).otherwise(F.get("_loud", F.lit(0))), F.when(n > 0, F.col("_n") - 1 - F.array_max("_loud"))
-    return rows.select(key, ms(lead).alias("lead_ms"), ms(tail).alias("tail_ms"), ms(F.array_max(gaps)).alias("inner_ms"))
+    inner = F.when(silent, F.col("_n")).otherwise(F.array_max(gaps))
+    return rows.select(key, ms(F.get("_loud", F.lit(0))).alias("lead_ms"), ms(F.col("_n") - 1 - F.array_max("_loud")).alias("tail_ms"), ms(inner).alias("inner_ms"))
 
 
 def mel_bank(bands: int, size: int, rate: int, low: float = 20.0, high: float | None = None) -> np.ndarray:

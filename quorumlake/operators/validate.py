@@ -127,11 +127,26 @@ def inventory_diff(old: DataFrame, new: DataFrame, keys: list[str], digest: str)
     return both.select(*keys, state.alias("state"))
 
 
-def covering_prefix(df: DataFrame, order: str, needs: dict[str, Column]) -> DataFrame:
-    """The smallest prefix in `order` that meets every need, as one row: the position of each need's first row, and the last of them.
-
-    The first row of a need is a minimum, so no running sum over one partition is taken. Null: never met.
+def covering_prefix(df: DataFrame, number: str, needs: dict[str, tuple[Column, int]], family: str, families: int, first: int, most: int) -> DataFrame:
+    """Does the prefix of `first` rows of a numbered plan (from 1) cover all needs, and which is the smallest that does, as one row.
+
+    needs: rows that meet a condition, and how many of them; families: distinct values of `family`. For each need its count in the prefix
+    (<name>_in_first) and the number of the row that completes it (<name>_at; null: never); the same for families. `gaps` are the codes
+    MISSING_<NAME> and INSUFFICIENT_FAMILIES that the prefix leaves open, OVER_BUDGET if it is longer than `most` or than the plan. `smallest` is the last
+    completing row, null where that is beyond `most`. The k-th row of a need, and the k-th smallest first row of a family, come from sorted limits; no
+    prefix is tried out.
     """
-    firsts = df.agg(*[F.min(F.when(c, F.col(order))).alias(k) for k, c in needs.items()])
-    never = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in needs])
-    return firsts.withColumn("prefix", F.when(~never, F.greatest(*[F.col(k) for k in needs]) if len(needs) > 1 else F.col(next(iter(needs)))))
+    inside = F.col(number) <= first
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count_if(c & inside).alias(f"{n}_in_first") for n, (c, _) in needs.items()])
+    starts = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.min(number).alias(number))
+    counts = counts.crossJoin(F.broadcast(starts.agg(F.count_if(inside).alias("families_in_first"))))
+    kth = lambda rows, k, name: rows.select(number).orderBy(number).limit(k).agg(F.when(F.count("*") == k, F.max(number)).alias(name))
+    out = counts
+    for rows, k, name in [*((df.where(c), k, f"{n}_at") for n, (c, k) in needs.items()), (starts, families, "families_at")]:
+        out = out.crossJoin(F.broadcast(kth(rows, k, name)))
+    ends = [F.col(f"{n}_at") for n in needs] + [F.col("families_at")]
+    whole = reduce(lambda a, b: a & b, [e.isNotNull() for e in ends])
+    smallest = F.greatest(*ends)
+    gaps = [F.when(F.col(f"{n}_in_first") < k, F.lit(f"MISSING_{n.upper()}")) for n, (_, k) in needs.items()]
+    gaps += [F.when(F.col("families_in_first") < families, F.lit("INSUFFICIENT_FAMILIES")), F.when((F.lit(first) > most) | (F.lit(first) > F.col("_rows")), F.lit("OVER_BUDGET"))]
+    return out.withColumn("gaps", F.array_sort(F.array_compact(F.array(*gaps)))).withColumn("smallest", F.when(whole & (smallest <= most), smallest)).drop("_rows")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as T
 from quorumlake.operators import consensus as C
+from quorumlake.operators import draws as D
 from quorumlake.operators import intervals as I
 from quorumlake.operators import joins as J
 from quorumlake.operators import lineage as L
@@ -127,38 +128,40 @@ def intake_guard(rows: DataFrame, denied: DataFrame, keys: list[str], earlier: D
     return out.withColumn("state", F.when(F.col("_ok").isNull(), "denied").when(F.col("_s").isNotNull(), "changed").otherwise("accepted")).drop("_ok", "_s")
 
 
-def paired_gate(old: DataFrame, new: DataFrame, keys: list[str], label: str, min_cases: int) -> DataFrame:
-    """Per label: rescued and regressed cases, and whether the gate holds (no regression, a rescue, enough cases)."""
-    both = old.select(*keys, label, F.col("hit").alias("_o")).join(new.select(*keys, F.col("hit").alias("_n")), keys)
-    out = both.groupBy(label).agg(F.count("*").alias("cases"), F.count_if(~F.col("_o") & F.col("_n")).alias("rescued"), F.count_if(F.col("_o") & ~F.col("_n")).alias("regressed"))
-    return out.withColumn("passes", (F.col("regressed") == 0) & (F.col("rescued") >= 1) & (F.col("cases") >= min_cases))
+def paired_gate(old: DataFrame, new: DataFrame, keys: list[str], condition: str, errors: list[str], rescue_in: list[str], min_cases: int) -> DataFrame:
+    """Two models on the same cases (keys, condition, hit, and counts of event errors); one row a condition.
+
+    regressed: hits that are lost; rescued: earlier misses that are hit; new_errors: cases with more errors of a kind than before, bad ones too. `code` is what speaks
+    against the new model in this condition. It is accepted if no condition has a code, one of rescue_in has a rescue, and each has
+    min_cases cases; `reasons` lists what is not so, the same for every row.
+    """
+    both = old.select(*keys, condition, F.col("hit").alias("_o"), *[F.col(e).alias(f"_o_{e}") for e in errors]).join(new.select(*keys, F.col("hit").alias("_n"), *[F.col(e).alias(f"_n_{e}") for e in errors]).hint("merge"), keys)
+    worse = F.lit(False)
+    for e in errors:
+        worse = worse | (F.col(f"_n_{e}") > F.col(f"_o_{e}"))
+    out = both.groupBy(condition).agg(F.count("*").alias("cases"), F.count_if(~F.col("_o") & F.col("_n")).alias("rescued"), F.count_if(F.col("_o") & ~F.col("_n")).alias("regressed"), F.count_if(worse).alias("new_errors"))
+    name = F.upper(F.col(condition).cast("string"))
+    out = out.withColumn("code", F.when(F.col("regressed") > 0, F.concat(name, F.lit("_CASE_REGRESSION"))).when(F.col("new_errors") > 0, F.concat(name, F.lit("_NEW_EVENT_ERROR"))).when(F.col("cases") < min_cases, F.concat(name, F.lit("_COVERAGE_INSUFFICIENT"))))
+    rescues = F.coalesce(F.sum(F.when(F.col(condition).isin(*rescue_in), F.col("rescued"))), F.lit(0))
+    whole = out.agg(F.array_sort(F.array_compact(F.concat(F.collect_list("code"), F.array(F.when(rescues < 1, F.lit("NO_MISS_RESCUED")))))).alias("reasons"))
+    return out.crossJoin(F.broadcast(whole)).withColumn("accepted", F.size("reasons") == 0)
 
 
 def recogniser_scores(obs: DataFrame, human: DataFrame, target: str, near: str) -> DataFrame:
     """Presence states of each model against human labels: the confusion readout."""
     t = F.col("norm_text")
     state = T.presence_state(~F.col("usable"), F.contains(t, F.lit(target)), t.rlike(near), F.lit(False))
-    return M.known_confusion(obs.withColumn("state", state).join(human, "clip_id"), ["model"], "state", "human", "clip_id")
-
-
-def two_arms(rows: DataFrame, model: str, word: str, better: str, other: str) -> DataFrame:
-    """Rates of both arms and whether one dominates."""
-    rates = M.far_frr(rows, model, word, "false_alarms", "hours", "misses", "positives")
-    return M.dominates(rates, model, word, better, other)
+    return M.known_confusion(obs.withColumn("state", state).join(human.hint("merge"), "clip_id"), ["model"], "state", "human")
 
 
-def condition_table(parents: DataFrame, tracks: DataFrame, conditions: list[str], key: str, role: str, track: str) -> DataFrame:
-    """Every parent under every condition with a track chosen by hash; a track used for the parent before is not used again.
+def two_arms(rows: DataFrame, model: str, word: str, control: str, treatment: str, max_far: float, budgets: dict[str, float]) -> DataFrame:
+    """Rates of both arms under a shared gate and budgets, and whether the treatment dominates.
 
-    The n tracks of a role stand in order; condition i takes number (hash of the parent + i) mod n, so parents are never paired with
-    all tracks. Without enough tracks the row keeps a reason.
+    rows: model, word, false_alarms, hours, misses, positives and the resources, summed up here.
     """
-    sizes = tracks.groupBy(role).agg(F.count("*").alias("_n"))
-    placed = tracks.select(role, track, (F.row_number().over(W.partitionBy(role).orderBy(track)) - 1).cast("decimal(20,0)").alias("_at"))
-    grid = parents.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(conditions)]))).select(*parents.columns, F.col("_c.i").alias("_i"), F.col("_c.name").alias("condition"))
-    at = F.when(F.col("_i") < F.col("_n"), F.pmod(J.hash_number(F.lit("track"), F.col(key).cast("string")) + F.col("_i"), F.col("_n").cast("decimal(20,0)"))).cast("decimal(20,0)")
-    out = grid.join(sized(sizes), role, "left").withColumn("_at", at).join(sized(placed), [role, "_at"], "left").drop("_i", "_n", "_at")
-    return out.withColumn("reason", F.when(F.col(track).isNull(), "no_track_left"))
+    arms = rows.groupBy(model).agg(*[F.sum(c).alias(c) for c in ("false_alarms", "hours", *budgets)])
+    words = rows.groupBy(model, word).agg(F.sum("misses").alias("misses"), F.sum("positives").alias("positives"))
+    return M.shared_gate(arms, words, model, word, control, treatment, max_far, budgets)
 
 
 def snapshot_union(snapshots: dict[str, DataFrame], identity: str, families: list[str]) -> DataFrame:
@@ -289,11 +292,16 @@ def p14_intake_guard(spark, d):
     return intake_guard(docs, denied, ["source", "lang"], earlier, "doc_id").groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {OBS}, w AS (SELECT clip_id, lang, bool_or(norm_text = spoken) FILTER (WHERE model = 0) AS o, bool_or(norm_text = spoken) FILTER (WHERE model = 1) AS n FROM obs GROUP BY ALL)
-SELECT lang, count(*) AS cases, count_if(NOT o AND n) AS rescued, count_if(o AND NOT n) AS regressed, count_if(o AND NOT n) = 0 AND count_if(NOT o AND n) >= 1 AND count(*) >= 10 AS passes FROM w GROUP BY lang""")
+@query(f"""WITH {OBS}, w AS (SELECT clip_id, lang, bool_or(norm_text = spoken) FILTER (WHERE model = 0) AS o, bool_or(norm_text = spoken) FILTER (WHERE model = 1) AS n, clip_id % 7 // 6 AS oe, clip_id % 9 // 8 AS ne FROM obs GROUP BY ALL),
+c AS (SELECT lang, count(*) AS cases, count_if(NOT o AND n) AS rescued, count_if(o AND NOT n) AS regressed, count_if(ne > oe) AS new_errors FROM w GROUP BY lang),
+k AS (SELECT *, CASE WHEN regressed > 0 THEN upper(lang) || '_CASE_REGRESSION' WHEN new_errors > 0 THEN upper(lang) || '_NEW_EVENT_ERROR' WHEN cases < 10 THEN upper(lang) || '_COVERAGE_INSUFFICIENT' END AS code FROM c),
+r AS (SELECT list_sort(list_filter(list(code) || [CASE WHEN coalesce(sum(rescued) FILTER (WHERE lang = 'en'), 0) < 1 THEN 'NO_MISS_RESCUED' END], lambda x: x IS NOT NULL)) AS reasons FROM k)
+SELECT lang, cases, rescued, regressed, new_errors, code, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS accepted FROM k, r""")
 def p15_paired_gate(spark, d):
     obs = observations(spark, d).withColumn("hit", F.col("norm_text") == F.col("spoken"))
-    return paired_gate(obs.where("model = 0"), obs.where("model = 1"), ["clip_id"], "lang", 10)
+    old = obs.where("model = 0").withColumn("wrong_events", F.expr("clip_id % 7 div 6"))
+    new = obs.where("model = 1").withColumn("wrong_events", F.expr("clip_id % 9 div 8"))
+    return paired_gate(old, new, ["clip_id"], "lang", ["wrong_events"], ["en"], 10).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"""WITH {OBS}, s AS (SELECT model, CASE WHEN NOT usable THEN 'unknown' WHEN contains(norm_text, 'the') THEN 'positive' WHEN regexp_matches(norm_text, 't.e') THEN 'unknown' ELSE 'negative' END AS state, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS human FROM obs JOIN labels ON clip_id = doc_id)
@@ -303,11 +311,13 @@ def p16_recogniser_scores(spark, d):
     return recogniser_scores(observations(spark, d), human, "the", "t.e").select("model", "tp", "fn", "tn", "fp")
 
 
-@query("""WITH r AS (SELECT l_suppkey % 2 AS m, l_returnflag AS w, sum((l_discount > 0.05)::INT) / sum(l_quantity) AS far, sum((l_tax > 0.04)::INT) / count(*) AS frr FROM lineitem GROUP BY ALL)
-SELECT bool_and(a.far <= b.far AND a.frr <= b.frr) AS not_worse, bool_or(a.far < b.far OR a.frr < b.frr) AS better, bool_and(a.far <= b.far AND a.frr <= b.frr) AND bool_or(a.far < b.far OR a.frr < b.frr) AS dominates FROM r a JOIN r b ON a.w = b.w AND a.m = 0 AND b.m = 1""")
+@query("""WITH a AS (SELECT sum((l_discount > 0.05)::INT) / sum(l_quantity) AS c, sum((l_discount > 0.06)::INT) / sum(l_quantity) AS t, sum(l_linenumber) AS s, sum(l_linenumber) + count(*) AS s2 FROM lineitem), w AS (SELECT l_returnflag AS w, sum((l_tax > 0.04)::INT) AS c, sum((l_tax > 0.05)::INT) AS t FROM lineitem GROUP BY 1)
+SELECT round(a.c, 9) AS control_far, round(a.t, 9) AS treatment_far, a.c <= 0.02 AND s <= 1e7 AS control_eligible, a.t <= 0.02 AND s2 <= 1e7 AS treatment_eligible, (SELECT count(*) FROM w) AS words, '' AS faults, a.c <= 0.02 AND a.t <= 0.02 AND s2 <= 1e7 AND (SELECT bool_and(w.t <= w.c) AND bool_or(w.t < w.c) FROM w) AS dominates FROM a""")
 def p17_two_arms(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 2).cast("string").alias("model"), F.col("l_returnflag").alias("word"), (F.col("l_discount") > 0.05).cast("int").alias("false_alarms"), F.col("l_quantity").alias("hours"), (F.col("l_tax") > 0.04).cast("int").alias("misses"), F.lit(1).alias("positives"))
-    return two_arms(rows, "model", "word", "0", "1")
+    l = table(spark, d, "lineitem")
+    arm = lambda name, alarm, miss, more: l.select(F.lit(name).alias("model"), F.col("l_returnflag").alias("word"), (F.col("l_discount") > alarm).cast("int").alias("false_alarms"), F.col("l_quantity").alias("hours"), (F.col("l_tax") > miss).cast("int").alias("misses"), F.lit(1).alias("positives"), (F.col("l_linenumber") + more).alias("seconds"))
+    got = two_arms(arm("control", 0.05, 0.04, 0).unionByName(arm("treatment", 0.06, 0.05, 1)), "model", "word", "control", "treatment", 0.02, {"seconds": 1e7})
+    return got.withColumns({"control_far": F.round("control_far", 9), "treatment_far": F.round("treatment_far", 9), "faults": F.array_join("faults", ",")})
 
 
 @query("SELECT user_id, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS \"max\" FROM events GROUP BY user_id")
@@ -316,13 +326,38 @@ def p18_latency_report(spark, d):
     return got.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "max")
 
 
-@query("""WITH p AS (SELECT doc_id, (doc_id % 5)::INT AS role FROM documents), t AS (SELECT n_regionkey AS role, n_nationkey AS track FROM nation WHERE n_nationkey < 12), r AS (SELECT role, track, row_number() OVER (PARTITION BY role ORDER BY track) - 1 AS k, count(*) OVER (PARTITION BY role) AS n FROM t),
-c(i, condition) AS (VALUES (0, 'near'), (1, 'far'), (2, 'street')), g AS (SELECT *, ('0x' || substr(sha256('track|' || doc_id), 1, 16))::UBIGINT::HUGEINT + i AS h FROM p CROSS JOIN c)
-SELECT doc_id, condition, track, CASE WHEN track IS NULL THEN 'no_track_left' END AS reason FROM g LEFT JOIN r ON r.role = g.role AND g.i < r.n AND g.h % r.n = r.k""")
+def _draw_tables(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("role"), "n_chars", (1 + F.col("doc_id") % 60).alias("used"))
+    pool = table(spark, d, "supplier").select((F.col("s_suppkey") % 5).cast("int").alias("role"), F.col("s_suppkey").alias("track"), (200 + F.col("s_suppkey") * 7919 % 9000).alias("frames"))
+    return rows, pool
+
+
+_POOL = "t AS (SELECT (s_suppkey % 5)::INT AS role, s_suppkey AS track, 200 + s_suppkey * 7919 % 9000 AS frames FROM supplier)"
+
+
+def _drawn(i: int, condition: str) -> str:
+    """SQL of one condition's draws: the track used before and those of earlier conditions are left out."""
+    gone = "".join(f" AND (p.doc_id, track) NOT IN (SELECT (doc_id, track) FROM c{k})" for k in range(i))
+    number = lambda at: f"('0x' || substr(sha256('mix/{condition}/' || p.doc_id), {at}, 16))::UBIGINT::HUGEINT"
+    return f"""e{i} AS (SELECT p.doc_id, '{condition}' AS condition, n_chars, track, frames, {number(1)} AS h, {number(17)} AS h2, row_number() OVER (PARTITION BY p.doc_id ORDER BY track) - 1 AS r, count(*) OVER (PARTITION BY p.doc_id) AS n FROM p JOIN t ON t.role = p.role AND frames >= n_chars AND track <> used{gone}),
+c{i} AS (SELECT doc_id, condition, track, (h2 % (frames - n_chars + 1))::BIGINT AS "offset" FROM e{i} WHERE r = h % n)"""
+
+
+CONDITIONS = ["near", "far", "street"]
+
+
+@query(f"""WITH {_POOL}, p AS (SELECT doc_id, (doc_id % 5)::INT AS role, n_chars, 1 + doc_id % 60 AS used FROM documents), {", ".join(_drawn(i, c) for i, c in enumerate(CONDITIONS))}, a AS (FROM c0 UNION ALL FROM c1 UNION ALL FROM c2)
+SELECT p.doc_id, k.condition, track, "offset", CASE WHEN track IS NULL THEN 'no_track_left' END AS reason FROM p CROSS JOIN (VALUES ('near'), ('far'), ('street')) k(condition) LEFT JOIN a ON a.doc_id = p.doc_id AND a.condition = k.condition""")
 def p19_condition_table(spark, d):
-    parents = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("role"))
-    tracks = table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_regionkey").cast("int").alias("role"), F.col("n_nationkey").alias("track"))
-    return condition_table(parents, tracks, ["near", "far", "street"], "doc_id", "role", "track").select("doc_id", "condition", "track", "reason")
+    rows, pool = _draw_tables(spark, d)
+    return D.draw_conditions(rows, pool, CONDITIONS, "doc_id", "role", "n_chars", "track", "frames", "mix", "used").select("doc_id", "condition", "track", "offset", "reason")
+
+
+@query(f"""WITH {_POOL}, p AS (SELECT doc_id, (doc_id % 5)::INT AS role, n_chars FROM documents), e AS (SELECT doc_id, n_chars, track, frames, ('0x' || substr(sha256('snr/' || doc_id), 1, 16))::UBIGINT AS h, ('0x' || substr(sha256('snr/' || doc_id), 17, 16))::UBIGINT AS h2, row_number() OVER (PARTITION BY doc_id ORDER BY track) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM p JOIN t ON t.role = p.role AND frames >= n_chars)
+SELECT p.doc_id, track, (h2 % (frames - e.n_chars + 1)::UBIGINT)::BIGINT AS "offset", CASE WHEN track IS NULL THEN 'no_track_left' END AS reason FROM p LEFT JOIN e ON e.doc_id = p.doc_id AND r = h % n""")
+def j14_eligible_draws(spark, d):
+    rows, pool = _draw_tables(spark, d)
+    return D.draw_tracks(rows, pool, "doc_id", "role", "n_chars", "track", "frames", "snr").select("doc_id", "track", "offset", "reason")
 
 
 @query("""WITH r AS (SELECT 'old' AS snapshot, lang, sha256(text) AS h, source <> 'src3' AS ok FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'new', lang, sha256(text), source <> 'src3' FROM documents WHERE doc_id % 3 = 0), n AS (SELECT h, count(*) AS n FROM r GROUP BY h)
@@ -360,17 +395,23 @@ def _waves(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("clip"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
 
 
-@query("SELECT vec_id::VARCHAR AS clip, list_sum([round_even(v::DOUBLE * 32768, 0)::BIGINT FOR v IN embedding])::BIGINT AS total, 0::BIGINT AS saturated FROM embeddings")
+@query("""WITH v AS (SELECT vec_id::VARCHAR AS clip, CASE vec_id % 20 WHEN 3 THEN list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 'nan'::DOUBLE ELSE x::DOUBLE END) WHEN 4 THEN list_transform(embedding, lambda x: x::DOUBLE * 40) ELSE list_transform(embedding, lambda x: x::DOUBLE) END AS x FROM embeddings),
+r AS (SELECT *, CASE WHEN list_bool_or(list_transform(x, lambda v: isnan(v))) THEN 'nonfinite' END AS reason FROM v)
+SELECT clip, reason, CASE WHEN reason IS NULL THEN list_sum([greatest(-32768, least(32767, round_even(v * 32768, 0)))::BIGINT FOR v IN x])::BIGINT END AS total, CASE WHEN reason IS NULL THEN len(list_filter(x, lambda v: round_even(v * 32768, 0) > 32767 OR round_even(v * 32768, 0) < -32768)) END AS saturated FROM r""")
 def g1_quantise(spark, d):
-    got = G.quantise(_waves(spark, d), "clip", "x")
-    return got.select("clip", F.aggregate("pcm", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), "saturated")
+    w = _waves(spark, d).withColumn("k", F.col("clip").cast("long") % 20)
+    bent = F.when(F.col("k") == 3, F.transform("x", lambda v: F.when(v > F.lit(0.1), float("nan")).otherwise(v))).when(F.col("k") == 4, F.transform("x", lambda v: v * 40)).otherwise(F.col("x"))
+    got = G.quantise(w.withColumn("x", bent), "clip", "x", least=1)
+    return got.select("clip", "reason", F.aggregate("pcm", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), "saturated")
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), f AS (SELECT vec_id, i // 4 AS f, sqrt(sum(x * x) / 4) AS rms FROM v GROUP BY ALL HAVING count(*) = 4), m AS (SELECT vec_id, max(abs(x)) AS top FROM v GROUP BY vec_id),
-n AS (SELECT vec_id, count(*) AS n FROM f GROUP BY vec_id), l AS (SELECT vec_id, f, f - lag(f) OVER (PARTITION BY vec_id ORDER BY f) - 1 AS quiet FROM f JOIN m USING (vec_id) WHERE top > 0 AND rms >= 0.01 * top)
-SELECT e.vec_id::VARCHAR AS clip, 10 * coalesce(min(f), any_value(n), 0) AS lead_ms, 10 * coalesce(any_value(n) - 1 - max(f), 0) AS tail_ms, 10 * coalesce(max(quiet), 0) AS inner_ms FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN l USING (vec_id) GROUP BY e.vec_id""")
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE * CASE WHEN vec_id % 10 = 0 THEN 10 ELSE 20000 END * CASE WHEN unnest(range(len(embedding))) % 24 BETWEEN 8 AND 14 THEN 0.001 ELSE 1 END AS x, unnest(range(len(embedding))) AS i FROM embeddings), f AS (SELECT vec_id, i // 4 AS f, sqrt(sum(x * x) / 4) AS rms FROM v GROUP BY ALL HAVING count(*) = 4), m AS (SELECT vec_id, max(rms) AS top, count(*) AS n FROM f GROUP BY vec_id),
+l AS (SELECT vec_id, f, f - lag(f) OVER (PARTITION BY vec_id ORDER BY f) - 1 AS quiet FROM f JOIN m USING (vec_id) WHERE top >= 100 AND rms > 0.01 * top)
+SELECT e.vec_id::VARCHAR AS clip, 10 * coalesce(min(f), 0) AS lead_ms, 10 * coalesce(any_value(n) - 1 - max(f), 0) AS tail_ms, 10 * CASE WHEN any_value(top) < 100 THEN any_value(n) ELSE coalesce(max(quiet), 0) END AS inner_ms FROM embeddings e LEFT JOIN m USING (vec_id) LEFT JOIN l USING (vec_id) GROUP BY e.vec_id""")
 def g2_silence(spark, d):
-    return G.silence(_waves(spark, d), "clip", "x", rate=400)
+    w = _waves(spark, d).withColumn("loud", F.when(F.col("clip").cast("long") % 10 == 0, 10).otherwise(20_000))
+    bent = F.transform("x", lambda v, i: v * F.col("loud") * F.when((i % 24 >= 8) & (i % 24 <= 14), 0.001).otherwise(1))
+    return G.silence(w.withColumn("x", bent), "clip", "x", rate=400)
 
 
 @query()

@@ -179,10 +179,16 @@ def a12_outcome_counts(spark, d):
 c AS (SELECT lang, count_if(human = 'positive' AND state = 'positive') AS tp, count_if(human = 'positive' AND state = 'negative') AS fn, count_if(human = 'negative' AND state = 'negative') AS tn, count_if(human = 'negative' AND state = 'positive') AS fp, count_if(human = 'positive' AND state = 'unknown') AS unknown_pos, count_if(human = 'negative' AND state = 'unknown') AS unknown_neg FROM h GROUP BY lang)
 SELECT lang, tp, fn, tn, fp, unknown_pos, unknown_neg, round(tp / nullif(tp + fn, 0), 6) AS recall, round((tp + fn + tn + fp) / nullif(tp + fn + tn + fp + unknown_pos + unknown_neg, 0), 6) AS coverage FROM c""")
 def a13_known_confusion(spark, d):
-    got = M.known_confusion(_human(spark, d), ["lang"], "state", "human", "clip_id")
+    got = M.known_confusion(_human(spark, d), ["lang"], "state", "human")
     return got.select("lang", "tp", "fn", "tn", "fp", "unknown_pos", "unknown_neg", F.round("recall", 6).alias("recall"), F.round("coverage", 6).alias("coverage"))
 
 
+@query(f"""{VOTES}, h AS (SELECT v.*, CASE WHEN NOT mask THEN 'unknown' WHEN contains(top_text, 'the') THEN 'positive' ELSE 'negative' END AS state, CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'unknown' END AS human FROM labels3 v LEFT JOIN labels l ON v.clip_id = l.doc_id)
+SELECT lang, clip_id, CASE state WHEN 'negative' THEN 'false_negative' ELSE 'false_positive' END AS error FROM h WHERE state <> human AND state <> 'unknown' AND human <> 'unknown'""")
+def a13_known_errors(spark, d):
+    return M.known_errors(_human(spark, d), ["lang"], "state", "human", "clip_id")
+
+
 def _human(spark, d) -> DataFrame:
     votes = C.strict_quorum(observations(spark, d), KEYWORDS).join(clips(spark, d).select("clip_id", "lang"), "clip_id")
     gold = table(spark, d, "labels").select(F.col("doc_id").alias("clip_id"), "quality")
@@ -266,9 +272,11 @@ def a24_shift_histogram(spark, d):
     return M.shift_histogram(hops(spark, d).groupBy("case_id").agg(first(1, 0.9).alias("old"), first(2, 0.8).alias("new")), "old", "new")
 
 
-@query("""SELECT o_orderpriority, count(*) AS attempts, count_if(o_orderstatus = 'F') AS "F", count_if(o_orderstatus = 'O') AS "O", count_if(o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+@query("""WITH a AS (SELECT o_orderpriority AS stage, CASE WHEN o_orderkey % 11 = 0 THEN 'planned' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'started' ELSE 'failed' END AS s FROM orders)
+SELECT stage, count_if(s = 'completed') AS completed, count_if(s = 'failed') AS failed, count_if(s = 'started') AS unknown, count_if(s = 'planned') AS not_run, count_if(s IN ('completed', 'failed')) AS calls_at_least, count_if(s <> 'planned') AS calls_at_most FROM a GROUP BY stage""")
 def a25_ledger_counts(spark, d):
-    return M.ledger_counts(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"])
+    state = F.when(F.col("o_orderkey") % 11 == 0, "planned").when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "started").otherwise("failed")
+    return M.ledger_counts(table(spark, d, "orders").select(F.col("o_orderpriority").alias("stage"), state.alias("s")), ["stage"], "s")
 
 
 @query("""WITH s AS (SELECT lang, n_chars AS x, quality = 1 AS pos FROM documents JOIN labels USING (doc_id)), r AS (SELECT a.lang, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS w FROM s a JOIN s b ON a.lang = b.lang AND a.pos AND NOT b.pos GROUP BY 1),
@@ -391,9 +399,14 @@ def v12_inventory_diff(spark, d):
     return V.inventory_diff(old, new, ["s_suppkey"], "h").groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT min(doc_id) FILTER (WHERE lang = 'de') AS de, min(doc_id) FILTER (WHERE source = 'src17') AS src17, min(doc_id) FILTER (WHERE n_chars > 9000) AS big, greatest(min(doc_id) FILTER (WHERE lang = 'de'), min(doc_id) FILTER (WHERE source = 'src17'), min(doc_id) FILTER (WHERE n_chars > 9000)) AS prefix FROM documents")
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) AS number FROM documents), f AS (SELECT source, min(number) AS number FROM p GROUP BY source),
+k AS (SELECT (SELECT max(number) FROM (SELECT number FROM p WHERE lang = 'de' ORDER BY number LIMIT 3) HAVING count(*) = 3) AS de_at, (SELECT max(number) FROM (SELECT number FROM p WHERE n_chars > 9000 ORDER BY number LIMIT 2) HAVING count(*) = 2) AS long_at, (SELECT max(number) FROM (SELECT number FROM f ORDER BY number LIMIT 4) HAVING count(*) = 4) AS families_at,
+ (SELECT count(*) FROM p WHERE lang = 'de' AND number <= 25) AS de_in_first, (SELECT count(*) FROM p WHERE n_chars > 9000 AND number <= 25) AS long_in_first, (SELECT count(*) FROM f WHERE number <= 25) AS families_in_first)
+SELECT *, array_to_string(list_sort(list_filter([CASE WHEN de_in_first < 3 THEN 'MISSING_DE' END, CASE WHEN long_in_first < 2 THEN 'MISSING_LONG' END, CASE WHEN families_in_first < 4 THEN 'INSUFFICIENT_FAMILIES' END], lambda x: x IS NOT NULL)), ',') AS gaps, CASE WHEN greatest(de_at, long_at, families_at) <= 500 THEN greatest(de_at, long_at, families_at) END AS smallest FROM k""")
 def v13_covering_prefix(spark, d):
-    return V.covering_prefix(table(spark, d, "documents"), "doc_id", {"de": F.col("lang") == "de", "src17": F.col("source") == "src17", "big": F.col("n_chars") > 9000})
+    plan = I.numbered(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), [F.col("source"), F.col("doc_id")])
+    needs = {"de": (F.col("lang") == "de", 3), "long": (F.col("n_chars") > 9000, 2)}
+    return V.covering_prefix(plan, "number", needs, "source", 4, 25, 500).withColumn("gaps", F.array_join("gaps", ","))
 
 
 @query("SELECT doc_id, CASE WHEN toxic <> 0 THEN 'claims_toxic' ELSE '' END AS reasons FROM labels")
@@ -490,9 +503,9 @@ def j14_assign_by_hash(spark, d):
     return J.assign_by_hash(rows, pool, "doc_id", "role", "item", "noise").select("doc_id", "item")
 
 
-@query("SELECT c_custkey, n_name, r AS repetition FROM customer CROSS JOIN (SELECT n_name FROM nation WHERE n_regionkey = 1) CROSS JOIN (VALUES (0), (1)) v(r)")
+@query("SELECT c_custkey, n_name, r AS repetition FROM customer CROSS JOIN nation CROSS JOIN (VALUES (0), (1)) v(r)")
 def j15_request_grid(spark, d):
-    return J.request_grid([table(spark, d, "customer").select("c_custkey"), table(spark, d, "nation").where("n_regionkey = 1").select("n_name")], 2)
+    return J.request_grid([table(spark, d, "customer").select("c_custkey"), table(spark, d, "nation").select("n_name")], 2)
 
 
 @query(f"""WITH {CLIPS}, t AS (SELECT clip_id, unnest(string_split(spoken, ' ')) AS token FROM clips) SELECT token IN ('the', 'of', 'and', 'que', 'der') AS known, count(*) AS n, count(DISTINCT clip_id) AS clips FROM t GROUP BY 1""")
@@ -685,13 +698,36 @@ def w20_shards(spark, d):
 # --- sampling, plans and weights ------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT DISTINCT n_name AS k FROM nation WHERE n_nationkey < 12), s AS (SELECT k, 7 + row_number() OVER (ORDER BY k) AS ordinal FROM e WHERE k NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 7)),
-o AS (SELECT n_name AS k, n_nationkey::BIGINT AS ordinal FROM nation WHERE n_nationkey < 7)
-SELECT k AS speaker, ordinal, CASE WHEN ordinal % 4 = 3 THEN 'dev' ELSE 'train' END AS role FROM (SELECT k, ordinal - 1 AS ordinal FROM s UNION ALL SELECT k, ordinal FROM o)""")
+_REGISTRY = """o AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal FROM customer WHERE c_custkey % 3 = 0),
+n AS (SELECT c_custkey AS k, (SELECT count(*) FROM o) + row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0), e AS (FROM o UNION ALL FROM n)"""
+
+
+def _registry(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("speaker"))
+    old = I.numbered(c.where("speaker % 3 = 0"), [F.col("speaker")], "ordinal", 0)
+    old = old.select("speaker", F.col("ordinal").cast("long").alias("ordinal"), F.when(F.col("ordinal") % 4 == 3, "dev").otherwise("train").alias("role"), F.substring(F.sha2(F.col("speaker").cast("string"), 256), 1, 32).alias("speaker_id"))
+    return c, L.extend_registry(old, c.where("speaker % 5 <> 0 or speaker % 3 = 0"), "speaker")
+
+
+@query(f"WITH {_REGISTRY} SELECT k AS speaker, ordinal, CASE WHEN ordinal % 4 = 3 THEN 'dev' ELSE 'train' END AS role FROM e")
 def w15_extend_registry(spark, d):
-    n = table(spark, d, "nation").withColumnRenamed("n_name", "speaker")
-    old = n.where("n_nationkey < 7").select("speaker", F.col("n_nationkey").cast("long").alias("ordinal"), F.when(F.col("n_nationkey") % 4 == 3, "dev").otherwise("train").alias("role"), F.sha2("speaker", 256).alias("speaker_id"))
-    return L.extend_registry(old, n.where("n_nationkey < 12"), "speaker").select("speaker", "ordinal", "role")
+    return _registry(spark, d)[1].select("speaker", "ordinal", "role")
+
+
+@query(f"WITH {_REGISTRY} SELECT c_custkey AS speaker, ordinal, CASE WHEN k IS NULL THEN 'not_registered' END AS reason FROM customer LEFT JOIN e ON c_custkey = k")
+def l6_registry_lookup(spark, d):
+    c, registry = _registry(spark, d)
+    return L.registry_lookup(registry, c, "speaker").select("speaker", "ordinal", "reason")
+
+
+@query(f"""WITH {_REGISTRY}, b AS (SELECT k, ordinal, CASE WHEN ordinal % 4 = 3 AND k % 7 <> 0 THEN 'dev' ELSE 'train' END AS role FROM e), r AS (SELECT * FROM b UNION ALL SELECT k, -ordinal - 1, role FROM b WHERE k % 50 = 3)
+SELECT 'role_changed' AS fault, k::VARCHAR AS value FROM r WHERE role <> CASE WHEN (ordinal % 4 + 4) % 4 = 3 THEN 'dev' ELSE 'train' END UNION ALL SELECT 'ordinal_out_of_range', k::VARCHAR FROM r WHERE ordinal < 0
+UNION ALL SELECT 'repeated_key', k::VARCHAR FROM e WHERE k % 50 = 3 UNION ALL SELECT 'shared_id', substr(sha256(k::VARCHAR), 1, 32) FROM e WHERE k % 50 = 3""")
+def l6_registry_faults(spark, d):
+    registry = _registry(spark, d)[1]
+    bent = registry.withColumn("role", F.when(F.col("speaker") % 7 == 0, "train").otherwise(F.col("role")))
+    again = bent.where("speaker % 50 = 3").withColumn("ordinal", -F.col("ordinal") - 1)
+    return L.registry_faults(bent.unionByName(again), "speaker")
 
 
 @query("""WITH RECURSIVE s AS (SELECT -1::BIGINT AS position, '' AS class, 0::BIGINT AS draw, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c
@@ -915,6 +951,16 @@ def t15_vocabulary_ids(spark, d):
     return got.select("utt", F.col("min_frames").cast("long").alias("min_frames"), (F.size("unsupported") > 0).alias("unsupported"))
 
 
+@query(f"""WITH {UTTS}, t AS (SELECT utt, CASE WHEN length(spoken) % 13 <> 0 THEN replace(spoken, ' ', '') END AS x, length(spoken) * 200 AS frames FROM utts),
+c AS (SELECT utt, unnest(string_split(x, '')) AS t, unnest(range(length(x))) AS i FROM t WHERE x <> ''), v AS (SELECT *, lag(t) OVER (PARTITION BY utt ORDER BY i) AS prev FROM c), n AS (SELECT utt, count(*) + coalesce(count_if(t = prev), 0) AS least, bool_or(t = 'x') AS oov FROM v GROUP BY utt)
+SELECT utt, CASE WHEN x IS NULL THEN 'no_full_transcript' WHEN oov THEN 'out_of_vocabulary' WHEN (CASE WHEN frames < 400 THEN 0 ELSE 1 + (frames - 400) // 320 END) < least THEN 'insufficient_frames' END AS reason, CASE WHEN frames < 400 THEN 0 ELSE 1 + (frames - 400) // 320 END AS steps FROM t JOIN n USING (utt) UNION ALL SELECT utt, 'no_full_transcript', CASE WHEN frames < 400 THEN 0 ELSE 1 + (frames - 400) // 320 END FROM t WHERE x IS NULL""")
+def t15_ctc_targets(spark, d):
+    vocab = spark.createDataFrame([("x", 0), *[(chr(97 + i), i + 1) for i in range(26) if chr(97 + i) != "x"]], "token string, id int")
+    n = F.length("spoken")
+    rows = utterances(spark, d).select("utt", F.when(n % 13 != 0, F.translate("spoken", " ", "")).alias("text"), (n * 200).alias("frames"))
+    return T.ctc_targets(rows, vocab, "utt", "text", "frames", 2).select("utt", "reason", "steps")
+
+
 @query(f"""WITH {UTTS}, c AS (SELECT utt, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM utts), v AS (SELECT *, lead(t) OVER (PARTITION BY utt ORDER BY i) AS nxt FROM c) SELECT utt, count(*) FILTER (WHERE t = nxt) AS repeats FROM v GROUP BY utt""")
 def t16_repetition(spark, d):
     return utterances(spark, d).select("utt", T.repetition(F.col("spoken")).cast("long").alias("repeats"))
