@@ -143,32 +143,68 @@ TRACE_FIRST, TRACE_HOP, TRACE_WARM = 16_000, 1_280, 15
 TRACE_RECORD = np.dtype([(f"{name}{k}", kind, shape) for k, n in TRACE_STAGES.items() for name, kind, shape in (("stage", "<u4", ()), ("count", "<u4", ()), ("clock", "<u8", ()), ("values", "<f4", (n,)))])
 
 
-def trace_rows(data: bytes) -> tuple[list[tuple], str | None]:
-    """(sample, ready, event, logits, probabilities) of each hop of a trace, or the first fault found in it.
+def trace_chunks(data: bytes, size: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """The records of a trace, some at a time, with the number of the first one."""
+    r = np.frombuffer(data, dtype=TRACE_RECORD, offset=8)
+    for at in range(0, len(r), size):
+        yield at, r[at : at + size]
 
-    The last stage holds the ready flag, the event, three logits and three probabilities; all but the flag are zero in the warm-up.
-    """
+
+def trace_fault(data: bytes) -> str | None:
+    """The first fault of a trace, if it has one. The last stage holds the ready flag, the event, three logits and three probabilities; all but the flag
+    are zero in the warm-up."""
     if data[:8] != TRACE_MARK:
-        return [], "bad_mark"
+        return "bad_mark"
     if (len(data) - 8) % TRACE_RECORD.itemsize:
-        return [], "truncated"
-    r = np.frombuffer(data, dtype=TRACE_RECORD, offset=8)
-    clock = TRACE_FIRST + TRACE_HOP * np.arange(len(r), dtype=np.uint64)
-    head = r["values4"]
-    ready, event, p = head[:, 0], head[:, 1], head[:, 5:8]
-    warm = np.arange(len(r)) < TRACE_WARM
-    checks = {
-        "bad_stage": all((r[f"stage{k}"] == k).all() and (r[f"count{k}"] == n).all() for k, n in TRACE_STAGES.items()),
-        "bad_clock": all((r[f"clock{k}"] == clock).all() for k in TRACE_STAGES),
-        "not_finite": all(np.isfinite(r[f"values{k}"]).all() for k in TRACE_STAGES),
-        "bad_ready": bool((ready == ~warm).all()),
-        "bad_event": bool(np.isin(event, (0, 1, 2)).all()),
-        "bad_warm_up": not head[warm, 1:].any(),
-        "bad_probabilities": bool((((p >= 0) & (p <= 1)).all(1) & (np.abs(p.astype(np.float64).sum(1) - 1) <= 2e-6) | warm).all()),
-    }
-    if fault := next((name for name, ok in checks.items() if not ok), None):
-        return [], fault
-    return [(int(c), bool(x), int(e), logits, probs) for c, x, e, logits, probs in zip(clock, ready, event, head[:, 2:5].tolist(), p.tolist())], None
+        return "truncated"
+    good: dict[str, bool] = {}
+    for at, r in trace_chunks(data):
+        clock = TRACE_FIRST + TRACE_HOP * np.arange(at, at + len(r), dtype=np.uint64)
+        head = r["values4"]
+        ready, event, p = head[:, 0], head[:, 1], head[:, 5:8]
+        warm = np.arange(at, at + len(r)) < TRACE_WARM
+        checks = {
+            "bad_stage": all((r[f"stage{k}"] == k).all() and (r[f"count{k}"] == n).all() for k, n in TRACE_STAGES.items()),
+            "bad_clock": all((r[f"clock{k}"] == clock).all() for k in TRACE_STAGES),
+            "not_finite": all(np.isfinite(r[f"values{k}"]).all() for k in TRACE_STAGES),
+            "bad_ready": bool((ready == ~warm).all()),
+            "bad_event": bool(np.isin(event, (0, 1, 2)).all()),
+            "bad_warm_up": not head[warm, 1:].any(),
+            "bad_probabilities": bool((((p >= 0) & (p <= 1)).all(1) & (np.abs(p.astype(np.float64).sum(1) - 1) <= 2e-6) | warm).all()),
+        }
+        good = {name: good.get(name, True) and ok for name, ok in checks.items()}
+    return next((name for name, ok in good.items() if not ok), None)
+
+
+def trace_hops(data: bytes) -> Iterator[tuple]:
+    """(sample, ready, event, logits, probabilities) of each hop of a sound trace; some records are held at a time."""
+    for at, r in trace_chunks(data):
+        head = r["values4"]
+        samples = (TRACE_FIRST + TRACE_HOP * np.arange(at, at + len(r))).tolist()
+        yield from zip(samples, (head[:, 0] != 0).tolist(), head[:, 1].astype(int).tolist(), head[:, 2:5].tolist(), head[:, 5:8].tolist())
+
+
+def trace_rows(data: bytes) -> tuple[list[tuple], str | None]:
+    """The rows of trace_hops, or the first fault of the trace."""
+    fault = trace_fault(data)
+    return ([] if fault else list(trace_hops(data))), fault
+
+
+class TraceHops:
+    """A table function for SQL: the hop rows of one trace, or one row with its fault. Rows leave it as they are read."""
+
+    def eval(self, content: bytes):
+        if content is None or (fault := trace_fault(content)):
+            yield None, None, None, None, None, "no_content" if content is None else fault
+        else:
+            for row in trace_hops(content):
+                yield *row, None
+
+
+def register_trace_hops(spark: SparkSession, name: str = "trace_hops") -> None:
+    """IO7: make the function known to SQL: SELECT f.path, h.* FROM files f, LATERAL trace_hops(f.content) h."""
+    shape = "sample long, ready boolean, event int, logits array<double>, probabilities array<double>, fault string"
+    spark.udtf.register(name, F.udtf(TraceHops, returnType=shape))
 
 
 def write_trace(probabilities: list, events: list[int] | None = None) -> bytes:

@@ -241,6 +241,7 @@ def test_running_sums_and_quantiles_over_a_hot_key(spark):
 
 def test_hub_and_chain_components(spark, monkeypatch):
     monkeypatch.setattr(L, "HUB", 3)
+    monkeypatch.setattr(L, "LOCAL", 0)
     edges = [("hub", f"n{i:03}") for i in range(300)] + [(f"n{i:03}", f"z{i:03}") for i in range(0, 300, 7)] + [("p", "p"), ("q", "r"), (None, "q")]
     got = {r.node: r.component for r in L.connected(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
     assert {got[n] for n in got if n not in "pqr"} == {"hub"} and (got["p"], got["q"], got["r"]) == ("p", "q", "q")

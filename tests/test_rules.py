@@ -14,6 +14,7 @@ from quorumlake.operators import consensus as C
 from quorumlake.operators import draws as D
 from quorumlake.operators import intervals as I
 from quorumlake.operators import joins as J
+from quorumlake.operators import lineage as L
 from quorumlake.operators import metrics as M
 from quorumlake.operators import scan as S
 from quorumlake.operators import signal as G
@@ -272,3 +273,13 @@ def test_calls_between_bounds(spark):
     df = spark.createDataFrame([("tts", s) for s in ("started", "completed", "failed", "planned", None)] + [("asr", "completed")], "stage string, s string")
     got = {r.stage: (r.completed, r.failed, r.unknown, r.not_run, r.calls_at_least, r.calls_at_most) for r in M.ledger_counts(df, ["stage"], "s").collect()}
     assert got == {"tts": (1, 1, 1, 2, 2, 3), "asr": (1, 0, 0, 0, 1, 1)}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_components_in_one_task_equal_those_by_stars(spark, kind):
+    random.seed(14)
+    pairs = [(random.randint(0, 150), random.randint(0, 150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)]
+    df = spark.createDataFrame(pairs, "a long, b long").select(*[F.col(c).cast(kind).alias(c) for c in "ab"])
+    one, many = (sorted(map(tuple, L.stars(df, local=n).collect())) for n in (10**6, 0))
+    assert one == many and len(one) > 60
+    assert L.stars(df.limit(0)).count() == 0
