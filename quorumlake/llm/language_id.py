@@ -27,10 +27,10 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def learn_dictionaries(rows: DataFrame, text: str, lang: str, order: list[Column], max_docs: int, dict_bytes: int, all_bytes: int) -> tuple[list[str], list[bytes]]:
-    """For each language the concatenation of the letters of whole texts, at most max_docs of them and dict_bytes bytes.
+    """For each language the concatenation of the letters of texts, at most max_docs of them and dict_bytes bytes.
 
-    Every language is learned, if it has a text within its bytes; where there are more than all_bytes / dict_bytes of them, each
-    gets an even part of all_bytes. Languages come in order of their number of rows. A hash bound keeps
+    Every language is learned: texts are whole, and of one that alone exceeds the bytes the first words are taken. Where there are more than
+    all_bytes / dict_bytes languages, each gets an even part of all_bytes. Languages come in order of their number of rows. A hash bound keeps
     about four times max_docs rows of a language before they are ranked, so no task sorts a whole language, and a
     running sum of bytes cuts them before they reach the driver.
     """
@@ -39,7 +39,8 @@ def learn_dictionaries(rows: DataFrame, text: str, lang: str, order: list[Column
     if not counts:
         return [], []
     room = min(dict_bytes, max(1024, all_bytes // len(counts)))
-    able = able.where(F.octet_length(text) <= room)
+    first = F.substring(F.col(text), 1, room // 4)  # of a longer text its first whole words
+    able = able.withColumn(text, F.when(F.octet_length(text) <= room, F.col(text)).otherwise(F.coalesce(F.nullif(F.regexp_replace(first, r"\s\S*$", ""), F.lit("")), first))).where(F.col(text).rlike(LETTER))
     fit = able.groupBy(lang).count().withColumn("_most", F.least(F.lit(1 << 31), F.expr(f"({4 * max_docs + 64}L << 31) div count"))).drop("count")
     u = F.pmod(F.xxhash64(*order), F.lit(1 << 31))
     few = able.select(lang, letters(F.col(text)).alias(text), u.alias("_u")).join(F.broadcast(fit), lang).where(F.col("_u") < F.col("_most"))
@@ -97,7 +98,7 @@ def language_id(docs: DataFrame, names: list[str], dicts: list[bytes], text: str
 def fit_and_identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 5, max_docs: int = 64, dict_bytes: int = 112_000, all_bytes: int = 64 << 20) -> DataFrame:
     """Learn from rows outside fold 0 and predict every row of docs; see language_id.
 
-    At most max_docs whole texts and dict_bytes bytes of each language are learned, and all_bytes of all languages: the
+    At most max_docs texts and dict_bytes bytes of each language are learned, and all_bytes of all languages: the
     bounds of the labelled sample that is fitted. Rows with a null id or language are predicted but not learned from.
     """
     train = docs.where(fold(F.col(doc_id), folds) != 0).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))

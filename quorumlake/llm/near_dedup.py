@@ -311,16 +311,16 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     comparisons, and no link between components is left untested. Links are confirmed on full sets.
     Nulls and texts without words: n_shingles 0, linked with nothing. A row with a null doc_id has a null
     component and is not kept, but is linked like others; near_unique keeps it where it duplicates nothing. Different
-    texts that share a doc_id are nodes of their own; component_id is the least id of a component. Repeated rows are marked
+    texts that share a doc_id are nodes of their own; component_id is the least id of a component, and all rows of that id in it are kept (near_unique keeps one). Repeated rows are marked
     alike. An empty table gives no rows. Columns of the added names are replaced; others keep their values.
     """
-    marks = link(docs, text, doc_id).groupBy(F.col("doc_id").alias("one"), F.col("body").alias("of")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("lead").alias("lead"))
+    marks = link(docs, text, doc_id).groupBy(F.col("doc_id").alias("one"), F.col("body").alias("of")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     keyed = boxed(docs, id=F.col(doc_id).cast("long"), body=F.xxhash64(text))
     out = keyed.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col("one")) & (F.col("body") == F.col("of")), "left")
-    kept = F.coalesce((F.col("id") == F.col("component_id")) & F.col("lead"), F.lit(False))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return unboxed(out, docs.columns, n_shingles=F.col("n_shingles"), component_id=F.col("component_id"), kept=kept)
 
 
 def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce((F.col("doc_id") == F.col("component_id")) & F.col("lead"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
