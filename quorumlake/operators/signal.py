@@ -64,7 +64,7 @@ def quantise(clips: DataFrame, key: str, samples: str, least: int = 400, most: i
     out = rows.select(key, "_x", "reason", pcm.alias("pcm"), F.when(x.isNotNull(), saturated).alias("saturated"))
     error = F.aggregate(F.zip_with("pcm", "_x", lambda q, v: F.abs(q / 32768 - v)), F.lit(0.0), lambda a, e: F.greatest(a, e))
     flags = F.array_compact(F.array(F.when(~F.exists("pcm", lambda v: v != 0), F.lit("no_nonzero_samples")), F.when(F.col("saturated") > 0, F.lit("saturation"))))
-    rms = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v) / F.size("_x"))
+    rms = F.sqrt(F.try_divide(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v), F.size("_x")))
     return out.select(key, "reason", "pcm", "saturated", error.alias("max_error"), F.array_max(F.transform("_x", lambda v: F.abs(v))).alias("peak"), rms.alias("rms"), F.when(F.col("reason").isNull(), flags).alias("flags"))
 
 

@@ -132,8 +132,9 @@ def test_two_level_cap(spark):
 
 def test_unknown_human_rows_are_in_no_denominator(spark):
     df = spark.createDataFrame([("m", 1, "positive", "positive"), ("m", 2, "negative", "positive"), ("m", 3, "positive", "unknown"), ("m", 4, "unknown", "negative")], "m string, id int, state string, human string")
-    r = M.known_confusion(df, ["m"], "state", "human", "id").first()
-    assert (r.tp, r.fn, r.tn, r.fp, r.unknown_neg, r.recall, r.coverage, r.errors) == (1, 1, 0, 0, 1, 0.5, 2 / 3, [2])
+    r = M.known_confusion(df, ["m"], "state", "human").first()
+    assert (r.tp, r.fn, r.tn, r.fp, r.unknown_neg, r.recall, r.coverage) == (1, 1, 0, 0, 1, 0.5, 2 / 3)
+    assert [tuple(x) for x in M.known_errors(df, ["m"], "state", "human", "id").collect()] == [("m", 2, "false_negative")]
 
 
 def test_checks_fail_closed(spark):
@@ -186,10 +187,10 @@ def test_rank_fraction_against_pairs(spark):
 def test_signal_jobs(spark):
     import numpy as np
 
-    w = spark.createDataFrame([("c", [0.0] * 160 + [0.5] * 160 + [0.0] * 320 + [0.5] * 160)], "k string, x array<double>")
+    w = spark.createDataFrame([("c", [0.0] * 160 + [500.0] * 160 + [0.0] * 320 + [500.0] * 160)], "k string, x array<double>")
     r = G.silence(w, "k", "x").first()
     assert (r.lead_ms, r.tail_ms, r.inner_ms) == (10, 0, 20)
-    q = G.quantise(spark.createDataFrame([("c", [1.5, -2.0, 0.5])], "k string, x array<double>"), "k", "x").first()
+    q = G.quantise(spark.createDataFrame([("c", [1.5, -2.0, 0.5])], "k string, x array<double>"), "k", "x", least=1).first()
     assert (q.pcm, q.saturated) == ([32767, -32768, 16384], 2)
     d = G.sample_difference(spark.createDataFrame([("c", [1, 2, 3], [1, 9, 3, 4])], "k string, a array<int>, b array<int>"), "k", "a", "b").collect()
     assert sorted((x.start, x.end) for x in d) == [(1, 2), (3, 4)]
@@ -249,10 +250,10 @@ def test_hub_and_chain_components(spark, monkeypatch):
 
 
 def test_signal_odd_clips(spark):
-    w = spark.createDataFrame([("empty", []), ("null", None), ("short", [0.5]), ("still", [0.0] * 320), ("ends", [0.0] * 160 + [1.0] * 160 + [0.0] * 160 + [1.0] * 160 + [0.0] * 320)], "k string, x array<double>")
+    w = spark.createDataFrame([("empty", []), ("null", None), ("short", [0.5]), ("still", [0.0] * 320), ("ends", [0.0] * 160 + [1e3] * 160 + [0.0] * 160 + [1e3] * 160 + [0.0] * 320)], "k string, x array<double>")
     s = {r.k: (r.lead_ms, r.tail_ms, r.inner_ms) for r in G.silence(w, "k", "x").collect()}
-    assert s == {"empty": (0, 0, 0), "null": (0, 0, 0), "short": (0, 0, 0), "still": (20, 0, 0), "ends": (10, 20, 10)}
-    q = {r.k: (r.pcm, r.saturated, r.max_error) for r in G.quantise(w.where("k in ('empty', 'null', 'short')"), "k", "x").collect()}
+    assert s == {"empty": (0, 0, 0), "null": (0, 0, 0), "short": (0, 0, 0), "still": (0, 0, 20), "ends": (10, 20, 10)}
+    q = {r.k: (r.pcm, r.saturated, r.max_error) for r in G.quantise(w.where("k in ('empty', 'null', 'short')"), "k", "x", least=0).collect()}
     assert q == {"empty": ([], 0, 0.0), "null": (None, None, None), "short": ([16384], 0, 0.0)}
     pairs = [("both", [], None), ("tail", [1], [1, 2, 3]), ("null", [None, 1], [None, 2]), ("ends", [9, 1, 9], [1, 1, 1])]
     d = G.sample_difference(spark.createDataFrame(pairs, "k string, a array<int>, b array<int>"), "k", "a", "b").collect()
