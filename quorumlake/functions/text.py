@@ -237,40 +237,6 @@ def toneless(reading: Column) -> Column:
     return F.regexp_replace(reading, "[0-9]$", "")
 
 
-def _set_distance(spans: pd.Series, targets: pd.Series) -> pd.Series:
-    """Edit distance in which two places agree if their reading sets meet; an empty set (out of vocabulary) agrees with all."""
-
-    def one(a, b):
-        a, b = [set(x) for x in a], [set(x) for x in b]
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                same = not x or not y or bool(x & y)
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (not same))
-        return row[-1]
-
-    return pd.Series([one(a, b) for a, b in zip(spans, targets)], dtype="int32")
-
-
-def phonetic_spans(tokens: DataFrame, key: str, target: list[list[str]], tones: bool = True, limit: int = 1) -> DataFrame:
-    """Spans of consecutive tokens (pos, readings; see lexicon_lookup) within `limit` edits of the target's readings.
-
-    Spans have the target's length, or one more or less; they come from self joins on (key, pos), not from pairs of all.
-    """
-    n = len(target)
-    want = F.array(*[F.array(*[F.lit(r if tones else r.rstrip("0123456789")) for r in rs]) for rs in target])
-    read = F.coalesce("readings", F.expr("cast(array() as array<string>)"))
-    rows = tokens.select(key, "pos", (read if tones else F.transform(read, toneless)).alias("r"))
-    starts = rows.select(key, F.col("pos").alias("from"))
-    grown = starts.withColumn("pos", F.explode(F.sequence(F.col("from"), F.col("from") + n))).join(rows.hint("merge"), [key, "pos"])
-    lists = grown.groupBy(key, "from").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("rs"))
-    spans = lists.withColumn("size", F.explode(F.array(*[F.lit(k) for k in (n - 1, n, n + 1) if k > 0]))).where(F.size("rs") >= F.col("size"))
-    distance = F.pandas_udf(_set_distance, "int")
-    out = spans.select(key, "from", "size", F.slice("rs", F.lit(1), F.col("size")).alias("rs")).withColumn("distance", distance("rs", want))
-    return out.where(F.col("distance") <= limit).select(key, "from", "size", "distance")
-
-
 def presence_state(blocked: Column, literal: Column, near: Column, phonetic: Column) -> Column:
     """Blocked is unknown, a literal hit positive, a near or phonetic one unknown, anything else negative."""
     return F.when(blocked, "unknown").when(literal, "positive").when(near | phonetic, "unknown").otherwise("negative")

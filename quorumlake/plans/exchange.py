@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlake.functions import phonetic as PH
 from quorumlake.functions import text as T
 from quorumlake.operators import consensus as C
 from quorumlake.operators import joins as J
@@ -16,7 +17,7 @@ from quorumlake.operators.lineage import shared_folder
 from quorumlake.sources import readers as S
 from quorumlake.sources import writers as O
 
-from .base import CLIPS, HOPS, UTTS, clips, hops, table, utterances, with_vectors
+from .base import CLIPS, HOPS, TARGET, UTTS, clips, evidence_sql, hops, lexicon, table, utterances, with_vectors
 from .queries import query
 
 
@@ -206,12 +207,19 @@ def _tokens(spark, d) -> DataFrame:
 
 @query("WITH " + _SPANS.format(utts=UTTS, code="substr(t, 1, 2) || (length(t) % 4)", a="th3", b="an3"))
 def t10_phonetic_spans(spark, d):
-    return T.phonetic_spans(_tokens(spark, d), "utt", [["th3"], ["an3"]])
+    return PH.phonetic_spans(_tokens(spark, d), "utt", [["th3"], ["an3"]])
 
 
 @query("WITH " + _SPANS.format(utts=UTTS, code="substr(t, 1, 2)", a="th", b="an"))
 def t11_toneless_spans(spark, d):
-    return T.phonetic_spans(_tokens(spark, d), "utt", [["th3"], ["an3"]], tones=False)
+    return PH.phonetic_spans(_tokens(spark, d), "utt", [["th3"], ["an3"]], tones=False)
+
+
+@query(f"""WITH {evidence_sql("SELECT doc_id, lower(text) AS text FROM documents", "doc_id")} SELECT doc_id, literal, boundary_separated, near_text, dictionary, toned, local, local_oov, oov, lexical, ambiguous, array_to_string(blockers, ',') AS blockers, state FROM evidence""")
+def t10_target_evidence(spark, d):
+    """Letters as tokens with one or two readings; q, x, digits and accented letters are out of vocabulary."""
+    got = PH.target_evidence(table(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), lexicon(spark), ["doc_id"], "text", TARGET)
+    return got.withColumn("blockers", F.array_join("blockers", ","))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' WHEN lang = 'es' THEN 'language' WHEN source = 'src3' THEN 'source' ELSE 'fine' END AS reason FROM documents")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quorumlake.functions import phonetic as PH
 from quorumlake.functions import text as T
 from quorumlake.operators import consensus as C
 from quorumlake.operators import intervals as I
@@ -113,9 +114,9 @@ def test_phonetic_spans(spark):
     lex = spark.createDataFrame([("你", ["ni3"]), ("好", ["hao3", "hao4"]), ("号", ["hao4"])], "token string, readings array<string>")
     rows = spark.createDataFrame([("c", "好你号x")], "id string, text string")
     long = J.lexicon_lookup(rows, lex, "id", T.characters(F.col("text")))
-    got = {(r["from"], r.size, r.distance) for r in T.phonetic_spans(long, "id", [["ni3"], ["hao3"]], tones=True).collect()}
+    got = {(r["from"], r.size, r.distance) for r in PH.phonetic_spans(long, "id", [["ni3"], ["hao3"]], tones=True).collect()}
     assert (1, 2, 1) in got and (2, 2, 1) in got
-    assert (1, 2, 0) in {(r["from"], r.size, r.distance) for r in T.phonetic_spans(long, "id", [["ni3"], ["hao3"]], tones=False).collect()}
+    assert (1, 2, 0) in {(r["from"], r.size, r.distance) for r in PH.phonetic_spans(long, "id", [["ni3"], ["hao3"]], tones=False).collect()}
 
 
 def test_percentiles_interpolate(spark):
@@ -261,3 +262,55 @@ def test_signal_odd_clips(spark):
     mixes = [("loud", [32767.0, -1.0], [9.0, 9.0], 0.0), ("none", None, [1.0], 0.0), ("still", [0.0, 0.0], [1.0, 1.0], 0.0)]
     m = {r.k: (r.pcm, r.reason) for r in G.mix_snr(spark.createDataFrame(mixes, "k string, c array<double>, n array<double>, s double"), "k", "c", "n", "s").collect()}
     assert m == {"loud": (None, "no_headroom"), "none": (None, "silent"), "still": (None, "silent")}
+
+
+def test_target_evidence_against_every_window(spark):
+    """Brute force over all windows, with boundaries, unknown and ambiguous tokens, ties, an empty and a null text."""
+    readings = {"a": ["xa1"], "b": ["xb1", "xa2"], "c": ["xc3"], "d": ["xd4", "xc3"], "e": ["xa1"]}
+    lex = spark.createDataFrame(list(readings.items()), "token string, readings array<string>")
+    rng, target = np.random.default_rng(5), "abc"
+    texts = ["", None, "abc", "a,b c", "???", "zz", "z", "ebd", "abbc", "ac", "a-z-c", "ab", "bc", "é abc", " ", "aebdc" * 40]
+    texts += ["".join(rng.choice(list("abcdez ,"), int(rng.integers(1, 25)))) for _ in range(150)]
+    plain = lambda rs: {r[:-1] for r in rs}
+    want_plain, want_toned = [plain(readings[c]) for c in target], [set(readings[c]) for c in target]
+
+    def cost(window, same):
+        row = list(range(len(target) + 1))
+        for i, x in enumerate(window, 1):
+            row, old = [i], row
+            for j in range(1, len(target) + 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (not same(x, j - 1))))
+        return row[-1]
+
+    def brute(text):
+        edge = lambda c: c in " ,-?"
+        heard = lambda c, j: c not in readings or bool(plain(readings[c]) & want_plain[j])
+        out, kept = [], [c for c in text if not edge(c)]
+        for k in (2, 3, 4):
+            for i in range(len(text) - k + 1):
+                w = text[i:i + k]
+                at = len([c for c in text[:i] if not edge(c)])
+                if any(map(edge, w)):
+                    continue
+                if w != target and cost(w, lambda c, j: c == target[j]) <= 1:
+                    out.append(("text", at, k, 1))
+                if k == 3 and all(c in readings for c in w):
+                    exact = all(set(readings[c]) & t for c, t in zip(w, want_toned))
+                    apart = sum(not plain(readings[c]) & t for c, t in zip(w, want_plain))
+                    if exact or apart <= 1:
+                        out.append(("dictionary", at, k, 0 if exact else apart))
+            out += [("local", i, k, cost(kept[i:i + k], heard)) for i in range(len(kept) - k + 1) if cost(kept[i:i + k], heard) <= 1]
+        return sorted(out)
+
+    clips = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = collections.defaultdict(list)
+    for r in PH.evidence_spans(clips, lex, ["id"], "text", target).collect():
+        got[r.id].append((r.kind, r.start, r.size, r.distance))
+    for i, t in enumerate(texts):
+        assert sorted(got[i]) == brute(t or ""), t
+    rows = {r.id: r for r in PH.target_evidence(clips, lex, ["id"], "text", target).collect()}
+    assert len(rows) == len(texts) and [rows[i].state for i in (0, 1, 2, 3, 4, 5, 6)] == ["negative", "unknown", "positive", "unknown", "negative", "unknown", "unknown"]
+    assert rows[3].boundary_separated and rows[5].blockers == ["insufficient_lexical_evidence", "confusable_or_partial_target"]
+    assert rows[6].blockers == ["insufficient_lexical_evidence"]
+    with pytest.raises(ValueError):
+        PH.target_evidence(clips, lex, ["id"], "text", "az")
