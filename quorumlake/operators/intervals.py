@@ -71,6 +71,22 @@ def runs(df: DataFrame, key: list[str], clock: str, value: Column, hop: int | No
     return stitched(pieces, key, joined, [F.first("value").alias("value"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"), *[TOGETHER[how](n).alias(n) for n, (how, _) in carry.items()]])
 
 
+def collapsed(frames: DataFrame, key: str, clock: str, value: Column, drop: list) -> DataFrame:
+    """T13 on a table of frames: a row for each run of a value that is not dropped (key, value, first, last); a case may hold any share of the frames."""
+    return runs(frames, [key], clock, value).where(~F.col("value").isin(*drop)).select(key, "value", "first", "last")
+
+
+def sequence_hits(rows: DataFrame, key: str, order: str, value: str, needle: list) -> DataFrame:
+    """Places (`start`, from 0) at which the needle stands in a key's values, overlapping ones too.
+
+    Each value names the places it can belong to, one for each equal member of the needle, and a place named by all members is a hit.
+    """
+    placed = running(rows.select(key, order, value), [key], [order], place=F.lit(1))
+    members = F.filter(F.array(*[F.when(F.col(value) == x, F.lit(j)) for j, x in enumerate(needle)]), lambda j: j.isNotNull())
+    named = placed.select(key, "place", F.explode(members).alias("_j")).select(key, (F.col("place") - F.col("_j")).alias("start"))
+    return named.groupBy(key, "start").agg(F.count("*").alias("_n")).where(F.col("_n") == len(needle)).select(key, "start")
+
+
 def longest_run(df: DataFrame, key: list[str], clock: str, eligible: Column, hop: int | None = None) -> DataFrame:
     """The longest run of eligible rows for each key (0 if there is none)."""
     return runs(df, key, clock, eligible, hop).groupBy(*key).agg(F.max(F.when(F.col("value"), F.col("length")).otherwise(0)).alias("longest"), F.count_if("value").alias("runs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,26 +13,92 @@ from .scan import running
 from .sizes import sized
 
 
-def class_schedule(quotas: dict[str, int], batch: int = 10_000) -> Iterator[pd.DataFrame]:
-    """Positions of each class: at each place the class with the largest quota * (place + 1) - used * total; ties in dict order."""
-    total, used = sum(quotas.values()), dict.fromkeys(quotas, 0)
+def class_schedule(quotas: dict[str, int], start: int, stop: int, used: dict[str, int], batch: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Classes at positions start to stop - 1: the one with the largest quota * (position + 1) - used * total, ties in dict order. `used` is updated."""
+    total = sum(quotas.values())
     rows = []
-    for place in range(total):
+    for place in range(start, stop):
         pick = max((c for c in quotas if used[c] < quotas[c]), key=lambda c: quotas[c] * (place + 1) - used[c] * total)
         rows.append((place, pick, used[pick]))
         used[pick] += 1
-        if len(rows) == batch or place == total - 1:
+        if len(rows) == batch or place == stop - 1:
             yield pd.DataFrame(rows, columns=["position", "class", "draw"])
             rows = []
 
 
+def fair_share(quotas: dict[str, int], place: int) -> dict[str, int]:
+    """A guess at what each class has used before a position: its share rounded down, and one more for the largest remainders."""
+    total = sum(quotas.values())
+    used = {c: q * place // total for c, q in quotas.items()}
+    for c in sorted(quotas, key=lambda c: -(quotas[c] * place % total))[: place - sum(used.values())]:
+        used[c] += 1
+    return used
+
+
+#: Least positions of a slice, most slices, and the positions before a slice from which its start is guessed.
+SLICE, SLICES, BEFORE = 50_000, 1_000, 1_000
+
+
+def _cuts(total: int, slice_rows: int) -> list[int]:
+    return [*range(0, total, max(slice_rows, -(-total // SLICES), 1)), total]
+
+
+def slice_starts(spark: SparkSession, quotas: dict[str, int], slice_rows: int = SLICE) -> list[dict[str, int]]:
+    """What each class has used where each slice of the schedule starts; exact.
+
+    Every slice runs from a guess made a little earlier. A start that is not the end of the slice before is put right and its slice runs again,
+    until all meet; the slices up to the first wrong one are right, so each round puts at least one more right. The driver holds a few counters a slice.
+    """
+    classes, total = list(quotas), sum(quotas.values())
+    cuts = _cuts(total, slice_rows)
+    starts: dict[int, list[int]] = {}
+    ends: dict[int, list[int]] = {}
+    todo: dict[int, list[int] | None] = {i: [0] * len(classes) if i == 0 else None for i in range(len(cuts) - 1)}
+    while todo:
+        given = dict(todo)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for i in (int(i) for b in batches for i in b["id"]):
+                if i not in given:
+                    continue
+                used, at = given[i], cuts[i]
+                if used is None:
+                    at = max(0, cuts[i] - BEFORE)
+                    guess = fair_share(quotas, at)
+                    for _ in class_schedule(quotas, at, cuts[i], guess):
+                        pass
+                    used = [guess[c] for c in classes]
+                state = dict(zip(classes, used))
+                for _ in class_schedule(quotas, cuts[i], cuts[i + 1], state):
+                    pass
+                yield pd.DataFrame({"i": [i], "start": [used], "end": [[state[c] for c in classes]]})
+
+        for r in spark.range(0, len(cuts) - 1, 1, len(cuts) - 1).mapInPandas(run, "i long, start array<long>, end array<long>").collect():
+            starts[r.i], ends[r.i] = list(r.start), list(r.end)
+        todo = {i: ends[i - 1] for i in starts if i and starts[i] != ends[i - 1]}
+    return [dict(zip(classes, starts[i])) for i in range(len(cuts) - 1)]
+
+
+def schedule(spark: SparkSession, quotas: dict[str, int], slice_rows: int = SLICE) -> DataFrame:
+    """Position, class and draw of a class (from 0); slices are made in parallel. A quota of 0 gets no place."""
+    cuts = _cuts(sum(quotas.values()), slice_rows)
+    if len(cuts) < 2:
+        return spark.createDataFrame([], "position long, class string, draw long")
+    starts = [dict.fromkeys(quotas, 0)] if len(cuts) == 2 else slice_starts(spark, quotas, slice_rows)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for i in (int(i) for b in batches for i in b["id"]):
+            yield from class_schedule(quotas, cuts[i], cuts[i + 1], dict(starts[i]))
+
+    return spark.range(0, len(cuts) - 1, 1, len(cuts) - 1).mapInPandas(rows, "position long, class string, draw long")
+
+
 def exposure_plan(rows: DataFrame, quotas: dict[str, int], label: str, family: str, item: str) -> DataFrame:
     """An ordered plan of draws. The k-th draw of a class takes family k mod F (in order), then its row floor(k / F) mod R.
 
-    The class order is a recurrence over three counters, made in one small task of sum(quotas) rows; the rows come by equi joins.
+    The class order comes in slices made in parallel (schedule); the rows come by equi joins.
     """
-    spark = rows.sparkSession
-    plan = spark.range(1).coalesce(1).mapInPandas(lambda it: (out for b in it for _ in range(len(b)) for out in class_schedule(quotas)), "position long, class string, draw long")
+    plan = schedule(rows.sparkSession, quotas)
     per = rows.groupBy(F.col(label).alias("class"), F.col(family).alias("_f")).agg(F.count("*").alias("_rows"))
     fam = per.withColumn("_fi", F.row_number().over(W.partitionBy("class").orderBy("_f")).cast("long") - 1)
     sizes = per.groupBy("class").agg(F.count("*").alias("_fams"))

@@ -16,6 +16,7 @@ from quorumlake.operators import metrics as M
 from quorumlake.operators import sampling as X
 from quorumlake.operators import sets as U
 from quorumlake.operators import validate as V
+from quorumlake.operators.lineage import cut_lineage
 from quorumlake.streaming import gate as R
 
 from .base import CLIPS, HOPS, KEYWORDS, OBS, SPANS, UTTS, WITHOUT_LAST, clips, hops, observations, spans, table, utterances, with_vectors, without_last
@@ -932,15 +933,16 @@ def t12_presence_state(spark, d):
 
 @query(f"""WITH {HOPS}, c AS (SELECT case_id, sample, best, lag(best) OVER (PARTITION BY case_id ORDER BY sample) AS prev FROM hops) SELECT case_id, string_agg(best::VARCHAR, '' ORDER BY sample) AS path FROM c WHERE best <> 0 AND best IS DISTINCT FROM prev GROUP BY case_id""")
 def t13_ctc_collapse(spark, d):
-    paths = hops(spark, d).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "best"))), lambda x: x["best"]).alias("ids"))
-    return paths.select("case_id", F.array_join(T.ctc_collapse(F.col("ids"), [0]), "").alias("path"))
+    got = I.collapsed(hops(spark, d), "case_id", "sample", F.col("best"), [0])
+    paths = got.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("first", "value"))).alias("path"))
+    return paths.select("case_id", F.array_join(F.transform("path", lambda x: x["value"].cast("string")), "").alias("path"))
 
 
 @query(f"""WITH {HOPS}, c AS (SELECT case_id, sample, best, lag(best) OVER (PARTITION BY case_id ORDER BY sample) AS prev FROM hops), k AS (SELECT * FROM c WHERE best <> 0 AND best IS DISTINCT FROM prev), n AS (SELECT case_id, best AS a, lead(best, 1) OVER w AS b, lead(best, 2) OVER w AS e FROM k WINDOW w AS (PARTITION BY case_id ORDER BY sample)) SELECT case_id, count_if(a = 1 AND b = 2 AND e = 1) AS hits FROM n GROUP BY case_id""")
 def t14_ctc_events(spark, d):
-    paths = hops(spark, d).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "best"))), lambda x: x["best"]).alias("ids"))
-    path = paths.select("case_id", T.ctc_collapse(F.col("ids"), [0]).alias("ids"))
-    return path.select("case_id", F.size(T.positions(F.col("ids"), [1, 2, 1])).cast("long").alias("hits"))
+    path = cut_lineage(I.collapsed(hops(spark, d), "case_id", "sample", F.col("best"), [0]))
+    hits = I.sequence_hits(path, "case_id", "first", "value", [1, 2, 1]).groupBy("case_id").agg(F.count("*").alias("hits"))
+    return path.select("case_id").distinct().join(hits.hint("merge"), "case_id", "left").fillna(0, ["hits"])
 
 
 @query(f"""WITH {UTTS}, c AS (SELECT utt, unnest(string_split(spoken, '')) AS t, unnest(range(len(string_split(spoken, '')))) AS i FROM utts), v AS (SELECT utt, i, t, ascii(t) - 96 AS id, lag(t) OVER (PARTITION BY utt ORDER BY i) AS prev FROM c)

@@ -314,3 +314,42 @@ def test_target_evidence_against_every_window(spark):
     assert rows[6].blockers == ["insufficient_lexical_evidence"]
     with pytest.raises(ValueError):
         PH.target_evidence(clips, lex, ["id"], "text", "az")
+
+
+@pytest.mark.parametrize("quotas", [{"p": 5_000, "o": 4_500, "n": 500}, {"a": 1, "b": 1, "c": 9_998}, {"a": 3_333, "b": 3_333, "c": 3_334, "d": 0, "e": 1}, {c: 7 * i * i + 1 for i, c in enumerate("abcdefghij")}])
+def test_schedule_in_slices_is_the_recurrence(spark, quotas):
+    total, used, want = sum(quotas.values()), dict.fromkeys(quotas, 0), []
+    for place in range(total):
+        c = max((c for c in quotas if used[c] < quotas[c]), key=lambda c: quotas[c] * (place + 1) - used[c] * total)
+        want.append((place, c, used[c]))
+        used[c] += 1
+    for rows in (97, total // 3):
+        got = X.schedule(spark, quotas, rows)
+        assert got.rdd.getNumPartitions() == -(-total // rows)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_schedule_of_a_million_draws(spark):
+    quotas = {"positive": 333_333, "ordinary": 600_001, "near": 66_666}
+    got = X.schedule(spark, quotas, 62_500).cache()
+    assert got.rdd.getNumPartitions() == 16 and got.agg(F.count_distinct("position"), F.max("position")).first()[:] == (1_000_000, 999_999)
+    assert {r["class"]: (r.n, r.top) for r in got.groupBy("class").agg(F.count("*").alias("n"), F.max("draw").alias("top")).collect()} == {c: (n, n - 1) for c, n in quotas.items()}
+    off = F.max(F.abs(F.col("draw") - F.col("position") * F.when(F.col("class") == "positive", 333_333).when(F.col("class") == "ordinary", 600_001).otherwise(66_666) / 1_000_000))
+    assert got.agg(off).first()[0] < 2
+    assert X.schedule(spark, {}).count() == 0 and X.schedule(spark, {"a": 0}).count() == 0
+
+
+def test_collapsed_path_and_its_sequences(spark):
+    """One case holds nearly all frames; blanks part repeats, nulls are dropped with them."""
+    rng = np.random.default_rng(3)
+    cases = {1: [int(x) for x in rng.integers(0, 3, 5_000)], 2: [0, 0, 0], 3: [1, 1, 0, 1, 2, 1, 2, 1]}
+    frames = spark.createDataFrame([(k, i * 10, v) for k, vs in cases.items() for i, v in enumerate(vs)], "case long, clock long, best int").repartition(5)
+    path = I.collapsed(frames, "case", "clock", F.col("best"), [0])
+    got, want = collections.defaultdict(list), {}
+    for r in path.orderBy("case", "first").collect():
+        got[r.case].append(r.value)
+    for k, vs in cases.items():
+        want[k] = [v for i, v in enumerate(vs) if v and (i == 0 or vs[i - 1] != v)]
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    hits = {(r.case, r.start) for r in I.sequence_hits(path, "case", "first", "value", [1, 2, 1]).collect()}
+    assert hits == {(k, i) for k, v in want.items() for i in range(len(v) - 2) if v[i:i + 3] == [1, 2, 1]}
