@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,10 +104,15 @@ def present(text: Column, keyword: Column) -> Column:
 
 
 def positions(tokens: Column, needle: list) -> Column:
-    """T4: all places of the needle in an array, overlapping ones too; T14 counts them."""
-    n, k = F.size(tokens), len(needle)
-    want = F.array(*[F.lit(x) for x in needle])
-    return F.when(n < k, F.expr("cast(array() as array<int>)")).otherwise(F.filter(F.sequence(F.lit(0), n - k), lambda i: F.slice(tokens, i + 1, k) == want))
+    """T4: all places of the needle in an array, overlapping ones too; T14 counts them. The array is made once a row, so it is linear."""
+    k = len(needle)
+    none = F.expr("cast(array() as array<int>)")
+
+    def found(xs: Column) -> Column:
+        here = lambda i: reduce(and_, [F.get(xs, i + j).eqNullSafe(F.lit(x)) for j, x in enumerate(needle)])
+        return F.when(F.size(xs) < k, none).otherwise(F.filter(F.sequence(F.lit(0), F.size(xs) - k), here))
+
+    return let(tokens, found)
 
 
 def characters(text: Column) -> Column:

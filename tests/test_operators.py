@@ -353,3 +353,10 @@ def test_collapsed_path_and_its_sequences(spark):
     assert dict(got) == {k: v for k, v in want.items() if v}
     hits = {(r.case, r.start) for r in I.sequence_hits(path, "case", "first", "value", [1, 2, 1]).collect()}
     assert hits == {(k, i) for k, v in want.items() for i in range(len(v) - 2) if v[i:i + 3] == [1, 2, 1]}
+
+
+def test_positions_in_a_long_text(spark):
+    long = "orre " * 20_000
+    rows = spark.createDataFrame([(long,), ("rr",), ("",), (None,), ("rrr",)], "t string")
+    got = [r.at for r in rows.select(T.positions(T.characters(F.col("t")), ["r", "r"]).alias("at")).collect()]
+    assert got == [list(range(1, 100_000, 5)), [0], [], None, [0, 1]]
