@@ -203,11 +203,24 @@ def argmax_runs(frames: DataFrame, key: list[str], frame: str, scores: str, hop:
     return out.withColumnRenamed("value", "token").withColumn("from_sample", F.col("first") * hop).withColumn("to_sample", F.col("last") * hop + width)
 
 
-def trailing_stack(hops: DataFrame, key: str, clock: str, vector: str, size: int, hop: int) -> DataFrame:
-    """The vectors of hops [i - size + 1, i], only where all of them are there without a gap."""
-    w = W.partitionBy(key).orderBy(clock).rowsBetween(1 - size, 0)
-    out = hops.withColumn("stack", F.collect_list(vector).over(w)).withColumn("_first", F.min(clock).over(w))
-    return out.where((F.size("stack") == size) & (F.col(clock) - F.col("_first") == (size - 1) * hop)).drop("_first")
+#: Hops of a block of a recording, in which stacks are made.
+BLOCK = 4_096
+
+
+def trailing_stack(hops: DataFrame, key: str, clock: str, vector: str, size: int, hop: int, block: int = BLOCK) -> DataFrame:
+    """The vectors of hops [i - size + 1, i], only where all of them are there without a gap.
+
+    A stack spans (size - 1) * hop, so each block of the clock has what it needs in its own hops and the last size - 1 of the block before,
+    which go to both: windows are by key and block, and a recording may hold any share of the rows.
+    """
+    back, length = (size - 1) * hop, max(block, size) * hop
+    own = F.floor(F.col(clock) / length)
+    late = F.pmod(F.col(clock), F.lit(length)) >= length - back
+    rows = hops.withColumn("_own", own).withColumn("_block", F.explode(F.when(late, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = W.partitionBy(key, "_block").orderBy(clock).rowsBetween(1 - size, 0)
+    out = rows.withColumn("stack", F.collect_list(vector).over(w)).withColumn("_first", F.min(clock).over(w))
+    whole = (F.size("stack") == size) & (F.col(clock) - F.col("_first") == back)
+    return out.where(whole & (F.col("_own") == F.col("_block"))).drop("_first", "_own", "_block")
 
 
 def shards(df: DataFrame, number: str, size: int, start: int = 1) -> DataFrame:

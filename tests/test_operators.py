@@ -360,3 +360,16 @@ def test_positions_in_a_long_text(spark):
     rows = spark.createDataFrame([(long,), ("rr",), ("",), (None,), ("rrr",)], "t string")
     got = [r.at for r in rows.select(T.positions(T.characters(F.col("t")), ["r", "r"]).alias("at")).collect()]
     assert got == [list(range(1, 100_000, 5)), [0], [], None, [0, 1]]
+
+
+def test_trailing_stacks_over_blocks(spark):
+    """One recording with gaps and negative clocks, in blocks of any length; nulls part stacks."""
+    rng = np.random.default_rng(8)
+    clocks = [int(c) * 10 for c in range(-60, 300) if rng.random() < 0.93]
+    rows = [("a", c, None if c == 500 else float(c)) for c in clocks] + [("b", c, float(c)) for c in range(0, 30, 10)]
+    df = spark.createDataFrame(rows, "case string, clock long, v double").repartition(4)
+    at = {k: {c: v for case, c, v in rows if case == k} for k in "ab"}
+    want = {(k, c): [at[k][c - 10 * j] for j in range(3, -1, -1)] for k in "ab" for c in at[k] if all(at[k].get(c - 10 * j) is not None for j in range(4))}
+    for block in (1, 5, 64, 4_096):
+        got = [((r.case, r.clock), r.stack) for r in I.trailing_stack(df, "case", "clock", "v", 4, 10, block).collect()]
+        assert len(got) == len(want) and dict(got) == want
