@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as T
+from quorumlake.functions.phonetic import target_evidence
 from quorumlake.operators import consensus as C
 from quorumlake.operators import draws as D
 from quorumlake.operators import intervals as I
@@ -16,10 +17,11 @@ from quorumlake.operators import metrics as M
 from quorumlake.operators import sampling as X
 from quorumlake.operators import signal as G
 from quorumlake.operators import validate as V
+from quorumlake.operators.lineage import cut_lineage
 from quorumlake.operators.sizes import sized
 from quorumlake.sources import writers as O
 
-from .base import CLIPS, HOPS, KEYWORDS, OBS, clips, hops, observations, table, with_vectors
+from .base import CLIPS, HOPS, KEYWORDS, OBS, TARGET, clips, evidence_sql, hops, lexicon, observations, table, with_vectors
 from .queries import VOTES, query
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
@@ -147,11 +149,22 @@ def paired_gate(old: DataFrame, new: DataFrame, keys: list[str], condition: str,
     return out.crossJoin(F.broadcast(whole)).withColumn("accepted", F.size("reasons") == 0)
 
 
-def recogniser_scores(obs: DataFrame, human: DataFrame, target: str, near: str) -> DataFrame:
-    """Presence states of each model against human labels: the confusion readout."""
+def recogniser_scores(obs: DataFrame, human: DataFrame, target: str, lexicon: DataFrame) -> DataFrame:
+    """Presence states of each model against human labels: the confusion readout.
+
+    A literal target is positive; near, boundary-separated and phonetic candidates and texts without a token in the lexicon are unknown (T9, T10, T12).
+    Only texts without the target are looked into, each distinct one once.
+    """
     t = F.col("norm_text")
-    state = T.presence_state(~F.col("usable"), F.contains(t, F.lit(target)), t.rlike(near), F.lit(False))
-    return M.known_confusion(obs.withColumn("state", state).join(human.hint("merge"), "clip_id"), ["model"], "state", "human")
+    literal = F.contains(t, F.lit(target))
+    open_rows = F.col("usable") & t.isNotNull() & ~literal
+    rows = obs.withColumn("digest", F.when(open_rows, F.sha2(t, 256)))
+    texts = cut_lineage(rows.where(open_rows).groupBy("digest").agg(F.first(t).alias("text")))
+    found = target_evidence(texts, lexicon, ["digest"], "text", target).select("digest", "state")
+    doubt = F.coalesce(F.col("state") == "unknown", F.lit(False))
+    rows = rows.join(found.hint("merge"), "digest", "left")
+    state = T.presence_state(~F.col("usable") | t.isNull(), literal, doubt, F.lit(False))
+    return M.known_confusion(rows.withColumn("state", state).join(human.hint("merge"), "clip_id"), ["model"], "state", "human")
 
 
 def two_arms(rows: DataFrame, model: str, word: str, control: str, treatment: str, max_far: float, budgets: dict[str, float]) -> DataFrame:
@@ -304,11 +317,12 @@ def p15_paired_gate(spark, d):
     return paired_gate(old, new, ["clip_id"], "lang", ["wrong_events"], ["en"], 10).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(f"""WITH {OBS}, s AS (SELECT model, CASE WHEN NOT usable THEN 'unknown' WHEN contains(norm_text, 'the') THEN 'positive' WHEN regexp_matches(norm_text, 't.e') THEN 'unknown' ELSE 'negative' END AS state, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS human FROM obs JOIN labels ON clip_id = doc_id)
+@query(f"""WITH {OBS}, {evidence_sql("SELECT DISTINCT sha256(norm_text) AS digest, norm_text AS text FROM obs WHERE usable", "digest")},
+s AS (SELECT model, CASE WHEN NOT usable THEN 'unknown' ELSE state END AS state, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS human FROM obs JOIN labels ON clip_id = doc_id LEFT JOIN (SELECT digest, state FROM evidence) ON digest = sha256(norm_text))
 SELECT model, count_if(human = 'positive' AND state = 'positive') AS tp, count_if(human = 'positive' AND state = 'negative') AS fn, count_if(human = 'negative' AND state = 'negative') AS tn, count_if(human = 'negative' AND state = 'positive') AS fp FROM s GROUP BY model""")
 def p16_recogniser_scores(spark, d):
     human = table(spark, d, "labels").select(F.col("doc_id").alias("clip_id"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("human"))
-    return recogniser_scores(observations(spark, d), human, "the", "t.e").select("model", "tp", "fn", "tn", "fp")
+    return recogniser_scores(observations(spark, d), human, TARGET, lexicon(spark)).select("model", "tp", "fn", "tn", "fp")
 
 
 @query("""WITH a AS (SELECT sum((l_discount > 0.05)::INT) / sum(l_quantity) AS c, sum((l_discount > 0.06)::INT) / sum(l_quantity) AS t, sum(l_linenumber) AS s, sum(l_linenumber) + count(*) AS s2 FROM lineitem), w AS (SELECT l_returnflag AS w, sum((l_tax > 0.04)::INT) AS c, sum((l_tax > 0.05)::INT) AS t FROM lineitem GROUP BY 1)
