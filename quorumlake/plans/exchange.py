@@ -101,9 +101,8 @@ def io7_trace_rows(spark, d):
 
 
 def _traces(spark, d) -> DataFrame:
-    rows = with_vectors(hops(spark, d)).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "probabilities"))), lambda x: x["probabilities"]).alias("p"))
-    pack = F.pandas_udf(lambda xs: pd.Series([S.write_trace(x) for x in xs]), "binary")
-    return rows.select(F.concat(F.lit("case/"), "case_id").alias("path"), pack("p").alias("content"))
+    rows = with_vectors(hops(spark, d)).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "probabilities"))), lambda x: x["probabilities"]).alias("probabilities"))
+    return S.trace_files(rows.select(F.concat(F.lit("case/"), "case_id").alias("path"), "probabilities"))
 
 
 @query(f"""WITH {HOPS}, n AS (SELECT case_id, count(*) AS n FROM hops GROUP BY case_id), r AS (SELECT case_id, p, row_number() OVER (PARTITION BY case_id ORDER BY sample) AS k FROM hops)

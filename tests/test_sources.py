@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from quorumlake.sources import readers as S
 from quorumlake.sources import writers as O
@@ -103,3 +104,14 @@ def test_digest_ignores_order_and_sees_changes(spark, tmp_path):
     df.write.json(str(tmp_path / "out"))
     m = O.manifest_summary(O.manifest(spark, str(tmp_path / "out"))).first()
     assert m.files >= 1 and m.bytes > 0 and len(m.digest) == 64
+
+
+def test_traces_of_more_than_two_gigabytes_in_one_partition(spark):
+    """A task's traces together exceed any buffer; each is made, passed on and read alone."""
+    p = F.array_repeat(F.array(*[F.lit(x) for x in (0.5, 0.25, 0.25)]), 66)
+    files = S.trace_files(spark.range(0, 1500, 1, 1).select(F.concat(F.lit("t"), "id").alias("path"), p.alias("probabilities")))
+    r = files.agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes")).first()
+    assert (r.n, r.bytes) == (1500, 1500 * (8 + 66 * S.TRACE_RECORD.itemsize))
+    S.register_trace_hops(spark)
+    got = spark.sql("SELECT h.ready, count(*) AS n, max(h.sample) AS last FROM {f} f, LATERAL trace_hops(f.content) h GROUP BY 1", f=files.limit(20))
+    assert {(r.ready, r.n, r.last) for r in got.collect()} == {(False, 300, 16_000 + 1280 * 14), (True, 1020, 16_000 + 1280 * 65)}
