@@ -3,7 +3,7 @@
 A token's match with a target of n tokens is a whole number: bit j is set if it may be the j-th one. A span within one edit has all but one of its
 tokens on three diagonals, so each matching token names the few spans it can belong to, and spans are found by grouping on them: no window over a
 text, no pairs. Of a span, `fwd` holds the tokens that match counted from the start, `bwd` those counted from the end; their first runs L and R
-tell whether one edit is enough.
+tell whether one edit is enough. The evidence of whole texts is found by patterns over codes of their characters, inside the row.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.operators.sizes import sized
-
 from . import text as T
 
 #: Tokens that part words: white space and punctuation, as a character class.
@@ -82,38 +80,73 @@ def phonetic_spans(tokens: DataFrame, key: str, target: list[list[str]], tones:
     return spans.select(key, F.col("start").cast("int").alias("from"), "size", _distance(n).alias("distance"))
 
 
-def placed_characters(clips: DataFrame, keys: list[str], text: str, boundary: str = BOUNDARY) -> DataFrame:
-    """The characters of each text that are no boundary: `pos` in the text, `at` among all of them (`of`), `piece_at` in their unbroken piece (`piece_of`).
+#: Characters that stand for classes of tokens; none is a boundary.
+CODES = [c for c in map(chr, range(0x30, 0xD800)) if c.isalnum()]
+
+
+class _Coded:
+    """Texts as strings of codes, one a character: tokens of the lexicon that match the same places of the target share a code, all others (which may be any token:
+    wild) have the first one, boundaries are spaces. So patterns over a text find its spans, and no character leaves its row.
 
-    Places come from the lengths of the pieces inside the row; nothing is shuffled.
+    The lexicon's single characters come to the driver; there are no more of them than Unicode has.
     """
-    runs = F.regexp_extract_all(F.col(text), F.lit(f"[{boundary}]*[^{boundary}]+"), F.lit(0))
-    rows = clips.where(F.col(text).isNotNull()).select(*keys, runs.alias("_runs"))
-    rows = rows.withColumn("_own", F.transform("_runs", lambda r: F.regexp_replace(r, f"^[{boundary}]+", "")))
-    sums = lambda c: T.prefix_sums(F.transform(c, lambda r: F.char_length(r)))
-    rows = rows.select(*keys, F.arrays_zip(F.col("_own").alias("own"), sums("_runs").alias("to"), sums("_own").alias("rank")).alias("_p"))
-    rows = rows.select(*keys, F.try_element_at("_p", F.lit(-1))["rank"].alias("of"), F.explode("_p").alias("_p"))
-    n = F.char_length("_p.own")
-    rows = rows.select(*keys, "of", n.alias("piece_of"), (F.col("_p.to") - n).alias("_pos"), (F.col("_p.rank") - n).alias("_rank"), F.posexplode(F.split("_p.own", "")).alias("piece_at", "token")).where("token <> ''")
-    return rows.select(*keys, (F.col("_pos") + F.col("piece_at")).alias("pos"), (F.col("_rank") + F.col("piece_at")).alias("at"), "of", "piece_at", "piece_of", "token")
-
-
-def _read(clips: DataFrame, lexicon: DataFrame, keys: list[str], text: str, target: str) -> tuple[DataFrame, DataFrame]:
-    """The placed characters with what they match of the target: as text (same), with tones, without tones (plain; null is out of vocabulary, which
-    may be any: wild); and the distinct pairs of (wild, same), no more than the lexicon has rows."""
-    _long_enough(len(target))
-    known = {r.token: list(r.readings) for r in lexicon.where(F.col("token").isin(list(target))).select("token", "readings").limit(len(target)).collect()}
-    readings = [known.get(c, []) for c in target]
-    if not all(readings):
-        raise ValueError("each token of the target needs a reading")
-    lex = lexicon.where(F.size("readings") > 0).select("token", reading_mask(F.col("readings"), readings, True).alias("toned"), reading_mask(F.col("readings"), readings, False).alias("plain"), (F.size("readings") > 1).alias("ambiguous"))
-    same = F.lit(0).cast("long")
-    for j, c in enumerate(target):
-        same = same + F.when(F.col("token") == c, 1 << j).otherwise(0)
-    lex, none = lex.withColumn("same", same.cast("long")), F.lit((1 << len(target)) - 1).cast("long")
-    pairs = lex.select(F.col("plain").alias("wild"), "same").union(lexicon.sparkSession.range(1).select(none, F.lit(0).cast("long"))).where("wild <> 0 or same <> 0").distinct()
-    rows = placed_characters(clips, keys, text).join(sized(lex), "token", "left")
-    return rows.withColumns({"wild": F.coalesce("plain", none), "same": F.coalesce("same", F.lit(0).cast("long"))}), pairs
+
+    def __init__(self, lexicon: DataFrame, target: str):
+        _long_enough(len(target))
+        known = lexicon.where((F.size("readings") > 0) & (F.char_length("token") == 1))
+        held = {r.token: list(r.readings) for r in known.where(F.col("token").isin(list(target))).select("token", "readings").collect()}
+        readings = [held.get(c, []) for c in target]
+        if not all(readings):
+            raise ValueError("each token of the target needs a reading")
+        masks = [reading_mask(F.col("readings"), readings, tones) for tones in (True, False)]
+        rows = known.where(~F.rlike("token", F.lit(f"[{BOUNDARY}]"))).select("token", *masks, F.size("readings") > 1).collect()
+        kind = lambda token, toned, plain, several: (sum(1 << j for j, c in enumerate(target) if c == token), toned, plain, several)
+        kinds = {token: kind(token, *rest) for token, *rest in rows}
+        if len(kinds) < len(rows):
+            raise ValueError("a token has several rows in the lexicon")
+        self.n, self.target = len(target), target
+        self.oov, *codes = CODES[: len(set(kinds.values())) + 1]
+        self.code = dict(zip(sorted(set(kinds.values())), codes))
+        self.map = {c: self.oov for c in (self.oov, *codes)} | {token: self.code[k] for token, k in kinds.items()}
+        self.lexical = self.any_of(lambda *k: True)
+        self.several = "".join(c for k, c in self.code.items() if k[3])
+
+    def any_of(self, wanted, wild: bool = False) -> str:
+        """A pattern of one token: those of the lexicon with same, toned, plain and several as wanted; wild: those out of it too."""
+        held = "".join(c for k, c in self.code.items() if wanted(*k)) + (self.oov if wild else "")
+        return f"[{held}]" if held else "(?!)"
+
+    def text(self, text: Column) -> Column:
+        held = F.regexp_replace(F.translate(text, "".join(self.map), "".join(self.map.values())), f"[{BOUNDARY}]", " ")
+        return F.regexp_replace(held, f"[^ {self.oov}{''.join(self.code.values())}]", self.oov)
+
+    def places(self, kind: str) -> list[str]:
+        """For each place of the target a pattern of the tokens that match it."""
+        if kind == "text":
+            return [self.any_of(lambda same, toned, plain, several, j=j: same >> j & 1) for j in range(self.n)]
+        return [self.any_of(lambda same, toned, plain, several, j=j: plain >> j & 1, kind == "local") for j in range(self.n)]
+
+    def toned(self) -> str:
+        return "".join(self.any_of(lambda same, toned, plain, several, j=j: toned >> j & 1) for j in range(self.n))
+
+    def spans(self, kind: str) -> dict[int, str]:
+        """The sizes of the spans of a kind, and a pattern of each; those of kind local are looked for where the boundaries have been left out."""
+        p = self.places(kind)
+        if kind == "dictionary":
+            return {self.n: self.toned() + "|" + T.within_one_edit(p, self.lexical, self.n)}
+        out = {k: T.within_one_edit(p, "[^ ]", k) for k in (self.n - 1, self.n, self.n + 1)}
+        if kind == "text":
+            out[self.n] = f"(?!{''.join(p)})(?:{out[self.n]})"
+        return out
+
+    def matching_several(self, kind: str, size: int, i: int) -> str:
+        """A pattern of the tokens with several readings that match the target at place i of a span of this size, or one edit from it."""
+        bits = sum(1 << j for j in ({i} if size == self.n else {i, i - 1} if size > self.n else {i, i + 1}) if 0 <= j < self.n)
+        return self.any_of(lambda same, toned, plain, several: several and (same if kind == "text" else plain) & bits)
+
+
+def _ahead(pattern: str) -> Column:
+    return F.lit(f"(?=(?:{pattern}))")
 
 
 def evidence_spans(clips: DataFrame, lexicon: DataFrame, keys: list[str], text: str, target: str) -> DataFrame:
@@ -125,45 +158,67 @@ def evidence_spans(clips: DataFrame, lexicon: DataFrame, keys: list[str], text:
 
     start, size and the positions (of tokens out of vocabulary, of matching ones with several readings) count the tokens that are no boundary. lexicon: token, readings, a row a token. A null text has none.
     """
-    n, full = len(target), (1 << len(target)) - 1
-    rows, pairs = _read(clips, lexicon, keys, text, target)
-    kind = lambda name, mask, edits: F.transform(_shapes(F.col(mask), n, edits), lambda s: F.struct(F.lit(name).alias("kind"), s["i"].alias("i"), s["size"].alias("size"), s["fwd"].alias("fwd"), s["bwd"].alias("bwd")))
-    shapes = pairs.select("wild", "same", F.explode(F.concat(kind("text", "same", True), kind("dictionary", "wild", False), kind("local", "wild", True))).alias("s")).select("wild", "same", "s.*")
-    near = rows.where("wild <> 0 or same <> 0").join(sized(shapes), ["wild", "same"])
-    place = F.when(F.col("kind") == "local", F.col("at")).otherwise(F.col("piece_at")) - F.col("i")
-    end = F.when(F.col("kind") == "local", F.col("of")).otherwise(F.col("piece_of"))
-    near = near.where((place >= 0) & (place + F.col("size") <= end))
-    bit = lambda c: F.bit_or(F.when(c, _set(F.col("i"))).otherwise(0))
-    toned = F.when(F.col("i") < n, _bit(F.coalesce("toned", F.lit(0).cast("long")), F.col("i")) == 1)
-    spans = near.withColumn("start", F.col("at") - F.col("i")).groupBy(*keys, "kind", "start", "size").agg(
-        F.bit_or("fwd").alias("fwd"), F.bit_or("bwd").alias("bwd"), bit(toned).alias("toned"), bit(F.col("plain").isNull()).alias("oov"), bit(F.col("ambiguous")).alias("several"))
-    exact = F.col("toned") == full
-    text_span = (F.col("kind") == "text") & _one_edit(n) & (_distance(n) == 1)
-    dictionary = (F.col("kind") == "dictionary") & (F.col("oov") == 0) & (exact | (F.bit_count("fwd") >= n - 1))
-    kept = spans.where(text_span | dictionary | ((F.col("kind") == "local") & _one_edit(n)))
-    distance = F.when(F.col("kind") == "dictionary", F.when(exact, 0).otherwise(n - F.bit_count("fwd"))).otherwise(_distance(n))
-    tones = F.when(F.col("kind") == "dictionary", exact)
-    places = lambda bits: F.transform(F.filter(F.sequence(F.lit(0), F.lit(n)), lambda i: _bit(F.col(bits), i) == 1), lambda i: F.col("start") + i)
-    return kept.select(*keys, "kind", "start", "size", distance.cast("int").alias("distance"), tones.alias("tones_meet"), places("oov").alias("oov_positions"), places("several").alias("ambiguous_positions"))
+    c = _Coded(lexicon, target)
+    own = lambda s: F.char_length(F.translate(s, " ", ""))
+
+    def found(kind: str, size: int, pattern: str) -> Column:
+        def one(x: Column) -> Column:
+            at = lambda i: F.substring(x["window"], i + 1, 1)
+            places = lambda fits: F.array_compact(F.array(*[F.when(fits(i), x["at"] + i) for i in range(size)]))
+            exact = F.rlike(x["window"], F.lit(c.toned()))
+            same = F.rlike(x["window"], F.lit("".join(c.places(kind)))) & F.lit(size == c.n)
+            distance = F.when(exact | same, 0).otherwise(1) if kind == "dictionary" else F.when(same, 0).otherwise(1)
+            oov = places(lambda i: at(i) == c.oov) if kind == "local" else F.expr("cast(array() as array<bigint>)")
+            several = places(lambda i: F.rlike(at(i), F.lit(c.matching_several(kind, size, i))))
+            tones = exact if kind == "dictionary" else F.lit(None).cast("boolean")
+            return F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), F.lit(size).alias("size"), distance.alias("distance"), tones.alias("tones_meet"), oov.alias("oov_positions"), several.alias("ambiguous_positions"))
+
+        held = F.translate("_coded", " ", "") if kind == "local" else F.col("_coded")
+        return F.transform(T.windows_at(held, pattern, size, own), one)
+
+    rows = clips.where(F.col(text).isNotNull()).select(*keys, c.text(F.col(text)).alias("_coded"))
+    spans = F.concat(*[found(kind, size, p) for kind in ("text", "dictionary", "local") for size, p in c.spans(kind).items()])
+    return rows.select(*keys, F.explode(spans).alias("_s")).select(*keys, "_s.*")
+
+
+def _apart(text: Column, target: str) -> Column:
+    return ~F.contains(text, F.lit(target)) & F.contains(F.regexp_replace(text, f"[{BOUNDARY}]+", ""), F.lit(target))
+
+
+def target_doubt(rows: DataFrame, lexicon: DataFrame, text: str, target: str, name: str) -> DataFrame:
+    """Rows with the column `name`: whether a text gives evidence short of the target itself (see the blockers of target_evidence). It looks no further than the first evidence; null for a null text."""
+    c = _Coded(lexicon, target)
+    held = rows.withColumn("_coded", c.text(F.col(text))).withColumn("_plain", F.translate("_coded", " ", ""))
+    short = F.rlike("_plain", F.lit(f"^{c.oov}+$"))
+    near = lambda kind: F.rlike("_plain" if kind == "local" else "_coded", F.lit("|".join(f"(?:{p})" for p in c.spans(kind).values())))
+    doubt = F.when(near("local"), True).when(near("dictionary"), True).when(near("text"), True).when(short, True).otherwise(_apart(F.col(text), target))
+    return held.withColumn(name, F.when(F.col(text).isNotNull(), doubt)).drop("_coded", "_plain")
 
 
 def target_evidence(clips: DataFrame, lexicon: DataFrame, keys: list[str], text: str, target: str) -> DataFrame:
-    """One row a clip: how many spans of each kind, whether the target is there, or there once boundaries are left out, what the lexicon lacks, and the state.
+    """One row a clip: how many spans of each kind (see evidence_spans), whether the target is there, or there once boundaries are left out, what the lexicon lacks, and the state.
 
     blockers: insufficient_lexical_evidence (nothing in the lexicon, something out of it), confusable_or_partial_target. A literal target
-    is positive, a blocked text unknown, anything else negative; a null text is unknown. Keys must be unique.
+    is positive, a blocked text unknown, anything else negative; a null text is unknown. Patterns count the spans; nothing is shuffled.
     """
-    spans = evidence_spans(clips, lexicon, keys, text, target).groupBy(*keys, "kind").agg(F.count("*").alias("n"), F.count_if("tones_meet").alias("toned"), F.count_if(F.size("oov_positions") > 0).alias("open"))
-    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0).cast("long"))
-    spans = spans.groupBy(*keys).agg(of("text", "n").alias("near_text"), of("dictionary", "n").alias("dictionary"), of("dictionary", "toned").alias("toned"), of("local", "n").alias("local"), of("local", "open").alias("local_oov"))
-    rows, _ = _read(clips, lexicon, keys, text, target)
-    per = rows.groupBy(*keys).agg(F.count_if(F.col("plain").isNull()).alias("oov"), F.count_if(F.col("plain").isNotNull()).alias("lexical"), F.count_if(F.coalesce("ambiguous", F.lit(False))).alias("ambiguous"))
-    t = F.col(text)
-    literal = F.contains(t, F.lit(target))
-    apart = ~literal & F.contains(F.regexp_replace(t, f"[{BOUNDARY}]+", ""), F.lit(target))
-    out = clips.select(*keys, t.isNull().alias("_none"), literal.alias("literal"), apart.alias("boundary_separated"))
-    counts = ["near_text", "dictionary", "toned", "local", "local_oov", "oov", "lexical", "ambiguous"]
-    out = out.join(spans.hint("merge"), keys, "left").join(per.hint("merge"), keys, "left").fillna(0, counts)
+    c, t = _Coded(lexicon, target), F.col(text)
+    rows = clips.select(*keys, text, c.text(t).alias("_coded")).withColumn("_plain", F.translate("_coded", " ", ""))
+    count = lambda of, *patterns: sum((F.regexp_count(of, _ahead(p)) for p in patterns), F.lit(0))
+    with_oov = lambda size, p: f"(?=[^{c.oov}]{{0,{size - 1}}}{c.oov})(?:{p})"
+    local = c.spans("local")
+    oov = F.char_length("_plain") - F.char_length(F.translate("_plain", c.oov, ""))
+    counts = {
+        "near_text": count("_coded", *c.spans("text").values()),
+        "dictionary": count("_coded", *c.spans("dictionary").values()),
+        "toned": count("_coded", c.toned()),
+        "local": count("_plain", *local.values()),
+        "local_oov": F.when(oov > 0, count("_plain", *[with_oov(k, p) for k, p in local.items()])),
+        "oov": oov,
+        "lexical": F.char_length("_plain") - oov,
+        "ambiguous": F.char_length("_plain") - F.char_length(F.translate("_plain", c.several, "")) if c.several else F.lit(0),
+    }
+    counted = {k: F.coalesce(F.when(t.isNotNull(), v), F.lit(0)).cast("long") for k, v in counts.items()}
+    out = rows.select(*keys, t.isNull().alias("_none"), F.contains(t, F.lit(target)).alias("literal"), _apart(t, target).alias("boundary_separated"), *[v.alias(k) for k, v in counted.items()])
     short = (F.col("oov") > 0) & (F.col("lexical") == 0)
     near = (F.col("near_text") > 0) | (F.col("dictionary") > 0) | (F.col("local") > 0) | F.col("boundary_separated")
     blockers = F.filter(F.array(F.when(short, "insufficient_lexical_evidence"), F.when(near, "confusable_or_partial_target")), lambda b: b.isNotNull())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -221,22 +221,49 @@ def token_distance(a: Column, b: Column) -> Column:
     return F.pandas_udf(apply, "long")(a, b)
 
 
+def within_one_edit(places: list[str], other: str, size: int) -> str:
+    """A pattern for `size` tokens (one more or less than the places, or as many) that are the places but for one edit. places, other: a pattern of one token each."""
+    n = len(places)
+    if size == n:
+        rows = [[*places[:d], other, *places[d + 1 :]] for d in range(n)]
+    else:
+        rows = [places[:d] + places[d + 1 :] for d in range(n)] if size < n else [[*places[:d], other, *places[d:]] for d in range(n + 1)]
+    return "|".join(dict.fromkeys("".join(r) for r in rows))
+
+
+def windows_at(text: Column, pattern: str, size: int, counted: Callable[[Column], Column] = F.char_length) -> Column:
+    """The places where the pattern holds, overlapping ones too, as an array of (at, window): the sum of `counted` over the text before, and the next `size` characters.
+
+    The text is split before each place (a character more in front keeps its head apart), so it is read once, however many characters it has; only places that
+    hold become elements. No place is inside a surrogate pair.
+    """
+    none = F.expr("cast(array() as array<struct<at: bigint, window: string>>)")
+    ahead = rf"(?![\uDC00-\uDFFF])(?=(?:{pattern}))"
+
+    def found(pieces: Column) -> Column:
+        sums = prefix_sums(F.transform(pieces, counted))
+        one = lambda i, to: F.struct((F.get(to, i - 1) - counted(F.lit(" "))).alias("at"), F.substring(F.array_join(F.slice(pieces, i + 1, size), ""), 1, size).alias("window"))
+        return F.when(F.size(pieces) < 2, none).otherwise(let(sums, lambda to: F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: one(i, to))))
+
+    return let(F.split(F.concat(F.lit(" "), text), ahead, -1), found)
+
+
 def near_spans(df: DataFrame, key: str, text: str, target: str, boundary: str = " ") -> DataFrame:
     """Spans of the text within one edit of the target, of its length or one more or less, with no boundary inside.
 
-    The characters are split once, spans are slices of them, and only spans that match leave the row.
+    A pattern finds the places where one can begin, so only these are looked at character by character.
     """
-    n = len(target)
-
-    def spans_of(chars: Column) -> Column:
-        def of(k: int) -> Column:
-            starts = F.when(F.size(chars) >= k, F.sequence(F.lit(1), F.size(chars) - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-            span = F.transform(starts, lambda i: let(F.array_join(F.slice(chars, i, k), ""), lambda s: F.struct((i - 1).alias("at"), s.alias("span"), F.levenshtein(s, F.lit(target)).alias("distance"))))
-            return F.filter(span, lambda x: (x["distance"] <= 1) & ~F.contains(x["span"], F.lit(boundary)))
+    n, places = len(target), [f"\\x{{{ord(c):x}}}" for c in target]
+    sizes = [k for k in (n - 1, n, n + 1) if k > 0]
+    pattern = "|".join(within_one_edit(places, "(?s:.)", k) for k in sizes)
 
-        return F.concat(*[of(k) for k in (n - 1, n, n + 1) if k > 0])
+    def spans_of(x: Column) -> Column:
+        cut = F.array(*[F.struct(x["at"].cast("int").alias("at"), F.substring(x["window"], 1, k).alias("span"), F.lit(k).alias("size")) for k in sizes])
+        whole = F.filter(cut, lambda s: (F.char_length(s["span"]) == s["size"]) & ~F.contains(s["span"], F.lit(boundary)))
+        return F.filter(F.transform(whole, lambda s: F.struct(s["at"], s["span"], F.levenshtein(s["span"], F.lit(target)).alias("distance"))), lambda s: s["distance"] <= 1)
 
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(let(characters(F.col(text)), spans_of)).alias("_x")).select(key, "_x.at", "_x.span", "_x.distance")
+    rows = df.where(F.col(text).isNotNull()).select(key, F.explode(windows_at(F.col(text), pattern, n + 1)).alias("_w"))
+    return rows.select(key, F.explode(spans_of(F.col("_w"))).alias("_x")).select(key, "_x.at", "_x.span", "_x.distance")
 
 
 def toneless(reading: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as T
-from quorumlake.functions.phonetic import target_evidence
+from quorumlake.functions.phonetic import target_doubt
 from quorumlake.operators import consensus as C
 from quorumlake.operators import draws as D
 from quorumlake.operators import intervals as I
@@ -17,7 +17,6 @@ from quorumlake.operators import metrics as M
 from quorumlake.operators import sampling as X
 from quorumlake.operators import signal as G
 from quorumlake.operators import validate as V
-from quorumlake.operators.lineage import cut_lineage
 from quorumlake.operators.sizes import sized
 from quorumlake.sources import writers as O
 
@@ -153,18 +152,15 @@ def recogniser_scores(obs: DataFrame, human: DataFrame, target: str, lexicon: Da
     """Presence states of each model against human labels: the confusion readout.
 
     A literal target is positive; near, boundary-separated and phonetic candidates and texts without a token in the lexicon are unknown (T9, T10, T12).
-    Only texts without the target are looked into, each distinct one once.
+    Only texts without the target are looked into, each in its row, up to the first evidence.
     """
     t = F.col("norm_text")
     literal = F.contains(t, F.lit(target))
-    open_rows = F.col("usable") & t.isNotNull() & ~literal
-    rows = obs.withColumn("digest", F.when(open_rows, F.sha2(t, 256)))
-    texts = cut_lineage(rows.where(open_rows).groupBy("digest").agg(F.first(t).alias("text")))
-    found = target_evidence(texts, lexicon, ["digest"], "text", target).select("digest", "state")
-    doubt = F.coalesce(F.col("state") == "unknown", F.lit(False))
-    rows = rows.join(found.hint("merge"), "digest", "left")
-    state = T.presence_state(~F.col("usable") | t.isNull(), literal, doubt, F.lit(False))
-    return M.known_confusion(rows.withColumn("state", state).join(human.hint("merge"), "clip_id"), ["model"], "state", "human")
+    rows = obs.withColumn("_open", F.when(F.col("usable") & ~literal, t))
+    rows = target_doubt(rows, lexicon, "_open", target, "_doubt")
+    state = T.presence_state(~F.col("usable") | t.isNull(), literal, F.coalesce("_doubt", F.lit(False)), F.lit(False))
+    states = rows.select("clip_id", "model", state.alias("state"))
+    return M.known_confusion(states.join(human.hint("merge"), "clip_id"), ["model"], "state", "human")
 
 
 def two_arms(rows: DataFrame, model: str, word: str, control: str, treatment: str, max_far: float, budgets: dict[str, float]) -> DataFrame:

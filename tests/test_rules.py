@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlake.functions import phonetic as PH
 from quorumlake.functions import text as T
 from quorumlake.operators import consensus as C
 from quorumlake.operators import draws as D
@@ -283,3 +284,12 @@ def test_components_in_one_task_equal_those_by_stars(spark, kind):
     one, many = (sorted(map(tuple, L.stars(df, local=n).collect())) for n in (10**6, 0))
     assert one == many and len(one) > 60
     assert L.stars(df.limit(0)).count() == 0
+
+
+def test_evidence_of_texts_shuffles_no_character(spark):
+    """Spans, counts and doubts are found in the row of a text; so are near spans."""
+    lex = spark.createDataFrame([(c, [f"x{c}1"]) for c in "abc"], "token string, readings array<string>")
+    clips = spark.createDataFrame([(1, "a😀b c" * 2_000)], "id long, text string")
+    for got in (PH.evidence_spans(clips, lex, ["id"], "text", "abc"), PH.target_evidence(clips, lex, ["id"], "text", "abc"), PH.target_doubt(clips, lex, "text", "abc", "doubt")):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert PH.target_doubt(clips, lex, "text", "abc", "doubt").first().doubt
