@@ -68,13 +68,16 @@ def _long_enough(n: int) -> None:
 def phonetic_spans(tokens: DataFrame, key: str, target: list[list[str]], tones: bool = True) -> DataFrame:
     """Spans of consecutive tokens (pos from 0, readings; see lexicon_lookup) within one edit of the target's readings.
 
-    Spans have the target's length, or one more or less. A token without a reading may be any of them.
+    Spans have the target's length, or one more or less. A token without a reading may be any of them. If tokens have a column `of`, how many their key has,
+    only those that match are shuffled.
     """
     n = len(target)
     _long_enough(n)
-    hits = tokens.select(key, "pos", reading_mask(F.col("readings"), target, tones).alias("mask")).where("mask <> 0")
-    of = tokens.groupBy(key).agg((F.max("pos") + 1).alias("of"))
-    rows = hits.join(of.hint("merge"), key).select(key, "pos", "of", F.explode(_shapes(F.col("mask"), n, True)).alias("s"))
+    known = "of" in tokens.columns
+    hits = tokens.select(key, "pos", *(["of"] if known else []), reading_mask(F.col("readings"), target, tones).alias("mask")).where("mask <> 0")
+    if not known:
+        hits = hits.join(tokens.groupBy(key).agg((F.max("pos") + 1).alias("of")).hint("merge"), key)
+    rows = hits.select(key, "pos", "of", F.explode(_shapes(F.col("mask"), n, True)).alias("s"))
     rows = rows.select(key, (F.col("pos") - F.col("s.i")).alias("start"), "of", "s.size", "s.fwd", "s.bwd").where("start >= 0 and start + size <= of")
     spans = rows.groupBy(key, "start", "size").agg(F.bit_or("fwd").alias("fwd"), F.bit_or("bwd").alias("bwd")).where(_one_edit(n))
     return spans.select(key, F.col("start").cast("int").alias("from"), "size", _distance(n).alias("distance"))

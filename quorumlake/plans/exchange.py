@@ -200,7 +200,8 @@ UNION ALL SELECT utt, pos::INT, 3, 1 FROM s WHERE z IS NOT NULL AND ((x = '{a}'
 
 def _tokens(spark, d) -> DataFrame:
     """Words with one reading each: two letters and, as the tone, the length modulo four."""
-    words = utterances(spark, d).select("utt", F.posexplode(F.split("spoken", " ")).alias("pos", "token"))
+    said = F.split("spoken", " ")
+    words = utterances(spark, d).select("utt", F.size(said).alias("of"), F.posexplode(said).alias("pos", "token"))
     return words.withColumn("readings", F.array(F.concat(F.substring("token", 1, 2), (F.length("token") % 4).cast("string"))))
 
 

@@ -293,3 +293,30 @@ def test_evidence_of_texts_shuffles_no_character(spark):
     for got in (PH.evidence_spans(clips, lex, ["id"], "text", "abc"), PH.target_evidence(clips, lex, ["id"], "text", "abc"), PH.target_doubt(clips, lex, "text", "abc", "doubt")):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert PH.target_doubt(clips, lex, "text", "abc", "doubt").first().doubt
+
+
+def test_ids_of_tokens_stay_in_their_row(spark):
+    """No token is a row of its own; the ids are those of a join."""
+    rows = spark.createDataFrame([(1, ["a", "b", "b", None, "z"]), (2, []), (3, None), (4, ["x", "y", "x"])], "id long, t array<string>")
+    for words in ([], list("abxé"), [f"w{i}" for i in range(999)] + list("axy")):
+        vocabulary = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "token string, id int")
+        got = T.vocabulary_ids(rows, vocabulary, "id", F.col("t"))
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T._joined_ids(rows, vocabulary, "id", F.col("t")).select(got.columns).collect()))
+
+
+def test_phonetic_spans_with_the_number_of_tokens(spark):
+    """With `of`, tokens that match nothing are not shuffled: one exchange, and the same spans."""
+    words = spark.createDataFrame([(k, "the an tho x an".split()) for k in range(3)], "id long, t array<string>").select("id", F.size("t").alias("of"), F.posexplode("t").alias("pos", "token"))
+    words = words.withColumn("readings", F.array("token"))
+    got, want = (PH.phonetic_spans(w, "id", [["the"], ["an"]]) for w in (words, words.drop("of")))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 3
+
+
+def test_normal_forms_hold_few_texts_in_python(spark):
+    """Texts go through Python some at a time, not as a whole batch of objects."""
+    texts = [None, "", "ﬁ ẞ", "é", "abC"] * 50
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).select("i", T.nfkc(F.col("t"), fold=True).alias("n"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and "pandas" not in T._normal_form.__code__.co_names
+    assert [r.n for r in got.orderBy("i").collect()] == [None, "", "fi ss", "é", "abc"] * 50
