@@ -8,22 +8,29 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.operators.sizes import sized
+from quorumlake.operators.sizes import MOST, sized
 
 CJK = r"\p{IsHan}"
 
 
+#: Texts that Python holds at a time beside their Arrow batch.
+TEXTS = 64
+
+
 def _normal_form(form: str, fold: bool):
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = lambda s: None if s is None else (s if s.isascii() else unicodedata.normalize(form, s))
+    def one(s: str | None) -> str | None:
+        out = s if s is None or s.isascii() else unicodedata.normalize(form, s)
+        return out.casefold() if fold and out is not None else out
+
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            out = b.map(one)
-            yield out.map(lambda s: None if s is None else s.casefold()) if fold else out
+            yield pa.chunked_array([pa.array(map(one, b.slice(at, TEXTS).to_pylist()), pa.string()) for at in range(0, len(b), TEXTS)], pa.string()).combine_chunks()
 
-    return F.pandas_udf(apply, "string")
+    return F.arrow_udf(apply, "string")
 
 
 def nfkc(text: Column, fold: bool = False) -> Column:
@@ -282,25 +289,51 @@ def ctc_collapse(ids: Column, drop: list[int]) -> Column:
     return F.filter(merged, lambda x: ~x.isin(*drop)) if drop else merged
 
 
-def vocabulary_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Ids of the tokens in order, the tokens that the vocabulary lacks, and the least frames (one more for each repeat)."""
-    long = rows.select(key, F.posexplode(tokens).alias("pos", "token")).join(sized(vocabulary), "token", "left")
+def _with_ids(rows: DataFrame, vocabulary: DataFrame, tokens: Column) -> DataFrame:
+    """rows with unsupported, ids and min_frames of their tokens. The vocabulary comes to each row as one array of small maps by the hash of the token, so no token leaves its row."""
+    n = max(1, vocabulary.count() // 2)
+    slot = lambda t: F.pmod(F.hash(t), F.lit(n))
+    entries = vocabulary.where("token is not null").groupBy(slot(F.col("token")).cast("long").alias("_slot")).agg(F.collect_list(F.struct("token", "id")).alias("_of"))
+    all_slots = vocabulary.sparkSession.range(n).withColumnRenamed("id", "_slot").join(entries.hint("merge"), "_slot", "left")
+    maps = F.transform(F.sort_array(F.collect_list(F.struct("_slot", "_of"))), lambda x: F.map_from_entries(x["_of"]))
+    out = rows.withColumn("_tokens", tokens).crossJoin(F.broadcast(all_slots.agg(maps.alias("_maps"))))
+    out = out.withColumn("ids", F.transform("_tokens", lambda t: F.try_element_at(F.get(F.col("_maps"), slot(t)), t))).drop("_maps")
+    unsupported = F.filter("_tokens", lambda t, i: t.isNotNull() & F.get(F.col("ids"), i).isNull())
+    repeats = F.size(F.filter("ids", lambda x, i: (i > 0) & (x == F.get(F.col("ids"), i - 1))))
+    some = lambda c: F.when(F.size("_tokens") > 0, c)
+    out = out.withColumns({"unsupported": some(F.array_sort(F.array_distinct(unsupported))), "min_frames": some(F.size("ids") + repeats)})
+    return out.withColumn("ids", some(F.col("ids"))).drop("_tokens")
+
+
+def _joined_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """vocabulary_ids with a vocabulary that is too large for each task."""
+    long = rows.select(key, F.posexplode(tokens).alias("pos", "token")).join(vocabulary.hint("merge"), "token", "left")
     out = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_x"), F.sort_array(F.collect_set(F.when(F.col("id").isNull(), F.col("token")))).alias("unsupported"))
-    ids = F.transform("_x", lambda x: x["id"])
-    out = out.withColumn("ids", ids)
+    out = out.withColumn("ids", F.transform("_x", lambda x: x["id"]))
     repeats = F.size(F.filter("ids", lambda x, i: (i > 0) & (x == F.get(F.col("ids"), i - 1))))
     return out.withColumn("min_frames", F.size("ids") + repeats).drop("_x")
 
 
+def vocabulary_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """Ids of the tokens in order, the tokens that the vocabulary lacks, and the least frames (one more for each repeat). vocabulary: token, id, a row a token."""
+    if vocabulary.limit(MOST + 1).count() > MOST:
+        return _joined_ids(rows, vocabulary, key, tokens)
+    return _with_ids(rows.select(key, tokens.alias("_t")), vocabulary, F.col("_t")).where("ids is not null").select(key, "unsupported", "ids", "min_frames")
+
+
 def ctc_targets(rows: DataFrame, vocabulary: DataFrame, key: str, text: str, frames: str, stride: int) -> DataFrame:
     """Target ids of the characters of a text, or why there are none: no_full_transcript, vocabulary_not_supplied, out_of_vocabulary (an id of 0 is the blank,
     so no target), insufficient_frames. An output frame is needed for each id and one more for each repeat. frames: samples of the clip."""
     n = F.col(frames)
     steps = F.expr(f"1 + ({frames} - 400) div 320") if stride == 2 else F.expr(f"(1 + ({frames} - 400) div 160) div {stride}")
     steps = F.when(n < 400, 0).otherwise(F.greatest(steps, F.lit(0)))
-    given = not vocabulary.isEmpty()
-    ids = vocabulary_ids(rows.where(F.col(text).isNotNull()), vocabulary.where("id > 0"), key, characters(F.col(text)))
-    both = rows.select(key, text, steps.cast("long").alias("steps")).join(ids.hint("merge"), key, "left")
+    given, held = not vocabulary.isEmpty(), vocabulary.where("id > 0")
+    both = rows.select(key, text, steps.cast("long").alias("steps"))
+    if held.limit(MOST + 1).count() > MOST:
+        ids = _joined_ids(rows.where(F.col(text).isNotNull()), held, key, characters(F.col(text)))
+        both = both.join(ids.hint("merge"), key, "left")
+    else:
+        both = _with_ids(both, held, characters(F.col(text)))
     reason = F.when(F.col(text).isNull(), "no_full_transcript").when(F.lit(not given), "vocabulary_not_supplied").when(F.size("unsupported") > 0, "out_of_vocabulary")
     reason = reason.when(F.col("ids").isNull() | (F.col("steps") < F.col("min_frames")), "insufficient_frames")
     return both.withColumn("reason", reason).select(key, "reason", F.when(F.col("reason").isNull(), F.col("ids")).alias("target_ids"), "min_frames", "steps")
