@@ -297,12 +297,12 @@ def test_evidence_of_texts_shuffles_no_character(spark):
 
 def test_ids_of_tokens_stay_in_their_row(spark):
     """No token is a row of its own; the ids are those of a join."""
-    rows = spark.createDataFrame([(1, ["a", "b", "b", None, "z"]), (2, []), (3, None), (4, ["x", "y", "x"])], "id long, t array<string>")
+    rows = spark.createDataFrame([(1, ["a", "b", "b", None, "z"]), (2, []), (3, None), (4, ["x", "y", "x"])], "k long, t array<string>")
     for words in ([], list("abxé"), [f"w{i}" for i in range(999)] + list("axy")):
         vocabulary = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "token string, id int")
-        got = T.vocabulary_ids(rows, vocabulary, "id", F.col("t"))
+        got = T.vocabulary_ids(rows, vocabulary, "k", F.col("t"))
         assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T._joined_ids(rows, vocabulary, "id", F.col("t")).select(got.columns).collect()))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T._joined_ids(rows, vocabulary, "k", F.col("t")).select(got.columns).collect()))
 
 
 def test_phonetic_spans_with_the_number_of_tokens(spark):
