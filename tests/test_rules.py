@@ -320,3 +320,16 @@ def test_normal_forms_hold_few_texts_in_python(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).select("i", T.nfkc(F.col("t"), fold=True).alias("n"))
     assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and "pandas" not in T._normal_form.__code__.co_names
     assert [r.n for r in got.orderBy("i").collect()] == [None, "", "fi ss", "é", "abc"] * 50
+
+
+def test_recogniser_scores_shuffle_no_text(spark):
+    """P16 joins states with labels: texts are neither grouped nor written."""
+    lex = spark.createDataFrame([(c, [f"x{c}1"]) for c in "abc"], "token string, readings array<string>")
+    texts = ["abc", "ab c", "b", "???", None, "zzz"]
+    obs = spark.createDataFrame([(i, 0, t, i != 2) for i, t in enumerate(texts)], "clip_id long, model int, norm_text string, usable boolean")
+    human = spark.createDataFrame([(i, "positive" if i < 3 else "negative") for i in range(6)], "clip_id long, human string")
+    got = P.recogniser_scores(obs, human, "abc", lex)
+    r = got.first()
+    assert (r.tp, r.fn, r.tn, r.fp, r.unknown_pos, r.unknown_neg) == (1, 0, 1, 0, 2, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "SortAggregate" not in plan
