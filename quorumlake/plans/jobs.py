@@ -111,9 +111,12 @@ def panel_assessment(rows: DataFrame, source: str, cell: str, required: list, ro
 
 
 def review_queue(texts: DataFrame, acoustic: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """Three kinds of evidence on one cell, ordered for review: largest edit of the tokens heard against those of the target, then difference, then flags."""
-    both = J.checked_join(J.checked_join(texts, acoustic, [key]), phones, [key])
-    return I.numbered(both.withColumn("edit", T.token_distance(F.col("heard"), F.col("target"))), [F.desc("edit"), F.desc("difference"), F.desc("flags"), F.col(key)])
+    """Three kinds of evidence on one cell, ordered for review: largest edit of the tokens heard against those of the target, then difference, then flags.
+
+    The tokens stay behind; only their edit is joined and sorted."""
+    edit = texts.withColumn("edit", T.token_distance(F.col("heard"), F.col("target"))).drop("heard", "target")
+    both = J.checked_join(J.checked_join(edit, acoustic, [key]), phones, [key])
+    return I.numbered(both, [F.desc("edit"), F.desc("difference"), F.desc("flags"), F.col(key)])
 
 
 def balanced_admission(rows: DataFrame, blind: DataFrame, required: list, group: str, role: str, min_groups: int) -> DataFrame:

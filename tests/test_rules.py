@@ -333,3 +333,9 @@ def test_recogniser_scores_shuffle_no_text(spark):
     assert (r.tp, r.fn, r.tn, r.fp, r.unknown_pos, r.unknown_neg) == (1, 0, 1, 0, 2, 2)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" not in plan and "SortAggregate" not in plan
+
+
+def test_review_queue_sorts_no_tokens(spark):
+    texts = spark.createDataFrame([(1, ["a"], ["a"]), (2, ["a", "b"], ["c"])], "k long, target array<string>, heard array<string>")
+    got = P.review_queue(texts, spark.createDataFrame([(1, 0), (2, 0)], "k long, difference int"), spark.createDataFrame([(1, 0), (2, 0)], "k long, flags int"), "k")
+    assert "heard" not in got.columns and sorted((r.k, r.edit, r.number) for r in got.collect()) == [(1, 0, 2), (2, 2, 1)]
