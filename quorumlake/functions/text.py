@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -289,20 +291,40 @@ def ctc_collapse(ids: Column, drop: list[int]) -> Column:
     return F.filter(merged, lambda x: ~x.isin(*drop)) if drop else merged
 
 
+def _looked_up(tokens: pa.Array, words: pa.Array, ids: pa.Array) -> pa.Array:
+    """For lists of tokens: unsupported, ids and min_frames; null for a list that is empty or null. The tokens of all lists are looked up at once."""
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+    at, flat = np.repeat(np.arange(len(n)), n), tokens.flatten()
+    found = pc.index_in(flat, value_set=words)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    same = ids.dictionary_encode().indices.to_numpy()[found.to_numpy(zero_copy_only=False)[known].astype(np.int64)]
+    code = np.full(len(flat), -1, np.int64)
+    code[known] = same
+    again = (code[1:] == code[:-1]) & (code[1:] >= 0) & (at[1:] == at[:-1])
+    frames = n + np.bincount(at[1:][again], minlength=len(n))
+    lacking = ~known & flat.is_valid().to_numpy(zero_copy_only=False)
+    kinds = flat.filter(pa.array(lacking)).dictionary_encode()
+    order = pc.array_sort_indices(kinds.dictionary).to_numpy()
+    size = max(len(order), 1)
+    each = np.unique(at[lacking] * size + np.argsort(order)[kinds.indices.to_numpy()])
+    listed = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+    unsupported = listed(np.bincount(each // size, minlength=len(n)), kinds.dictionary.take(pa.array(order[each % size])))
+    return pa.StructArray.from_arrays([unsupported, listed(n, ids.take(found)), pa.array(frames, pa.int32())], ["unsupported", "ids", "min_frames"], mask=pa.array(n == 0))
+
+
 def _with_ids(rows: DataFrame, vocabulary: DataFrame, tokens: Column) -> DataFrame:
-    """rows with unsupported, ids and min_frames of their tokens. The vocabulary comes to each row as one array of small maps by the hash of the token, so no token leaves its row."""
-    n = max(1, vocabulary.count() // 2)
-    slot = lambda t: F.pmod(F.hash(t), F.lit(n))
-    entries = vocabulary.where("token is not null").groupBy(slot(F.col("token")).cast("long").alias("_slot")).agg(F.collect_list(F.struct("token", "id")).alias("_of"))
-    all_slots = vocabulary.sparkSession.range(n).withColumnRenamed("id", "_slot").join(entries.hint("merge"), "_slot", "left")
-    maps = F.transform(F.sort_array(F.collect_list(F.struct("_slot", "_of"))), lambda x: F.map_from_entries(x["_of"]))
-    out = rows.withColumn("_tokens", tokens).crossJoin(F.broadcast(all_slots.agg(maps.alias("_maps"))))
-    out = out.withColumn("ids", F.transform("_tokens", lambda t: F.try_element_at(F.get(F.col("_maps"), slot(t)), t))).drop("_maps")
-    unsupported = F.filter("_tokens", lambda t, i: t.isNotNull() & F.get(F.col("ids"), i).isNull())
-    repeats = F.size(F.filter("ids", lambda x, i: (i > 0) & (x == F.get(F.col("ids"), i - 1))))
-    some = lambda c: F.when(F.size("_tokens") > 0, c)
-    out = out.withColumns({"unsupported": some(F.array_sort(F.array_distinct(unsupported))), "min_frames": some(F.size("ids") + repeats)})
-    return out.withColumn("ids", some(F.col("ids"))).drop("_tokens")
+    """rows with unsupported, ids and min_frames of their tokens. Each task holds the vocabulary (at most MOST tokens) and looks up a batch of rows at a time, so no token leaves its row."""
+    held = vocabulary.where("token is not null and id is not null").select("token", "id").toArrow()
+    words, ids = (held[c].combine_chunks() for c in ("token", "id"))
+    if len(words.unique()) < len(words):
+        raise ValueError("a token of the vocabulary has two ids")
+
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield _looked_up(b, words, ids)
+
+    kind = f"struct<unsupported: array<string>, ids: array<{vocabulary.schema['id'].dataType.simpleString()}>, min_frames: int>"
+    return rows.withColumn("_x", F.arrow_udf(apply, kind)(tokens)).select(*rows.columns, "_x.*")
 
 
 def _joined_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -318,7 +340,8 @@ def vocabulary_ids(rows: DataFrame, vocabulary: DataFrame, key: str, tokens: Col
     """Ids of the tokens in order, the tokens that the vocabulary lacks, and the least frames (one more for each repeat). vocabulary: token, id, a row a token."""
     if vocabulary.limit(MOST + 1).count() > MOST:
         return _joined_ids(rows, vocabulary, key, tokens)
-    return _with_ids(rows.select(key, tokens.alias("_t")), vocabulary, F.col("_t")).where("ids is not null").select(key, "unsupported", "ids", "min_frames")
+    # A filter on the ids would be pushed below them, and all would be looked up twice.
+    return _with_ids(rows.where(F.size(tokens) > 0).select(key, tokens.alias("_t")), vocabulary, F.col("_t")).select(key, "unsupported", "ids", "min_frames")
 
 
 def ctc_targets(rows: DataFrame, vocabulary: DataFrame, key: str, text: str, frames: str, stride: int) -> DataFrame:

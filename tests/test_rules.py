@@ -21,6 +21,7 @@ from quorumlake.operators import scan as S
 from quorumlake.operators import signal as G
 from quorumlake.operators import validate as V
 from quorumlake.plans import jobs as P
+from quorumlake.plans.base import utterances
 from quorumlake.streaming import gate as R
 
 
@@ -305,6 +306,16 @@ def test_ids_of_tokens_stay_in_their_row(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T._joined_ids(rows, vocabulary, "k", F.col("t")).select(got.columns).collect()))
 
 
+def test_ids_are_looked_up_by_the_batch(spark):
+    """No row carries the vocabulary, and letters of sentences are made once; tokens with one id repeat each other, null tokens and lists do not."""
+    rows = spark.createDataFrame([(1, ["a", "b", "z", None, "é", "z", "b", "b"]), (2, None), (3, ["b", None, "b"])], "k long, t array<string>")
+    vocabulary = spark.createDataFrame([("a", 7), ("b", 7), ("c", 1), ("z", None)], "token string, id int")
+    got = T.vocabulary_ids(rows, vocabulary, "k", F.col("t"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.unsupported, r.ids, r.min_frames) for r in got.collect()) == [(1, ["z", "é"], [7, 7, None, None, None, None, 7, 7], 10), (3, [], [7, None, 7], 3)]
+    assert utterances(spark, "/root/testdata/sf0.001").select("utt", "spoken")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
 def test_phonetic_spans_with_the_number_of_tokens(spark):
     """With `of`, tokens that match nothing are not shuffled: one exchange, and the same spans."""
     words = spark.createDataFrame([(k, "the an tho x an".split()) for k in range(3)], "id long, t array<string>").select("id", F.size("t").alias("of"), F.posexplode("t").alias("pos", "token"))
