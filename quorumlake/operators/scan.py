@@ -50,9 +50,9 @@ def carried(df: DataFrame, side: DataFrame, key: list[str]) -> DataFrame:
 def running(df: DataFrame, key: list[str], order: list[str], **sums: Column) -> DataFrame:
     """Add, for each name, the sum over the earlier rows of the key (0 for the first one): exact for whole numbers and decimals.
 
-    F.lit(1) numbers the rows of a key from 0.
+    F.lit(1) numbers the rows of a key from 0. All columns are shuffled and written, so leave out of df what can be joined or is not needed.
     """
-    rows = cut_lineage(ranges(df.withColumns({f"_{n}": c for n, c in sums.items()}), key, order))
+    rows = cut_lineage(ranges(df, key, order)).withColumns({f"_{n}": c for n, c in sums.items()})
     per = rows.groupBy(*key, "_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
     out = carried(rows, passed_on(per, key, **{f"_{n}_at": F.sum(f"_{n}").over(earlier(key)) for n in sums}), key)
     inside = in_range(key, order).rowsBetween(W.unboundedPreceding, -1)

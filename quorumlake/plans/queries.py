@@ -316,7 +316,7 @@ def a30_kl_divergence(spark, d):
 
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS spent, o_totalprice <= 400000 AND round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) <= 1000000 AS within FROM orders""")
 def a31_running_budget(spark, d):
-    got = M.running_budget(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", 400000, 1000000)
+    got = M.running_budget(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", 400000, 1000000)
     return got.select("o_orderkey", F.round("spent", 2).alias("spent"), "within")
 
 
@@ -659,14 +659,14 @@ def w14_rolling_hash(spark, d):
 
 @query(f"""WITH {CLIPS} SELECT clip_id, coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (coalesce(sum(frames + 160) OVER (PARTITION BY family ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + frames + 80)::BIGINT AS grace_end FROM clips""")
 def w16_stream_layout(spark, d):
-    return I.stream_layout(clips(spark, d), ["family"], ["clip_id"], "frames", 160, 80).select("clip_id", "start", "grace_end")
+    return I.stream_layout(clips(spark, d).select("clip_id", "family", "frames"), ["family"], ["clip_id"], "frames", 160, 80).select("clip_id", "start", "grace_end")
 
 
 @query(f"""WITH {CLIPS}, k AS (SELECT clip_id, family, frames, (clip_id % 3 = 0)::INT AS kind FROM clips), t AS (SELECT *, row_number() OVER (PARTITION BY family, kind ORDER BY clip_id) AS turn FROM k),
 o AS (SELECT 'mixed' AS layout, *, row_number() OVER (PARTITION BY family ORDER BY turn, kind) AS place FROM t UNION ALL SELECT 'reverse', *, row_number() OVER (PARTITION BY family ORDER BY turn DESC, kind DESC) FROM t UNION ALL SELECT 'ordinary_only', *, row_number() OVER (PARTITION BY family ORDER BY turn) FROM t WHERE kind = 0)
 SELECT layout, clip_id, (500 + coalesce(sum(frames + 160) OVER (PARTITION BY layout, family ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM o""")
 def w16_mixed_layouts(spark, d):
-    rows = clips(spark, d).withColumn("kind", (F.col("clip_id") % 3 == 0).cast("int"))
+    rows = clips(spark, d).select("clip_id", "family", "frames", (F.col("clip_id") % 3 == 0).cast("int").alias("kind"))
     out = [I.mixed_layout(rows, "family", "kind", "clip_id", k, "frames", 160, 80, 500).select(F.lit(k).alias("layout"), "clip_id", "start") for k in ("mixed", "reverse", "ordinary_only")]
     return out[0].unionByName(out[1]).unionByName(out[2])
 

@@ -188,6 +188,17 @@ def test_mixed_layouts(spark):
     assert [n for n, _ in order("reverse")] == ["n3", "n2", "p1", "n1", "p0", "n0"] and [n for n, _ in order("ordinary_only")] == ["n0", "n1", "n2", "n3"]
 
 
+def test_layouts_write_no_text(spark, monkeypatch):
+    """Layouts of clips shuffle and write names, kinds and lengths only."""
+    from quorumlake.plans import queries as Q
+
+    written, cut = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    for q in (Q.w16_mixed_layouts, Q.w16_stream_layout):
+        q(spark, "/root/testdata/sf0.001").collect()
+    assert len(written) == 7 and not {"spoken", "pcm_sha256", "lang", "__turn", "_start"} & {c for cs in written for c in cs}
+
+
 # --- draws, prefixes, gates
 
 
