@@ -1,11 +1,14 @@
 """Draws without replacement from a pool of tracks, by hash and among the tracks that are long enough.
 
 The k-th eligible track in id order is an order statistic over two orders: tracks are ranked by id and by length, and a search over the bits of the id rank counts, in
-one sweep a bit, the eligible tracks with a smaller rank. Rows and tracks are never joined with each other, so the pool may be of any size.
+one sweep for each four bits, the eligible tracks with a smaller rank. Rows and tracks are never joined with each other, so the pool may be of any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +38,28 @@ def eligible(rows: DataFrame, tracks: DataFrame, role: str, length: str, frames:
     return running(t.unionByName(r), [role], ["_at", "_kind"], _n=1 - F.col("_kind")).where("_kind = 1").select("_row", role, "_n")
 
 
+#: Bits of the id rank that a sweep decides. A sweep keeps a running count for each value of them but the last.
+BITS = 4
+
+
 def search(rows: DataFrame, tracks: DataFrame, role: str, target: str | None = None) -> DataFrame:
     """For rows (_row, role, _n, _k): _found, the id rank of the eligible track number _k. With a target, a column of id ranks: _found counts the eligible tracks of
     smaller rank than it instead."""
-    bits = (tracks.agg(F.max("_rank")).first()[0] or 0).bit_length()
+    bits, most = (tracks.agg(F.max("_rank")).first()[0] or 0).bit_length(), (1 << BITS) - 1
     keep = ["_row", role, "_n", *([target] if target else ["_k"])]
     now = rows.select(*keep, F.lit(0).cast("long").alias("_low"), F.lit(0).cast("long").alias("_count"))
     names = [c for c in now.columns if c not in (role, "_n")]
-    for b in reversed(range(bits)):
-        t = tracks.select(role, F.shiftright("_rank", b + 1).alias("_node"), F.col("_place").alias("_at"), F.lit(1).alias("_kind"), (1 - F.shiftright("_rank", b).bitwiseAND(F.lit(1))).cast("long").alias("_one"), *[F.lit(None).cast("long").alias(c) for c in names])
-        r = now.select(role, F.shiftright("_low", b + 1).alias("_node"), F.col("_n").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_one"), *names)
-        told = running(t.unionByName(r), [role, "_node"], ["_at", "_kind"], _left=F.col("_one")).where("_kind = 0").withColumnRenamed("_at", "_n")
-        right = (F.shiftright(target, b).bitwiseAND(F.lit(1)) == 1 if target else F.col("_k") >= F.col("_left")).cast("long")
-        moved = {"_low": F.col("_low") + right * (1 << b), "_count": F.col("_count") + right * F.col("_left")}
-        now = told.withColumns(moved if target else moved | {"_k": F.col("_k") - right * F.col("_left")}).select(*keep, "_low", "_count")
+    digit = lambda rank, b: F.shiftright(rank, b).bitwiseAND(F.lit(most)).cast("int")
+    for b in reversed(range(0, bits, BITS)):
+        t = tracks.select(role, F.shiftright("_rank", b + BITS).alias("_node"), F.col("_place").alias("_at"), F.lit(1).alias("_kind"), digit("_rank", b).alias("_digit"), *[F.lit(None).cast("long").alias(c) for c in names])
+        r = now.select(role, F.shiftright("_low", b + BITS).alias("_node"), F.col("_n").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("_digit"), *names)
+        upto = {f"_upto{v}": (F.col("_digit") <= v).cast("int") for v in range(most)}
+        told = running(t.unionByName(r), [role, "_node"], ["_at", "_kind"], **upto).where("_kind = 0").withColumnRenamed("_at", "_n")
+        step = digit(target, b) if target else reduce(add, [(F.col("_k") >= F.col(c)).cast("int") for c in upto])
+        told = told.withColumn("_step", step)
+        told = told.withColumn("_left", F.coalesce(F.get(F.array(*upto), F.col("_step") - 1), F.lit(0).cast("long")))
+        moved = {"_low": F.col("_low") + F.shiftleft(F.col("_step").cast("long"), b), "_count": F.col("_count") + F.col("_left")}
+        now = told.withColumns(moved if target else moved | {"_k": F.col("_k") - F.col("_left")}).select(*keep, "_low", "_count")
     return now.select("_row", role, F.col("_count" if target else "_low").alias("_found"))
 
 

@@ -230,6 +230,17 @@ def test_draws_without_replacement(spark):
     assert D.draw_tracks(df, pool.limit(0), "id", "role", "len", "track", "frames", "salt").where("reason = 'no_track_left'").count() == 150
 
 
+def test_draws_take_four_bits_of_the_rank_a_sweep(spark, monkeypatch):
+    """300 tracks are found in three sweeps, after three that rank them and count the eligible ones."""
+    written, cut = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: written.append(1) or cut(df))
+    tracks = [(f"t{i:03}", 10 + i * 7919 % 311) for i in range(300)]
+    pool = spark.createDataFrame([("a", *t) for t in tracks], "role string, track string, frames int")
+    rows = spark.range(200).select("id", F.lit("a").alias("role"), (F.col("id") * 5 % 340).cast("int").alias("len"))
+    got = {r.id: (r.track, r.offset) for r in D.draw_tracks(rows, pool, "id", "role", "len", "track", "frames", "salt").collect()}
+    assert got == {i: drawn(i, tracks, i * 5 % 340, "salt", None, ()) for i in range(200)} and len(written) == 6
+
+
 def test_prefix_that_covers_all_needs(spark):
     rows = [(1, "f1", "kw"), (2, "f1", "neg"), (3, "f2", "x"), (4, None, "kw"), (5, "f3", "x"), (6, "f1", "neg")]
     df = spark.createDataFrame(rows, "n int, fam string, kind string")
