@@ -8,7 +8,6 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -220,14 +219,61 @@ def edits(a: list, b: list) -> int:
     return distance
 
 
+#: Tokens that Python numbers at a time (or those of one row, if it has more).
+PIECE = 1_000_000
+
+
+def _by_pieces(n: np.ndarray, one: Callable[[int, int], pa.Array]) -> pa.Array:
+    """one(first row, rows) for pieces of a batch whose rows have n tokens."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // PIECE, prepend=-1)) if len(n) else [0]
+    return pa.concat_arrays([one(int(i), int(j - i)) for i, j in zip(cuts, [*cuts[1:], len(n)])])
+
+
+def _lengths(x: pa.Array) -> np.ndarray:
+    """How many tokens the rows have: elements of lists, characters of texts; none if null."""
+    return pc.fill_null((pc.utf8_length if pa.types.is_string(x.type) else pc.list_value_length)(x), 0).to_numpy().astype(np.int64)
+
+
+def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Edit distances of lists of tokens or of texts, row by row. All tokens are numbered at once, and what two rows share at their starts and ends is left out before they become Python lists."""
+    n, m = _lengths(a), _lengths(b)
+    if pa.types.is_string(a.type):
+        x, y = (np.frombuffer("".join(t.fill_null("").to_pylist()).encode("utf-32-le"), np.uint32) for t in (a, b))
+    else:
+        # A null token has no number of its own: it gets the first one that is free.
+        codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
+        code = codes.indices.fill_null(len(codes.dictionary)).to_numpy()
+        x, y = code[: n.sum()], code[n.sum() :]
+    at, to = np.cumsum(n) - n, np.cumsum(m) - m
+
+    def shared(first: np.ndarray, then: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+        """How many tokens of each row agree from its places in x and y on, in this direction."""
+        row = np.repeat(np.arange(len(most)), most)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(most) - most, most)
+        differ = np.flatnonzero(x[first[row] + step * k] != y[then[row] + step * k])
+        out = most.copy()
+        rows, firsts = np.unique(row[differ], return_index=True)
+        out[rows] = k[differ[firsts]]
+        return out
+
+    head = shared(at, to, np.minimum(n, m), 1)
+    tail = shared(at + n - 1, to + m - 1, np.minimum(n, m) - head, -1)
+    i, j, p, q = at + head, at + n - tail, to + head, to + m - tail
+    out = np.maximum(j - i, q - p)
+    for r in np.flatnonzero((j > i) & (q > p)):
+        out[r] = edits(x[i[r] : j[r]].tolist(), y[p[r] : q[r]].tolist())
+    null = pc.or_(a.is_null(), b.is_null())
+    return pc.if_else(null, None, pa.array(out, pa.int64()))
+
+
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two token arrays, of any tokens and any length; null where one is null."""
+    """Edit distance of two token arrays, of any tokens and any length, or of the characters of two texts; null where one is null."""
 
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for xs, ys in batches:
-            yield pd.Series([None if x is None or y is None else edits(list(x), list(y)) for x, y in zip(xs, ys)], dtype="Int64")
+            yield _by_pieces(_lengths(xs) + _lengths(ys), lambda at, rows: _distances(xs.slice(at, rows), ys.slice(at, rows)))
 
-    return F.pandas_udf(apply, "long")(a, b)
+    return F.arrow_udf(apply, "long")(a, b)
 
 
 def within_one_edit(places: list[str], other: str, size: int) -> str:
@@ -293,7 +339,7 @@ def ctc_collapse(ids: Column, drop: list[int]) -> Column:
 
 def _looked_up(tokens: pa.Array, words: pa.Array, ids: pa.Array) -> pa.Array:
     """For lists of tokens: unsupported, ids and min_frames; null for a list that is empty or null. The tokens of all lists are looked up at once."""
-    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+    n = _lengths(tokens)
     at, flat = np.repeat(np.arange(len(n)), n), tokens.flatten()
     found = pc.index_in(flat, value_set=words)
     known = found.is_valid().to_numpy(zero_copy_only=False)
@@ -321,7 +367,7 @@ def _with_ids(rows: DataFrame, vocabulary: DataFrame, tokens: Column) -> DataFra
 
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield _looked_up(b, words, ids)
+            yield _by_pieces(_lengths(b), lambda at, rows: _looked_up(b.slice(at, rows), words, ids))
 
     kind = f"struct<unsupported: array<string>, ids: array<{vocabulary.schema['id'].dataType.simpleString()}>, min_frames: int>"
     return rows.withColumn("_x", F.arrow_udf(apply, kind)(tokens)).select(*rows.columns, "_x.*")

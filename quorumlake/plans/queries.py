@@ -915,8 +915,8 @@ def t7_pattern_matches(spark, d):
 
 @query(f"""WITH {UTTS} SELECT utt, levenshtein(translate(spoken, ' ', ''), translate({WITHOUT_LAST}, ' ', ''))::BIGINT AS distance FROM utts""")
 def t8_token_distance(spark, d):
-    tokens = lambda c: T.characters(F.translate(c, " ", ""))
-    return utterances(spark, d).select("utt", T.token_distance(tokens(F.col("spoken")), tokens(without_last(F.col("spoken")))).cast("long").alias("distance"))
+    close = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return utterances(spark, d).select("utt", T.token_distance(close(F.col("spoken")), close(without_last(F.col("spoken")))).alias("distance"))
 
 
 @query(f"""WITH {UTTS}, a AS (SELECT utt, spoken, unnest(range(1, length(spoken) + 1)) AS a FROM utts), s AS (SELECT utt, a, n, substr(spoken, a::BIGINT, n::BIGINT) AS span FROM a, (VALUES (3), (4), (5)) v(n) WHERE a + n - 1 <= length(spoken)) SELECT utt, (a - 1)::INT AS "at", span, levenshtein(span, 'tion')::INT AS distance FROM s WHERE NOT contains(span, ' ') AND levenshtein(span, 'tion') <= 1""")

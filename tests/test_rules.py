@@ -6,6 +6,7 @@ import itertools
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +339,20 @@ def test_ids_are_looked_up_by_the_batch(spark):
     assert utterances(spark, "/root/testdata/sf0.001").select("utt", "spoken")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
 
 
+def test_distance_of_texts_and_by_pieces(spark, monkeypatch):
+    """Texts are compared by their characters without a list of them, in Arrow batches; pieces of a batch give what the whole gives."""
+    random.seed(17)
+    text = lambda: None if random.random() < 0.05 else "".join(random.choice("abé😀") for _ in range(random.randint(0, 12)))
+    rows = [(i, a, text() if i % 2 or not a else a[:3] + "x" + a[4:]) for i, a in enumerate(text() for _ in range(400))]
+    want = [None if a is None or b is None else plain_distance(a, b) for _, a, b in rows]
+    got = spark.createDataFrame(rows, "i int, a string, b string").select("i", T.token_distance(F.col("a"), F.col("b")).alias("d"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and [r.d for r in got.orderBy("i").collect()] == want
+    monkeypatch.setattr(T, "PIECE", 40)
+    a, b = (pa.array([None if r[k] is None else list(r[k]) for r in rows], pa.list_(pa.string())) for k in (1, 2))
+    cut = T._by_pieces(T._lengths(a) + T._lengths(b), lambda at, n: T._distances(a.slice(at, n), b.slice(at, n)))
+    assert cut.to_pylist() == want
+
+
 def test_phonetic_spans_with_the_number_of_tokens(spark):
     """With `of`, tokens that match nothing are not shuffled: one exchange, and the same spans."""
     words = spark.createDataFrame([(k, "the an tho x an".split()) for k in range(3)], "id long, t array<string>").select("id", F.size("t").alias("of"), F.posexplode("t").alias("pos", "token"))
